@@ -1,0 +1,6 @@
+"""Incremental runs.
+
+The workload this library re-expresses has no streaming operators (no
+watermarks, windows over event time or stateful stream operators); its only
+"state" is batch resume, see :mod:`faultline.streaming.resume`.
+"""

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-_MODULES = ("faultline.plans.retrieval",)
+_MODULES = ("faultline.plans.retrieval", "faultline.plans.texts")
 
 
 def _load():

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-_MODULES = ("faultline.plans.retrieval", "faultline.plans.texts")
+_MODULES = ("faultline.plans.retrieval", "faultline.plans.texts", "faultline.plans.corpus")
 
 
 def _load():

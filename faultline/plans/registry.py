@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-_MODULES = ("faultline.plans.retrieval", "faultline.plans.texts", "faultline.plans.corpus", "faultline.plans.truth")
+_MODULES = ("faultline.plans.retrieval", "faultline.plans.texts", "faultline.plans.corpus", "faultline.plans.truth", "faultline.plans.calls")
 
 
 def _load():

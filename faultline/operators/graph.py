@@ -59,38 +59,46 @@ def reachability(
     Output ``(root, node, depth)``.
     """
     e = edges.select(F.col(src).alias("_s"), F.col(dst).alias("_d"), F.col(cost).cast("int").alias("_w")).distinct()
-    e0 = e.where(F.col("_w") == 0).select("_s", "_d")
-    e1 = e.where(F.col("_w") == 1).select("_s", "_d")
-    visited = _cut(roots.select("root", "node").distinct().withColumn("depth", F.lit(0)))
-    frontier = visited.select("root", "node")
-    depth = 0
-    rounds = 0
-
-    def expand(front: DataFrame, step_edges: DataFrame, seen: DataFrame) -> DataFrame:
+    e0 = _cut(e.where(F.col("_w") == 0).select("_s", "_d"))
+    e1 = _cut(e.where(F.col("_w") == 1).select("_s", "_d"))
+    # visited = union of checkpointed per-round pieces: each round writes only
+    # its new rows, and the union's lineage is one scan per piece
+    pieces = [_cut(roots.select("root", "node").distinct().withColumn("depth", F.lit(0)))]
+
+    def visited() -> DataFrame:
+        out = pieces[0]
+        for p in pieces[1:]:
+            out = out.unionByName(p)
+        return out
+
+    def expand(front: DataFrame, step_edges: DataFrame) -> DataFrame:
         nxt = front.join(step_edges, front["node"] == step_edges["_s"]).select("root", F.col("_d").alias("node"))
-        return nxt.distinct().join(seen.select("root", "node"), ["root", "node"], "left_anti")
+        return nxt.distinct().join(visited().select("root", "node"), ["root", "node"], "left_anti")
 
+    frontier = pieces[0].select("root", "node")
+    depth = 0
+    rounds = 0
     while True:
         # cost-0 closure at this depth
         while rounds < max_rounds:
             rounds += 1
-            nxt = _cut(expand(frontier, e0, visited))
+            nxt = _cut(expand(frontier, e0))
             if nxt.isEmpty():
                 break
-            visited = _cut(visited.unionByName(nxt.withColumn("depth", F.lit(depth))))
+            pieces.append(nxt.withColumn("depth", F.lit(depth)))
             frontier = nxt
         if max_depth is not None and depth >= max_depth:
             break
-        level = visited.where(F.col("depth") == depth).select("root", "node")
-        nxt = _cut(expand(level, e1, visited))
+        level = visited().where(F.col("depth") == depth).select("root", "node")
+        nxt = _cut(expand(level, e1))
         if nxt.isEmpty():
             break
         depth += 1
-        visited = _cut(visited.unionByName(nxt.withColumn("depth", F.lit(depth))))
+        pieces.append(nxt.withColumn("depth", F.lit(depth)))
         frontier = nxt
         if rounds >= max_rounds:
             raise RuntimeError("reachability did not converge")
-    return visited
+    return visited()
 
 
 def blocked_at_depth(visited: DataFrame, edges: DataFrame, max_depth: int, src: str = "src", dst: str = "dst",

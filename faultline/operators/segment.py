@@ -16,6 +16,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from faultline.partitioning import spread
+
 DEFAULT_CHUNK = 2000
 
 
@@ -103,7 +105,7 @@ def min_cost_segments(
         )
     )
     d = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text).alias("_t"))
-    j = d.join(b, "_id", "left")
+    j = spread(d.join(b, "_id", "left"), ["_id"])
 
     def run(batches):
         for pdf in batches:

@@ -1,0 +1,21 @@
+"""Partitioning helpers."""
+
+from __future__ import annotations
+
+from collections.abc import Sequence
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+
+def spread(df: DataFrame, key: Sequence[str]) -> DataFrame:
+    """Hash-repartition ``df`` by ``key`` before a CPU-heavy per-row stage
+    (Python parsing, DP, heavy regexes) only when it has fewer partitions than
+    the cluster has task slots.  A large scan already has many splits and is
+    left alone (no extra shuffle); a small table read from one file is spread
+    over all cores.  Hashing the key keeps the layout deterministic when a
+    lost task is recomputed."""
+    slots = df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() >= slots:
+        return df
+    return df.repartition(slots, *[F.col(k) for k in key])

@@ -64,7 +64,8 @@ def resolve_import(spark, sf):
 def call_resolution(spark, sf):
     """JON-08/09: each call of the part modules, resolved locally, through an
     import alias, or as external."""
-    f = _facts(spark, sf)
+    # one parse, one exchange by file; the three branches reuse it
+    f = _facts(spark, sf, {"call", "def", "import"}).repartition("p_partkey")
     calls = code.facts_of(f, "call").select("p_partkey", F.col("name").alias("caller"), F.col("target").alias("callee"))
     defined = code.facts_of(f, "def").select("p_partkey", "name")
     imports = code.facts_of(f, "import").select("p_partkey", F.col("name").alias("alias"), "target")

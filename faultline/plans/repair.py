@@ -48,7 +48,7 @@ def carry_forward(spark, sf):
 
 
 def name_lookup(spark, sf):
-    chunks = code.facts_of(_facts(spark, sf), "chunk").select("p_partkey", "name", "seq")
+    chunks = code.facts_of(_facts(spark, sf, {"chunk"}), "chunk").select("p_partkey", "name", "seq")
     p = read_table(spark, sf, "part", "p_partkey", "p_name")
     wanted = p.select("p_partkey", F.explode(F.array(
         F.lit("inner"), F.lit("price"), F.lit("fetch"), F.regexp_replace("p_name", " ", "_"))).alias("name"))

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from faultline.functions import text as T
 from faultline.operators import logs, patches
+from faultline.partitioning import spread
 from faultline.sources.tables import read_table
 
 NL = "\n"
@@ -88,7 +89,7 @@ def event_logs(spark: SparkSession, sf: str) -> DataFrame:
 def event_traces(spark: SparkSession, sf: str) -> DataFrame:
     """A raw test output per event: pytest form for errors, unittest form for
     clicks, no failure otherwise."""
-    e = read_table(spark, sf, "events", "event_id", "user_id", "event_type", "value", "props")
+    e = spread(read_table(spark, sf, "events", "event_id", "user_id", "event_type", "value", "props"), ["event_id"])
     uid = F.col("user_id").cast("string")
     pytest_txt = F.concat(
         F.lit("platform linux -- Python 3\ncollected 2 items\n\n"),

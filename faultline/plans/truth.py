@@ -114,38 +114,38 @@ def part_sources(spark: SparkSession, sf: str) -> DataFrame:
     return p.select("p_partkey", src.alias("content"))
 
 
-def _facts(spark, sf):
-    return code.code_facts(part_sources(spark, sf), ["p_partkey"])
+def _facts(spark, sf, kinds=code.ALL_KINDS):
+    return code.code_facts(part_sources(spark, sf), ["p_partkey"], kinds=kinds)
 
 
 def code_chunks(spark, sf):
-    c = code.facts_of(_facts(spark, sf), "chunk")
+    c = code.facts_of(_facts(spark, sf, {"chunk"}), "chunk")
     return c.select("p_partkey", "seq", "name", "start_line", "end_line", T.n_parts(F.col("code")).alias("n_lines"))
 
 
 def code_spans(spark, sf):
-    s = code.facts_of(_facts(spark, sf), "span")
+    s = code.facts_of(_facts(spark, sf, {"span"}), "span")
     return s.select("p_partkey", "seq", "name", F.col("target").alias("kind"), "start_line", "end_line", "nested")
 
 
 def called_names(spark, sf):
-    c = code.facts_of(_facts(spark, sf), "call")
+    c = code.facts_of(_facts(spark, sf, {"call"}), "call")
     return c.select("p_partkey", F.col("name").alias("caller"), F.col("target").alias("callee"))
 
 
 def import_aliases(spark, sf):
-    i = code.facts_of(_facts(spark, sf), "import")
+    i = code.facts_of(_facts(spark, sf, {"import"}), "import")
     return i.select("p_partkey", F.col("name").alias("alias"), "target")
 
 
 def defined_names(spark, sf):
     """AGG-17: distinct defined names per file, sorted and joined."""
-    d = code.facts_of(_facts(spark, sf), "def")
+    d = code.facts_of(_facts(spark, sf, {"def"}), "def")
     return d.groupBy("p_partkey").agg(F.array_join(F.array_sort(F.collect_set("name")), ",").alias("names"))
 
 
 def strip_comments(spark, sf):
-    s = code.facts_of(_facts(spark, sf), "stripped")
+    s = code.facts_of(_facts(spark, sf, {"stripped"}), "stripped")
     return s.select("p_partkey", F.length("code").cast("bigint").alias("n_chars"), F.md5("code").alias("code_md5"))
 
 

@@ -46,8 +46,14 @@ def read_tree(spark: SparkSession, root: str, glob: str = "*.py", binary: bool =
 
 
 def relative_path(path: Column, root: str) -> Column:
+    """Path below ``root``; a ``file:`` scheme on either side is ignored."""
+    strip = lambda x: F.regexp_replace(x, r"^file:(//)?", "")
     prefix = root.rstrip("/") + "/"
-    return F.when(path.startswith(prefix), F.substring(path, len(prefix) + 1, 1 << 30)).otherwise(path)
+    if prefix.startswith("file:"):
+        prefix = prefix[5:].lstrip("/")
+        prefix = "/" + prefix
+    p = strip(path)
+    return F.when(p.startswith(prefix), F.substring(p, len(prefix) + 1, 1 << 30)).otherwise(p)
 
 
 def extension(path: Column) -> Column:

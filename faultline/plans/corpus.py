@@ -14,6 +14,7 @@ from faultline.functions import encode as E
 from faultline.functions import text as T
 from faultline.operators import embed, segment
 from faultline.operators.knn import knn_join
+from faultline.partitioning import spread
 from faultline.sources import files as S
 from faultline.sources.tables import read_table
 
@@ -36,7 +37,8 @@ def _r6(c):
 
 def hash_encode(spark: SparkSession, sf: str) -> DataFrame:
     """UDTF-13/AGG-18: every document encoded directly (no de-duplication)."""
-    d = _docs(spark, sf, "doc_id", "text").select("doc_id", E.hash_encode(F.col("text"), DIM).alias("embedding"))
+    d = spread(_docs(spark, sf, "doc_id", "text"), ["doc_id"])
+    d = d.select("doc_id", E.hash_encode(F.col("text"), DIM).alias("embedding"))
     s = embed.sparse(d, ["doc_id"])
     return s.select("doc_id", "dim", _r6("value").alias("value"))
 

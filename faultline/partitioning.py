@@ -15,7 +15,10 @@ def spread(df: DataFrame, key: Sequence[str]) -> DataFrame:
     left alone (no extra shuffle); a small table read from one file is spread
     over all cores.  Hashing the key keeps the layout deterministic when a
     lost task is recomputed."""
-    slots = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() >= slots:
+    try:
+        slots = df.sparkSession.sparkContext.defaultParallelism
+        if df.rdd.getNumPartitions() >= slots:
+            return df
+    except Exception:  # noqa: BLE001 - sessions without RDD access (Spark Connect): leave the layout to Spark
         return df
     return df.repartition(slots, *[F.col(k) for k in key])

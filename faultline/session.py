@@ -33,6 +33,7 @@ def get_session(master: str = "local[8]", shuffle_partitions: int = 8, app: str
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")
+    ship_package(spark)
     return spark
 
 
@@ -51,3 +52,25 @@ def checkpoint_dir(spark: SparkSession) -> str | None:
     spark.conf.set("spark.checkpoint.dir", local)
     sc.setCheckpointDir(local)
     return sc.getCheckpointDir() or local
+
+
+_SHIPPED: set[int] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Make ``faultline`` importable in the executors' Python workers (Arrow
+    UDFs pickle references to it): zip the package once per process and add
+    it with ``addPyFile``, the usual way to distribute code to a cluster."""
+    try:
+        sc = spark.sparkContext
+    except Exception:  # noqa: BLE001 - Spark Connect: use spark.addArtifacts on the client instead
+        return
+    if id(sc) in _SHIPPED:
+        return
+    import shutil
+
+    pkg_dir = os.path.dirname(os.path.abspath(__file__))
+    out_dir = tempfile.mkdtemp(prefix="faultline-pkg-")
+    archive = shutil.make_archive(os.path.join(out_dir, "faultline"), "zip", os.path.dirname(pkg_dir), "faultline")
+    sc.addPyFile(archive)
+    _SHIPPED.add(id(sc))

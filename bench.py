@@ -45,7 +45,7 @@ def main() -> None:
     sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     cpus = os.environ.get("BENCH_CPUS", "8")
     names = sys.argv[1:] or HEADLINE
-    spark = get_session(master=f"local[{cpus}]", shuffle_partitions=int(cpus))
+    spark = get_session(master=f"local[{cpus}]", shuffle_partitions=int(cpus), driver_memory="16g")
     qs = registry.queries()
     # warm up the JVM and the Python workers once, outside the timings
     qs["fixed_chunks"](spark, sf_dir).write.format("noop").mode("overwrite").save()

@@ -1,24 +1,22 @@
 """Session helpers.
 
 On a cluster the session is created by the platform; the library only reads
-its settings.  ``get_session`` is the local/test builder.  ``checkpoint_dir``
-reads ``spark.checkpoint.dir`` from the session and only sets one when it is
-unset (tests, local runs): jobs that cut lineage must do so in the shared
-folder the cluster names, never in a machine-local temporary folder.
+its settings.  ``get_session`` is the local/test builder.
 """
 
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 
 from pyspark.sql import SparkSession
 
-_LOCAL_CHECKPOINT_ROOT = os.environ.get("FAULTLINE_LOCAL_CHECKPOINT_ROOT", "/tmp")
 
-
-def get_session(master: str = "local[8]", shuffle_partitions: int = 8, app: str = "faultline") -> SparkSession:
-    spark = (
+def get_session(
+    master: str = "local[8]", shuffle_partitions: int = 8, app: str = "faultline", driver_memory: str | None = None
+) -> SparkSession:
+    builder = (
         SparkSession.builder.master(master)
         .appName(app)
         .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
@@ -29,32 +27,41 @@ def get_session(master: str = "local[8]", shuffle_partitions: int = 8, app: str
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
-        .config("spark.driver.memory", "16g")
-        .getOrCreate()
     )
+    if driver_memory:
+        builder = builder.config("spark.driver.memory", driver_memory)
+    spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     ship_package(spark)
     return spark
 
 
-def checkpoint_dir(spark: SparkSession) -> str | None:
-    """Return the session's checkpoint folder, creating a local one only when unset."""
+def checkpoint_dir(spark: SparkSession) -> str:
+    """The session's shared checkpoint folder.
+
+    It is the one ``spark.checkpoint.dir`` names.  Where that is unset a
+    temporary folder serves on a local master only (tests, single-node runs);
+    on a cluster such a folder would exist on the driver alone, so it is an
+    error there.
+    """
     try:
         sc = spark.sparkContext
-    except Exception:  # noqa: BLE001 - Spark Connect: the server owns the checkpoint folder
-        return spark.conf.get("spark.checkpoint.dir", None)
-    configured = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
-    if configured:
-        if sc.getCheckpointDir() is None:
-            sc.setCheckpointDir(configured)
-        return sc.getCheckpointDir() or configured
-    local = tempfile.mkdtemp(prefix="faultline-ckpt-", dir=_LOCAL_CHECKPOINT_ROOT)
-    spark.conf.set("spark.checkpoint.dir", local)
-    sc.setCheckpointDir(local)
-    return sc.getCheckpointDir() or local
+    except Exception:  # noqa: BLE001 - Spark Connect: the server owns the folder
+        sc = None
+    configured = spark.conf.get("spark.checkpoint.dir", None) or (sc.getCheckpointDir() if sc is not None else None)
+    if configured is None:
+        if sc is None or not re.match(r"local(\[|$)", sc.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        configured = tempfile.mkdtemp(prefix="faultline-ckpt-")
+        spark.conf.set("spark.checkpoint.dir", configured)
+    if sc is None:
+        return configured
+    if sc.getCheckpointDir() is None:
+        sc.setCheckpointDir(configured)
+    return sc.getCheckpointDir() or configured
 
 
-_SHIPPED: set[int] = set()
+_SHIPPED: set[str] = set()
 
 
 def ship_package(spark: SparkSession) -> None:
@@ -65,7 +72,7 @@ def ship_package(spark: SparkSession) -> None:
         sc = spark.sparkContext
     except Exception:  # noqa: BLE001 - Spark Connect: use spark.addArtifacts on the client instead
         return
-    if id(sc) in _SHIPPED:
+    if sc.applicationId in _SHIPPED:
         return
     import shutil
 
@@ -73,4 +80,4 @@ def ship_package(spark: SparkSession) -> None:
     out_dir = tempfile.mkdtemp(prefix="faultline-pkg-")
     archive = shutil.make_archive(os.path.join(out_dir, "faultline"), "zip", os.path.dirname(pkg_dir), "faultline")
     sc.addPyFile(archive)
-    _SHIPPED.add(id(sc))
+    _SHIPPED.add(sc.applicationId)

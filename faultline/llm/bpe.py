@@ -226,7 +226,7 @@ def decode(df: DataFrame, vocab_path: str, ids: str = "ids", out: str = "decoded
         names = {i: t for t, i in [*spec.value["vocab"].items(), *spec.value["special"].items()]}
         top = max(names) + 1
         known = np.array([i in names for i in range(top)])
-        token = pa.array([names.get(i, "") for i in range(top)], pa.large_string())
+        token = pa.array([names.get(i, "") for i in range(top)], pa.string())
         for whole in batches:
             for batch in _slices(whole, ids, 1 << 20):
                 lists = batch.column(ids)
@@ -238,9 +238,9 @@ def decode(df: DataFrame, vocab_path: str, ids: str = "ids", out: str = "decoded
                 ok = (flat >= 0) & (flat < top)
                 ok[ok] = known[flat[ok]]
                 flat, row = flat[ok], row[ok]
-                offs = np.concatenate([[0], np.cumsum(np.bincount(row, minlength=len(size)))]).astype(np.int64)
-                text = pc.binary_join(pa.LargeListArray.from_arrays(pa.array(offs), token.take(pa.array(flat, pa.int64()))), " ")
-                yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), text.cast(pa.string())], names=[*keep, out])
+                offs = np.concatenate([[0], np.cumsum(np.bincount(row, minlength=len(size)))]).astype(np.int32)
+                text = pc.binary_join(pa.ListArray.from_arrays(pa.array(offs), token.take(pa.array(flat, pa.int64()))), " ")
+                yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), text], names=[*keep, out])
 
     return df.mapInArrow(run, schema)
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from faultline.llm import bpe
+from faultline.llm import bpe, quality, rules, secrets
 from faultline.sources.tables import read_table
 
 
@@ -18,5 +18,17 @@ def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digest(read_table(spark, sf_dir, "documents", "doc_id", "text"), word_bpe_path())
 
 
-QUERIES = {"op1_bpe": op1_bpe}
+def op3_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.report(read_table(spark, sf_dir, "documents", "doc_id", "text"))
+
+
+def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.judged(read_table(spark, sf_dir, "documents", "doc_id", "text"), read_table(spark, sf_dir, "labels", "doc_id", "quality"))
+
+
+def op8_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rules.judge(read_table(spark, sf_dir, "documents", "doc_id", "text"), read_table(spark, sf_dir, "labels", "doc_id", "quality"))
+
+
+QUERIES = {"op1_bpe": op1_bpe, "op3_secrets": op3_secrets, "op4_quality": op4_quality, "op8_rules": op8_rules}
 ORACLE: dict[str, str] = {}

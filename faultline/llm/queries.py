@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from faultline.llm import bpe, quality, rules, secrets
+from faultline.llm import bpe, lm, quality, rules, secrets, urls
 from faultline.sources.tables import read_table
 
 
@@ -26,9 +26,17 @@ def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judged(read_table(spark, sf_dir, "documents", "doc_id", "text"), read_table(spark, sf_dir, "labels", "doc_id", "quality"))
 
 
+def op6_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urls.judge(read_table(spark, sf_dir, "pages", "page_id", "url"))
+
+
+def op7_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.score(read_table(spark, sf_dir, "documents", "doc_id", "text"))
+
+
 def op8_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.judge(read_table(spark, sf_dir, "documents", "doc_id", "text"), read_table(spark, sf_dir, "labels", "doc_id", "quality"))
 
 
-QUERIES = {"op1_bpe": op1_bpe, "op3_secrets": op3_secrets, "op4_quality": op4_quality, "op8_rules": op8_rules}
+QUERIES = {"op1_bpe": op1_bpe, "op3_secrets": op3_secrets, "op4_quality": op4_quality, "op6_urls": op6_urls, "op7_lm": op7_lm, "op8_rules": op8_rules}
 ORACLE: dict[str, str] = {}

@@ -16,6 +16,9 @@ as they are.
 
 from __future__ import annotations
 
+import gc
+import hashlib
+import itertools
 import json
 import unicodedata
 from collections.abc import Iterator
@@ -29,9 +32,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 NO_PAIR = 1 << 40
-MEMO = 250_000  # words, and as many runs between blanks, that a worker remembers
+MEMO = 100_000  # words, and as many runs between blanks, in each generation that a worker remembers
 # Fixed by the vocabulary's format: white space that it folds to one blank.
 BLANKS = regex.compile("[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+")
+NOT_BLANK = "\x1c\x1d\x1e\x1f"  # blanks to str.split, but not here
 
 
 class PairTree:
@@ -51,11 +55,12 @@ class PairTree:
         node[i] = rank
         while i > 1:
             other = node[i ^ 1]
-            low = rank if rank < other else other
+            if other < rank:
+                rank = other
             i >>= 1
-            if node[i] == low:
+            if node[i] == rank:
                 return
-            node[i] = rank = low
+            node[i] = rank
 
     def lowest(self) -> int:
         """Position of the leftmost pair of lowest rank, -1 if none is left."""
@@ -65,34 +70,126 @@ class PairTree:
             return -1
         i = 1
         while i < size:
-            i *= 2
+            i += i
             if node[i] != low:
                 i += 1
         return i - size
 
 
-def merge(symbols: list[str], ranks: dict[tuple[str, str], int]) -> list[str]:
-    """Apply merges, lowest rank first and leftmost first among equals."""
+def merge(symbols: list[int], ranks: dict[int, int], made: list[int]) -> list[int]:
+    """Apply merges, lowest rank first and leftmost first among equals.  ``ranks``
+    has the rank of a pair ``left << 20 | right``, ``made`` the symbol it becomes."""
     n = len(symbols)
     if n < 2:
         return symbols
-    sym: list[str | None] = list(symbols)
+    rank = ranks.get
+    tree = PairTree([rank(a << 20 | b, NO_PAIR) for a, b in zip(symbols, symbols[1:])])
+    if tree.node[1] == NO_PAIR:
+        return symbols
+    sym = list(symbols)
     nxt, prv = list(range(1, n + 1)), list(range(-1, n - 1))
-    tree = PairTree([ranks.get(p, NO_PAIR) for p in zip(symbols, symbols[1:])])
-    while (i := tree.lowest()) >= 0:
+    put, lowest, node = tree.set, tree.lowest, tree.node
+    while (i := lowest()) >= 0:
         j = nxt[i]
-        sym[i], sym[j] = sym[i] + sym[j], None
+        sym[i] = new = made[node[1]]
+        sym[j] = -1
         nxt[i] = k = nxt[j]
-        if j < n - 1:
-            tree.set(j, NO_PAIR)
         if k < n:
             prv[k] = i
-            tree.set(i, ranks.get((sym[i], sym[k]), NO_PAIR))
+            put(j, NO_PAIR)
+            put(i, rank(new << 20 | sym[k], NO_PAIR))
         else:
-            tree.set(i, NO_PAIR)
+            put(i, NO_PAIR)
         if (h := prv[i]) >= 0:
-            tree.set(h, ranks.get((sym[h], sym[i]), NO_PAIR))
-    return [s for s in sym if s is not None]
+            put(h, rank(sym[h] << 20 | new, NO_PAIR))
+    return [s for s in sym if s >= 0]
+
+
+def merge_all(words: list[list[int]], keys: np.ndarray, rank: np.ndarray, made: np.ndarray) -> list[list[int]]:
+    """``merge`` of many words at once: words with trees of one size are merged in
+    step, one pair each.  ``keys`` are the sorted pairs, ``rank`` their ranks."""
+    out: list = [None] * len(words)
+    by_size: dict[int, list[int]] = {}
+    for w, symbols in enumerate(words):
+        if len(symbols) < 2:
+            out[w] = symbols
+        else:
+            by_size.setdefault(1 << (len(symbols) - 2).bit_length(), []).append(w)
+
+    def ranks(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        pair = (a << 20) | b
+        at = np.minimum(np.searchsorted(keys, pair), len(keys) - 1)
+        return np.where((keys[at] == pair) & (a >= 0) & (b >= 0), rank[at], NO_PAIR)
+
+    for size, chosen in by_size.items():
+        step = max(1, (1 << 20) // size)
+        for part in (chosen[k:k + step] for k in range(0, len(chosen), step)):
+            n, width = len(part), size + 2
+            length = np.array([len(words[w]) for w in part])
+            at = np.arange(width)
+            sym = np.full((n, width), -1, dtype=np.int64)
+            sym[at < length[:, None]] = np.concatenate([words[w] for w in part])
+            tree = np.full((n, 2 * size), NO_PAIR, dtype=np.int64)
+            tree[:, size:] = ranks(sym[:, :size], sym[:, 1:size + 1])
+            half = size
+            while half > 1:
+                tree[:, half // 2:half] = np.minimum(tree[:, half:2 * half:2], tree[:, half + 1:2 * half:2])
+                half //= 2
+            nxt = np.minimum(np.tile(at + 1, (n, 1)), length[:, None]).ravel()
+            prv = np.tile(at - 1, (n, 1)).ravel()
+            sym, tree, wide, deep = sym.ravel(), tree.ravel(), np.arange(n) * width, np.arange(n) * 2 * size
+
+            def put(base: np.ndarray, leaf: np.ndarray, value: np.ndarray | int) -> None:
+                i = leaf + size  # noqa: B023
+                tree[base + i] = value  # noqa: B023
+                for _ in range(size.bit_length() - 1):  # noqa: B023
+                    low = np.minimum(tree[base + i], tree[base + (i ^ 1)])  # noqa: B023
+                    i = i >> 1
+                    tree[base + i] = low  # noqa: B023
+
+            while len(live := np.flatnonzero(tree[deep + 1] != NO_PAIR)):
+                base, row = deep[live], wide[live]
+                low, i = tree[base + 1], np.ones(len(live), dtype=np.int64)
+                for _ in range(size.bit_length() - 1):
+                    i += i
+                    i += tree[base + i] != low
+                i -= size
+                j = nxt[row + i]
+                k, h, new = nxt[row + j], prv[row + i], made[low]
+                sym[row + i], sym[row + j] = new, -1
+                nxt[row + i], prv[row + k] = k, i
+                inner = j < size
+                put(base[inner], j[inner], NO_PAIR)
+                put(base, i, ranks(new, np.where(k < length[live], sym[row + k], -1)))
+                left = h >= 0
+                put(base[left], h[left], ranks(sym[row[left] + h[left]], new[left]))
+            rows = sym.reshape(n, width)
+            kept = rows >= 0
+            flat, cut = rows[kept].tolist(), np.append(0, kept.sum(axis=1).cumsum()).tolist()
+            for k, w in enumerate(part):
+                out[w] = flat[cut[k]:cut[k + 1]]
+    return out
+
+
+class Memo:
+    """Results by word, in two generations: when the young one is full it becomes
+    the old one, and what is asked for again moves to the young one."""
+
+    def __init__(self, most: int):
+        self.most, self.young, self.old = most, {}, {}
+
+    def missing(self, words: set[str]) -> list[str]:
+        """Which of the words are new; the others are in the young generation afterwards."""
+        if len(self.young) > self.most:
+            self.young, self.old = {}, self.young
+        young, old = self.young, self.old
+        new = []
+        for w in words.difference(young):
+            if (found := old.get(w)) is None:
+                new.append(w)
+            else:
+                young[w] = found
+        return new
 
 
 def byte_alphabet() -> list[str]:
@@ -110,13 +207,15 @@ def byte_alphabet() -> list[str]:
 
 def load(path: str) -> dict:
     """What encoding and decoding need of a word-level BPE file with word ends."""
-    with open(path, encoding="utf-8") as f:
-        spec = json.load(f)
+    with open(path, "rb") as f:
+        raw = f.read()
+    spec = json.loads(raw)
     model = spec["model"]
     split = next(p["pattern"]["Regex"] for p in spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split")
     return {
+        "name": hashlib.sha256(raw).hexdigest(),
         "vocab": model["vocab"],
-        "ranks": {tuple(m) if isinstance(m, list) else tuple(m.split(" ")): i for i, m in enumerate(model["merges"])},
+        "merges": [tuple(m) if isinstance(m, list) else tuple(m.split(" ")) for m in model["merges"]],
         "suffix": model["end_of_word_suffix"] or "",
         "special": {t["content"]: t["id"] for t in spec["added_tokens"]},
         "split": split,
@@ -125,61 +224,111 @@ def load(path: str) -> dict:
 
 class Encoder:
     def __init__(self, spec: dict):
-        self.spec, self.alphabet = spec, byte_alphabet()
         self.split = regex.compile(spec["split"])
         self.special = regex.compile("|".join(map(regex.escape, sorted(spec["special"], key=len, reverse=True))))
-        self.memo: dict[str, list[int]] = {}
-        self.known: dict[str, list[int]] = {}
-
-    def word(self, word: str) -> list[int]:
-        if (ids := self.known.get(word)) is not None:
-            return ids
-        ids = self.segment(word)
-        if len(word) <= 64:
-            if len(self.known) >= MEMO:
-                self.known.clear()
-            self.known[word] = ids
-        return ids
-
-    def segment(self, word: str) -> list[int]:
-        symbols = [self.alphabet[b] for b in word.encode()]
-        symbols[-1] += self.spec["suffix"]
-        vocab = self.spec["vocab"]
-        return [vocab[s] for s in merge(symbols, self.spec["ranks"]) if s in vocab]  # a byte without a token has none
-
-    def piece(self, piece: str) -> list[int]:
-        """Ids of a run between blanks."""
-        ids = self.memo.get(piece)
-        if ids is None:
-            ids = [i for w in self.split.findall(piece) for i in self.word(w)]
-            if len(piece) <= 64:
-                if len(self.memo) >= MEMO:
-                    self.memo.clear()
-                self.memo[piece] = ids
-        return ids
-
-    def plain(self, text: str, out: list[int]) -> None:
-        text = text if text.isascii() else unicodedata.normalize("NFC", text)
-        text = BLANKS.sub(" ", text)
+        # a special token stands among the runs between blanks as its string after a blank
+        self.special_runs = {" " + t: [i] for t, i in spec["special"].items()}
+        # symbols that aren't tokens get numbers past the vocabulary and leave no id
+        number: dict[str, int] = dict(spec["vocab"])
+        self.top = top = max(number.values()) + 1
+        of = lambda s: number.setdefault(s, top + len(number))
+        alphabet = byte_alphabet()
+        self.inner, self.last = [of(c) for c in alphabet], [of(c + spec["suffix"]) for c in alphabet]
+        self.ranks, self.made = {}, []
+        for rank, (a, b) in enumerate(spec["merges"]):
+            self.ranks[of(a) << 20 | of(b)] = rank
+            self.made.append(of(a + b))
+        pairs = np.array(list(self.ranks.items()), dtype=np.int64).reshape(-1, 2)
+        pairs = pairs[np.argsort(pairs[:, 0])]
+        self.table = (pairs[:, 0].copy(), pairs[:, 1].copy(), np.array(self.made, dtype=np.int64))
+        self.words, self.runs = Memo(MEMO), Memo(MEMO)
+
+    def symbols(self, word: str) -> list[int]:
+        raw, inner = word.encode(), self.inner
+        found = [inner[b] for b in raw]
+        found[-1] = self.last[raw[-1]]
+        return found
+
+    def learn_words(self, words: set[str]) -> None:
+        new = self.words.missing(words)
+        short = [w for w in new if len(w) <= 32]
+        young, top = self.words.young, self.top
+        for w, ids in zip(short, merge_all([self.symbols(w) for w in short], *self.table)):
+            young[w] = ids if max(ids) < top else [i for i in ids if i < top]
+        for w in new:
+            if len(w) > 32:
+                young[w] = [i for i in merge(self.symbols(w), self.ranks, self.made) if i < top]
+
+    def learn(self, runs: set[str]) -> None:
+        """Ids of runs between blanks."""
+        new = self.runs.missing(runs)
+        split = {}
+        for r in new:
+            if r.isalpha():
+                split[r] = [r]
+            elif r[-1] in ",." and r[:-1].isalpha():
+                split[r] = [r[:-1], r[-1]]
+            else:
+                split[r] = self.split.findall(r) if r[0] != " " else []
+        self.learn_words({w for found in split.values() for w in found})
+        words, young = self.words.young, self.runs.young
+        for r, found in split.items():
+            young[r] = words[found[0]] if len(found) == 1 else [i for w in found for i in words[w]]
+        young.update(self.special_runs)
+
+    @staticmethod
+    def plain(text: str) -> list[str]:
+        """Runs between blanks of a text without special tokens."""
+        if not text.isascii():
+            text = unicodedata.normalize("NFC", text)
         # lower case goes character by character: a final sigma has no special form
-        low = text.lower() if "Σ" not in text else "".join(c.lower() for c in text)
-        memo, piece = self.memo, self.piece
-        for p in low.split(" "):
-            if p:
-                out += memo.get(p) or piece(p)
-
-    def encode(self, text: str) -> list[int]:
-        out: list[int] = []
+        low = text.lower() if "\u03a3" not in text else "".join(c.lower() for c in text)
+        if any(c in low for c in NOT_BLANK):
+            return [p for p in BLANKS.split(low) if p]
+        return low.split()
+
+    def cut(self, text: str) -> list[str]:
+        if "<|" not in text:
+            return self.plain(text)
+        out: list[str] = []
         at = 0
-        if "<|" in text:
-            for m in self.special.finditer(text):
-                self.plain(text[at:m.start()], out)
-                out.append(self.spec["special"][m[0]])
-                at = m.end()
-        self.plain(text[at:] if at else text, out)
+        for m in self.special.finditer(text):
+            out += self.plain(text[at:m.start()])
+            out.append(" " + m[0])
+            at = m.end()
+        return out + self.plain(text[at:])
+
+    def encode(self, texts: list[str | None]) -> list[list[int]]:
+        gc.disable()  # many small lists, none of them in a cycle
+        try:
+            return self._encode(texts)
+        finally:
+            gc.enable()
+
+    def _encode(self, texts: list[str | None]) -> list[list[int]]:
+        cut = [self.cut(t) if t else [] for t in texts]
+        self.learn(set().union(*cut))
+        young = self.runs.young
+        out = []
+        for runs in cut:
+            ids: list[int] = []
+            for r in runs:
+                ids += young[r]
+            out.append(ids)
         return out
 
 
+_ENCODERS: dict[str, Encoder] = {}
+
+
+def encoder(spec: dict) -> Encoder:
+    """The worker's encoder of a vocabulary, kept from task to task."""
+    if spec["name"] not in _ENCODERS:
+        _ENCODERS.clear()
+        _ENCODERS[spec["name"]] = Encoder(spec)
+    return _ENCODERS[spec["name"]]
+
+
 def _extend(df: DataFrame, name: str, kind: T.DataType) -> T.StructType:
     return T.StructType([*(f for f in df.schema.fields if f.name != name), T.StructField(name, kind)])
 
@@ -203,12 +352,12 @@ def encode(df: DataFrame, vocab_path: str, text: str = "text", out: str = "ids")
     keep = [f.name for f in schema.fields if f.name != out]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = Encoder(spec.value)
+        enc = encoder(spec.value)
         for whole in batches:
-            for batch in _slices(whole, text, 4 << 20):
-                ids = [np.array(enc.encode(t) if t else (), dtype=np.int32) for t in batch.column(text).to_pylist()]
-                offs = np.concatenate([[0], np.cumsum([len(i) for i in ids])]).astype(np.int32)
-                flat = pa.array(np.concatenate(ids) if ids else np.zeros(0, np.int32))
+            for batch in _slices(whole, text, 2 << 20):
+                ids = enc.encode(batch.column(text).to_pylist())
+                offs = np.cumsum([0, *map(len, ids)]).astype(np.int32)
+                flat = pa.array(np.fromiter(itertools.chain.from_iterable(ids), dtype=np.int32, count=int(offs[-1])))
                 yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.ListArray.from_arrays(pa.array(offs), flat)], names=[*keep, out])
 
     return df.mapInArrow(run, schema)

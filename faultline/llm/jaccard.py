@@ -44,6 +44,7 @@ from pyspark.sql import functions as F
 from faultline.llm import _text
 from faultline.llm._components import components
 from faultline.llm._cut import cut
+from faultline.llm._filter import bitmap, holds
 
 WIDTH = 5
 NUM, DEN = 75, 100
@@ -52,7 +53,6 @@ SLACK = 1.2
 ROUNDS = 3
 CROWD = 64  # sets of one batch under one key from which the key is dealt out by batch
 KEYS_EACH = 3_000_000  # keys that one partition should get
-FILTER_BITS = 1 << 26  # of the broadcast filter for sets to verify: 8 MB, whatever the corpus
 BYTES = 5  # of a key within its partition
 NO_PROBE = -(1 << 30)
 
@@ -315,26 +315,10 @@ def _allocated(shared: DataFrame, parts: int) -> DataFrame:
     return shared.repartitionById(parts, "to").mapInArrow(run, "key long, node long, degree long, short boolean")
 
 
-def _filter(wanted: DataFrame, col: str) -> np.ndarray:
-    """A bitmap over hashed values, joined up from one bitmap a partition; its size is fixed."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = np.zeros(FILTER_BITS, dtype=bool)
-        for b in batches:
-            bits[_text.mix(b.column(0).to_numpy().view(np.uint64)) % np.uint64(FILTER_BITS)] = True
-        at = np.flatnonzero(np.packbits(bits))
-        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(np.packbits(bits)[at].astype(np.int32))], names=["at", "byte"])
-
-    out = np.zeros(FILTER_BITS // 8, dtype=np.uint8)
-    found = wanted.select(col).mapInArrow(run, "at long, byte int").groupBy("at").agg(F.bit_or("byte").alias("byte")).toArrow()
-    out[found.column("at").to_numpy()] = found.column("byte").to_numpy()
-    return out
-
-
 def _verified(pairs: DataFrame, docs: DataFrame, text: str) -> DataFrame:
     """The pairs (a, b) of nodes that are linked, by the intersection of their whole sets."""
     ends = pairs.select(F.explode(F.array("a", "b")).alias("node"))
-    bits = docs.sparkSession.sparkContext.broadcast(_filter(ends, "node"))
+    bits = docs.sparkSession.sparkContext.broadcast(bitmap(ends, "node"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -342,8 +326,7 @@ def _verified(pairs: DataFrame, docs: DataFrame, text: str) -> DataFrame:
             for _, _, data, offs in _text.chunks(batch, text):
                 h, row = shingles(data, offs)
                 size, node = nodes(h, row, len(offs) - 1)
-                at = (_text.mix(node) % np.uint64(FILTER_BITS)).astype(np.int64)
-                hit = ((bits.value[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1).astype(bool) & (size > 0)
+                hit = holds(bits.value, node) & (size > 0)
                 rows = [i for i in np.flatnonzero(hit).tolist() if not (int(node[i]) in seen or seen.add(int(node[i])))]
                 mine = np.zeros(len(size), dtype=bool)
                 mine[rows] = True
@@ -365,15 +348,14 @@ def _verified(pairs: DataFrame, docs: DataFrame, text: str) -> DataFrame:
 
 def _by_elements(short: DataFrame, docs: DataFrame, text: str) -> DataFrame:
     """Candidates of sets that can't fill their units: all sets that share an element with them."""
-    bits = docs.sparkSession.sparkContext.broadcast(_filter(short, "node"))
+    bits = docs.sparkSession.sparkContext.broadcast(bitmap(short, "node"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for _, _, data, offs in _text.chunks(batch, text):
                 h, row = shingles(data, offs)
                 size, node = nodes(h, row, len(offs) - 1)
-                at = (_text.mix(node) % np.uint64(FILTER_BITS)).astype(np.int64)
-                hit = ((bits.value[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1).astype(bool)
+                hit = holds(bits.value, node)
                 yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(node[row].view(np.int64)), pa.array(hit[row])], names=["h", "node", "own"])
 
     elements = docs.select(text).mapInArrow(run, "h long, node long, own boolean").distinct()

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from faultline.llm import bpe, jaccard, lm, quality, rules, secrets, urls
+from faultline.llm import bpe, jaccard, lm, quality, repeats, rules, secrets, urls
 from faultline.sources.tables import read_table
 
 
@@ -38,9 +38,13 @@ def op8_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.judge(read_table(spark, sf_dir, "documents", "doc_id", "text"), read_table(spark, sf_dir, "labels", "doc_id", "quality"))
 
 
+def op9_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.report(read_table(spark, sf_dir, "documents", "doc_id", "text"))
+
+
 def op10_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.join(read_table(spark, sf_dir, "documents", "doc_id", "text"))
 
 
-QUERIES = {"op1_bpe": op1_bpe, "op3_secrets": op3_secrets, "op4_quality": op4_quality, "op6_urls": op6_urls, "op7_lm": op7_lm, "op8_rules": op8_rules, "op10_jaccard": op10_jaccard}
+QUERIES = {"op1_bpe": op1_bpe, "op3_secrets": op3_secrets, "op4_quality": op4_quality, "op6_urls": op6_urls, "op7_lm": op7_lm, "op8_rules": op8_rules, "op9_repeats": op9_repeats, "op10_jaccard": op10_jaccard}
 ORACLE: dict[str, str] = {}

@@ -4,9 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from faultline.llm import bpe, jaccard, lm, neardup, quality, repeats, rules, secrets, urls
+from faultline.llm import bpe, jaccard, lm, mixing, neardup, quality, repeats, rules, secrets, urls
 from faultline.sources.tables import read_table
 
+# Target weights of the languages' tokens.
+TARGETS = {"en": 0.4, "de": 0.2, "es": 0.2, "fr": 0.2}
+
 
 def word_bpe_path() -> str:
     import public_tokenizers
@@ -30,6 +33,10 @@ def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judged(read_table(spark, sf_dir, "documents", "doc_id", "text"), read_table(spark, sf_dir, "labels", "doc_id", "quality"))
 
 
+def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.rates(read_table(spark, sf_dir, "documents", "doc_id", "text", "lang"), read_table(spark, sf_dir, "labels", "doc_id"), TARGETS)
+
+
 def op6_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge(read_table(spark, sf_dir, "pages", "page_id", "url"))
 
@@ -50,7 +57,7 @@ def op10_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.join(read_table(spark, sf_dir, "documents", "doc_id", "text"))
 
 
-QUERIES = {"op1_bpe": op1_bpe, "op2_neardup": op2_neardup, "op3_secrets": op3_secrets, "op4_quality": op4_quality, "op6_urls": op6_urls, "op7_lm": op7_lm, "op8_rules": op8_rules, "op9_repeats": op9_repeats, "op10_jaccard": op10_jaccard}
+QUERIES = {"op1_bpe": op1_bpe, "op2_neardup": op2_neardup, "op3_secrets": op3_secrets, "op4_quality": op4_quality, "op5_mixing": op5_mixing, "op6_urls": op6_urls, "op7_lm": op7_lm, "op8_rules": op8_rules, "op9_repeats": op9_repeats, "op10_jaccard": op10_jaccard}
 ORACLE: dict[str, str] = {
     "op2_neardup": """
 WITH RECURSIVE v AS (

@@ -11,9 +11,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from faultline.operators import code, graph, patches
+from faultline.operators import graph, patches, source
 from faultline.plans.texts import part_patches
-from faultline.plans.truth import _facts
+from faultline.plans.truth import KEY, part_lines
 from faultline.sources.tables import read_table
 
 MAX_DEPTH = 1
@@ -64,11 +64,9 @@ def resolve_import(spark, sf):
 def call_resolution(spark, sf):
     """JON-08/09: each call of the part modules, resolved locally, through an
     import alias, or as external."""
-    # one parse, one exchange by file; the three branches reuse it
-    f = _facts(spark, sf, {"call", "def", "import"}).repartition("p_partkey")
-    calls = code.facts_of(f, "call").select("p_partkey", F.col("name").alias("caller"), F.col("target").alias("callee"))
-    defined = code.facts_of(f, "def").select("p_partkey", "name")
-    imports = code.facts_of(f, "import").select("p_partkey", F.col("name").alias("alias"), "target")
+    ln = part_lines(spark, sf)
+    found = source.spans(ln, KEY)
+    calls, defined, imports = source.calls(ln, found, KEY), source.defined(found, KEY), source.imports(ln, KEY)
     return graph.classify_calls(calls, defined, imports, ["p_partkey"])
 
 
@@ -111,5 +109,7 @@ SELECT p_partkey, {_FN} AS caller, 'h_' || {_FN} AS callee, 'import' AS resoluti
        'pkg.' || {_B} || '.helper' AS import_target FROM part
 UNION ALL SELECT p_partkey, {_FN}, 'inner', 'External or builtin function', NULL FROM part
 UNION ALL SELECT p_partkey, 'inner', 'h_' || {_FN}, 'import', 'pkg.' || {_B} || '.helper' FROM part
-UNION ALL SELECT p_partkey, 'price', {_FN}, 'local', NULL FROM part""",
+UNION ALL SELECT p_partkey, 'price', {_FN}, 'local', NULL FROM part
+UNION ALL SELECT p_partkey, 'cost', 'js_', 'External or builtin function', NULL FROM part WHERE p_size % 2 = 1
+UNION ALL SELECT p_partkey, 'cost', 'price', 'local', NULL FROM part WHERE p_size % 2 = 1""",
 }

@@ -14,10 +14,10 @@ from __future__ import annotations
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
-from faultline.operators import code, context, report
+from faultline.operators import context, report, source
 from faultline.operators import evaluate as ev
 from faultline.plans import corpus, retrieval
-from faultline.plans.truth import _facts
+from faultline.plans.truth import KEY, part_lines
 from faultline.sources.tables import read_table
 
 # Display order of groups in the printed report (a fixed dimension).
@@ -48,7 +48,8 @@ def carry_forward(spark, sf):
 
 
 def name_lookup(spark, sf):
-    chunks = code.facts_of(_facts(spark, sf, {"chunk"}), "chunk").select("p_partkey", "name", "seq")
+    ln = part_lines(spark, sf)
+    chunks = source.chunks(ln, source.spans(ln, KEY), KEY).select("p_partkey", "name", "seq")
     p = read_table(spark, sf, "part", "p_partkey", "p_name")
     wanted = p.select("p_partkey", F.explode(F.array(
         F.lit("inner"), F.lit("price"), F.lit("fetch"), F.regexp_replace("p_name", " ", "_"))).alias("name"))

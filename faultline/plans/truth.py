@@ -7,8 +7,9 @@ span (JON-06) of a nested block layout derived from the line count, and
 the lines outside every span form the root remainder (JON-07/FLT-06).
 
 Parts as Python modules: each part row becomes a small module (imports,
-nested functions, a decorated class with a method and an async method,
-comments, a docstring); the code-fact job parses each one (UDTF-01/05..09/12).
+nested functions, a decorated class with methods and an async method,
+comments, a docstring) whose length and members vary with the part; code facts
+come from its lines (UDTF-01/05..09/12).
 """
 
 from __future__ import annotations
@@ -17,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from faultline.functions import text as T
-from faultline.operators import code, spans
+from faultline.operators import source, spans
 from faultline.sources.tables import read_table
 
 NL = "\n"
@@ -86,66 +87,71 @@ def uncovered_lines(spark, sf):
 
 # ---------------------------------------------------------------- code facts
 def part_sources(spark: SparkSession, sf: str) -> DataFrame:
+    """One module a part; comments, a method and all line numbers vary with the size."""
     p = read_table(spark, sf, "part", "p_partkey", "p_name", "p_brand", "p_type", "p_size")
     fn = F.regexp_replace("p_name", " ", "_")
     brand = F.lower(F.regexp_replace("p_brand", "#", "_"))
     size = F.col("p_size").cast("string")
-    src = F.concat_ws(
-        NL,
-        F.lit("import os"),
-        F.concat(F.lit("from pkg."), brand, F.lit(" import helper as h_"), fn),
-        F.lit(""),
-        F.concat(F.lit("def "), fn, F.lit("(x):")),
-        F.concat(F.lit('    """'), F.col("p_type"), F.lit(' part"""')),
-        F.lit("    def inner():"),
-        F.concat(F.lit("        return h_"), fn, F.lit("(x) + len(str(x))")),
-        F.concat(F.lit("    return inner()  # size "), size),
-        F.lit(""),
-        F.lit("@decorated"),
-        F.concat(F.lit("class Part"), F.col("p_partkey").cast("string"), F.lit(":")),
-        F.concat(F.lit("    size = "), size),
-        F.lit("    def price(self):"),
-        F.concat(F.lit("        return "), fn, F.lit("(self.size) * 2  # price")),
-        F.lit("    async def fetch(self):"),
-        F.lit("        return os.getcwd()"),
-        F.lit(""),
-        F.concat(F.lit("print("), fn, F.lit("("), size, F.lit("))")),
-    )
-    return p.select("p_partkey", src.alias("content"))
-
-
-def _facts(spark, sf, kinds=code.ALL_KINDS):
-    return code.code_facts(part_sources(spark, sf), ["p_partkey"], kinds=kinds)
+    notes = F.transform(F.expr("if(p_size % 4 = 0, array(), sequence(1, p_size % 4))"), lambda i: F.concat(F.lit("# note "), i.cast("string")))
+    text = [
+        F.array(F.lit("import os"), F.concat(F.lit("from pkg."), brand, F.lit(" import helper as h_"), fn)),
+        notes,
+        F.array(
+            F.lit(""),
+            F.concat(F.lit("def "), fn, F.lit("(x):")),
+            F.concat(F.lit('    """'), F.col("p_type"), F.lit(' part"""')),
+            F.lit("    def inner():"),
+            F.concat(F.lit("        return h_"), fn, F.lit("(x) + len(str(x))")),
+            F.concat(F.lit("    return inner()  # size "), size),
+            F.lit(""),
+            F.lit("@decorated"),
+            F.concat(F.lit("class Part"), F.col("p_partkey").cast("string"), F.lit(":")),
+            F.concat(F.lit("    size = "), size),
+            F.lit("    def price(self):"),
+            F.concat(F.lit("        return "), fn, F.lit("(self.size) * 2  # price")),
+            F.lit("    async def fetch(self):"),
+            F.lit("        return os.getcwd()"),
+        ),
+        F.when(F.col("p_size") % 2 == 1, F.array(F.lit("    def cost(self):"), F.lit("        return js_(self.price())"))).otherwise(F.array().cast("array<string>")),
+        F.array(F.lit(""), F.concat(F.lit("print("), fn, F.lit("("), size, F.lit("))"))),
+    ]
+    return p.select("p_partkey", F.array_join(F.flatten(F.array(*text)), NL).alias("content"))
+
+
+KEY = ["p_partkey"]
+
+
+def part_lines(spark, sf) -> DataFrame:
+    return source.lines(part_sources(spark, sf), KEY)
 
 
 def code_chunks(spark, sf):
-    c = code.facts_of(_facts(spark, sf, {"chunk"}), "chunk")
-    return c.select("p_partkey", "seq", "name", "start_line", "end_line", T.n_parts(F.col("code")).alias("n_lines"))
+    ln = part_lines(spark, sf)
+    c = source.chunks(ln, source.spans(ln, KEY), KEY)
+    return c.select("p_partkey", "seq", "name", "start_line", "end_line", T.n_parts(F.col("code")).alias("n_lines"), F.md5("code").alias("code_md5"))
 
 
 def code_spans(spark, sf):
-    s = code.facts_of(_facts(spark, sf, {"span"}), "span")
-    return s.select("p_partkey", "seq", "name", F.col("target").alias("kind"), "start_line", "end_line", "nested")
+    return source.spans(part_lines(spark, sf), KEY).select("p_partkey", "seq", "name", "kind", "start_line", "end_line", "nested")
 
 
 def called_names(spark, sf):
-    c = code.facts_of(_facts(spark, sf, {"call"}), "call")
-    return c.select("p_partkey", F.col("name").alias("caller"), F.col("target").alias("callee"))
+    ln = part_lines(spark, sf)
+    return source.calls(ln, source.spans(ln, KEY), KEY)
 
 
 def import_aliases(spark, sf):
-    i = code.facts_of(_facts(spark, sf, {"import"}), "import")
-    return i.select("p_partkey", F.col("name").alias("alias"), "target")
+    return source.imports(part_lines(spark, sf), KEY)
 
 
 def defined_names(spark, sf):
     """AGG-17: distinct defined names per file, sorted and joined."""
-    d = code.facts_of(_facts(spark, sf, {"def"}), "def")
+    d = source.defined(source.spans(part_lines(spark, sf), KEY), KEY)
     return d.groupBy("p_partkey").agg(F.array_join(F.array_sort(F.collect_set("name")), ",").alias("names"))
 
 
 def strip_comments(spark, sf):
-    s = code.facts_of(_facts(spark, sf, {"stripped"}), "stripped")
+    s = source.without_comments(part_sources(spark, sf), part_lines(spark, sf), KEY)
     return s.select("p_partkey", F.length("code").cast("bigint").alias("n_chars"), F.md5("code").alias("code_md5"))
 
 
@@ -178,16 +184,23 @@ sp AS (SELECT doc_id, 'f' || i AS name, 'function' AS kind, 0 AS r, i * {BLOCK}
        UNION ALL SELECT doc_id, 'C' || i, 'class', 1, i * {BLOCK} + 1, i * {BLOCK} + 9 FROM blk)"""
 
 _FN = "replace(p_name, ' ', '_')"
-_ROOT = f"""'import os' || chr(10) || 'from pkg.' || lower(replace(p_brand, '#', '_')) || ' import helper as h_' || {_FN}
-  || chr(10) || chr(10) || chr(10) || '@decorated' || chr(10) || '        return os.getcwd()' || chr(10) || chr(10)
-  || 'print(' || {_FN} || '(' || p_size || '))'"""
-_STRIPPED = f"""'import os' || chr(10) || 'from pkg.' || lower(replace(p_brand, '#', '_')) || ' import helper as h_' || {_FN}
-  || chr(10) || 'def ' || {_FN} || '(x):' || chr(10) || '    \"\"\"' || p_type || ' part\"\"\"' || chr(10)
-  || '    def inner():' || chr(10) || '        return h_' || {_FN} || '(x) + len(str(x))' || chr(10)
-  || '    return inner()  ' || chr(10) || '@decorated' || chr(10) || 'class Part' || p_partkey || ':' || chr(10)
-  || '    size = ' || p_size || chr(10) || '    def price(self):' || chr(10)
-  || '        return ' || {_FN} || '(self.size) * 2  ' || chr(10) || '    async def fetch(self):' || chr(10)
-  || '        return os.getcwd()' || chr(10) || 'print(' || {_FN} || '(' || p_size || '))'"""
+# the part's module as a list of (line, text), built apart from the Spark code
+_MOD = f"""
+m AS (SELECT p_partkey, p_size, p_size % 4 AS o, p_size % 2 = 1 AS odd, {_FN} AS fn, list_concat(
+  ['import os', 'from pkg.' || lower(replace(p_brand, '#', '_')) || ' import helper as h_' || {_FN}],
+  ['# note ' || i FOR i IN range(1, p_size % 4 + 1)],
+  ['', 'def ' || {_FN} || '(x):', '    \"\"\"' || p_type || ' part\"\"\"', '    def inner():', '        return h_' || {_FN} || '(x) + len(str(x))',
+   '    return inner()  # size ' || p_size, '', '@decorated', 'class Part' || p_partkey || ':', '    size = ' || p_size, '    def price(self):',
+   '        return ' || {_FN} || '(self.size) * 2  # price', '    async def fetch(self):', '        return os.getcwd()'],
+  CASE WHEN p_size % 2 = 1 THEN ['    def cost(self):', '        return js_(self.price())'] ELSE [] END,
+  ['', 'print(' || {_FN} || '(' || p_size || '))']) AS t FROM part),
+sp AS (SELECT p_partkey, fn AS name, 'function' AS kind, 4 + o AS f, 4 + o AS s, 8 + o AS e, 8 + o AS c, 0 AS depth FROM m
+       UNION ALL SELECT p_partkey, 'inner', 'function', 6 + o, 6 + o, 7 + o, 7 + o, 1 FROM m
+       UNION ALL SELECT p_partkey, 'Part' || p_partkey, 'class', 10 + o, 11 + o, CASE WHEN odd THEN 18 ELSE 16 END + o, CASE WHEN odd THEN 17 ELSE 15 END + o, 0 FROM m
+       UNION ALL SELECT p_partkey, 'price', 'function', 13 + o, 13 + o, 14 + o, 14 + o, 1 FROM m
+       UNION ALL SELECT p_partkey, 'fetch', 'async_function', 15 + o, 15 + o, 16 + o, 16 + o, 1 FROM m
+       UNION ALL SELECT p_partkey, 'cost', 'function', 17 + o, 17 + o, 18 + o, 18 + o, 1 FROM m WHERE odd),
+ml AS (SELECT p_partkey, CAST(generate_subscripts(t, 1) AS INTEGER) AS n, unnest(t) AS line FROM m)"""
 
 ORACLE = {
     "locate_passage": f"WITH {_CHANGED} SELECT doc_id, md5(line) AS line_md5, line_no, 'found' AS status FROM loc",
@@ -202,27 +215,27 @@ FROM loc LEFT JOIN hit ON hit.doc_id = loc.doc_id AND hit.line = loc.line AND hi
 r AS (SELECT * FROM ln WHERE NOT EXISTS (SELECT 1 FROM sp WHERE sp.doc_id = ln.doc_id AND ln.line_no BETWEEN sp.s AND sp.e)),
 per AS (SELECT doc_id, CAST(count(*) AS BIGINT) AS n_root_lines, string_agg(line, chr(10) ORDER BY line_no) AS root FROM r GROUP BY doc_id)
 SELECT doc_id, n_root_lines, md5(root) AS root_md5 FROM per WHERE root <> ''""",
-    "code_chunks": f"""
-SELECT p_partkey, 0 AS seq, 'root' AS name, CAST(NULL AS INTEGER) AS start_line, CAST(NULL AS INTEGER) AS end_line,
-       CAST(len(string_split({_ROOT}, chr(10))) AS BIGINT) AS n_lines FROM part
-UNION ALL SELECT p_partkey, 1, {_FN}, 4, 8, 5 FROM part
-UNION ALL SELECT p_partkey, 2, 'Part' || p_partkey, 10, 16, 7 FROM part
-UNION ALL SELECT p_partkey, 3, 'inner', 6, 7, 2 FROM part
-UNION ALL SELECT p_partkey, 4, 'price', 13, 14, 2 FROM part""",
-    "code_spans": f"""
-SELECT p_partkey, 0 AS seq, {_FN} AS name, 'function' AS kind, 4 AS start_line, 8 AS end_line, false AS nested FROM part
-UNION ALL SELECT p_partkey, 1, 'inner', 'function', 6, 7, true FROM part
-UNION ALL SELECT p_partkey, 2, 'Part' || p_partkey, 'class', 11, 16, false FROM part
-UNION ALL SELECT p_partkey, 3, 'price', 'function', 13, 14, false FROM part
-UNION ALL SELECT p_partkey, 4, 'fetch', 'async_function', 15, 16, false FROM part""",
-    "called_names": f"""
-SELECT p_partkey, {_FN} AS caller, 'h_' || {_FN} AS callee FROM part
-UNION ALL SELECT p_partkey, {_FN}, 'inner' FROM part
-UNION ALL SELECT p_partkey, 'inner', 'h_' || {_FN} FROM part
-UNION ALL SELECT p_partkey, 'price', {_FN} FROM part""",
+    "code_chunks": f"""WITH {_MOD},
+root AS (SELECT p_partkey, string_agg(line, chr(10) ORDER BY n) AS code FROM ml
+         WHERE NOT EXISTS (SELECT 1 FROM sp WHERE sp.p_partkey = ml.p_partkey AND kind <> 'async_function' AND n BETWEEN s AND c) GROUP BY p_partkey),
+ch AS (SELECT p_partkey, -1 AS depth, 'root' AS name, CAST(NULL AS INTEGER) AS start_line, CAST(NULL AS INTEGER) AS end_line, code FROM root
+       UNION ALL SELECT sp.p_partkey, depth, name, CAST(f AS INTEGER), CAST(e AS INTEGER), string_agg(line, chr(10) ORDER BY n)
+       FROM sp JOIN ml ON ml.p_partkey = sp.p_partkey AND n BETWEEN f AND e WHERE kind <> 'async_function' GROUP BY ALL)
+SELECT p_partkey, CAST(row_number() OVER (PARTITION BY p_partkey ORDER BY depth, start_line) - 1 AS INTEGER) AS seq, name, start_line, end_line,
+       CAST(len(string_split(code, chr(10))) AS BIGINT) AS n_lines, md5(code) AS code_md5 FROM ch""",
+    "code_spans": f"""WITH {_MOD}
+SELECT p_partkey, CAST(row_number() OVER (PARTITION BY p_partkey ORDER BY s) - 1 AS INTEGER) AS seq, name, kind,
+       CAST(s AS INTEGER) AS start_line, CAST(e AS INTEGER) AS end_line, name = 'inner' AS nested FROM sp""",
+    "called_names": f"""WITH {_MOD},
+c AS (SELECT p_partkey, n, unnest(regexp_extract_all(regexp_replace(line, '^ *(async def|def|class) [A-Za-z0-9_]+|\"[^\"]*\"|#.*$', '', 'g'), '([A-Za-z_][A-Za-z0-9_]*)\\(', 1)) AS callee FROM ml)
+SELECT DISTINCT sp.p_partkey, sp.name AS caller, callee FROM sp JOIN c ON c.p_partkey = sp.p_partkey AND n BETWEEN s AND e
+WHERE kind = 'function' AND callee NOT IN ('len', 'str', 'print')""",
     "import_aliases": f"""
 SELECT p_partkey, 'os' AS alias, 'os' AS target FROM part
 UNION ALL SELECT p_partkey, 'h_' || {_FN}, 'pkg.' || lower(replace(p_brand, '#', '_')) || '.helper' FROM part""",
-    "defined_names": f"SELECT p_partkey, array_to_string(list_sort([{_FN}, 'price']), ',') AS names FROM part",
-    "strip_comments": f"SELECT p_partkey, CAST(length({_STRIPPED}) AS BIGINT) AS n_chars, md5({_STRIPPED}) AS code_md5 FROM part",
+    "defined_names": f"""WITH {_MOD}
+SELECT p_partkey, string_agg(DISTINCT name, ',' ORDER BY name) AS names FROM sp WHERE kind = 'function' AND name <> 'inner' GROUP BY p_partkey""",
+    "strip_comments": f"""WITH {_MOD},
+k AS (SELECT p_partkey, regexp_replace(string_agg(regexp_replace(line, '#.*$', ''), chr(10) ORDER BY n), '\\n+', chr(10), 'g') AS code FROM ml GROUP BY p_partkey)
+SELECT p_partkey, CAST(length(code) AS BIGINT) AS n_chars, md5(code) AS code_md5 FROM k""",
 }

@@ -2,7 +2,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from faultline.operators import code, context, segment, spans
+from faultline.operators import context, segment, source, spans
 
 # Source S of the golden cases
 S = """import os
@@ -19,20 +19,75 @@ class K:
 """
 
 
-def test_chunks_breadth_first():
-    rows = [r for r in code.analyse_source(S) if r[0] == "chunk"]
-    assert [r[2] for r in rows] == ["root", "outer", "K", "inner", "m"]
+def _files(spark, *texts):
+    return spark.createDataFrame(list(enumerate(texts)), "f int, content string")
 
 
-def test_imports_golden():
-    rows = code.analyse_source("from a.b import c as d\nimport x as y\nfrom . import z\n")
-    got = {r[2]: r[3] for r in rows if r[0] == "import"}
-    assert got == {"d": "a.b.c", "y": "x", "z": "None.z"}
+def test_chunks_outer_ones_first(spark):
+    ln = source.lines(_files(spark, S), ["f"])
+    rows = sorted(source.chunks(ln, source.spans(ln, ["f"]), ["f"]).collect(), key=lambda r: r.seq)
+    assert [r.name for r in rows] == ["root", "outer", "K", "inner", "m"]
+    assert rows[3].code == "    def inner():\n        return 1"
 
 
-def test_bad_file_gives_error_row():
-    rows = code.analyse_source("def broken(:\n")
-    assert rows[0][0] == "error" and rows[0][8].startswith("SyntaxError")
+def test_spans_with_decorators_strings_brackets_and_gaps(spark):
+    text = """@d(
+    1)
+@e
+class A:
+    \"\"\"doc
+
+def not_here(): no
+    \"\"\"
+
+    def f(self, a=(
+1, 2)):
+        x = [
+1]
+
+        # a comment
+        if x:
+            return 1
+    # gap
+
+    async  def g(self): return 2
+y = 1
+"""
+    ln = source.lines(_files(spark, text), ["f"])
+    got = {r.name: (r.kind, r.first_line, r.start_line, r.end_line, r.cover_end, r.nested) for r in source.spans(ln, ["f"]).collect()}
+    assert got == {
+        "A": ("class", 1, 4, 20, 20, False),
+        "f": ("function", 10, 10, 17, 16, False),
+        "g": ("async_function", 20, 20, 20, 20, False),
+    }
+
+
+def test_imports_golden(spark):
+    text = "from a.b import c as d\nimport x as y, u.v\nfrom . import z\nfrom m import (\n  p,\n  q as r,\n)\ndef f():\n    import no\nimport w as y\n"
+    got = {r.alias: r.target for r in source.imports(source.lines(_files(spark, text), ["f"]), ["f"]).collect()}
+    assert got == {"d": "a.b.c", "y": "w", "u.v": "u.v", "z": "None.z", "p": "m.p", "r": "m.q"}
+
+
+def test_calls_leave_out_own_decorators_strings_and_builtins(spark):
+    text = '@deco(reg("x"))\ndef f():\n    # no(1)\n    s = "text(2)"\n    return a.b(len(s)) + g (1)\n'
+    ln = source.lines(_files(spark, text), ["f"])
+    assert {(r.caller, r.callee) for r in source.calls(ln, source.spans(ln, ["f"]), ["f"]).collect()} == {("f", "b"), ("f", "g")}
+
+
+def test_definition_after_a_form_feed_and_wide_characters(spark):
+    text = 'def g():\n    \f\n    return "ééé"  # note\ndef h():\n    pass\n'
+    ln = source.lines(_files(spark, text), ["f"])
+    rows = {r.name: r.code for r in source.chunks(ln, source.spans(ln, ["f"]), ["f"]).collect()}
+    assert rows["h"] == "def h():\n    pass" and rows["g"].endswith('return "ééé"  # note')
+
+
+def test_broken_null_and_empty_files_fail_nothing(spark):
+    files = _files(spark, "def broken(:\n", None, "")
+    ln = source.lines(files, ["f"])
+    found = source.spans(ln, ["f"])
+    assert [r.name for r in found.collect()] == ["broken"]
+    assert {r.f for r in source.without_comments(files, ln, ["f"]).collect()} == {0, 1, 2}
+    assert source.calls(ln, found, ["f"]).count() == 0
 
 
 def test_locate_and_enclosing_golden(spark):
@@ -43,8 +98,7 @@ def test_locate_and_enclosing_golden(spark):
     got = {r.i: (r.line_no, r.status) for r in loc.collect()}
     assert got == {0: (5, "found"), 1: (9, "found"), 2: (1, "found"), 3: (1, "found"), 4: (11, "found"),
                    5: (None, "not_found")}
-    facts = code.code_facts(src, ["f"])
-    sp = code.facts_of(facts, "span").select("f", "name", F.col("target").alias("kind"), "start_line", "end_line")
+    sp = source.spans(source.lines(src, ["f"]), ["f"]).select("f", "name", "kind", "start_line", "end_line")
     enc = spans.enclosing(loc.where(F.col("line_no").isNotNull()).select("f", "i", "line_no"), sp, ["f"])
     names = {r.i: r.enclosing for r in enc.collect()}
     assert names == {0: "outer", 1: "K", 2: None, 3: None, 4: "m"}

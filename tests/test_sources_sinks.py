@@ -4,7 +4,7 @@ import tempfile
 
 from pyspark.sql import functions as F
 
-from faultline.operators import code, report
+from faultline.operators import report, source
 from faultline.sources import files as S
 
 
@@ -32,8 +32,8 @@ def test_read_tree_and_filters(spark):
     assert paths == ["pkg/a.py"]
     listed = spark.createDataFrame([("pkg/.hidden/h.py",), ("pkg/a.py",)], "p string")
     assert [r.p for r in listed.where(S.is_visible(F.col("p"))).collect()] == ["pkg/a.py"]
-    facts = code.code_facts(rel.withColumnRenamed("p", "path"), ["path"])
-    calls = {(r.path, r.name, r.target) for r in code.facts_of(facts, "call").collect()}
+    ln = source.lines(rel.withColumnRenamed("p", "path"), ["path"])
+    calls = {(r.path, r.caller, r.callee) for r in source.calls(ln, source.spans(ln, ["path"]), ["path"]).collect()}
     assert calls == {("pkg/a.py", "a", "b")}
 
 
@@ -60,13 +60,14 @@ def test_json_sink_partitioned(spark):
     assert got == {("p1", "1"): ["a.py", "b.py"], ("p2", "7"): ["c.py"]}
 
 
-def test_mask_comments_and_docstrings():
-    src = 'def f():\n    """doc"""\n    return 1  # note\n'
-    out = code.mask_comments_and_docstrings(src)
-    assert "#--" in out and "doc" not in out and "##\n" in out and "note" not in out
+def test_mask_comments_and_docstrings(spark):
+    files = spark.createDataFrame([(1, 'def f():\n    """doc"""\n    return 1  # note\n'), (2, 'def f():\n    """doc\n    more\n    """\n    x = "kept"\n')], "f int, content string")
+    out = {r.f: r.code for r in source.masked(source.lines(files, ["f"]), ["f"]).collect()}
+    assert out[1] == "def f():\n    #--\n    return 1  ##\n\n"
+    assert out[2] == 'def f():\n    #--\n    x = "kept"\n'
 
 
-def test_strip_comments_keeps_short():
-    src = "x = 1  # a long comment\ny = 2  #\n\n\nz = 3\n"
-    out = code.strip_comments(src)
+def test_strip_comments_keeps_short(spark):
+    files = spark.createDataFrame([(1, "x = 1  # a long comment\ny = 2  #\n\n\nz = 3\n")], "f int, content string")
+    out = source.without_comments(files, source.lines(files, ["f"]), ["f"]).first().code
     assert "a long comment" not in out and "#" in out and "\n\n" not in out

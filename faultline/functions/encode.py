@@ -1,20 +1,20 @@
-"""Text → vector encoders and vector helpers as Column expressions.
-
-``hash_encode`` is a deterministic stand-in with the encoder contract
-(text in, fixed-width ``array<double>`` out): lower-cased word tokens, each
-hashed to one of ``dim`` buckets, mean-pooled over the tokens (masked mean
-of one-hot token vectors = normalised bucket frequency).  It is pure Spark
-SQL: no Python worker, no shuffle.  A learned model plugs in through
-:func:`faultline.operators.embed.model_encoder` (``predict_batch_udf``).
+"""Text → vector encoders and vector helpers.
+
+The hashing encoder is a deterministic stand-in with the encoder contract (text
+in, ``array<double>`` of fixed width out): lower-cased word tokens, each hashed
+to one of ``dim`` buckets, averaged over the tokens (the masked mean of one-hot
+token vectors = the share of each bucket).  :func:`hash_counts` is its sparse
+form, a partial aggregation over exploded buckets without any Python worker;
+:func:`hash_vectors` makes dense vectors of it.  A learned model plugs in through
+:func:`faultline.operators.embed.model_encoder`.
 """
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
-from pyspark.sql import Column
+from collections.abc import Sequence
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, DoubleType
 
 # Fixed values of the hashing encoder.
 TOKEN_SPLIT_RE = r"[^\p{L}\p{N}_]+"
@@ -50,40 +50,27 @@ def masked_mean(vectors: Column, mask: Column, dim: int) -> Column:
     return F.transform(summed, lambda s: s / denom)
 
 
-_BINCOUNT_UDFS: dict[int, object] = {}
-
-
-def _bincount_udf(dim: int):
-    """Arrow-batched histogram: bucket ids → frequencies (count / n)."""
-    if dim not in _BINCOUNT_UDFS:
-        @F.pandas_udf(ArrayType(DoubleType()))
-        def bincount(b: pd.Series) -> pd.Series:
-            out = []
-            for arr in b:
-                a = np.asarray(arr if arr is not None else [], dtype=np.int64)
-                c = np.bincount(a, minlength=dim).astype(np.float64)
-                out.append(c / max(float(len(a)), 1e-9))
-            return pd.Series(out)
+def hash_counts(df: DataFrame, key: Sequence[str], text: str, dim: int = DEFAULT_DIM, max_tokens: int | None = None) -> DataFrame:
+    """UDTF-13 stand-in, sparse: ``key + [dim, value]`` with the share of each
+    bucket that occurs.  ``key`` names one text; a text without tokens has no row."""
+    key = list(key)
+    t = df.select(*key, tokens(F.col(text), max_tokens).alias("_t"))
+    x = t.select(*key, F.size("_t").alias("_n"), F.explode("_t").alias("_w"))
+    per = x.groupBy(*key, token_bucket(F.col("_w"), dim).alias("dim")).agg(F.count(F.lit(1)).alias("_c"), F.first("_n").alias("_n"))
+    return per.select(*key, F.col("dim").cast("int").alias("dim"), (F.col("_c") / F.col("_n")).alias("value"))
 
-        _BINCOUNT_UDFS[dim] = bincount
-    return _BINCOUNT_UDFS[dim]
 
-
-def hash_encode(text: Column, dim: int = DEFAULT_DIM, max_tokens: int | None = None) -> Column:
-    """UDTF-13 stand-in: dense ``array<double>`` of bucket frequencies.
-
-    Tokenising and hashing stay JVM-side; only the per-row histogram (the
-    masked mean of one-hot rows with an all-ones mask) runs in numpy over
-    Arrow batches, which is O(tokens) instead of O(tokens * dim) in a
-    higher-order function.  An empty text gives the zero vector.
-    """
-    b = F.transform(tokens(text, max_tokens), lambda t: token_bucket(t, dim))
-    return _bincount_udf(dim)(b)
+def hash_vectors(df: DataFrame, key: Sequence[str], text: str, dim: int = DEFAULT_DIM, out: str = "embedding") -> DataFrame:
+    """UDTF-13 stand-in, dense: ``key + [out]`` for each row of ``df``; a text without tokens, or null, is the zero vector."""
+    key = list(key)
+    entries = hash_counts(df, key, text, dim).groupBy(*key).agg(F.map_from_entries(F.collect_list(F.struct("dim", "value"))).alias("_m"))
+    full = F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda i: F.coalesce(F.try_element_at("_m", i), F.lit(0.0)))
+    left = df.select(*key).join(entries, key, "left")
+    return left.select(*key, F.when(F.col("_m").isNull(), F.array_repeat(F.lit(0.0), dim)).otherwise(full).alias(out))
 
 
 def hash_encode_sql(text: Column, dim: int = DEFAULT_DIM, max_tokens: int | None = None) -> Column:
-    """Same vector with higher-order functions only (no Python worker); for
-    short texts or where Python workers are unavailable."""
+    """The vector as one expression, in time tokens x dim: for short texts."""
     b = F.transform(tokens(text, max_tokens), lambda t: token_bucket(t, dim))
     counts = F.aggregate(
         b,

@@ -1,35 +1,62 @@
 """Corpus encoding: embed each distinct text once and fan vectors back out.
 
-Plan: ``texts → distinct by (sha256, text)`` (partial dedup map-side, so a
-text copied into a third of all rows costs one row per task before the
-shuffle) ``→ encoder → join back on (sha256, text)``.  The join back is an
-equi join on the hash; a hot hash is split by AQE's skew-join handling
-because only the large side repeats the key.
+Plan: first text of each sha256 (combined before the shuffle, so a text that
+fills a third of all rows costs one row a task) → encoder → left join back on the
+hash alone.  The texts themselves travel once, to the de-duplication.  The
+encoder is a function of DataFrames that ends in an aggregate or a
+``mapInPandas``: a filter on its vectors cannot slip below the de-duplication and
+run it on every row.  On the way back the hash of a frequent text is a hot key of
+the large side, which adaptive execution splits, as nothing but the vector is
+joined to it.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import Column, DataFrame
+import pandas as pd
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from faultline.functions.encode import DEFAULT_DIM, hash_encode
+from faultline.functions.encode import DEFAULT_DIM, hash_vectors
 
+Encoder = Callable[[DataFrame], DataFrame]
 
-def embed_once(
-    rows: DataFrame,
-    text: str,
-    encoder: Callable[[Column], Column] | None = None,
-    out: str = "embedding",
-) -> DataFrame:
-    """JON-04: every row of ``rows`` gets ``out`` computed once per distinct text."""
-    enc = encoder or (lambda c: hash_encode(c, DEFAULT_DIM))
+
+def hash_encoder(dim: int = DEFAULT_DIM) -> Encoder:
+    """(_h, _t) → (_h, _v) by the hashing encoder."""
+    return lambda texts: hash_vectors(texts, ["_h"], "_t", dim, "_v")
+
+
+def model_encoder(make_predict_fn: Callable[[], Callable], batch_size: int = 128) -> Encoder:
+    """UDTF-13 with a learned model: ``make_predict_fn()``, called once a task, returns
+    a function from a list of texts to a list of vectors; it gets ``batch_size`` texts at a time."""
+
+    def encode(texts: DataFrame) -> DataFrame:
+        schema = T.StructType([texts.schema["_h"], T.StructField("_v", T.ArrayType(T.DoubleType()))])
+
+        def run(batches):
+            predict = make_predict_fn()
+            for pdf in batches:
+                for i in range(0, len(pdf), batch_size):
+                    part = pdf.iloc[i:i + batch_size]
+                    vectors = [[float(x) for x in v] for v in predict(part["_t"].tolist())]
+                    yield pd.DataFrame({"_h": part["_h"].to_numpy(), "_v": vectors})
+
+        return texts.mapInPandas(run, schema)
+
+    return encode
+
+
+def embed_once(rows: DataFrame, text: str, encoder: Encoder | None = None, out: str = "embedding") -> DataFrame:
+    """JON-04: the columns of ``rows`` without ``text``, with ``out`` computed once
+    for each distinct text; a null text keeps its row and has no vector."""
     keyed = rows.withColumn("_h", F.sha2(F.col(text), 256))
-    distinct = keyed.select("_h", F.col(text).alias("_t")).dropDuplicates(["_h", "_t"])
-    vecs = distinct.select("_h", "_t", enc(F.col("_t")).alias(out))
-    j = keyed.join(vecs, (keyed["_h"] == vecs["_h"]) & (keyed[text] == vecs["_t"]), "inner")
-    return j.select(*[keyed[c] for c in rows.columns], vecs[out])
+    distinct = keyed.where(F.col("_h").isNotNull()).groupBy("_h").agg(F.first(text).alias("_t"))
+    vecs = (encoder or hash_encoder())(distinct).select("_h", F.col("_v").alias(out))
+    kept = [c for c in rows.columns if c not in (text, out)]
+    return keyed.select(*kept, "_h").join(vecs, "_h", "left").select(*kept, out)
 
 
 def text_usage(rows: DataFrame, text: str, id_col: str, by: Sequence[str] = ()) -> DataFrame:
@@ -58,15 +85,3 @@ def sparse(dense: DataFrame, key: Sequence[str], vec: str = "embedding") -> Data
     """Non-zero entries of a dense vector as ``key + [dim, value]`` rows."""
     x = dense.select(*key, F.posexplode(F.col(vec)).alias("dim", "value"))
     return x.where(F.col("value") != 0).withColumn("dim", F.col("dim").cast("int"))
-
-
-def model_encoder(make_predict_fn, dim: int, batch_size: int = 128):
-    """UDTF-13 with a learned model: ``make_predict_fn()`` returns a function
-    from a numpy array of texts to a ``[n, dim]`` float array; Spark feeds it
-    Arrow batches of ``batch_size`` inside executors."""
-    from pyspark.ml.functions import predict_batch_udf
-    from pyspark.sql.types import ArrayType, FloatType
-
-    udf = predict_batch_udf(make_predict_fn, return_type=ArrayType(FloatType()), batch_size=batch_size,
-                            input_tensor_shapes=None)
-    return lambda c: udf(c)

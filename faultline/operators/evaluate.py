@@ -42,11 +42,12 @@ def relevance(
 
 
 def average_precision(
-    ranked: DataFrame, query: Sequence[str], rank: str = "rank", rel: str = "rel"
+    ranked: DataFrame, query: Sequence[str], rank: str = "rank", rel: str = "rel", queries: DataFrame | None = None
 ) -> DataFrame:
     """AGG-01/02 per query: AP (divided by hits in the list, never 0) and RR.
 
-    Output: ``query + [ap, rr, n_hits, first_hit]``.
+    Output: ``query + [ap, rr, n_hits, first_hit]``.  With ``queries`` (one row
+    each) a query without any candidate is there as well, as a failure.
     """
     w = (
         Window.partitionBy(*query)
@@ -54,7 +55,7 @@ def average_precision(
         .rowsBetween(Window.unboundedPreceding, Window.currentRow)
     )
     hits = ranked.withColumn("_hits", F.sum(F.col(rel)).over(w))
-    return hits.groupBy(*query).agg(
+    per = hits.groupBy(*query).agg(
         _r6(
             F.sum(F.when(F.col(rel) == 1, F.col("_hits") / F.col(rank)).otherwise(F.lit(0.0)))
             / F.greatest(F.sum(F.col(rel)), F.lit(1))
@@ -63,6 +64,10 @@ def average_precision(
         F.sum(F.col(rel)).cast("bigint").alias("n_hits"),
         F.min(F.when(F.col(rel) == 1, F.col(rank))).cast("bigint").alias("first_hit"),
     )
+    if queries is None:
+        return per
+    none = {"ap": F.lit(0.0), "rr": F.lit(0.0), "n_hits": F.lit(0).cast("bigint")}
+    return queries.select(*query).join(per, list(query), "left").withColumns({c: F.coalesce(F.col(c), v) for c, v in none.items()})
 
 
 def map_mrr(per_query: DataFrame, by: Sequence[str] = ()) -> DataFrame:

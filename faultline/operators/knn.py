@@ -2,34 +2,39 @@
 
 Plan (no index object, no broadcast of a side that grows with the data):
 
-1. Count query and corpus rows per key (a tiny aggregate).
+1. Count query and corpus rows per key, on ids only, so counting never runs an
+   encoder.
 2. Give every key ``ceil(n / block_rows)`` blocks on each side; a row's block is
-   ``pmod(xxhash64(id), n_blocks)``, so a hot key (even one holding a third of
-   all rows) is split into many bounded blocks instead of one giant group.
+   ``pmod(xxhash64(id), n_blocks)``.  The counts reach the rows by a join on key
+   and a salt taken from the id, so a hot key is spread from the start; without
+   keys they are one row, a scalar subquery, and there is no join.
 3. Replicate each query row to every corpus block of its key and vice versa
    (``explode(sequence(...))``) and cogroup on ``(key, qblk, cblk)``: every
    group holds at most ~``block_rows`` rows per side.
 4. Inside a group numpy computes the exact distances in float64 and keeps a
-   local top-K per query (all ties at the K-th value kept), so the shuffle
-   carries ``blocks x K`` rows per query, never the full pair set.
+   local top-K per query (all ties at the K-th value kept) with the payload
+   columns asked for, so the shuffle carries ``blocks x K`` rows per query, never
+   the full pair set, and the corpus isn't joined again.
 5. A final ``row_number`` over ``(key, query)`` keeps K rows; Catalyst plans it
    with a ``WindowGroupLimit`` before the exchange.
 
+Exact search compares every query with the whole corpus of its key, so its work
+is the product of both; give it the key that bounds a search (a snapshot).
+
 Distances are summed dimension by dimension in order (same arithmetic as a
 plain SQL sum), rounded to 6 decimals, and ranked by (distance, corpus id).
 """
 
 from __future__ import annotations
 
-import math
-
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 DEFAULT_BLOCK_ROWS = 8192
+SALTS = 16  # ways in which a key's rows are spread to learn its block counts
 _CHUNK_ELEMS = 4_000_000  # float64 cells per distance tile (32 MB)
 
 
@@ -59,17 +64,13 @@ def _distance_tile(q: np.ndarray, c: np.ndarray, metric: str) -> np.ndarray:
 
 
 def _local_topk(qids, qvec, cids, cvec, k, metric, exclude_self):
-    """Per query, the best K corpus rows of this block (ties at the cut kept)."""
+    """Per query, the best K corpus rows of this block (ties at the cut kept), as positions and values."""
     out_q, out_c, out_d = [], [], []
     n = len(cids)
-    if n == 0 or len(qids) == 0:
-        return np.array([], dtype=np.int64), np.array([], dtype=np.int64), np.array([], dtype=np.float64)
     tile = max(1, _CHUNK_ELEMS // max(1, n * max(1, qvec.shape[1] // 8)))
     tile = min(tile, 4096)
     for s in range(0, len(qids), tile):
-        qb = qvec[s : s + tile]
-        raw = _distance_tile(qb, cvec, metric)
-        val = np.round(raw, 6)
+        val = np.round(_distance_tile(qvec[s : s + tile], cvec, metric), 6)
         # sort key: ascending distance, or descending similarity
         key = val if metric == "l2" else -val
         key = np.where(np.isnan(key), np.inf, key)
@@ -82,8 +83,8 @@ def _local_topk(qids, qvec, cids, cvec, k, metric, exclude_self):
             mask = np.ones_like(key, dtype=bool)
         mask &= np.isfinite(key)
         rows, cols = np.nonzero(mask)
-        out_q.append(qids[s + rows])
-        out_c.append(cids[cols])
+        out_q.append(s + rows)
+        out_c.append(cols)
         out_d.append(val[rows, cols])
     return np.concatenate(out_q), np.concatenate(out_c), np.concatenate(out_d)
 
@@ -118,102 +119,49 @@ def knn_join(
     keys = list(keys)
     score_col = out_score or ("distance" if metric == "l2" else "score")
     # fresh aliases on both sides: a self-join (queries is corpus) stays unambiguous
-    q = queries.where(F.col(query_vec).isNotNull()).select(
-        *[F.col(kc).alias(kc) for kc in keys],
-        F.col(query_id).alias("_qid"),
-        F.col(query_vec).alias("_qv"),
-        *[F.col(p).alias(p) for p in query_payload],
-    )
-    c = corpus.where(F.col(corpus_vec).isNotNull()).select(
-        *[F.col(kc).alias(kc) for kc in keys],
-        F.col(corpus_id).alias("_cid"),
-        F.col(corpus_vec).alias("_cv"),
-        *[F.col(p).alias(p) for p in corpus_payload],
-    )
-    if not keys:
-        q = q.withColumn("_k", F.lit(0))
-        c = c.withColumn("_k", F.lit(0))
-        gkeys = ["_k"]
+    qpay, cpay = [f"_q_{p}" for p in query_payload], [f"_c_{p}" for p in corpus_payload]
+    q = queries.select(*[F.col(c).alias(c) for c in keys], F.col(query_id).alias("_qid"), F.col(query_vec).alias("_qv"), *[F.col(p).alias(n) for p, n in zip(query_payload, qpay)])
+    c = corpus.select(*[F.col(k).alias(k) for k in keys], F.col(corpus_id).alias("_cid"), F.col(corpus_vec).alias("_cv"), *[F.col(p).alias(n) for p, n in zip(corpus_payload, cpay)])
+
+    def blocks_of(n: Column) -> Column:
+        return F.greatest(F.ceil(n / F.lit(block_rows)), F.lit(1)).cast("int")
+
+    # 1-2. block counts (from ids alone), attached without a hot key or a broadcast
+    count = F.count(F.lit(1))
+    if keys:
+        nq = queries.groupBy(*keys).agg(blocks_of(count).alias("_nbq"))
+        nc = corpus.groupBy(*keys).agg(blocks_of(count).alias("_nbc"))
+        blocks = nq.join(nc, keys).withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        salted = lambda df, i: df.withColumn("_salt", F.pmod(F.xxhash64(i), F.lit(SALTS)).cast("int")).join(blocks, [*keys, "_salt"]).drop("_salt")
+        q, c = salted(q, "_qid"), salted(c, "_cid")
     else:
-        gkeys = keys
-
-    # 1-2. block counts per key (one small aggregate per side)
-    nq = q.groupBy(*gkeys).agg(F.count(F.lit(1)).alias("_nq"))
-    nc = c.groupBy(*gkeys).agg(F.count(F.lit(1)).alias("_nc"))
-    blocks = nq.join(nc, gkeys, "inner").select(
-        *gkeys,
-        F.ceil(F.col("_nq") / F.lit(block_rows)).cast("int").alias("_nbq"),
-        F.ceil(F.col("_nc") / F.lit(block_rows)).cast("int").alias("_nbc"),
-    )
+        one = lambda df: df.select(blocks_of(count)).scalar()
+        q = q.withColumns({"_nbq": one(queries), "_nbc": one(corpus)})
+        c = c.withColumns({"_nbq": one(queries), "_nbc": one(corpus)})
     # 3. replicate across the other side's blocks
-    qb = (
-        q.join(blocks, gkeys, "inner")
-        .withColumn("_qblk", F.pmod(F.xxhash64("_qid"), F.col("_nbq")).cast("int"))
-        .withColumn("_cblk", F.explode(F.sequence(F.lit(0), F.col("_nbc") - 1)))
-        .drop("_nbq", "_nbc")
-    )
-    cb = (
-        c.join(blocks, gkeys, "inner")
-        .withColumn("_cblk", F.pmod(F.xxhash64("_cid"), F.col("_nbc")).cast("int"))
-        .withColumn("_qblk", F.explode(F.sequence(F.lit(0), F.col("_nbq") - 1)))
-        .drop("_nbq", "_nbc")
-    )
+    qb = q.where(F.col("_qv").isNotNull()).withColumn("_qblk", F.pmod(F.xxhash64("_qid"), F.col("_nbq")).cast("int")).withColumn("_cblk", F.explode(F.sequence(F.lit(0), F.col("_nbc") - 1)))
+    cb = c.where(F.col("_cv").isNotNull()).withColumn("_cblk", F.pmod(F.xxhash64("_cid"), F.col("_nbc")).cast("int")).withColumn("_qblk", F.explode(F.sequence(F.lit(0), F.col("_nbq") - 1)))
+    grp = [*keys, "_qblk", "_cblk"]
+    qb, cb = qb.select(*grp, "_qid", "_qv", *qpay), cb.select(*grp, "_cid", "_cv", *cpay)
 
-    qid_type = queries.schema[query_id].dataType
-    cid_type = corpus.schema[corpus_id].dataType
-    key_fields = [qb.schema[kc] for kc in gkeys]
-    local_schema = T.StructType(
-        key_fields
-        + [
-            T.StructField("_qid", qid_type, True),
-            T.StructField("_cid", cid_type, True),
-            T.StructField("_score", T.DoubleType(), True),
-        ]
-    )
-    metric_ = metric
+    fields = [qb.schema[x] for x in [*keys, "_qid", *qpay]] + [cb.schema[x] for x in ["_cid", *cpay]]
+    local_schema = T.StructType([T.StructField(f.name, f.dataType, True) for f in fields] + [T.StructField("_score", T.DoubleType(), True)])
 
     def local(qpdf: pd.DataFrame, cpdf: pd.DataFrame) -> pd.DataFrame:
         if len(qpdf) == 0 or len(cpdf) == 0:
             return pd.DataFrame({f.name: pd.Series(dtype="object") for f in local_schema.fields})
-        qids = qpdf["_qid"].to_numpy()
-        cids = cpdf["_cid"].to_numpy()
         qv = np.stack([np.asarray(v, dtype=np.float64) for v in qpdf["_qv"].to_numpy()])
         cv = np.stack([np.asarray(v, dtype=np.float64) for v in cpdf["_cv"].to_numpy()])
-        oq, oc, od = _local_topk(qids, qv, cids, cv, k, metric_, exclude_self)
-        res = {}
-        for kc in gkeys:
-            res[kc] = np.repeat(qpdf[kc].iloc[0], len(oq))
-        res["_qid"] = oq
-        res["_cid"] = oc
-        res["_score"] = od
-        return pd.DataFrame(res)
-
-    grp = gkeys + ["_qblk", "_cblk"]
-    partial = (
-        qb.select(*grp, "_qid", "_qv")
-        .groupBy(*grp)
-        .cogroup(cb.select(*grp, "_cid", "_cv").groupBy(*grp))
-        .applyInPandas(local, local_schema)
-    )
+        at_q, at_c, score = _local_topk(qpdf["_qid"].to_numpy(), qv, cpdf["_cid"].to_numpy(), cv, k, metric, exclude_self)
+        res = {x: qpdf[x].to_numpy()[at_q] for x in [*keys, "_qid", *qpay]}
+        res |= {x: cpdf[x].to_numpy()[at_c] for x in ["_cid", *cpay]}
+        return pd.DataFrame(res | {"_score": score})
+
+    partial = qb.groupBy(*grp).cogroup(cb.groupBy(*grp)).applyInPandas(local, local_schema)
     order = F.col("_score").asc() if metric == "l2" else F.col("_score").desc()
-    w = Window.partitionBy(*gkeys, "_qid").orderBy(order, F.col("_cid").asc())
+    w = Window.partitionBy(*keys, "_qid").orderBy(order, F.col("_cid").asc())
     ranked = partial.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
-
-    out = ranked
-    if corpus_payload:
-        out = out.join(c.select(*gkeys, "_cid", *corpus_payload), gkeys + ["_cid"], "left")
-    if query_payload:
-        out = out.join(q.select(*gkeys, "_qid", *query_payload), gkeys + ["_qid"], "left")
-    cols = (
-        keys
-        + [F.col("_qid").alias(query_id)]
-        + list(query_payload)
-        + ["rank", F.col("_cid").alias(out_id)]
-        + list(corpus_payload)
-        + [F.col("_score").alias(score_col)]
+    return ranked.select(
+        *keys, F.col("_qid").alias(query_id), *[F.col(n).alias(p) for p, n in zip(query_payload, qpay)],
+        "rank", F.col("_cid").alias(out_id), *[F.col(n).alias(p) for p, n in zip(corpus_payload, cpay)], F.col("_score").alias(score_col),
     )
-    return out.select(*cols)
-
-
-def block_count(n_rows: int, block_rows: int = DEFAULT_BLOCK_ROWS) -> int:
-    return max(1, math.ceil(n_rows / block_rows))

@@ -14,7 +14,6 @@ from faultline.functions import encode as E
 from faultline.functions import text as T
 from faultline.operators import embed, segment
 from faultline.operators.knn import knn_join
-from faultline.partitioning import spread
 from faultline.sources import files as S
 from faultline.sources.tables import read_table
 
@@ -37,9 +36,7 @@ def _r6(c):
 
 def hash_encode(spark: SparkSession, sf: str) -> DataFrame:
     """UDTF-13/AGG-18: every document encoded directly (no de-duplication)."""
-    d = spread(_docs(spark, sf, "doc_id", "text"), ["doc_id"])
-    d = d.select("doc_id", E.hash_encode(F.col("text"), DIM).alias("embedding"))
-    s = embed.sparse(d, ["doc_id"])
+    s = E.hash_counts(_docs(spark, sf, "doc_id", "text"), ["doc_id"], "text", DIM)
     return s.select("doc_id", "dim", _r6("value").alias("value"))
 
 
@@ -73,9 +70,7 @@ def masked_mean_pool(spark, sf):
 
 def retrieve_passages(spark, sf):
     """Encode benchmark passages and documents; K nearest documents by cosine."""
-    q = read_table(spark, sf, "benchmark", "item_id", "text").select(
-        "item_id", E.hash_encode(F.col("text"), DIM).alias("embedding")
-    )
+    q = E.hash_vectors(read_table(spark, sf, "benchmark", "item_id", "text"), ["item_id"], "text", DIM)
     c = embed.embed_once(_docs(spark, sf, "doc_id", "text"), "text").select("doc_id", "embedding")
     return knn_join(q, c, k=PASSAGE_K, query_id="item_id", corpus_id="doc_id", metric="cosine", out_id="doc_id")
 

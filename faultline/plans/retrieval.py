@@ -1,8 +1,9 @@
 """Retrieval and evaluation flows bound to the ``embeddings`` table.
 
-A vector row stands for a chunk; its ``label`` is both the blocking key (the
-per-bug snapshot in the original workload) and the relevance signal (the
-changed file).  Every vector is a query against all others: no subsets.
+A vector row stands for a chunk and its ``label`` for the relevance signal (the
+changed file).  The snapshot in which a failure is searched is the ``source`` of
+the document with the vector's id, so evaluation compares vectors inside a
+source; every vector is a query there.
 """
 
 from __future__ import annotations
@@ -21,6 +22,11 @@ def _emb(spark: SparkSession, sf: str) -> DataFrame:
     return read_table(spark, sf, "embeddings", "vec_id", "embedding", "label")
 
 
+def _snapshots(spark: SparkSession, sf: str) -> DataFrame:
+    d = read_table(spark, sf, "documents", "doc_id", "source")
+    return _emb(spark, sf).join(d, F.col("vec_id") == F.col("doc_id"), "left").drop("doc_id")
+
+
 def knn_l2_within_key(spark: SparkSession, sf: str) -> DataFrame:
     """JON-01/WIN-01/SCA-10: K nearest by squared L2 inside each label, self excluded."""
     e = _emb(spark, sf)
@@ -39,18 +45,19 @@ def knn_cosine_top2(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def ranked_with_relevance(spark: SparkSession, sf: str) -> DataFrame:
-    """Global top-K with JON-13 relevance: a neighbour is relevant when its
-    label equals the query's (the truth set)."""
+    """Top-K inside the snapshot with JON-13 relevance: a neighbour is relevant
+    when its label equals the query's (the truth set)."""
     e = _emb(spark, sf)
+    s = _snapshots(spark, sf)
     ranked = knn_join(
-        e, e, k=K, query_id="vec_id", corpus_id="vec_id", exclude_self=True, corpus_payload=["label"]
+        s, s, k=K, query_id="vec_id", corpus_id="vec_id", keys=["source"], exclude_self=True, corpus_payload=["label"]
     ).withColumnRenamed("label", "n_label")
     truth = e.select("vec_id", "label")
     return ev.relevance(ranked, truth, on=["vec_id"], item="n_label", truth_item="label")
 
 
 def per_query(spark: SparkSession, sf: str) -> DataFrame:
-    return ev.average_precision(ranked_with_relevance(spark, sf), ["vec_id"])
+    return ev.average_precision(ranked_with_relevance(spark, sf), ["vec_id"], queries=_emb(spark, sf).select("vec_id"))
 
 
 def rank_ap_rr(spark: SparkSession, sf: str) -> DataFrame:
@@ -88,19 +95,20 @@ _NA = "list_sum(list_transform(a.v, lambda x: x * x))"
 _NB = "list_sum(list_transform(b.v, lambda x: x * x))"
 
 _RANKED = f"""
-WITH {_E},
+WITH e AS (SELECT vec_id, label, source, CAST(embedding AS DOUBLE[]) AS v FROM embeddings LEFT JOIN documents ON vec_id = doc_id),
 d AS (SELECT a.vec_id, b.vec_id AS neighbor_id, b.label AS n_label, round({_L2}, 6) AS distance
-      FROM e a JOIN e b ON a.vec_id <> b.vec_id),
+      FROM e a JOIN e b ON a.source = b.source AND a.vec_id <> b.vec_id),
 r AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY distance, neighbor_id) AS rank FROM d),
 t AS (SELECT r.vec_id, r.rank, CASE WHEN r.n_label = q.label THEN 1 ELSE 0 END AS rel
       FROM r JOIN e q ON q.vec_id = r.vec_id WHERE r.rank <= {K}),
 h AS (SELECT *, sum(rel) OVER (PARTITION BY vec_id ORDER BY rank ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS hits FROM t),
-pq AS (SELECT vec_id,
+found AS (SELECT vec_id,
          round(sum(CASE WHEN rel = 1 THEN hits / rank ELSE 0.0 END) / greatest(sum(rel), 1), 6) AS ap,
          round(coalesce(1.0 / min(CASE WHEN rel = 1 THEN rank END), 0.0), 6) AS rr,
          CAST(sum(rel) AS BIGINT) AS n_hits,
          CAST(min(CASE WHEN rel = 1 THEN rank END) AS BIGINT) AS first_hit
-       FROM h GROUP BY vec_id)
+       FROM h GROUP BY vec_id),
+pq AS (SELECT vec_id, coalesce(ap, 0.0) AS ap, coalesce(rr, 0.0) AS rr, coalesce(n_hits, 0) AS n_hits, first_hit FROM embeddings LEFT JOIN found USING (vec_id))
 """
 
 ORACLE = {

@@ -6,7 +6,8 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from faultline.functions import encode as E
-from faultline.operators import graph
+from faultline.operators import embed, graph
+from faultline.operators import evaluate as ev
 from faultline.operators.knn import knn_join
 
 
@@ -101,12 +102,63 @@ def test_module_resolution(spark):
 
 
 def test_hash_encoder_forms_agree(spark):
-    df = spark.createDataFrame([("Hello wörld, hello again_1",), ("",)], "t string")
-    a = df.select(E.hash_encode(F.col("t")).alias("v")).collect()
-    b = df.select(E.hash_encode_sql(F.col("t")).alias("v")).collect()
-    for x, y in zip(a, b):
-        assert np.allclose(x.v, y.v)
-    assert abs(sum(a[0].v) - 1.0) < 1e-12 and sum(a[1].v) == 0
+    df = spark.createDataFrame([(1, "Hello wörld, hello again_1"), (2, ""), (3, None)], "i int, t string")
+    a = {r.i: r.embedding for r in E.hash_vectors(df, ["i"], "t").collect()}
+    b = {r.i: r.v for r in df.select("i", E.hash_encode_sql(F.col("t")).alias("v")).collect()}
+    assert np.allclose(a[1], b[1]) and np.allclose(a[2], b[2])
+    assert abs(sum(a[1]) - 1.0) < 1e-12 and sum(a[2]) == 0 and sum(a[3]) == 0
+
+
+def _nodes(df, word):
+    return df._jdf.queryExecution().executedPlan().toString().count(word)
+
+
+def test_encoder_runs_once_for_each_distinct_text(spark):
+    rows = spark.createDataFrame([(i, None if i == 7 else "hot text" if i % 3 else f"text {i}") for i in range(300)], "i int, t string").repartition(6)
+    seen = spark.sparkContext.accumulator(0)
+
+    def make():
+        def predict(texts):
+            seen.add(len(texts))
+            return [[float(len(t)), 1.0] for t in texts]
+        return predict
+
+    out = embed.embed_once(rows, "t", embed.model_encoder(make, 16)).where("embedding is not null")
+    assert _nodes(out, "MapInPandas") == 1
+    got = {r.i: r.embedding for r in out.collect()}
+    assert seen.value == 101 and len(got) == 299 and got[1] == [8.0, 1.0]
+    kept = embed.embed_once(rows, "t").collect()
+    assert len(kept) == 300 and [r.embedding for r in kept if r.i == 7] == [None]
+    assert not any(w in embed.embed_once(rows, "t")._jdf.queryExecution().executedPlan().toString() for w in ("Python", "Pandas", "Arrow"))
+
+
+def test_no_nested_loop_over_a_data_side(spark):
+    v = _vectors(spark)
+    for threshold in ("-1", "10485760"):
+        old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+        try:
+            for keys in ([], ["key"]):
+                plan = knn_join(v, v, k=3, query_id="id", corpus_id="id", keys=keys)._jdf.queryExecution().toString()
+                assert "NestedLoop" not in plan and "Cartesian" not in plan
+        finally:
+            spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+
+
+def test_hot_key_and_payloads(spark):
+    rows = [(i, 0 if i % 3 else i, [float(i), 1.0], f"n{i}") for i in range(240)]
+    v = spark.createDataFrame(rows, "id long, key long, embedding array<double>, name string")
+    out = knn_join(v, v, k=1, query_id="id", corpus_id="id", keys=["key"], exclude_self=True, block_rows=10, corpus_payload=["name"])
+    got = {r.id: (r.neighbor_id, r.name, r.distance) for r in out.collect()}
+    assert got[100] == (101, "n101", 1.0) and got[1] == (0, "n0", 1.0) and 3 not in got
+
+
+def test_query_without_candidates_is_a_failure(spark):
+    ranked = spark.createDataFrame([("a", 1, 1)], "q string, rank int, rel int")
+    qs = spark.createDataFrame([("a",), ("b",)], "q string")
+    per = ev.average_precision(ranked, ["q"], queries=qs)
+    assert {(r.k, r.passed, r.failed) for r in ev.success_at_k(per, ks=[1]).collect()} == {(1, 1, 1)}
+    assert ev.map_mrr(per).first().map == 0.5
 
 
 def test_masked_mean(spark):

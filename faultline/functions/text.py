@@ -56,13 +56,6 @@ def merge_newlines(c: Column) -> Column:
     return F.regexp_replace(c, "\n+", "\n")
 
 
-def count_substr(c: Column, needle: str) -> Column:
-    """SCA-12: ``str.count`` (non-overlapping occurrences)."""
-    return F.floor((F.length(c) - F.length(F.replace(c, F.lit(needle), F.lit("")))) / F.lit(len(needle))).cast(
-        "bigint"
-    )
-
-
 def n_parts(c: Column) -> Column:
     """SCA-16: number of ``\\n``-separated parts (``len(x.split('\\n'))``)."""
     return F.size(F.split(c, NL, -1)).cast("bigint")
@@ -88,14 +81,14 @@ def pytest_sections(c: Column) -> Column:
     return F.regexp_extract_all(c, F.lit(PYTEST_SECTION_RE), 1)
 
 
-def extract_traceback(c: Column) -> Column:
+def extract_traceback(raw: Column, sections: Column) -> Column:
     """SCA-06: pytest form (every failure section, stripped, joined, then
-    FLT-03), else the first unittest block prefixed ``FAIL: `` (Q13), else null."""
-    secs = pytest_sections(c)
-    pytest_text = remove_decorations(F.array_join(F.transform(secs, py_strip), NL))
-    ut = F.regexp_extract(c, UNITTEST_BLOCK_RE, 0)
+    FLT-03), else the first unittest block prefixed ``FAIL: `` (Q13), else null.
+    ``sections`` is a column that holds :func:`pytest_sections`."""
+    pytest_text = remove_decorations(F.array_join(F.transform(sections, py_strip), NL))
+    ut = F.regexp_extract(raw, UNITTEST_BLOCK_RE, 0)
     return (
-        F.when(F.size(secs) > 0, pytest_text)
+        F.when(F.size(sections) > 0, pytest_text)
         .when(ut != "", F.concat(F.lit("FAIL: "), py_strip(ut)))
         .otherwise(F.lit(None).cast("string"))
     )

@@ -19,6 +19,7 @@ DEFAULT_SYSTEM_PROMPT = (
     "You repair Python code. Given a traceback and the relevant functions, reply with the corrected "
     "functions in one python code block."
 )
+# The shape of a reply's code.
 # Fenced block ```lang\n…``` and, inside python blocks, each "def name(" up to
 # the next line-start "def " or the block end.
 FENCE_RE = r"(?s)```(?:([a-zA-Z]+)\n)?(.*?)```"
@@ -56,9 +57,30 @@ def prompt_messages(
     return b.select(*key, F.explode(msgs).alias("m")).select(*key, "m.msg_no", "m.role", "m.content")
 
 
-def follow_up_message(bugs: DataFrame, key: Sequence[str], trace: str = "trace") -> DataFrame:
-    """Later passes append one message ``New error: …`` to the previous chat."""
-    return bugs.select(*key, F.lit("user").alias("role"), F.concat(F.lit("New error: "), F.col(trace)).alias("content"))
+def ordered_chats(turns: DataFrame, key: Sequence[str], turn: str = "turn", role: str = "role", content: str = "text") -> DataFrame:
+    """AGG-19: ``key + [chat]``: a chat's messages in order of their turns, as an
+    array of (role, content).  A chat is one conversation, so its size is bounded by it."""
+    one = F.struct(F.col(turn).alias("turn"), F.col(role).alias("role"), F.col(content).alias("content"))
+    in_order = F.transform(F.array_sort(F.collect_list(one)), lambda m: F.struct(m["role"].alias("role"), m["content"].alias("content")))
+    return turns.groupBy(*key).agg(in_order.alias("chat"))
+
+
+def next_chats(
+    bugs: DataFrame, previous: DataFrame, chats: DataFrame, key: Sequence[str], trace: str = "trace", solved: str = "solved", system_prompt: str = DEFAULT_SYSTEM_PROMPT,
+) -> DataFrame:
+    """JON-18/UDTF-14: ``key + [action, solved, chat]`` of every bug: solved earlier
+    → its record and chat carried as they are; unsolved → its chat and the message
+    ``New error: …``; not in the earlier run → a new chat (Q17).  The model's
+    replies come back as a table of turns, which :func:`ordered_chats` reads."""
+    prev = previous.select(*key, F.col(solved).alias("_solved"), F.lit(True).alias("_seen"))
+    j = carry_forward(bugs, previous, key, solved).join(prev, list(key), "left").join(chats.select(*key, F.col("chat").alias("_chat")), list(key), "left")
+    message = lambda role, text: F.struct(F.lit(role).alias("role"), text.alias("content"))
+    empty = F.array().cast("array<struct<role:string,content:string>>")
+    old = F.coalesce(F.col("_chat"), empty)
+    fresh = F.array(message("system", F.lit(system_prompt)), message("user", F.concat(F.lit("Traceback: "), F.col(trace))))
+    more = F.concat(old, F.array(message("user", F.concat(F.lit("New error: "), F.col(trace)))))
+    chat = F.when(F.col("action") == "carry", old).when(F.col("action") == "continue", more).otherwise(fresh)
+    return j.select(*key, "action", F.col("_solved").alias("solved"), chat.alias("chat"))
 
 
 def skip_processed(todo: DataFrame, done: DataFrame, key: Sequence[str]) -> DataFrame:

@@ -74,6 +74,18 @@ def text_usage(rows: DataFrame, text: str, id_col: str, by: Sequence[str] = ())
     return rows.groupBy(F.sha2(F.col(text), 256).alias("text_sha")).agg(*agg)
 
 
+def usage_rows(rows: DataFrame, text: str, by: Sequence[str]) -> DataFrame:
+    """AGG-15 as rows: ``text_sha + by`` for every use of a text; nothing is collected into one row."""
+    return rows.select(F.sha2(F.col(text), 256).alias("text_sha"), *by)
+
+
+def dedup_ratio(rows: DataFrame, text: str) -> DataFrame:
+    """AGG-15: texts, distinct texts, and their ratio."""
+    per = rows.groupBy(F.sha2(F.col(text), 256).alias("_h")).agg(F.count(F.lit(1)).alias("_n"))
+    n, d = F.sum("_n").cast("bigint"), F.count(F.lit(1)).cast("bigint")
+    return per.agg(n.alias("n_texts"), d.alias("n_distinct"), F.round(F.try_divide(d, n), 6).alias("ratio"))
+
+
 def canonical_by_hash(rows: DataFrame, content: str, id_col: str) -> DataFrame:
     """JON-19: map each row to the first row with identical content (SCA-09 hash)."""
     h = rows.select(id_col, F.sha2(F.col(content), 256).alias("sha"))

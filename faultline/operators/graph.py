@@ -1,17 +1,22 @@
-"""Call-graph operators: name resolution and reachability with depth.
+"""Call-graph operators: name resolution, reachability with depth, call trees.
 
 Reachability is a 0/1-weight breadth-first search run as a short driver
 loop of DataFrame joins: hops of cost 0 (same file / same module) are
 expanded to a fixpoint, then one hop of cost 1 (cross-file) increases the
-depth.  Every round joins the frontier to the edge table, removes what was
-already visited (``left_anti``) and cuts the lineage with ``checkpoint()``
-into the session's checkpoint folder, so a lost executor recomputes one
-round, not the whole walk.  The only value brought to the driver per round
-is whether the new frontier is empty.
+depth.  A walk stays inside its snapshot (``keys``), so output grows with the
+snapshots and not with their product.  Every round joins the frontier to the
+edge table and removes what was already visited (``left_anti``); its new rows
+go to a table in the session's checkpoint folder, which cuts the lineage, and
+the visited set is one scan of that table, so plans don't grow with rounds.
+The only value brought to the driver per round is whether the new frontier is
+empty; the walk ends there and nowhere else.
 """
 
 from __future__ import annotations
 
+import uuid
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -36,9 +41,22 @@ def resolve_module(modules: DataFrame, files: DataFrame, module: str = "module",
     return j.select(*modules.columns, F.coalesce(F.col("_as_file"), F.col("_as_pkg")).alias("resolved"))
 
 
-def _cut(df: DataFrame) -> DataFrame:
-    checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+class _Rounds:
+    """Rows written round by round to one folder of the shared checkpoint folder."""
+
+    def __init__(self, like: DataFrame):
+        self.spark, self.schema = like.sparkSession, like.schema
+        self.path = f"{checkpoint_dir(self.spark)}/walk-{uuid.uuid4().hex}"
+        self.n = 0
+
+    def add(self, df: DataFrame) -> DataFrame:
+        path = f"{self.path}/round={self.n}"
+        self.n += 1
+        df.select(*self.schema.names).write.parquet(path)
+        return self.spark.read.schema(self.schema).parquet(path)
+
+    def all(self) -> DataFrame:
+        return self.spark.read.schema(self.schema).option("recursiveFileLookup", "true").parquet(self.path)
 
 
 def reachability(
@@ -48,68 +66,67 @@ def reachability(
     src: str = "src",
     dst: str = "dst",
     cost: str = "cost",
-    max_rounds: int = 10_000,
+    keys: Sequence[str] = (),
+    max_rounds: int | None = None,
 ) -> DataFrame:
     """JON-11/12: nodes reachable from each root with the minimum number of
     cost-1 hops (``depth``); walks stop at ``max_depth`` cost-1 hops
     (unlimited when None).  Cycles terminate because visited pairs are
     removed every round.
 
-    ``edges(src, dst, cost)`` with cost 0 or 1; ``roots(root, node)``.
-    Output ``(root, node, depth)``.
+    ``edges(keys, src, dst, cost)`` with cost 0 or 1; ``roots(keys, root, node)``.
+    Output ``keys + [root, node, depth]``.  ``max_rounds`` is a guard, not a
+    limit: a walk that would need more rounds is an error, never a part.
     """
-    e = edges.select(F.col(src).alias("_s"), F.col(dst).alias("_d"), F.col(cost).cast("int").alias("_w")).distinct()
-    e0 = _cut(e.where(F.col("_w") == 0).select("_s", "_d"))
-    e1 = _cut(e.where(F.col("_w") == 1).select("_s", "_d"))
-    # visited = union of checkpointed per-round pieces: each round writes only
-    # its new rows, and the union's lineage is one scan per piece
-    pieces = [_cut(roots.select("root", "node").distinct().withColumn("depth", F.lit(0)))]
-
-    def visited() -> DataFrame:
-        out = pieces[0]
-        for p in pieces[1:]:
-            out = out.unionByName(p)
-        return out
-
-    def expand(front: DataFrame, step_edges: DataFrame) -> DataFrame:
-        nxt = front.join(step_edges, front["node"] == step_edges["_s"]).select("root", F.col("_d").alias("node"))
-        return nxt.distinct().join(visited().select("root", "node"), ["root", "node"], "left_anti")
-
-    frontier = pieces[0].select("root", "node")
-    depth = 0
-    rounds = 0
+    keys = list(keys)
+    at = [*keys, "node"]
+    e = edges.select(*keys, F.col(src).alias("node"), F.col(dst).alias("_d"), F.col(cost).cast("int").alias("_w")).distinct()
+    start = roots.select(*keys, "root", "node").distinct().withColumn("depth", F.lit(0))
+    done = _Rounds(start)
+    frontier, depth = done.add(start), 0
+
+    def step(front: DataFrame, weight: int) -> DataFrame:
+        if max_rounds is not None and done.n > max_rounds:
+            raise RuntimeError(f"the walk isn't complete after {max_rounds} rounds")
+        hop = front.select(*keys, "root", "node").join(e.where(F.col("_w") == weight), at)
+        new = hop.select(*keys, "root", F.col("_d").alias("node")).distinct()
+        new = new.join(done.all().select(*keys, "root", "node"), [*keys, "root", "node"], "left_anti")
+        return done.add(new.withColumn("depth", F.lit(depth)))
+
     while True:
-        # cost-0 closure at this depth
-        while rounds < max_rounds:
-            rounds += 1
-            nxt = _cut(expand(frontier, e0))
-            if nxt.isEmpty():
-                break
-            pieces.append(nxt.withColumn("depth", F.lit(depth)))
-            frontier = nxt
+        while not frontier.isEmpty():  # hops inside a file, to the end
+            frontier = step(frontier, 0)
         if max_depth is not None and depth >= max_depth:
             break
-        level = visited().where(F.col("depth") == depth).select("root", "node")
-        nxt = _cut(expand(level, e1))
-        if nxt.isEmpty():
-            break
+        level = done.all().where(F.col("depth") == depth)
         depth += 1
-        pieces.append(nxt.withColumn("depth", F.lit(depth)))
-        frontier = nxt
-        if rounds >= max_rounds:
-            raise RuntimeError("reachability did not converge")
-    return visited()
-
-
-def blocked_at_depth(visited: DataFrame, edges: DataFrame, max_depth: int, src: str = "src", dst: str = "dst",
-                     cost: str = "cost") -> DataFrame:
-    """Leaves labelled ``Max depth reached``: cross-file calls out of nodes
-    at the depth limit to nodes not visited."""
-    e1 = edges.where(F.col(cost) == 1).select(F.col(src).alias("node"), F.col(dst).alias("callee"))
-    at = visited.where(F.col("depth") == max_depth).select("root", "node")
-    hit = at.join(e1, "node").select("root", "node", "callee")
-    seen = visited.select("root", F.col("node").alias("callee"))
-    return hit.join(seen, ["root", "callee"], "left_anti").withColumn("label", F.lit(LEAF_MAX_DEPTH)).distinct()
+        frontier = step(level, 1)
+        if frontier.isEmpty():
+            break
+    return done.all()
+
+
+def call_tree(
+    visited: DataFrame, calls: DataFrame, max_depth: int | None = None, keys: Sequence[str] = (),
+    src: str = "src", dst: str = "dst", cost: str = "cost", callee: str = "callee", status: str = "status",
+) -> DataFrame:
+    """JON-11: the walked calls of every root, ``keys + [root, src, callee, dst, depth, label]``.
+
+    ``calls(keys, src, callee, dst, cost, status)``: ``status`` is null for a
+    resolved call, else ``external``, ``no_module`` or ``no_function``.  ``label``
+    is null for an edge that the walk follows and names a leaf otherwise: an
+    external name, a missing module file or function, or a call across files
+    beyond the depth limit to a node that the walk doesn't reach another way."""
+    keys = list(keys)
+    c = calls.select(*keys, F.col(src).alias("node"), F.col(callee).alias("callee"), F.col(dst).alias("dst"), F.col(cost).alias("_w"), F.col(status).alias("_s")).distinct()
+    seen = visited.select(*keys, "root", F.col("node").alias("dst"), F.lit(True).alias("_seen"))
+    j = visited.join(c, [*keys, "node"]).join(seen, [*keys, "root", "dst"], "left")
+    beyond = F.lit(False) if max_depth is None else (F.col("depth") >= max_depth) & (F.col("_w") == 1)
+    label = (
+        F.when(F.col("_s") == "external", LEAF_EXTERNAL).when(F.col("_s") == "no_module", LEAF_NO_MODULE).when(F.col("_s") == "no_function", LEAF_NOT_FOUND)
+        .when(beyond & F.col("_seen").isNull(), LEAF_MAX_DEPTH)
+    )
+    return j.select(*keys, "root", F.col("node").alias("src"), "callee", "dst", "depth", label.alias("label"))
 
 
 def classify_calls(calls: DataFrame, defined: DataFrame, imports: DataFrame, key: list[str]) -> DataFrame:

@@ -56,5 +56,14 @@ def failing_test_names(traces: DataFrame, key: Sequence[str], raw: str = "raw")
 
 def tracebacks(traces: DataFrame, key: Sequence[str], raw: str = "raw") -> DataFrame:
     """SCA-06 + FLT-02: extracted trace per row, rows without one dropped."""
-    tb = T.extract_traceback(F.col(raw))
-    return traces.select(*key, tb.alias("trace")).where(F.coalesce(F.col("trace"), F.lit("")) != "")
+    # explode() of one element is a line that neither projections nor filters cross,
+    # so the patterns run once a row
+    x = traces.select(*key, F.col(raw).alias("_raw"), F.explode(F.array(T.pytest_sections(F.col(raw)))).alias("_secs"))
+    y = x.select(*key, F.explode(F.array(T.extract_traceback(F.col("_raw"), F.col("_secs")))).alias("trace"))
+    return y.where(F.coalesce(F.col("trace"), F.lit("")) != "")
+
+
+def trace_lengths(traces: DataFrame, by: Sequence[str] = (), raw: str = "raw") -> DataFrame:
+    """AGG-12: lines of the raw traces: shortest, longest, mean, and how many traces."""
+    n = T.n_parts(F.col(raw))
+    return traces.groupBy(*by).agg(F.min(n).alias("min_lines"), F.max(n).alias("max_lines"), F.round(F.avg(n), 6).alias("avg_lines"), F.count(n).cast("bigint").alias("n_traces"))

@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from faultline.functions import text as T
+from faultline.operators import spans as S
 
 
 def changed_paths(patches: DataFrame, key: Sequence[str], diff: str = "diff") -> DataFrame:
@@ -71,13 +72,26 @@ def changed_lines(
     )
 
 
-def changed_lines_with_fallback(patches: DataFrame, key: Sequence[str], diff: str = "diff") -> DataFrame:
-    """SCA-04: removed lines; for a diff with none, the added lines instead.
-    Output adds ``mode`` ('buggy' or 'fixed')."""
-    old = changed_lines(patches, key, diff).withColumn("mode", F.lit("buggy"))
-    new = changed_lines(patches, key, diff, fixed=True).withColumn("mode", F.lit("fixed"))
-    has_old = old.select(*key).distinct()
-    return old.unionByName(new.join(has_old, list(key), "left_anti"))
+def changed_functions(
+    patches: DataFrame, old_files: DataFrame, old_spans: DataFrame, new_files: DataFrame, new_spans: DataFrame, key: Sequence[str], diff: str = "diff",
+) -> DataFrame:
+    """SCA-04: the definitions around removed lines in the old files; for a patch
+    without any found that way, those around its added lines in the new ones.
+
+    ``files(key, file, content)``, ``spans(key, file, name, kind, start_line,
+    end_line)``.  Output: ``key + [pos, file, line_no, status, enclosing,
+    enclosing_kind, mode]`` for every line looked up, with ``mode`` 'buggy' or 'fixed'."""
+    at = [*key, "file"]
+
+    def found(fixed: bool, files: DataFrame, spans: DataFrame) -> DataFrame:
+        x = S.locate(changed_lines(patches, key, diff, fixed=fixed), files, at)
+        y = S.enclosing(x, spans, at)
+        return y.select(*key, "pos", "file", "line_no", "status", "enclosing", "enclosing_kind", F.lit("fixed" if fixed else "buggy").alias("mode"))
+
+    old = found(False, old_files, old_spans)
+    has = old.where(F.col("enclosing_kind").isin("function", "async_function")).select(*key).distinct()
+    new = found(True, new_files, new_spans).join(has, list(key), "left_anti")
+    return old.unionByName(new)
 
 
 def last_wins_map(named: DataFrame, key: Sequence[str], name: str, value: str, seq: str) -> DataFrame:

@@ -26,10 +26,30 @@ def order_dimension(spark: SparkSession, values: Sequence, name: str, dtype: str
 
 
 def ordered_rows(metrics: DataFrame, order: DataFrame, on: str) -> DataFrame:
-    """JON-16: metrics joined to the display order (groups outside it are
-    dropped, as in the original table).  The order dimension is a literal
-    list, so its size is known when it is built."""
-    return metrics.join(F.broadcast(order), on, "inner")
+    """JON-16: metrics with the display order; groups outside it come last, all
+    with the next number.  The order dimension is a literal list, so its size is
+    known when it is built."""
+    last = order.select(F.coalesce(F.max("ord") + 1, F.lit(0))).scalar()
+    return metrics.join(F.broadcast(order), on, "left").withColumn("ord", F.coalesce("ord", last))
+
+
+def metrics_document(per_k: DataFrame, per_group: DataFrame, group: str) -> DataFrame:
+    """SNK-05: one row a k, ``k, metrics, groups``: the overall numbers as a struct
+    and every group's as a list in the groups' order (as many as there are groups)."""
+    numbers = [c for c in per_k.columns if c != "k"]
+    own = [c for c in per_group.columns if c not in ("k", "is_total")]
+    groups = per_group.groupBy("k").agg(F.array_sort(F.collect_list(F.struct(F.col(group), *[F.col(c) for c in own if c != group]))).alias("groups"))
+    return per_k.select("k", F.struct(*numbers).alias("metrics")).join(groups, "k", "left")
+
+
+def merged(left: DataFrame, right: DataFrame, key: Sequence[str]) -> DataFrame:
+    """SET-04: records of both sides by key; where both have a value, the right one's counts."""
+    names = [c for c in left.columns if c not in key] + [c for c in right.columns if c not in key and c not in left.columns]
+    a = left.select(*key, F.struct(*[c for c in left.columns if c not in key]).alias("_a"))
+    b = right.select(*key, F.struct(*[c for c in right.columns if c not in key]).alias("_b"), F.lit(True).alias("_has"))
+    j = a.join(b, list(key), "full")
+    pick = lambda c: F.when(F.col("_has"), F.col(f"_b.{c}")).otherwise(F.col(f"_a.{c}")) if c in left.columns and c in right.columns else F.col(f"_b.{c}" if c in right.columns else f"_a.{c}")
+    return j.select(*key, *[pick(c).alias(c) for c in names])
 
 
 def format_line(name, passed, total, rate) -> "F.Column":

@@ -16,9 +16,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from faultline.partitioning import spread
-
 DEFAULT_CHUNK = 2000
+# Cost of a break at a definition line.
+BREAK_COSTS = {"class": 3.0, "function": 5.0, "async_function": 5.0}
 
 
 def query_text(strategy: Column, code: Column, symptom: Column, trace: Column) -> Column:
@@ -49,42 +49,21 @@ def min_cost_split(n: int, costs: dict[int, float], window: int, general: float)
     ``cost(i)`` does not depend on j, so the inner minimum is a sliding-window
     minimum (monotone deque): O(n) instead of O(n * window).
     """
-    window = int(window)
-    if n <= 0:
-        return [], 0.0
-    dp = [0.0] * (n + 1)
-    back = [-1] * (n + 1)
-    dq: deque[int] = deque([0])
+    best = [0.0]
+    begins = [0]  # where the last range of the best split of the first i lines begins
+    low: deque[int] = deque()
     for i in range(1, n + 1):
-        lo = max(i - window, 0)
-        while dq and dq[0] < lo:
-            dq.popleft()
-        j = dq[0]
-        dp[i] = dp[j] + costs.get(i, general)
-        back[i] = j
-        while dq and dp[dq[-1]] > dp[i]:
-            dq.pop()
-        dq.append(i)
-    ranges = []
-    cur = n
-    while cur > 0:
-        prev = back[cur]
-        ranges.append((prev, cur - 1))
-        cur = prev
-    ranges.reverse()
-    return ranges, dp[n]
-
-
-SEGMENT_SCHEMA = T.StructType(
-    [
-        T.StructField("doc_id", T.LongType()),
-        T.StructField("seg_no", T.IntegerType()),
-        T.StructField("start_line", T.IntegerType()),
-        T.StructField("end_line", T.IntegerType()),
-        T.StructField("n_chars", T.LongType()),
-        T.StructField("total_cost", T.DoubleType()),
-    ]
-)
+        while low and best[low[-1]] > best[i - 1]:
+            low.pop()
+        low.append(i - 1)
+        if low[0] < i - window:
+            low.popleft()
+        begins.append(low[0])
+        best.append(best[low[0]] + costs.get(i, general))
+    ends = [n] if n > 0 else []
+    while ends and begins[ends[-1]]:
+        ends.append(begins[ends[-1]])
+    return [(begins[e], e - 1) for e in reversed(ends)], best[-1]
 
 
 def min_cost_segments(
@@ -94,33 +73,40 @@ def min_cost_segments(
     text: str = "text",
     window: int = 20,
     general_cost: float = 10.0,
+    order: str | None = None,
 ) -> DataFrame:
     """UDTF-03 over a table: ``docs(id, text)`` and ``breaks(id, line_no, cost)``
-    (``line_no`` is the DP index i: a chunk ending with 1-based line i).
-    Chunk text is the ``\\n``-joined lines, stripped; ``n_chars`` is its length."""
+    (``line_no`` is the DP index i: a chunk ending with 1-based line i; of several
+    breaks at one line the last by the column ``order`` counts, else the dearest).
+    Chunk text is the ``\\n``-joined lines, stripped; ``n_chars`` is its length.
+    Output: ``id, seg_no, start_line, end_line, n_chars, total_cost``."""
     window = int(window)
-    b = breaks.groupBy(F.col(id_col).alias("_id")).agg(
-        F.map_from_entries(F.collect_list(F.struct(F.col("line_no").cast("int"), F.col("cost").cast("double")))).alias(
-            "_costs"
-        )
-    )
-    d = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text).alias("_t"))
-    j = spread(d.join(b, "_id", "left"), ["_id"])
+    cost = F.col("cost").cast("double")
+    one = breaks.groupBy(F.col(id_col).alias("_id"), F.col("line_no").cast("int").alias("_l")).agg((F.max_by(cost, order) if order else F.max(cost)).alias("_c"))
+    b = one.groupBy("_id").agg(F.map_from_entries(F.collect_list(F.struct("_l", "_c"))).alias("_costs"))
+    j = docs.select(F.col(id_col).alias("_id"), F.col(text).alias("_t")).join(b, "_id", "left")
+    schema = T.StructType([
+        T.StructField(id_col, docs.schema[id_col].dataType), T.StructField("seg_no", T.IntegerType()), T.StructField("start_line", T.IntegerType()),
+        T.StructField("end_line", T.IntegerType()), T.StructField("n_chars", T.LongType()), T.StructField("total_cost", T.DoubleType()),
+    ])
 
     def run(batches):
         for pdf in batches:
-            out = {f.name: [] for f in SEGMENT_SCHEMA.fields}
-            for did, txt, costs in zip(pdf["_id"], pdf["_t"], pdf["_costs"]):
+            rows = []
+            for key, txt, costs in zip(pdf["_id"], pdf["_t"], pdf["_costs"]):
                 lines = (txt or "").split("\n")
-                cmap = dict(costs) if costs is not None else {}
-                ranges, total = min_cost_split(len(lines), cmap, window, general_cost)
-                for no, (s, e) in enumerate(ranges):
-                    out["doc_id"].append(int(did))
-                    out["seg_no"].append(no)
-                    out["start_line"].append(s)
-                    out["end_line"].append(e)
-                    out["n_chars"].append(len("\n".join(lines[s : e + 1]).strip()))
-                    out["total_cost"].append(float(total))
-            yield pd.DataFrame(out, columns=[f.name for f in SEGMENT_SCHEMA.fields])
-
-    return j.mapInPandas(run, SEGMENT_SCHEMA)
+                ranges, total = min_cost_split(len(lines), dict(costs) if costs is not None else {}, window, general_cost)
+                rows += [(key, no, a, b, len("\n".join(lines[a:b + 1]).strip()), float(total)) for no, (a, b) in enumerate(ranges)]
+            yield pd.DataFrame(rows, columns=schema.names)
+
+    return j.mapInPandas(run, schema)
+
+
+def break_costs(spans: DataFrame, key: Sequence[str], code: str = "code", costs: dict[str, float] | None = None) -> DataFrame:
+    """UDTF-04: ``key + [line_no, cost]`` of definition lines, from spans with their
+    source: a class or function costs less to break at; those that hold a lambda
+    are left out, and of several on one line the later one (the inner) counts."""
+    values = costs or BREAK_COSTS
+    cost = F.coalesce(*[F.when(F.col("kind") == k, F.lit(float(v))) for k, v in values.items()])
+    own = spans.where(cost.isNotNull() & ~F.contains(F.col(code), F.lit("lambda")))
+    return own.groupBy(*key, F.col("start_line").alias("line_no")).agg(F.max_by(cost, "seq").alias("cost"))

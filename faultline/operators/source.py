@@ -141,6 +141,14 @@ def chunks(file_lines: DataFrame, found: DataFrame, key: Sequence[str]) -> DataF
     return every.select(*key, (rank - 1).cast("int").alias("seq"), "name", "start_line", "end_line", "code")
 
 
+def bodies(file_lines: DataFrame, found: DataFrame, key: Sequence[str]) -> DataFrame:
+    """UDTF-09: ``key + [seq, code]``: source of every span, without its decorators."""
+    key = list(key)
+    at = found.groupBy(*key).agg(F.collect_list(F.struct("seq", "start_line", "end_line")).alias("_at"))
+    inside = F.explode(F.filter("_at", lambda s: F.col("line_no").between(s["start_line"], s["end_line"])))
+    return _text(file_lines.join(at, key).withColumn("_x", inside).select(*key, "line_no", "text", F.col("_x.seq").alias("seq")), key, ["seq"])
+
+
 def calls(file_lines: DataFrame, found: DataFrame, key: Sequence[str]) -> DataFrame:
     """UDTF-05/FLT-05: distinct ``key + [caller, callee]`` of functions that are
     not async; a function's own decorators are not part of it."""

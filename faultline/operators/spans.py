@@ -33,13 +33,18 @@ def locate(
     changed: DataFrame, sources: DataFrame, key: Sequence[str], line: str = "code", content: str = "content"
 ) -> DataFrame:
     """JON-05 as a join: ``changed(key, …, line)`` ⟕ ``sources(key, content)``.
-    ``status`` is ``found`` / ``not_found`` (no match) / ``no_file``."""
-    j = changed.join(sources.select(*key, F.col(content).alias("_src")), list(key), "left")
-    ln = line_of_first_occurrence(F.col("_src"), F.col(line))
-    status = F.when(F.col("_src").isNull(), F.lit("no_file")).when(ln.isNull(), F.lit("not_found")).otherwise(
-        F.lit("found")
-    )
-    return j.select(*changed.columns, ln.alias("line_no"), status.alias("status"))
+    ``status`` is ``found`` / ``not_found`` (no match) / ``no_file``.
+
+    A file's distinct changed lines go to its text, which travels once, and come
+    back as line numbers; the text is never repeated for each of its lines."""
+    key = list(key)
+    wanted = changed.where(F.col(line).isNotNull()).groupBy(*key).agg(F.collect_set(line).alias("_lines"))
+    texts = sources.where(F.col(content).isNotNull()).select(*key, F.col(content).alias("_src"))
+    numbered = F.transform("_lines", lambda n: F.struct(n.alias("n"), line_of_first_occurrence(F.col("_src"), n).alias("at")))
+    found = texts.join(wanted, key).select(*key, F.explode(numbered).alias("_x")).select(*key, F.col("_x.n").alias(line), F.col("_x.at").alias("line_no"), F.lit(True).alias("_file"))
+    j = changed.join(found, [*key, line], "left")
+    status = F.when(F.col("_file").isNull(), "no_file").when(F.col("line_no").isNull(), "not_found").otherwise("found")
+    return j.select(*changed.columns, "line_no", status.alias("status"))
 
 
 def _bucketed_spans(spans: DataFrame, start: str, end: str, bucket_lines: int) -> DataFrame:
@@ -100,11 +105,6 @@ def enclosing(
     return out.select(*points.columns, F.col("_best._n").alias("enclosing"), F.col("_best._k").alias("enclosing_kind"))
 
 
-def covered_line_numbers(spans: DataFrame, key: Sequence[str], start: str = "start_line", cover_end: str = "cover_end"):
-    """JON-07: every line a definition covers, as ``key + [line_no]`` rows."""
-    return spans.select(*key, F.explode(F.sequence(F.col(start), F.col(cover_end))).alias("line_no")).distinct()
-
-
 def uncovered_lines(
     lines: DataFrame, spans: DataFrame, key: Sequence[str], start: str = "start_line", cover_end: str = "cover_end",
     bucket_lines: int = DEFAULT_BUCKET,

@@ -1,14 +1,15 @@
 """Call resolution and reachability bound to the driver tables.
 
-Call graph: consecutive line items of an order call each other (part at
-line n → part at line n+1); a hop inside one brand (same module) costs 0, a
-hop across brands (another file) costs 1.  Every part is a root (a failing
-test), walked up to one cross-file hop.
+Call graph: an order is a snapshot and its line items, in order, are a chain of
+functions; each calls the next one.  A hop inside one brand (same module) costs
+0, a hop across brands (another file) costs 1.  Some callees have no module file
+or no function of that name, and the last one calls an external name.  The first
+line is the failing test: one root an order, walked up to one cross-file hop.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from faultline.operators import graph, patches, source
@@ -19,23 +20,36 @@ from faultline.sources.tables import read_table
 MAX_DEPTH = 1
 
 
-def call_edges(spark: SparkSession, sf: str) -> DataFrame:
-    li = read_table(spark, sf, "lineitem", "l_orderkey", "l_partkey", "l_linenumber")
-    p = read_table(spark, sf, "part", "p_partkey", "p_brand")
-    a = li.select("l_orderkey", F.col("l_linenumber").alias("n"), F.col("l_partkey").alias("src"))
-    b = li.select("l_orderkey", (F.col("l_linenumber") - 1).alias("n"), F.col("l_partkey").alias("dst"))
-    e = a.join(b, ["l_orderkey", "n"]).select("src", "dst").distinct()
-    pa = p.select(F.col("p_partkey").alias("src"), F.col("p_brand").alias("bs"))
-    pb = p.select(F.col("p_partkey").alias("dst"), F.col("p_brand").alias("bd"))
-    e = e.join(pa, "src").join(pb, "dst")
-    return e.select("src", "dst", F.when(F.col("bs") == F.col("bd"), 0).otherwise(1).alias("cost"))
+def order_calls(spark: SparkSession, sf: str) -> DataFrame:
+    """``l_orderkey, src, callee, dst, cost, status`` with nodes numbered from 1."""
+    li = read_table(spark, sf, "lineitem", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_shipdate")
+    p = read_table(spark, sf, "part", F.col("p_partkey").alias("l_partkey"), "p_brand", "p_size")
+    w = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_shipdate")
+    x = li.withColumn("src", F.row_number().over(w)).join(p, "l_partkey", "left")
+    w = Window.partitionBy("l_orderkey").orderBy("src")
+    x = x.select("l_orderkey", "src", "p_brand", F.lead("src").over(w).alias("dst"), F.lead("l_partkey").over(w).alias("to"), F.lead("p_brand").over(w).alias("b"), F.lead("p_size").over(w).alias("z"))
+    status = F.when(F.col("dst").isNull(), "external").when(F.col("z") % 10 == 0, "no_module").when(F.col("z") % 7 == 0, "no_function")
+    return x.select(
+        "l_orderkey", "src", F.coalesce(F.concat(F.lit("f_"), F.col("to").cast("string")), F.lit("print")).alias("callee"),
+        F.when(status.isNull(), F.col("dst")).alias("dst"), F.when(F.col("p_brand") == F.col("b"), 0).otherwise(1).alias("cost"), status.alias("status"),
+    )
+
+
+def _walk(spark, sf) -> tuple[DataFrame, DataFrame]:
+    calls = order_calls(spark, sf)
+    roots = read_table(spark, sf, "lineitem", "l_orderkey").distinct().select("l_orderkey", F.lit(1).alias("root"), F.lit(1).alias("node"))
+    return graph.reachability(calls.where("status is null"), roots, max_depth=MAX_DEPTH, keys=["l_orderkey"]), calls
 
 
 def reachability(spark, sf):
-    roots = read_table(spark, sf, "part", "p_partkey").select(F.col("p_partkey").alias("root"),
-                                                               F.col("p_partkey").alias("node"))
-    r = graph.reachability(call_edges(spark, sf), roots, max_depth=MAX_DEPTH)
-    return r.select("root", "node", F.col("depth").cast("int"))
+    r, _ = _walk(spark, sf)
+    return r.select("l_orderkey", "root", "node", F.col("depth").cast("int"))
+
+
+def call_tree(spark, sf):
+    r, calls = _walk(spark, sf)
+    t = graph.call_tree(r, calls, MAX_DEPTH, ["l_orderkey"])
+    return t.select("l_orderkey", "root", "src", "callee", "dst", F.col("depth").cast("int"), "label")
 
 
 def resolve_import(spark, sf):
@@ -72,28 +86,32 @@ def call_resolution(spark, sf):
 
 QUERIES = {
     "reachability": reachability,
+    "call_tree": call_tree,
     "resolve_import": resolve_import,
     "call_resolution": call_resolution,
 }
 
-_EDGES = """
-e AS (SELECT DISTINCT a.l_partkey AS src, b.l_partkey AS dst,
-             CASE WHEN pa.p_brand = pb.p_brand THEN 0 ELSE 1 END AS cost
-      FROM lineitem a JOIN lineitem b ON a.l_orderkey = b.l_orderkey AND b.l_linenumber = a.l_linenumber + 1
-      JOIN part pa ON pa.p_partkey = a.l_partkey JOIN part pb ON pb.p_partkey = b.l_partkey)"""
+_WALK = f"""
+x AS (SELECT l_orderkey, l_partkey, p_brand, p_size, CAST(row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_shipdate) AS INTEGER) AS src
+      FROM lineitem LEFT JOIN part ON p_partkey = l_partkey),
+c AS (SELECT x.l_orderkey, x.src, coalesce('f_' || y.l_partkey, 'print') AS callee, y.src AS next,
+             CASE WHEN x.p_brand = y.p_brand THEN 0 ELSE 1 END AS cost,
+             CASE WHEN y.src IS NULL THEN 'External or builtin function' WHEN y.p_size % 10 = 0 THEN 'Module file not found'
+                  WHEN y.p_size % 7 = 0 THEN 'Function not found' END AS leaf
+      FROM x LEFT JOIN x y ON y.l_orderkey = x.l_orderkey AND y.src = x.src + 1),
+r(l_orderkey, node, depth) AS (SELECT DISTINCT l_orderkey, 1, 0 FROM lineitem
+  UNION ALL SELECT r.l_orderkey, c.next, r.depth + c.cost FROM r JOIN c ON c.l_orderkey = r.l_orderkey AND c.src = r.node
+  WHERE c.leaf IS NULL AND r.depth + c.cost <= {MAX_DEPTH})"""
 
 _FN = "replace(p_name, ' ', '_')"
 _B = "lower(replace(p_brand, '#', '_'))"
 
 ORACLE = {
-    "reachability": f"""WITH RECURSIVE {_EDGES},
-z0(root, node) AS (SELECT p_partkey, p_partkey FROM part
-                   UNION SELECT z0.root, e.dst FROM z0 JOIN e ON e.src = z0.node AND e.cost = 0),
-s1 AS (SELECT DISTINCT z0.root, e.dst AS node FROM z0 JOIN e ON e.src = z0.node AND e.cost = 1),
-z1(root, node) AS (SELECT root, node FROM s1
-                   UNION SELECT z1.root, e.dst FROM z1 JOIN e ON e.src = z1.node AND e.cost = 0)
-SELECT root, node, 0 AS depth FROM z0
-UNION ALL SELECT root, node, 1 FROM (SELECT root, node FROM z1 EXCEPT SELECT root, node FROM z0)""",
+    "reachability": f"""WITH RECURSIVE {_WALK} SELECT l_orderkey, 1 AS root, node, depth FROM r""",
+    "call_tree": f"""WITH RECURSIVE {_WALK}
+SELECT c.l_orderkey, 1 AS root, c.src, c.callee, CASE WHEN c.leaf IS NULL THEN c.next END AS dst, r.depth,
+       CASE WHEN c.leaf IS NOT NULL THEN c.leaf WHEN r.depth + c.cost > {MAX_DEPTH} THEN 'Max depth reached' END AS label
+FROM r JOIN c ON c.l_orderkey = r.l_orderkey AND c.src = r.node""",
     "resolve_import": f"""
 WITH paths AS (SELECT 'pkg/' || {_B} || '/' || {_FN} || '.py' AS path, p_type FROM part
                UNION ALL SELECT 'tests/test_' || {_FN} || '.py', p_type FROM part),

@@ -23,7 +23,7 @@ PASSAGE_K = 5
 MIN_GROUP = 20
 SEG_WINDOW = 20
 # Ignore rules applied to page paths (gitwildmatch syntax).
-IGNORE_RULES = ["# generated pages", "*.html", "!/en/1*.html", "fr/", "**/de/7*", ""]
+IGNORE_RULES = ["# generated pages", "*.html  ", "!/en/1*.html", "fr/", "**/de/7*", "", "es/[!0-4]*", "e**n/2[0-2]?", "\\!x"]
 
 
 def _docs(spark, sf, *cols):
@@ -106,16 +106,33 @@ def line_stats(spark, sf):
     )
 
 
+def _kept_pages(spark, sf):
+    p = read_table(spark, sf, "pages", "page_id", "url", "html")
+    return p.where(F.col("url").contains("example.com") & ~F.col("url").contains(".html"))
+
+
 def total_lines(spark, sf):
     """AGG-13: readlines-count total over names containing one text and not another."""
-    p = read_table(spark, sf, "pages", "url", "html")
-    keep = p.where(F.col("url").contains("example.com") & ~F.col("url").contains(".html"))
-    return keep.agg(
+    return _kept_pages(spark, sf).agg(
         F.count(F.lit(1)).cast("bigint").alias("n_files"),
         F.sum(T.n_readlines(F.col("html"))).cast("bigint").alias("total_lines"),
     )
 
 
+def counted_files(spark, sf):
+    """AGG-13's file list as rows (one a file, so it never gathers in one place)."""
+    return _kept_pages(spark, sf).select("page_id", "url", T.n_readlines(F.col("html")).cast("bigint").alias("n_lines"))
+
+
+def usage_rows(spark, sf):
+    """AGG-15: each use of a text by a project."""
+    return embed.usage_rows(_docs(spark, sf, "doc_id", "text", "source"), "text", ["source", "doc_id"])
+
+
+def dedup_ratio(spark, sf):
+    return embed.dedup_ratio(_docs(spark, sf, "text"), "text")
+
+
 def single_item_filter(spark, sf):
     """FLT-01/02: conversations with exactly one user turn and a non-empty
     last assistant reply."""
@@ -177,6 +194,9 @@ QUERIES = {
     "min_cost_segments": min_cost_segments,
     "line_stats": line_stats,
     "total_lines": total_lines,
+    "counted_files": counted_files,
+    "usage_rows": usage_rows,
+    "dedup_ratio": dedup_ratio,
     "single_item_filter": single_item_filter,
     "min_group_size": min_group_size,
     "path_filters": path_filters,
@@ -192,12 +212,20 @@ b AS (SELECT doc_id, len(toks) AS n, unnest(list_transform(toks, lambda t: {_BKT
 sp AS (SELECT doc_id, CAST(dim AS INTEGER) AS dim, count(*) / max(n) AS value FROM b GROUP BY doc_id, dim)"""
 
 
+# What the rules mean, written out by hand: (regex, ignored), the last that matches decides.
+_IGNORED = [
+    (r"\.html(/.*)?$", "true"),
+    (r"^en/1[^/]*\.html(/.*)?$", "false"),
+    (r"(^|/)fr/", "true"),
+    (r"(^|/)de/7[^/]*(/.*)?$", "true"),
+    (r"^es/[^/0-4][^/]*(/.*)?$", "true"),
+    (r"^e[^/]*n/2[0-2][^/](/.*)?$", "true"),
+    (r"(^|/)!x(/.*)?$", "true"),
+]
+
+
 def _ignored_sql(col: str) -> str:
-    rules = S.compile_rules(IGNORE_RULES)
-    whens = " ".join(
-        f"WHEN regexp_matches({col}, '{rx}') THEN {'false' if neg else 'true'}" for rx, neg in reversed(rules)
-    )
-    return f"CASE {whens} ELSE false END"
+    return "CASE " + " ".join(f"WHEN regexp_matches({col}, '{rx}') THEN {out}" for rx, out in reversed(_IGNORED)) + " ELSE false END"
 
 
 _PATHS = "SELECT page_id, regexp_extract(url, '^[a-z]+://[^/]+/([^?#]*)', 1) AS path FROM pages"
@@ -257,6 +285,28 @@ SELECT CAST(count(*) AS BIGINT) AS n_files,
        CAST(sum(length(html) - length(replace(html, chr(10), ''))
                 + CASE WHEN length(html) > 0 AND NOT ends_with(html, chr(10)) THEN 1 ELSE 0 END) AS BIGINT) AS total_lines
 FROM pages WHERE contains(url, 'example.com') AND NOT contains(url, '.html')""",
+    "counted_files": """
+SELECT page_id, url, CAST(length(html) - length(replace(html, chr(10), '')) + CASE WHEN length(html) > 0 AND NOT ends_with(html, chr(10)) THEN 1 ELSE 0 END AS BIGINT) AS n_lines
+FROM pages WHERE contains(url, 'example.com') AND NOT contains(url, '.html')""",
+    "usage_rows": "SELECT sha256(text) AS text_sha, source, doc_id FROM documents",
+    "dedup_ratio": """
+SELECT CAST(count(*) AS BIGINT) AS n_texts, CAST(count(DISTINCT sha256(text)) AS BIGINT) AS n_distinct,
+       round(count(DISTINCT sha256(text)) / count(*), 6) AS ratio FROM documents""",
+    "min_cost_segments": f"""
+WITH RECURSIVE x AS (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents),
+d(doc_id, i, best, begins) AS (
+  SELECT doc_id, 0, [0.0::DOUBLE], [0] FROM x
+  UNION ALL
+  SELECT doc_id, i + 1, list_append(best, m + CASE WHEN length(ls[i + 1]) < 40 THEN 3.0 ELSE 10.0 END), list_append(begins, CAST(lo + list_position(best[lo + 1:], m) - 1 AS INTEGER))
+  FROM (SELECT *, list_min(best[lo + 1:]) AS m FROM (SELECT d.*, x.ls, greatest(d.i + 1 - {SEG_WINDOW}, 0) AS lo FROM d JOIN x USING (doc_id) WHERE d.i < len(x.ls)))
+),
+f AS (SELECT d.*, x.ls FROM d JOIN x USING (doc_id) WHERE d.i = len(x.ls)),
+s(doc_id, stop, start, best, begins, ls) AS (
+  SELECT doc_id, i, begins[i + 1], best, begins, ls FROM f
+  UNION ALL SELECT doc_id, start, begins[start + 1], best, begins, ls FROM s WHERE start > 0
+)
+SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY start) - 1 AS INTEGER) AS seg_no, CAST(start AS INTEGER) AS start_line, CAST(stop - 1 AS INTEGER) AS end_line,
+       CAST(length(regexp_replace(array_to_string(ls[start + 1:stop], chr(10)), '^\\s+|\\s+$', '', 'g')) AS BIGINT) AS n_chars, best[-1] AS total_cost FROM s""",
     "single_item_filter": """
 WITH per AS (SELECT conv_id, count(*) FILTER (WHERE role = 'user') AS n_user,
                     arg_max(text, turn) FILTER (WHERE role = 'assistant') AS reply, CAST(count(*) AS BIGINT) AS n_turns

@@ -14,15 +14,16 @@ from __future__ import annotations
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
-from faultline.operators import context, report, source
+from faultline.operators import context, report, segment, source
 from faultline.operators import evaluate as ev
 from faultline.plans import corpus, retrieval
-from faultline.plans.truth import KEY, part_lines
+from faultline.plans.truth import _MOD, KEY, part_lines
 from faultline.sources.tables import read_table
 
 # Display order of groups in the printed report (a fixed dimension).
 REPORT_ORDER = [9, 8, 7, 6, 5, 4, 3, 2, 1, 0]
 REPORT_K = 5
+CHAT_PROMPT = "Repair the code."
 
 
 def prompt_assembly(spark: SparkSession, sf: str):
@@ -47,6 +48,40 @@ def carry_forward(spark, sf):
     return context.carry_forward(cur, prev, ["doc_id"])
 
 
+def next_chats(spark, sf):
+    """JON-18/AGG-19/UDTF-14: conversations as earlier chats, labels as earlier results, documents as new errors."""
+    chats = context.ordered_chats(read_table(spark, sf, "conversations", F.col("conv_id").alias("doc_id"), "turn", "role", "text"), ["doc_id"])
+    prev = read_table(spark, sf, "labels", "doc_id", "quality").select("doc_id", (F.col("quality") == 1).alias("solved"))
+    bugs = read_table(spark, sf, "documents", "doc_id", F.col("text").alias("trace"))
+    out = context.next_chats(bugs, prev, chats, ["doc_id"], system_prompt=CHAT_PROMPT)
+    said = F.array_join(F.transform("chat", lambda m: F.concat(m["role"], F.lit(": "), m["content"])), "\n")
+    return out.select("doc_id", "action", "solved", F.size("chat").cast("bigint").alias("n_messages"), F.md5(said).alias("chat_md5"))
+
+
+def metrics_document(spark, sf):
+    """SNK-05: overall and per-label numbers of each k, as one text a k."""
+    pq = retrieval.per_query(spark, sf)
+    per_k = ev.success_at_k(pq)
+    roll = ev.success_rollup(pq.join(read_table(spark, sf, "embeddings", "vec_id", "label"), "vec_id"), "label").where("is_total = 0")
+    doc = report.metrics_document(per_k, roll, "label")
+    return doc.select("k", F.col("metrics.passed").alias("passed"), F.array_join(F.transform("groups", lambda g: F.concat_ws(":", g["label"].cast("string"), g["passed"].cast("string"), g["failed"].cast("string"))), ",").alias("groups"))
+
+
+def break_costs(spark, sf):
+    """UDTF-04: break candidates of the part modules."""
+    ln = part_lines(spark, sf)
+    sp = source.spans(ln, KEY)
+    body = source.bodies(ln, sp, KEY)
+    return segment.break_costs(sp.join(body, [*KEY, "seq"]), KEY)
+
+
+def record_merge(spark, sf):
+    """SET-04: customers and suppliers merged by their numbers, the supplier's values winning."""
+    a = read_table(spark, sf, "customer", F.col("c_custkey").alias("id"), F.col("c_nationkey").alias("nation"), F.col("c_acctbal").alias("balance"))
+    b = read_table(spark, sf, "supplier", F.col("s_suppkey").alias("id"), F.col("s_nationkey").alias("nation"), F.col("s_name").alias("name"))
+    return report.merged(a, b, ["id"])
+
+
 def name_lookup(spark, sf):
     ln = part_lines(spark, sf)
     chunks = source.chunks(ln, source.spans(ln, KEY), KEY).select("p_partkey", "name", "seq")
@@ -134,6 +169,10 @@ QUERIES = {
     "resume_skip": resume_skip,
     "carry_forward": carry_forward,
     "name_lookup": name_lookup,
+    "next_chats": next_chats,
+    "metrics_document": metrics_document,
+    "break_costs": break_costs,
+    "record_merge": record_merge,
     "patch_parse": patch_parse,
     "retrieval_report": retrieval_report,
     "ordered_report": ordered_report,
@@ -182,6 +221,21 @@ SELECT item_id, CAST(msg_no AS INTEGER) AS msg_no, role, CAST(length(content) AS
         "carry_forward": """
 SELECT d.doc_id, CASE WHEN l.doc_id IS NULL THEN 'fresh' WHEN l.quality = 1 THEN 'carry' ELSE 'continue' END AS action
 FROM documents d LEFT JOIN labels l USING (doc_id)""",
+        "next_chats": f"""
+WITH c AS (SELECT conv_id AS doc_id, count(*) AS n, string_agg(role || ': ' || text, chr(10) ORDER BY turn) AS said FROM conversations GROUP BY conv_id),
+x AS (SELECT d.doc_id, d.text, l.quality = 1 AS solved, coalesce(c.n, 0) AS n, c.said,
+             CASE WHEN l.doc_id IS NULL THEN 'fresh' WHEN l.quality = 1 THEN 'carry' ELSE 'continue' END AS action
+      FROM documents d LEFT JOIN labels l USING (doc_id) LEFT JOIN c ON c.doc_id = d.doc_id)
+SELECT doc_id, action, solved, CAST(CASE action WHEN 'fresh' THEN 2 WHEN 'carry' THEN n ELSE n + 1 END AS BIGINT) AS n_messages,
+       md5(CASE action WHEN 'fresh' THEN 'system: {CHAT_PROMPT}' || chr(10) || 'user: Traceback: ' || text WHEN 'carry' THEN coalesce(said, '')
+                       ELSE coalesce(said || chr(10), '') || 'user: New error: ' || text END) AS chat_md5 FROM x""",
+        "metrics_document": f"""
+WITH a AS ({R['success_at_k']}), g AS ({R['success_rollup']})
+SELECT a.k, a.passed, string_agg(g.label || ':' || g.passed || ':' || g.failed, ',' ORDER BY g.label) AS groups FROM a JOIN g ON g.k = a.k AND g.is_total = 0 GROUP BY a.k, a.passed""",
+        "break_costs": f"""WITH {_MOD} SELECT p_partkey, CAST(s AS INTEGER) AS line_no, CASE kind WHEN 'class' THEN 3.0::DOUBLE ELSE 5.0::DOUBLE END AS cost FROM sp""",
+        "record_merge": """
+SELECT coalesce(c_custkey, s_suppkey) AS id, CASE WHEN s_suppkey IS NULL THEN c_nationkey ELSE s_nationkey END AS nation, c_acctbal AS balance, s_name AS name
+FROM customer FULL JOIN supplier ON c_custkey = s_suppkey""",
         "name_lookup": f"""
 SELECT p_partkey, 'inner' AS name, 3 AS found_seq FROM part
 UNION ALL SELECT p_partkey, 'price', 4 FROM part

@@ -12,8 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from faultline.functions import text as T
-from faultline.operators import logs, patches
-from faultline.partitioning import spread
+from faultline.operators import logs, patches, source
 from faultline.sources.tables import read_table
 
 NL = "\n"
@@ -89,7 +88,7 @@ def event_logs(spark: SparkSession, sf: str) -> DataFrame:
 def event_traces(spark: SparkSession, sf: str) -> DataFrame:
     """A raw test output per event: pytest form for errors, unittest form for
     clicks, no failure otherwise."""
-    e = spread(read_table(spark, sf, "events", "event_id", "user_id", "event_type", "value", "props"), ["event_id"])
+    e = read_table(spark, sf, "events", "event_id", "user_id", "event_type", "value", "props")
     uid = F.col("user_id").cast("string")
     pytest_txt = F.concat(
         F.lit("platform linux -- Python 3\ncollected 2 items\n\n"),
@@ -194,10 +193,52 @@ def diff_hunk_functions(spark, sf):
 
 
 def diff_changed_lines(spark, sf):
-    c = patches.changed_lines_with_fallback(part_patches(spark, sf), ["p_partkey"])
+    """SCA-03 in both directions: removed lines ('buggy') and added ones ('fixed')."""
+    pp = part_patches(spark, sf)
+    old = patches.changed_lines(pp, ["p_partkey"]).withColumn("mode", F.lit("buggy"))
+    c = old.unionByName(patches.changed_lines(pp, ["p_partkey"], fixed=True).withColumn("mode", F.lit("fixed")))
     return c.select("p_partkey", F.col("pos").cast("int").alias("pos"), "file", "code", "mode")
 
 
+def part_changes(spark: SparkSession, sf: str):
+    """(patches, old files, new files) of parts, in five kinds by size: lines only
+    added; module-level lines removed; a function's line replaced; a removed line
+    that the old file doesn't have; an old file that is missing."""
+    p = read_table(spark, sf, "part", "p_partkey", "p_name", "p_size")
+    fn, size, kind = _fn(F.col("p_name")), F.col("p_size").cast("string"), F.col("p_size") % 5
+    path = F.concat(F.lit("pkg/"), fn, F.lit(".py"))
+    top, head, ret = F.concat(F.lit("X = "), size), F.concat(F.lit("def "), fn, F.lit("(x):")), F.lit("    return y")
+    times, plus = F.concat(F.lit("    y = x * "), size), F.concat(F.lit("    y = x + "), size)
+    extra = F.concat(F.lit("    return z - "), size)
+    join = lambda *x: F.concat_ws(NL, *[F.lit(v) if isinstance(v, str) else v for v in x])
+    old = join(top, head, times, ret)
+    new = F.when(kind == 0, join(top, head, times, "    y += 1", ret)).when(kind == 1, join("X = -1", head, times, ret, "def extra(z):", extra)).otherwise(join(top, head, plus, ret))
+    sign = lambda c, x: F.concat(F.lit(c), x)
+    hunk = (
+        F.when(kind == 0, F.lit("+    y += 1"))
+        .when(kind == 1, join(sign("-", top), "+X = -1", "+def extra(z):", sign("+", extra)))
+        .when(kind == 3, join(sign("-", F.concat(F.lit("    y = x / "), size)), sign("+", plus)))
+        .otherwise(join(sign("-", times), sign("+", plus)))
+    )
+    diff = join(F.concat(F.lit("diff --git a/"), path, F.lit(" b/"), path), sign("--- a/", path), sign("+++ b/", path), "@@ -1,4 +1,4 @@", hunk)
+    files = lambda content, rows: rows.select("p_partkey", path.alias("file"), content.alias("content"))
+    return p.select("p_partkey", diff.alias("diff")), files(old, p.where(kind != 4)), files(new, p)
+
+
+def changed_functions(spark, sf):
+    """SCA-04: the functions that a patch changes, from its added lines where the removed ones lead to none."""
+    at = ["p_partkey", "file"]
+    diff, old, new = part_changes(spark, sf)
+    found = patches.changed_functions(diff, old, source.spans(source.lines(old, at), at), new, source.spans(source.lines(new, at), at), ["p_partkey"])
+    return found.withColumn("pos", F.col("pos").cast("int"))
+
+
+def trace_lengths(spark, sf):
+    """AGG-12: lengths of the raw traces of each kind of event."""
+    e = read_table(spark, sf, "events", "event_id", "event_type")
+    return logs.trace_lengths(event_traces(spark, sf).join(e, "event_id"), ["event_type"])
+
+
 def changed_name_map(spark, sf):
     """AGG-16: per part, test-function name → file of its last removed line."""
     c = patches.changed_lines(part_patches(spark, sf), ["p_partkey"])
@@ -217,6 +258,8 @@ QUERIES = {
     "diff_paths": diff_paths,
     "diff_hunk_functions": diff_hunk_functions,
     "diff_changed_lines": diff_changed_lines,
+    "changed_functions": changed_functions,
+    "trace_lengths": trace_lengths,
     "changed_name_map": changed_name_map,
 }
 
@@ -249,11 +292,19 @@ old AS (SELECT p_partkey, pos, file, line[2:] AS code, 'buggy' AS mode FROM w
         WHERE NOT is_d AND NOT is_f AND NOT is_h AND in_h = 1 AND line LIKE '-%' AND line NOT LIKE '---%'
           AND coalesce(file, '') <> ''),
 new AS (SELECT p_partkey, pos, file, line[2:] AS code, 'fixed' AS mode FROM w
-        WHERE NOT is_d AND NOT is_f AND NOT is_h AND in_h = 1 AND line LIKE '+%' AND coalesce(file, '') <> ''
-          AND p_partkey NOT IN (SELECT p_partkey FROM old))"""
+        WHERE NOT is_d AND NOT is_f AND NOT is_h AND in_h = 1 AND line LIKE '+%' AND coalesce(file, '') <> '')"""
 
 _DECOR = "'^(?:[-_=~\\s]{5,}|[-_=~\\s]{5,}.*?[-_=~\\s]{5,})$'"
 
+# raw test output of an event, apart from the Spark code
+_TRACE = """CASE event_type WHEN 'error' THEN concat_ws(chr(10), 'platform linux -- Python 3', 'collected 2 items', '',
+  repeat('=', 35) || ' FAILURES ' || repeat('=', 35), repeat('_', 33) || ' test_value ' || repeat('_', 33), '', '    def test_value():',
+  '>       assert check(' || user_id || ')', 'E       AssertionError: ' || props, '', repeat('-', 28) || ' Captured stdout call ' || repeat('-', 29),
+  'value=' || value, repeat('=', 27) || ' short test summary info ' || repeat('=', 28), 'FAILED test_x.py::test_value')
+ WHEN 'click' THEN concat_ws(chr(10), '..F', repeat('=', 70), 'FAIL: test_click (suite.T' || user_id || ')', repeat('-', 70),
+  'Traceback (most recent call last):', '  File "suite.py", line ' || user_id || ', in test_click', 'AssertionError: ' || value, '', repeat('-', 70),
+  'Ran 3 tests in 0.001s', '', 'FAILED (failures=1)') ELSE '3 passed' END"""
+
 ORACLE = {
     "kv_info": f"""
 WITH s AS (SELECT p_partkey, trim('name=\"' || p_name || '\"' || chr(10) || 'brand = \"' || p_brand || '\"' || chr(10)
@@ -310,6 +361,34 @@ SELECT p_partkey, CAST(generate_subscripts(paths, 1) - 1 AS INTEGER) AS pos, unn
 SELECT p_partkey, array_to_string(list_sort(list_distinct(
          regexp_extract_all({_DIFF}, '(?m)^@@.*\\b(?:def)\\s+(\\w+)\\s*\\(', 1))), ',') AS functions FROM part""",
     "diff_changed_lines": f"WITH {_LINES} SELECT * FROM old UNION ALL SELECT * FROM new",
+    "changed_functions": f"""
+WITH m AS (SELECT p_partkey, p_size % 5 AS k, 'pkg/' || {_FN} || '.py' AS file, {_FN} AS fn FROM part)
+SELECT p_partkey, pos, file, line_no, status, enclosing, CASE WHEN enclosing IS NULL THEN NULL ELSE 'function' END AS enclosing_kind, mode FROM (
+  SELECT p_partkey, 4 AS pos, file, 4 AS line_no, 'found' AS status, fn AS enclosing, 'fixed' AS mode FROM m WHERE k = 0
+  UNION ALL SELECT p_partkey, 4, file, 1, 'found', NULL, 'buggy' FROM m WHERE k = 1
+  UNION ALL SELECT p_partkey, 5, file, 1, 'found', NULL, 'fixed' FROM m WHERE k = 1
+  UNION ALL SELECT p_partkey, 6, file, 5, 'found', 'extra', 'fixed' FROM m WHERE k = 1
+  UNION ALL SELECT p_partkey, 7, file, 6, 'found', 'extra', 'fixed' FROM m WHERE k = 1
+  UNION ALL SELECT p_partkey, 4, file, 3, 'found', fn, 'buggy' FROM m WHERE k = 2
+  UNION ALL SELECT p_partkey, 4, file, NULL, CASE k WHEN 3 THEN 'not_found' ELSE 'no_file' END, NULL, 'buggy' FROM m WHERE k IN (3, 4)
+  UNION ALL SELECT p_partkey, 5, file, 3, 'found', fn, 'fixed' FROM m WHERE k IN (3, 4))""",
+    "trace_lengths": f"""
+WITH t AS (SELECT event_type, CAST(len(string_split({_TRACE}, chr(10))) AS BIGINT) AS n FROM events)
+SELECT event_type, min(n) AS min_lines, max(n) AS max_lines, round(avg(n), 6) AS avg_lines, CAST(count(n) AS BIGINT) AS n_traces FROM t GROUP BY event_type""",
+    "traceback_extract": f"""
+WITH t AS (SELECT event_id, string_split({_TRACE}, chr(10)) AS ls FROM events WHERE event_type IN ('error', 'click')),
+l AS (SELECT event_id, unnest(ls) AS line, generate_subscripts(ls, 1) AS n FROM t),
+b AS (SELECT event_id, min(n) FILTER (WHERE regexp_matches(line, '=+ (FAILURES|ERRORS) =+$')) AS banner,
+             min(n) FILTER (WHERE regexp_matches(line, '^(FAIL|ERROR): ')) AS fail FROM l GROUP BY event_id),
+e AS (SELECT b.event_id, banner, fail,
+             coalesce(min(n) FILTER (WHERE n > banner AND regexp_matches(line, '^[-=]{{10,}} (Captured|warnings summary|short test summary info|ERRORS|FAILURES|slowest)[^\n]* [-=]{{10,}}')), 1000000) AS stop,
+             coalesce(min(n) FILTER (WHERE n > fail + 1 AND regexp_matches(line, '^-{{10,}}')), 1000000) AS dash
+      FROM b JOIN l ON l.event_id = b.event_id GROUP BY b.event_id, banner, fail),
+s AS (SELECT e.event_id, banner IS NOT NULL AS py, {_STRIP.format(x="string_agg(line, chr(10) ORDER BY n)")} AS body
+      FROM e JOIN l ON l.event_id = e.event_id AND CASE WHEN banner IS NOT NULL THEN n > banner AND n < stop ELSE n >= fail AND n < dash END
+      GROUP BY e.event_id, banner),
+r AS (SELECT event_id, CASE WHEN py THEN array_to_string([x for x in string_split(body, chr(10)) if NOT regexp_full_match({_STRIP.format(x="x")}, {_DECOR})], chr(10)) ELSE 'FAIL: ' || body END AS trace FROM s)
+SELECT event_id, md5(trace) AS trace_md5, CAST(length(trace) AS BIGINT) AS n_chars FROM r WHERE trace <> ''""",
     "changed_name_map": f"""WITH {_LINES},
 n AS (SELECT p_partkey, pos, file, regexp_extract(code, '(\\w+)\\(', 1) AS name FROM old)
 SELECT p_partkey, name, arg_max(file, pos) AS file FROM n WHERE name <> '' GROUP BY p_partkey, name""",

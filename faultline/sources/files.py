@@ -73,45 +73,57 @@ def is_visible(path: Column) -> Column:
     return ~F.exists(F.split(path, "/", -1), lambda c: c.startswith("."))
 
 
+def _class_regex(body: str) -> str:
+    """A bracket expression's body as a regex class that never matches ``/``."""
+    negated = body[:1] in ("!", "^")
+    inner = re.sub(r"([\\\[\]&~^])", r"\\\1", body[1:] if negated else body)
+    return f"[^/{inner}]" if negated else f"(?!/)[{inner}]"
+
+
 def wildmatch_regex(pattern: str) -> tuple[str, bool] | None:
     """One gitwildmatch rule → (anchored regex on a relative path, negated).
-    Blank lines and comments give None."""
-    p = pattern.rstrip("\n")
-    if not p.strip() or p.startswith("#"):
+
+    Blank lines and comments give None; blanks at the end don't count unless
+    escaped; ``\\`` takes the next character as it is; ``[...]`` is a class; ``**`` is
+    special only as a whole path component and like ``*`` elsewhere."""
+    rule = pattern.rstrip("\n")
+    while rule.endswith(" ") and not rule.endswith("\\ "):
+        rule = rule[:-1]
+    if not rule or rule.startswith("#"):
         return None
-    neg = p.startswith("!")
-    if neg:
-        p = p[1:]
-    if p.startswith("\\"):
-        p = p[1:]
-    dir_only = p.endswith("/")
-    p = p.rstrip("/")
-    anchored = "/" in p
-    p = p.lstrip("/")
-    out, i = [], 0
-    while i < len(p):
-        if p.startswith("**/", i):
-            out.append("(?:.*/)?")
-            i += 3
-        elif p.startswith("/**", i) and i + 3 == len(p):
-            out.append("/.*")
-            i += 3
-        elif p.startswith("**", i):
-            out.append(".*")
-            i += 2
-        elif p[i] == "*":
-            out.append("[^/]*")
-            i += 1
-        elif p[i] == "?":
-            out.append("[^/]")
+    negated = rule.startswith("!")
+    rule = rule[negated:]
+    only_folders = rule.endswith("/")
+    rule = rule.rstrip("/")
+    from_root = "/" in rule
+    parts = rule.lstrip("/").split("/")
+    out = ""
+    for k, part in enumerate(parts):
+        last = k == len(parts) - 1
+        if part == "**":
+            out += ".+" if last else "(?:.*/)?"
+            continue
+        i = 0
+        while i < len(part):
+            c = part[i]
+            close = part.find("]", i + 2 + (part[i + 1:i + 2] in ("!", "^"))) if c == "[" else -1
+            if c == "\\" and i + 1 < len(part):
+                i += 1
+                out += re.escape(part[i])
+            elif c == "*":
+                while part[i + 1:i + 2] == "*":
+                    i += 1
+                out += "[^/]*"
+            elif c == "?":
+                out += "[^/]"
+            elif close > 0:
+                out += _class_regex(part[i + 1:close])
+                i = close
+            else:
+                out += re.escape(c)
             i += 1
-        else:
-            out.append(re.escape(p[i]))
-            i += 1
-    body = "".join(out)
-    head = "^" if anchored else "^(?:.*/)?"
-    tail = "/.*$" if dir_only else "(?:/.*)?$"
-    return head + body + tail, neg
+        out += "" if last else "/"
+    return ("^" if from_root else "^(?:.*/)?") + out + ("/.*$" if only_folders else "(?:/.*)?$"), negated
 
 
 def compile_rules(lines: Sequence[str]) -> list[tuple[str, bool]]:
@@ -138,3 +150,25 @@ def lookup_content(wanted: DataFrame, snapshot: DataFrame, on: Sequence[str], co
     j = wanted.join(snapshot.select(*on, content), list(on), "left")
     return j.select(*wanted.columns, F.col(content).isNotNull().alias("found"),
                     F.coalesce(F.col(content), F.lit("")).alias(content))
+
+
+def read_documents(spark: SparkSession, path: str, schema: str, multi_line: bool = True) -> DataFrame:
+    """SRC-12/14: JSON documents (a list or an object a file, or a line) with a given schema; a malformed one is left out."""
+    return spark.read.schema(schema).option("multiLine", multi_line).option("mode", "DROPMALFORMED").json(path)
+
+
+def read_results(spark: SparkSession, folder: str, schema: str) -> DataFrame:
+    """SRC-15: the ``.json`` files of a result folder, with ``project`` from the file's name."""
+    rows = spark.read.schema(schema).option("multiLine", True).option("pathGlobFilter", "*.json").json(folder)
+    return rows.withColumn("project", F.regexp_replace(F.col("_metadata.file_name"), r"\.json$", ""))
+
+
+def bugs_of(paths: DataFrame, path: str = "path") -> DataFrame:
+    """SRC-08: the distinct (project, bug) folders of relative paths ``project/bug/…``."""
+    p = F.split(path, "/", -1)
+    return paths.where(F.size(p) > 2).select(p[0].alias("project"), p[1].alias("bug")).distinct()
+
+
+def in_numeric_order(bugs: DataFrame, bug: str = "bug") -> DataFrame:
+    """SRT-03: string ids in the order of their numbers; others come last, by text."""
+    return bugs.orderBy(F.expr(f"try_cast({bug} as bigint)").asc_nulls_last(), bug)

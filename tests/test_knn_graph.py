@@ -2,6 +2,7 @@ import random
 from collections import deque
 
 import numpy as np
+import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -90,8 +91,20 @@ def test_cycle_terminates(spark):
     full = {r.node for r in graph.reachability(e, roots).collect()}
     assert full == {"a", "b", "c"}
     v0 = graph.reachability(e, roots, max_depth=0)
-    blocked = graph.blocked_at_depth(v0, e, 0).collect()
-    assert [(r.node, r.callee, r.label) for r in blocked] == [("b", "c", "Max depth reached")]
+    calls = spark.createDataFrame([("a", "b", "b", 0, None), ("b", "c", "c", 1, None), ("b", "len", None, 1, "external"), ("a", "m.x", None, 1, "no_module"), ("a", "y", None, 0, "no_function")],
+                                  "src string, callee string, dst string, cost int, status string")
+    tree = {(r.src, r.callee, r.label) for r in graph.call_tree(v0, calls, 0).collect()}
+    assert tree == {("a", "b", None), ("b", "c", "Max depth reached"), ("b", "len", "External or builtin function"), ("a", "m.x", "Module file not found"), ("a", "y", "Function not found")}
+
+
+def test_walk_is_whole_or_an_error(spark):
+    e = spark.createDataFrame([(k, i, i + 1, 0) for k in (1, 2) for i in range(6)], "k int, src int, dst int, cost int")
+    roots = spark.createDataFrame([(1, 0, 0), (2, 3, 3)], "k int, root int, node int")
+    got = {(r.k, r.node) for r in graph.reachability(e, roots, keys=["k"]).collect()}
+    assert got == {(1, n) for n in range(7)} | {(2, n) for n in range(3, 7)}
+    for depth in (0, None):
+        with pytest.raises(RuntimeError):
+            graph.reachability(e, roots, keys=["k"], max_depth=depth, max_rounds=3)
 
 
 def test_module_resolution(spark):

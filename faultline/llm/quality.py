@@ -4,7 +4,8 @@ Each class has a mean and a covariance of transformed document statistics,
 the covariance shrunk towards the diagonal of the pooled one; a score is the
 logistic of the difference of the two log densities (Mahalanobis distance and
 determinant from Cholesky factors that are computed once) plus the log odds of
-the classes.
+the classes.  A short text's statistics are noise, so a text of n words counts
+with n / (n + STEADY) of its distance from the mean of the labelled rows.
 
 Counts, sums and sums of products come from one distributed pass over the
 labelled rows, so no sample is drawn; the driver receives two small matrices
@@ -32,19 +33,27 @@ from faultline.llm import _stats, _text
 SHRINK = 0.05  # share of the pooled diagonal in each class covariance
 FLOOR = 1e-4  # least variance of a statistic
 CUT = 0.3
+STEADY = 5.0
+WIDTH = len(_stats.FEATURES) + 1
+
+
+def weighted(m: dict[str, np.ndarray]) -> np.ndarray:
+    """Rows x WIDTH: the statistics times a text's weight, and 1 less the weight,
+    so that (weight * x + (1 - weight) * mean) is linear in a row whatever the mean."""
+    w = (m["words"] / (m["words"] + STEADY))[:, None]
+    return np.hstack([_stats.features(m) * w, 1 - w])
 
 
 def statistics(df: DataFrame, text: str = "text", out: str = "stats") -> DataFrame:
-    """``df`` with the statistics of every whole text as an array of doubles, and without the text."""
+    """``df`` with the weighted statistics of every whole text as an array of doubles, and without the text."""
     keep = [f for f in df.schema.fields if f.name not in (text, out)]
     schema = T.StructType([*keep, T.StructField(out, T.ArrayType(T.DoubleType(), False))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        width = len(_stats.FEATURES)
         for batch in batches:
             for a, b, data, offs in _text.chunks(batch, text):
-                x = _stats.features(_stats.measure(data, offs))
-                lists = pa.ListArray.from_arrays(pa.array(np.arange(0, (b - a + 1) * width, width, dtype=np.int32)), pa.array(x.ravel()))
+                x = weighted(_stats.measure(data, offs))
+                lists = pa.ListArray.from_arrays(pa.array(np.arange(0, (b - a + 1) * WIDTH, WIDTH, dtype=np.int32)), pa.array(x.ravel()))
                 yield pa.RecordBatch.from_arrays([*(batch.column(f.name).slice(a, b - a) for f in keep), lists], names=schema.names)
 
     return df.mapInArrow(run, schema)
@@ -52,37 +61,39 @@ def statistics(df: DataFrame, text: str = "text", out: str = "stats") -> DataFra
 
 class Discriminant:
     def __init__(self, moments: dict[int, tuple[float, np.ndarray, np.ndarray]]):
-        """``moments``: by class the count, the sum and the sum of outer products."""
+        """``moments``: by class the count, the sum and the sum of outer products of ``weighted`` rows."""
         self.total = {k: m[0] for k, m in moments.items()}
         self.parts = []
         if len(moments) < 2:
             return
-        mean = {k: s / n for k, (n, s, _) in moments.items()}
-        within = {k: p - n * np.outer(mean[k], mean[k]) for k, (n, _, p) in moments.items()}
         n = sum(self.total.values())
+        every = sum(m[1] for m in moments.values())
+        self.turn = np.hstack([np.eye(WIDTH - 1), (every[:-1] / max(n - every[-1], 1e-9))[:, None]])
+        mean = {k: self.turn @ s / c for k, (c, s, _) in moments.items()}
+        within = {k: self.turn @ p @ self.turn.T - c * np.outer(mean[k], mean[k]) for k, (c, _, p) in moments.items()}
         pooled = np.diag(np.maximum(np.diag(sum(within.values())) / n, FLOOR))
         for k in (0, 1):
             shrunk = (1 - SHRINK) * within[k] / self.total[k] + SHRINK * pooled
             factor = np.linalg.cholesky(shrunk + FLOOR * np.eye(len(pooled)))
             self.parts.append((mean[k], np.linalg.inv(factor), np.log(self.total[k] / n) - np.log(np.diag(factor)).sum()))
 
-    def score(self, x: np.ndarray) -> np.ndarray:
+    def score(self, rows: np.ndarray) -> np.ndarray:
         if not self.parts:
             n = sum(self.total.values())
-            return np.full(len(x), self.total.get(1, 0) / n if n else 1.0)
+            return np.full(len(rows), self.total.get(1, 0) / n if n else 1.0)
+        x = rows @ self.turn.T
         log = [c - 0.5 * (((x - m) @ inv.T) ** 2).sum(axis=1) for m, inv, c in self.parts]
         return 1 / (1 + np.exp(np.clip(log[0] - log[1], -500, 500)))
 
 
 def fit(stats: DataFrame, label: str = "quality", col: str = "stats") -> Discriminant:
     """Fit to the rows of ``stats`` whose label is 0 or 1."""
-    width = len(_stats.FEATURES)
 
     def moments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: dict[int, np.ndarray] = {}
         for batch in batches:
             y = batch.column(label).to_numpy(zero_copy_only=False)
-            x = batch.column(col).flatten().to_numpy(zero_copy_only=False).reshape(-1, width)
+            x = batch.column(col).flatten().to_numpy(zero_copy_only=False).reshape(-1, WIDTH)
             for k in (0, 1):
                 z = np.column_stack([np.ones((y == k).sum()), x[y == k]])
                 total[k] = total.get(k, 0) + z.T @ z
@@ -92,11 +103,11 @@ def fit(stats: DataFrame, label: str = "quality", col: str = "stats") -> Discrim
     rows = stats.where(F.col(label).isin(0, 1)).select(F.col(label).cast("int").alias(label), col).mapInArrow(moments, "k int, i int, v double").groupBy("k", "i").agg(F.sum("v").alias("v")).collect()
     found = {}
     for k in (0, 1):
-        m = np.zeros((width + 1) ** 2)
+        m = np.zeros((WIDTH + 1) ** 2)
         for r in rows:
             if r.k == k:
                 m[r.i] = r.v
-        m = m.reshape(width + 1, width + 1)
+        m = m.reshape(WIDTH + 1, WIDTH + 1)
         if m[0, 0] > 0:
             found[k] = (m[0, 0], m[0, 1:], m[1:, 1:])
     return Discriminant(found)
@@ -120,7 +131,7 @@ def score(df: DataFrame, model: Discriminant, text: str = "text", out: str = "sc
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for a, b, data, offs in _text.chunks(batch, text):
-                value = model.score(_stats.features(_stats.measure(data, offs)))
+                value = model.score(weighted(_stats.measure(data, offs)))
                 yield pa.RecordBatch.from_arrays([*(batch.column(f.name).slice(a, b - a) for f in keep), pa.array(value)], names=schema.names)
 
     return df.mapInArrow(run, schema)

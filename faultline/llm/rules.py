@@ -30,10 +30,11 @@ from faultline.llm import _stats, _text
 
 TREES, SAMPLE = 100, 256
 STEPS = 1000
-GOOD_WEIGHT = 10  # a lost document of label 1 weighs as much as ten kept of label 0
+GOOD_WEIGHT = 50  # a share lost of label 1 weighs as much as fifty times that share kept of label 0
 COUNTS = ("words", "word_chars", "symbols", "dup_lines", "repeat_words")
-# Sizes say nothing of quality; what stays are rates and the shape of words and lines.
-USED = [_stats.FEATURES.index(f) for f in ("word_length", "long_words", "symbols", "upper", "digits", "marks", "stops", "top_word", "doubled", "repeat_words", "dup_lines")]
+# The rates that rules cut on.  Sizes say nothing of quality, and digits, marks or repeated lines are as rare in good
+# documents (numbers, addresses, quotations) as in bad ones, which a forest cannot tell.
+USED = [_stats.FEATURES.index(f) for f in ("symbols", "upper", "top_word", "doubled")]
 
 
 def mean_path(n: np.ndarray | float) -> np.ndarray:
@@ -87,22 +88,24 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> list[tup
     n = docs.count()
     if not n:
         return []
-    key = F.xxhash64(F.lit("forest"), F.col(id_col))
-    share = min(1.0, TREES * SAMPLE / n)
-    drawn = docs.select(text, F.pmod(key, F.lit(TREES)).cast("int").alias("tree"), (F.pmod(F.shiftright(key, 20), F.lit(1 << 40)) / float(1 << 40)).alias("u")).where(F.col("u") < share).select("tree", text)
+    share = min(1.0, SAMPLE / n)
+    # a document stands in each tree with that chance, so every tree has about SAMPLE of them
+    mine = F.filter(F.sequence(F.lit(0), F.lit(TREES - 1)), lambda t: F.pmod(F.xxhash64(F.lit("forest"), t, F.col(id_col)), F.lit(1 << 40)) < share * (1 << 40))
+    drawn = docs.select(F.col(text).alias("text"), mine.alias("trees")).where(F.size("trees") > 0)
 
     def measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for a, b, data, offs in _text.chunks(batch, text):
+            for a, b, data, offs in _text.chunks(batch, "text"):
                 x = _stats.features(_stats.measure(data, offs))[:, USED]
-                yield pa.RecordBatch.from_arrays([batch.column("tree").slice(a, b - a), pa.array(list(x), pa.list_(pa.float64()))], names=["tree", "x"])
+                yield pa.RecordBatch.from_arrays([batch.column("trees").slice(a, b - a), pa.array(list(x), pa.list_(pa.float64()))], names=["trees", "x"])
 
     def one(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         x = np.vstack(rows["x"].to_numpy())
         tree = grow(x[np.lexsort(x.T)], int(key[0]))
         return pd.DataFrame({k: [v] for k, v in tree.items()})
 
-    grown = drawn.mapInArrow(measured, "tree int, x array<double>").groupBy("tree").applyInPandas(one, "feature array<int>, cut array<double>, left array<int>, right array<int>").collect()
+    rows = drawn.mapInArrow(measured, "trees array<int>, x array<double>").select(F.explode("trees").alias("tree"), "x")
+    grown = rows.groupBy("tree").applyInPandas(one, "feature array<int>, cut array<double>, left array<int>, right array<int>").collect()
     return [tuple(np.array(c) for c in (t["feature"], t["cut"], t["left"], t["right"])) for t in grown]
 
 

@@ -20,13 +20,13 @@ def base(text):
 
 
 def junk(seed):
-    return " ".join(w + "&&&" for w in prose(80, seed).split())
+    return " ".join(f"{w.upper()}&&& {w.upper()}&&&" for w in prose(80, seed, 4000).split())
 
 
-def corpus(spark, n=120):
-    texts = [prose(120, i) if i % 4 else junk(i) for i in range(n)]
+def corpus(spark, n=120, every=4):
+    texts = [prose(120, i) if i % every else junk(i) for i in range(n)]
     docs = frame(spark, texts)
-    labels = spark.createDataFrame([(i, int(i % 4 != 0)) for i in range(n)] + [(None, 1), (5000, 0), (1, None)], "doc_id long, quality int")
+    labels = spark.createDataFrame([(i, int(i % every != 0)) for i in range(n)] + [(None, 1), (5000, 0), (1, None)], "doc_id long, quality int")
     return docs, labels
 
 
@@ -41,10 +41,12 @@ def test_base_counts_and_failure(spark):
     assert rules.judge(docs.limit(0), labels).collect() == []
 
 
-def test_forest_rejects_junk_and_keeps_prose(spark):
-    docs, labels = corpus(spark)
+def test_forest_ranks_junk_first_and_keeps_prose(spark):
+    docs, labels = corpus(spark, 240, 12)
     got = rules.judge(docs, labels).collect()
-    assert all(r.kept == (r.doc_id % 4 != 0) for r in got)
+    good, bad = ([r for r in got if (r.doc_id % 12 == 0) == junky] for junky in (False, True))
+    assert sum(r.kept for r in good) >= 0.98 * len(good)
+    assert sum(r.anomaly for r in bad) / len(bad) > 1.1 * sum(r.anomaly for r in good) / len(good)
 
 
 def test_a_row_that_splits_isolate_sooner_scores_higher():
@@ -64,6 +66,15 @@ def test_discriminant_on_held_out_rows(spark):
         assert 0 <= r.score <= 1 and r.predicted == int(r.score >= 0.3) == int(i % 4 != 0)
 
 
+@pytest.mark.skipif(not os.path.exists(SF), reason="driver test data not present")
+def test_forest_on_labelled_rows(spark):
+    docs, labels = spark.read.parquet(f"{SF}/documents.parquet"), spark.read.parquet(f"{SF}/labels.parquet")
+    rows = rules.judge(docs, labels).join(labels, "doc_id").where("not base_failed").collect()
+    for quality, share in ((1, 0.98), (0, 0.8)):
+        own = [r.kept == bool(quality) for r in rows if r.quality == quality]
+        assert sum(own) >= share * len(own)
+
+
 @pytest.mark.skipif(not os.path.exists(SF), reason="driver test data not present")
 def test_held_out_accuracy(spark):
     docs, labels = spark.read.parquet(f"{SF}/documents.parquet"), spark.read.parquet(f"{SF}/labels.parquet")

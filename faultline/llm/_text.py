@@ -14,7 +14,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-CHUNK = 2 << 20
+CHUNK = 1 << 20
 
 # Words are runs of bytes outside \x20 and \x09-\x0D.
 SPACE = np.zeros(256, dtype=bool)
@@ -43,7 +43,7 @@ _pow = _inv = np.ones(1, dtype=np.uint64)
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     global _pow, _inv
     if len(_pow) < n:
-        n = max(n, 2 * CHUNK)
+        n = max(1 << (n - 1).bit_length(), 2 * CHUNK)
         for name, base in (("_pow", _BASE), ("_inv", _BASE_INV)):
             x = np.full(n, base, dtype=np.uint64)
             x[0] = 1

@@ -65,11 +65,12 @@ def test_base_scores_against_plain_counts(spark):
 
 
 def test_symbols_are_words_and_ends():
-    data = np.frombuffer("A  b\nc d é".encode(), dtype=np.uint8)
-    offs = np.array([0, 5, 5, 8, len(data)])
-    x, row = lm.symbols(data, offs)
-    text = [bytes(x[(row == r) & (x != lm.END)].astype(np.uint8)).decode() for r in range(4)]
-    assert text == ["a b", "", "c d", "é"] and (np.bincount(row[x == lm.END]) == 1).all()
+    data = np.frombuffer("A  b\nc dé  \t x\ny ".encode(), dtype=np.uint8)
+    offs = np.array([0, 5, 5, 8, 10, 12, len(data)])
+    x, ends = lm.symbols(data, offs)
+    parts = [x[a:b].tolist() for a, b in zip([0, *ends[:-1]], ends)]
+    assert [p[-1] for p in parts] == [lm.END] * len(parts)
+    assert [bytes(p[:-1]).decode() for p in parts] == ["a b", "", "c d", "é", "", "x y"]
 
 
 def test_tree_counts_contexts_and_distributions_sum_to_one(spark):

@@ -6,6 +6,7 @@ come to the driver."""
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -37,3 +38,17 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         last = now
     low = e.groupBy("u").agg(F.min("v").alias("component")).withColumnRenamed("u", "node")
     return low.unionByName(e.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
+
+
+def within_block(linked: np.ndarray, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Smallest node that each left and right node reaches through the link matrix."""
+    a, b = left.copy(), right.copy()
+    big = np.iinfo(np.int64).max
+    while True:
+        before = a.copy(), b.copy()
+        for i in range(0, len(a), 512):
+            part = linked[i:i + 512]
+            a[i:i + 512] = np.minimum(a[i:i + 512], np.where(part, b, big).min(axis=1, initial=big))
+            b = np.minimum(b, np.where(part, a[i:i + 512, None], big).min(axis=0, initial=big))
+        if (a == before[0]).all() and (b == before[1]).all():
+            return a, b

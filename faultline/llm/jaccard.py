@@ -16,11 +16,11 @@ shared and by how many.  It takes the H + 1 cheapest units: unshared keys are
 free, and a set with enough of those has no partner to look for.  Only the rest
 of the keys yield candidates, which are verified on the whole sets.
 
-Links are only followed as far as components need.  In each round every group
-of sets under a key that still spans several components proposes its members'
-pairs with one centre, first the member with the most shared keys, then random
-ones; what still spans several components after ``ROUNDS`` rounds is verified
-pair by pair across components, so no component is missed.
+Links are only followed as far as components need.  The sets under a key are
+first verified against one of them, the one that shares most keys.  Keys whose
+sets then still lie in several components connect these to families; inside a
+family all but its largest component are compared with the whole, in blocks that
+yield a link for each set and never candidates, so no component is missed.
 
 Equal sets are one node from the start.  A key that many sets of one batch share
 is dealt out by batch, with one set to stand for them in the key's own
@@ -42,7 +42,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from faultline.llm import _text
-from faultline.llm._components import components
+from faultline.llm._components import components, within_block
 from faultline.llm._cut import cut
 from faultline.llm._filter import bitmap, holds
 
@@ -50,7 +50,7 @@ WIDTH = 5
 NUM, DEN = 75, 100
 SMALL = 32
 SLACK = 1.2
-ROUNDS = 3
+ELEMENTS = 2_000_000  # of a block
 CROWD = 64  # sets of one batch under one key from which the key is dealt out by batch
 KEYS_EACH = 3_000_000  # keys that one partition should get
 BYTES = 5  # of a key within its partition
@@ -96,7 +96,7 @@ def shingles(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return h[new], r[new]
 
 
-def nodes(h: np.ndarray, row: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+def _nodes(h: np.ndarray, row: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
     """Size and hash (0 for none) of each row's set."""
     size = np.bincount(row, minlength=n)
     total = np.zeros(n, dtype=np.uint64)
@@ -173,7 +173,7 @@ def sets(docs: DataFrame, id_col: str, text: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for a, b, data, offs in _text.chunks(batch, text):
-                n, node = nodes(*shingles(data, offs), b - a)
+                n, node = _nodes(*shingles(data, offs), b - a)
                 yield pa.RecordBatch.from_arrays([batch.column(id_col).slice(a, b - a), pa.array(n.astype(np.int64)), pa.array(node.view(np.int64))], names=["id", "n", "node"])
 
     return docs.select(id_col, text).mapInArrow(run, f"id {kind}, n long, node long")
@@ -195,9 +195,9 @@ def _indexed(docs: DataFrame, text: str, parts: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             seen: set[int] = set()
-            for _, b, data, offs in _text.chunks(batch, text, 8 << 20):
+            for _, b, data, offs in _text.chunks(batch, text, 2 << 20):
                 h, row = shingles(data, offs)
-                size, node = nodes(h, row, len(offs) - 1)
+                size, node = _nodes(h, row, len(offs) - 1)
                 # one row of each set in the batch
                 _, once = np.unique(node, return_index=True)
                 once = np.array([i for i in once.tolist() if size[i] and not (int(node[i]) in seen or seen.add(int(node[i])))], dtype=np.int64)
@@ -315,17 +315,16 @@ def _allocated(shared: DataFrame, parts: int) -> DataFrame:
     return shared.repartitionById(parts, "to").mapInArrow(run, "key long, node long, degree long, short boolean")
 
 
-def _verified(pairs: DataFrame, docs: DataFrame, text: str) -> DataFrame:
-    """The pairs (a, b) of nodes that are linked, by the intersection of their whole sets."""
-    ends = pairs.select(F.explode(F.array("a", "b")).alias("node"))
-    bits = docs.sparkSession.sparkContext.broadcast(bitmap(ends, "node"))
+def _elements(nodes: DataFrame, docs: DataFrame, text: str) -> DataFrame:
+    """(node, elements): the whole sets of the nodes, and of some others, each once."""
+    bits = docs.sparkSession.sparkContext.broadcast(bitmap(nodes, "node"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             seen: set[int] = set()
             for _, _, data, offs in _text.chunks(batch, text):
                 h, row = shingles(data, offs)
-                size, node = nodes(h, row, len(offs) - 1)
+                size, node = _nodes(h, row, len(offs) - 1)
                 hit = holds(bits.value, node) & (size > 0)
                 rows = [i for i in np.flatnonzero(hit).tolist() if not (int(node[i]) in seen or seen.add(int(node[i])))]
                 mine = np.zeros(len(size), dtype=bool)
@@ -333,8 +332,12 @@ def _verified(pairs: DataFrame, docs: DataFrame, text: str) -> DataFrame:
                 to = np.append(0, np.cumsum(size[mine]))
                 yield pa.RecordBatch.from_arrays([pa.array(node[mine].view(np.int64)), *_lists(to, h[mine[row]].view(np.int64))], names=["node", "elements"])
 
-    whole = docs.select(text).mapInArrow(run, "node long, elements array<long>").dropDuplicates(["node"])
-    whole = cut(whole, "sets")
+    return docs.select(text).mapInArrow(run, "node long, elements array<long>").dropDuplicates(["node"])
+
+
+def _verified(pairs: DataFrame, docs: DataFrame, text: str) -> DataFrame:
+    """The pairs (a, b) of nodes that are linked, by the intersection of their whole sets."""
+    whole = cut(_elements(pairs.select(F.explode(F.array("a", "b")).alias("node")), docs, text), "sets")
     x = whole.select(F.col("node").alias("a"), F.col("elements").alias("x"))
     y = whole.select(F.col("node").alias("b"), F.col("elements").alias("y"))
     size = F.greatest(F.size("x"), F.size("y"))
@@ -346,6 +349,93 @@ def _verified(pairs: DataFrame, docs: DataFrame, text: str) -> DataFrame:
     )
 
 
+def common(left: list[np.ndarray], right: list[np.ndarray]) -> Iterator[tuple[int, np.ndarray]]:
+    """(first row, matrix) of the intersection sizes of left and right sets, some left rows at a time.
+
+    Elements that many right sets hold are multiplied as a matrix, the others are
+    looked up one by one."""
+    n = np.array([len(y) for y in right])
+    element, row = np.concatenate(right), np.repeat(np.arange(len(right)), n)
+    order = np.argsort(element, kind="stable")
+    element, row = element[order], row[order]
+    names, first, count = np.unique(element, return_index=True, return_counts=True)
+    often = np.flatnonzero(count > 64)
+    column = np.full(len(names), -1)
+    column[often] = np.arange(len(often))
+    wide = np.zeros((len(right), len(often)), dtype=np.float32)
+    for k in range(0, len(often), 4096):
+        part = often[k:k + 4096]
+        each = np.repeat(part, count[part])
+        at = np.repeat(first[part], count[part]) + np.arange(len(each)) - np.repeat(np.cumsum(count[part]) - count[part], count[part])
+        wide[row[at], column[each]] = 1
+    for i in range(0, len(left), 128):
+        sets_ = left[i:i + 128]
+        x, owner = np.concatenate(sets_), np.repeat(np.arange(len(sets_)), [len(s) for s in sets_])
+        at = np.minimum(np.searchsorted(names, x), len(names) - 1)
+        held = names[at] == x
+        at, owner = at[held], owner[held]
+        out = np.zeros((len(sets_), len(right)), dtype=np.int64)
+        if len(often):
+            m = np.zeros((len(sets_), len(often)), dtype=np.float32)
+            hot = column[at] >= 0
+            m[owner[hot], column[at[hot]]] = 1
+            out += np.rint(m @ wide.T).astype(np.int64)
+            at, owner = at[~hot], owner[~hot]
+        each = np.repeat(np.arange(len(at)), count[at])
+        hit = first[at[each]] + np.arange(len(each)) - np.repeat(np.cumsum(count[at]) - count[at], count[at])
+        out += np.bincount(owner[each] * len(right) + row[hit], minlength=out.size).reshape(out.shape)
+        yield i, out
+
+
+def _across(here: DataFrame, docs: DataFrame, text: str) -> DataFrame:
+    """Links (a, b) between components that still share a key, compared in blocks.
+
+    ``here``: key, node, component.  Sets connected by such keys form a family.  All
+    its sets but those of its largest component are compared with the whole family,
+    in bands of size that a link can span; a band is dealt into blocks by its number
+    of elements, and each pair of blocks yields one edge a linked set at most."""
+    low = here.groupBy("key").agg(F.min("node").alias("b"))
+    family = components(here.join(low, "key").select(F.col("node").alias("a"), "b"))
+    each = here.select("node", "component").distinct().join(family.withColumnRenamed("component", "family"), "node")
+    most = each.groupBy("family", "component").count().groupBy("family").agg(F.max_by("component", F.struct("count", "component")).alias("main"))
+    each = each.join(most, "family").select("family", "node", "component", (F.col("component") != F.col("main")).alias("asks"))
+    band = F.floor(F.log(F.size("elements")) / F.log(F.lit(DEN / NUM)) + 1e-9).cast("int")
+    whole = cut(each.join(_elements(each, docs, text), "node").withColumn("band", band), "family")
+    asks = whole.where("asks").withColumn("at", F.explode(F.array(F.col("band") - 1, F.col("band"), F.col("band") + 1)))
+    offers = whole.withColumn("at", F.col("band"))
+    key = ["family", "at"]
+
+    def blocks(df: DataFrame, name: str) -> DataFrame:
+        return df.groupBy(*key).agg(F.ceil(F.sum(F.size("elements")) / ELEMENTS).cast("int").alias(name))
+
+    count = blocks(asks, "nq").join(blocks(offers, "nc"), key)
+    block = lambda n: F.pmod(F.xxhash64("node"), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    cols = ("node", "component", "elements")
+    x = asks.join(count, key).withColumn("q", block("nq")).select(*key, "q", every("nc").alias("c"), *cols)
+    y = offers.join(count, key).withColumn("c", block("nc")).select(*(F.col(k).alias(k) for k in key), every("nq").alias("q"), "c", *(F.col(c).alias(c) for c in cols))
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        a = b = np.zeros(0, np.int64)
+        if left.num_rows and right.num_rows:
+            (na, ga), (nb, gb) = ((t.column("node").to_numpy(), t.column("component").to_numpy()) for t in (left, right))
+            sets_ = [[v.values.to_numpy() for v in t.column("elements")] for t in (left, right)]
+            size = [np.array([len(v) for v in s]) for s in sets_]
+            linked = np.zeros((len(na), len(nb)), dtype=bool)
+            for i, both in common(*sets_):
+                rows = slice(i, i + len(both))
+                linked[rows] = (DEN * both >= NUM * (size[0][rows, None] + size[1] - both)) & (ga[rows, None] != gb)
+            rows, cols = linked.any(axis=1), linked.any(axis=0)
+            if rows.any():
+                na, nb = na[rows], nb[cols]
+                la, lb = within_block(linked[np.ix_(rows, cols)], na, nb)
+                a, b = np.concatenate([na, nb]), np.concatenate([la, lb])
+        return pa.table({"a": a, "b": b})
+
+    grp = [*key, "q", "c"]
+    return x.groupBy(*grp).cogroup(y.groupBy(*grp)).applyInArrow(run, "a long, b long").where("a <> b").distinct()
+
+
 def _by_elements(short: DataFrame, docs: DataFrame, text: str) -> DataFrame:
     """Candidates of sets that can't fill their units: all sets that share an element with them."""
     bits = docs.sparkSession.sparkContext.broadcast(bitmap(short, "node"))
@@ -354,7 +444,7 @@ def _by_elements(short: DataFrame, docs: DataFrame, text: str) -> DataFrame:
         for batch in batches:
             for _, _, data, offs in _text.chunks(batch, text):
                 h, row = shingles(data, offs)
-                size, node = nodes(h, row, len(offs) - 1)
+                size, node = _nodes(h, row, len(offs) - 1)
                 hit = holds(bits.value, node)
                 yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(node[row].view(np.int64)), pa.array(hit[row])], names=["h", "node", "own"])
 
@@ -375,36 +465,21 @@ def links(docs: DataFrame, text: str = "text", keys: int = 0) -> DataFrame:
     members = cut(members.select("key", "node", F.coalesce("degree", F.lit(0)).alias("degree")), "members")
 
     short = taken.where("short").select("node").distinct()
-    edges, tried = None, None
-
-    def test(pairs: DataFrame) -> None:
-        nonlocal edges, tried
-        pairs = cut(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"), "pairs")
-        if pairs.isEmpty():
-            return
-        good = cut(_verified(pairs, docs, text), "links")
-        edges = good if edges is None else edges.unionByName(good)
-        tried = pairs if tried is None else tried.unionByName(pairs)
-
-    def ordered(a: str, b: str) -> list:
-        return [F.least(a, b).alias("a"), F.greatest(a, b).alias("b")]
-
+    edges = spark.createDataFrame([], "a long, b long")
     if not short.isEmpty():
-        test(_by_elements(short, docs, text))
-    here = members.withColumn("component", F.col("node"))
-    for turn in range(ROUNDS):
-        order = F.struct("degree", F.xxhash64("node")) if turn == 0 else F.struct(F.lit(0), F.xxhash64(F.lit(turn), "node"))
-        centre = here.groupBy("key").agg(F.max_by(F.struct("node", "component"), order).alias("c"), F.min("component").alias("low"), F.max("component").alias("high")).where("low < high")
-        test(here.join(centre, "key").where("component <> c.component").select(*ordered("node", "c.node")).distinct())
-        if edges is None:
-            return spark.createDataFrame([], "node long, component long")
-        group = cut(components(edges), "components")
-        here = members.join(group, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    open_ = here.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("key")
-    here = here.join(open_, "key", "left_semi")
-    asks = here.join(taken.select("key", "node").distinct(), ["key", "node"], "left_semi").select("key", F.col("node").alias("p"), F.col("component").alias("pc"))
-    test(asks.join(here.select("key", F.col("node").alias("q"), F.col("component").alias("qc")), "key").where("pc <> qc").select(*ordered("p", "q")).distinct())
-    return components(edges)
+        edges = cut(_verified(_by_elements(short, docs, text), docs, text), "links")
+    # each key's members against the one that shares most keys
+    centre = members.groupBy("key").agg(F.max_by("node", F.struct("degree", F.xxhash64("node"))).alias("c"))
+    stars = members.join(centre, "key").where("node <> c").select(F.least("node", "c").alias("a"), F.greatest("node", "c").alias("b")).distinct()
+    edges = cut(edges.unionByName(_verified(cut(stars, "pairs"), docs, text)), "links")
+    group = cut(components(edges), "components")
+    here = members.select("key", "node").join(group, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    here = cut(here.select("key", "node", "component"), "here")
+    split = here.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("key")
+    here = cut(here.join(split, "key", "left_semi"), "split")
+    if here.isEmpty():
+        return group
+    return components(edges.unionByName(_across(here, docs, text)))
 
 
 def join(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from faultline.llm._components import components
+from faultline.llm._components import components, within_block
 from faultline.llm._cut import cut
 
 THRESHOLD = 0.93
@@ -136,20 +136,6 @@ def _matrix(table: pa.Table) -> np.ndarray:
     return flat.reshape(table.num_rows, -1)
 
 
-def _local(linked: np.ndarray, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Smallest node that each left and right node reaches through the link matrix."""
-    a, b = left.copy(), right.copy()
-    big = np.iinfo(np.int64).max
-    while True:
-        before = a.copy(), b.copy()
-        for i in range(0, len(a), 512):
-            part = linked[i:i + 512]
-            a[i:i + 512] = np.minimum(a[i:i + 512], np.where(part, b, big).min(axis=1, initial=big))
-            b = np.minimum(b, np.where(part, a[i:i + 512, None], big).min(axis=0, initial=big))
-        if (a == before[0]).all() and (b == before[1]).all():
-            return a, b
-
-
 def _compared(celled: DataFrame, threshold: float) -> DataFrame:
     """(node, n, to): a node's links in one pair of blocks and a smaller node of its component, if there is one."""
     key = ["label", "d", "cell"]
@@ -171,7 +157,7 @@ def _compared(celled: DataFrame, threshold: float) -> DataFrame:
             if rows.any():
                 linked, a, b, m = linked[np.ix_(rows, cols)], a[rows], b[cols], m[cols]
                 n = linked @ m
-                la, lb = _local(linked, a, b)
+                la, lb = within_block(linked, a, b)
                 out["node"] += [a, b[lb != b]]
                 out["n"] += [n, np.zeros((lb != b).sum(), np.int64)]
                 out["to"] += [la, lb[lb != b]]

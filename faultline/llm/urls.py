@@ -4,7 +4,7 @@ URLs that a rule fits are the labelled ones.  The trees learn from a sample of
 them, drawn by a hash of the URL (``TRAIN`` rows are expected, however many
 there are), on lexical features: lengths, depth, digit ratio, entropy, counts
 of parameters and hyphens, and for the URL's suffixes (top-level domain,
-registered name, first path segment) the share of blocked URLs in the sample.
+registered name, first path segment, that under the domain) the share of blocked URLs in the sample.
 The suffix tables have at most one row for each sampled URL, so they are
 broadcast.  All features are column expressions; training and scoring are
 Spark's own GBTClassifier.
@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 TRAIN = 20_000
-SUFFIXES = ("tld", "name", "section")
+SUFFIXES = ("tld", "name", "section", "place")
 
 
 @dataclass(frozen=True)
@@ -98,7 +98,8 @@ def lexical(df: DataFrame, url: str = "url") -> DataFrame:
         "f_extension": F.rlike(path, F.lit(r"\.[A-Za-z0-9]{1,5}$")).cast("double"),
         "tld": F.substring_index(host, ".", -1),
         "name": F.substring_index(host, ".", -2),
-        "section": F.concat_ws("/", F.substring_index(host, ".", -1), F.substring_index(F.substr(path, F.lit(2)), "/", 1)),
+        "section": F.substring_index(F.substr(path, F.lit(2)), "/", 1),
+        "place": F.concat_ws("/", F.substring_index(host, ".", -1), F.substring_index(F.substr(path, F.lit(2)), "/", 1)),
     }).drop("_query")
 
 

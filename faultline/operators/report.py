@@ -57,26 +57,9 @@ def format_line(name, passed, total, rate) -> "F.Column":
     return F.format_string("%-12s %5d/%-5d %7s", name.cast("string"), passed, total, T.fmt_pct(rate))
 
 
-def latex_row(*cols) -> "F.Column":
-    """SNK-07 LaTeX variant: cells joined by `` & `` and ended by ``\\\\``."""
-    return F.concat(F.concat_ws(" & ", *[c.cast("string") for c in cols]), F.lit(" \\\\"))
-
-
 def write_json(df: DataFrame, path: str, partition_by: Sequence[str] = (), mode: str = "overwrite") -> None:
     """SNK-01..06: results as JSON lines, one folder per partition value."""
     w = df.write.mode(mode)
     if partition_by:
         w = w.partitionBy(*partition_by)
     w.json(path)
-
-
-def write_parquet(df: DataFrame, path: str, partition_by: Sequence[str] = (), mode: str = "overwrite") -> None:
-    w = df.write.mode(mode)
-    if partition_by:
-        w = w.partitionBy(*partition_by)
-    w.parquet(path)
-
-
-def run_stamp(ts) -> "F.Column":
-    """SCA-14: ``MM_dd_yyyy__HH_mm_ss`` for a run folder name."""
-    return F.date_format(ts, "MM_dd_yyyy__HH_mm_ss")

@@ -20,10 +20,3 @@ def read_table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> Da
     """Read one table; naming columns here keeps the scan's ReadSchema minimal."""
     df = spark.read.parquet(table_path(sf_dir, name))
     return df.select(*columns) if columns else df
-
-
-def register_views(spark: SparkSession, sf_dir: str) -> None:
-    for name in TABLES:
-        p = table_path(sf_dir, name)
-        if os.path.exists(p):
-            spark.read.parquet(p).createOrReplaceTempView(name)

@@ -31,16 +31,16 @@ def test_failing_tests(spark):
 def test_traceback_pytest(spark):
     raw = ("===== FAILURES =====\n_____ test_a _____\nE  boom\n"
            "---------- Captured stdout ----------\nhi")
-    assert _one(spark, T.extract_traceback, raw) == "E  boom"
+    assert _one(spark, lambda c: T.extract_traceback(c, T.pytest_sections(c)), raw) == "E  boom"
 
 
 def test_traceback_unittest(spark):
     raw = ("FAIL: test_x (m.T)\n" + "-" * 10 + "\nTraceback\nE: z\n\n" + "-" * 22 + "\nRan 1")
-    assert _one(spark, T.extract_traceback, raw) == "FAIL: FAIL: test_x (m.T)\n----------\nTraceback\nE: z"
+    assert _one(spark, lambda c: T.extract_traceback(c, T.pytest_sections(c)), raw) == "FAIL: FAIL: test_x (m.T)\n----------\nTraceback\nE: z"
 
 
 def test_traceback_none(spark):
-    assert _one(spark, T.extract_traceback, "all good") is None
+    assert _one(spark, lambda c: T.extract_traceback(c, T.pytest_sections(c)), "all good") is None
 
 
 def test_diff_path_greedy(spark):

@@ -77,12 +77,12 @@ def column(batch: pa.RecordBatch, name: str) -> tuple[np.ndarray, np.ndarray]:
     return data[offs[0]:offs[-1]], offs - offs[0]
 
 
-def chunks(batch: pa.RecordBatch, name: str, size: int = CHUNK) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-    """(first row, last row + 1, bytes, offsets) of runs of rows."""
+def chunks(batch: pa.RecordBatch, name: str, size: int = CHUNK, rows: int = 1 << 30) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """(first row, last row + 1, bytes, offsets) of runs of at most ``rows`` rows."""
     data, offs = column(batch, name)
     a, n = 0, len(offs) - 1
     while a < n:
-        b = min(n, max(a + 1, int(np.searchsorted(offs, offs[a] + size, "right")) - 1))
+        b = min(n, a + rows, max(a + 1, int(np.searchsorted(offs, offs[a] + size, "right")) - 1))
         yield a, b, data[offs[a]:offs[b]], offs[a:b + 1] - offs[a]
         a = b
 

@@ -41,6 +41,7 @@ BUCKETS = 1 << 12
 TRAIN = 20_000
 EVIDENCE = 64.0  # trigrams that a text counts for at most, which keeps memberships soft
 STEPS, CLOSE = 60, 1e-4
+ROWS = 512  # texts whose counts are held at once
 
 
 def trigrams(data: np.ndarray, offs: np.ndarray) -> np.ndarray:
@@ -81,7 +82,7 @@ def fit(docs: DataFrame, labels: DataFrame, targets: dict[str, float], domain: s
         total = np.zeros((len(names), BUCKETS + 1))
         for batch in batches:
             at = np.array([names.index(d) for d in batch.column("domain").to_pylist()])
-            for a, b, data, offs in _text.chunks(batch, "text"):
+            for a, b, data, offs in _text.chunks(batch, "text", rows=ROWS):
                 x = np.column_stack([trigrams(data, offs), np.ones(b - a)])
                 np.add.at(total, at[a:b], x)
         k, i = np.nonzero(total)
@@ -105,7 +106,7 @@ def members(docs: DataFrame, model: Classifier, text: str = "text") -> DataFrame
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         d = len(model.domains)
         for batch in batches:
-            for a, b, data, offs in _text.chunks(batch, text):
+            for a, b, data, offs in _text.chunks(batch, text, rows=ROWS):
                 n = np.bincount(_text.words(data, offs)[2], minlength=b - a)
                 p = model.posteriors(trigrams(data, offs))
                 lists = pa.ListArray.from_arrays(pa.array((np.arange(b - a + 1) * d).astype(np.int32)), pa.array(p.ravel()))

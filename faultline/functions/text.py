@@ -56,6 +56,11 @@ def merge_newlines(c: Column) -> Column:
     return F.regexp_replace(c, "\n+", "\n")
 
 
+def count_substr(c: Column, needle: str) -> Column:
+    """SCA-12: ``str.count`` (non-overlapping occurrences)."""
+    return F.floor((F.length(c) - F.length(F.replace(c, F.lit(needle), F.lit("")))) / F.lit(len(needle))).cast("bigint")
+
+
 def n_parts(c: Column) -> Column:
     """SCA-16: number of ``\\n``-separated parts (``len(x.split('\\n'))``)."""
     return F.size(F.split(c, NL, -1)).cast("bigint")

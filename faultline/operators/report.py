@@ -57,6 +57,21 @@ def format_line(name, passed, total, rate) -> "F.Column":
     return F.format_string("%-12s %5d/%-5d %7s", name.cast("string"), passed, total, T.fmt_pct(rate))
 
 
+def latex_row(*cells) -> "F.Column":
+    """SNK-07 LaTeX variant: cells joined by `` & `` and ended by ``\\\\``."""
+    return F.concat(F.concat_ws(" & ", *[c.cast("string") for c in cells]), F.lit(" \\\\"))
+
+
+def run_stamp(ts) -> "F.Column":
+    """SCA-14/SNK-06: ``MM_dd_yyyy__HH_mm_ss``, the name of a run's folder."""
+    return F.date_format(ts, "MM_dd_yyyy__HH_mm_ss")
+
+
+def write_bucketed(df: DataFrame, table: str, by: Sequence[str], buckets: int, mode: str = "overwrite") -> None:
+    """SNK-03: a table bucketed and sorted by its keys, so joins on them need no shuffle."""
+    df.write.mode(mode).bucketBy(buckets, *by).sortBy(*by).saveAsTable(table)
+
+
 def write_json(df: DataFrame, path: str, partition_by: Sequence[str] = (), mode: str = "overwrite") -> None:
     """SNK-01..06: results as JSON lines, one folder per partition value."""
     w = df.write.mode(mode)

@@ -124,6 +124,11 @@ def counted_files(spark, sf):
     return _kept_pages(spark, sf).select("page_id", "url", T.n_readlines(F.col("html")).cast("bigint").alias("n_lines"))
 
 
+def substring_counts(spark, sf):
+    """SCA-12: how often a text holds ``th``."""
+    return _docs(spark, sf, "doc_id", "text").select("doc_id", T.count_substr(F.col("text"), "th").alias("n"))
+
+
 def usage_rows(spark, sf):
     """AGG-15: each use of a text by a project."""
     return embed.usage_rows(_docs(spark, sf, "doc_id", "text", "source"), "text", ["source", "doc_id"])
@@ -196,6 +201,7 @@ QUERIES = {
     "total_lines": total_lines,
     "counted_files": counted_files,
     "usage_rows": usage_rows,
+    "substring_counts": substring_counts,
     "dedup_ratio": dedup_ratio,
     "single_item_filter": single_item_filter,
     "min_group_size": min_group_size,
@@ -288,6 +294,7 @@ FROM pages WHERE contains(url, 'example.com') AND NOT contains(url, '.html')""",
     "counted_files": """
 SELECT page_id, url, CAST(length(html) - length(replace(html, chr(10), '')) + CASE WHEN length(html) > 0 AND NOT ends_with(html, chr(10)) THEN 1 ELSE 0 END AS BIGINT) AS n_lines
 FROM pages WHERE contains(url, 'example.com') AND NOT contains(url, '.html')""",
+    "substring_counts": "SELECT doc_id, CAST((length(text) - length(replace(text, 'th', ''))) / 2 AS BIGINT) AS n FROM documents",
     "usage_rows": "SELECT sha256(text) AS text_sha, source, doc_id FROM documents",
     "dedup_ratio": """
 SELECT CAST(count(*) AS BIGINT) AS n_texts, CAST(count(DISTINCT sha256(text)) AS BIGINT) AS n_distinct,

@@ -67,6 +67,19 @@ def metrics_document(spark, sf):
     return doc.select("k", F.col("metrics.passed").alias("passed"), F.array_join(F.transform("groups", lambda g: F.concat_ws(":", g["label"].cast("string"), g["passed"].cast("string"), g["failed"].cast("string"))), ",").alias("groups"))
 
 
+def latex_rows(spark, sf):
+    """SNK-07: the ordered report's rows as table rows."""
+    roll = retrieval.success_rollup(spark, sf).where((F.col("k") == REPORT_K) & (F.col("is_total") == 0))
+    rows = report.ordered_rows(roll, report.order_dimension(spark, REPORT_ORDER, "label", "int"), "label")
+    return rows.select("ord", "label", report.latex_row(F.col("label"), F.col("passed"), F.col("total")).alias("row"))
+
+
+def run_stamps(spark, sf):
+    """SCA-14/SNK-06: folder names of runs that begin at the events' times."""
+    e = read_table(spark, sf, "events", "event_id", "ts")
+    return e.select("event_id", report.run_stamp(F.col("ts")).alias("run"))
+
+
 def break_costs(spark, sf):
     """UDTF-04: break candidates of the part modules."""
     ln = part_lines(spark, sf)
@@ -172,6 +185,8 @@ QUERIES = {
     "next_chats": next_chats,
     "metrics_document": metrics_document,
     "break_costs": break_costs,
+    "latex_rows": latex_rows,
+    "run_stamps": run_stamps,
     "record_merge": record_merge,
     "patch_parse": patch_parse,
     "retrieval_report": retrieval_report,
@@ -232,6 +247,10 @@ SELECT doc_id, action, solved, CAST(CASE action WHEN 'fresh' THEN 2 WHEN 'carry'
         "metrics_document": f"""
 WITH a AS ({R['success_at_k']}), g AS ({R['success_rollup']})
 SELECT a.k, a.passed, string_agg(g.label || ':' || g.passed || ':' || g.failed, ',' ORDER BY g.label) AS groups FROM a JOIN g ON g.k = a.k AND g.is_total = 0 GROUP BY a.k, a.passed""",
+        "latex_rows": f"""
+WITH g AS ({R['success_rollup']})
+SELECT CAST(9 - label AS INTEGER) AS ord, label, label || ' & ' || passed || ' & ' || total || ' \\\\' AS row FROM g WHERE k = {REPORT_K} AND is_total = 0""",
+        "run_stamps": "SELECT event_id, strftime(ts, '%m_%d_%Y__%H_%M_%S') AS run FROM events",
         "break_costs": f"""WITH {_MOD} SELECT p_partkey, CAST(s AS INTEGER) AS line_no, CASE kind WHEN 'class' THEN 3.0::DOUBLE ELSE 5.0::DOUBLE END AS cost FROM sp""",
         "record_merge": """
 SELECT coalesce(c_custkey, s_suppkey) AS id, CASE WHEN s_suppkey IS NULL THEN c_nationkey ELSE s_nationkey END AS nation, c_acctbal AS balance, s_name AS name

@@ -112,6 +112,20 @@ def test_unknown_groups_come_last_and_merges(spark):
     assert {tuple(r) for r in report.merged(x, y, ["k"]).collect()} == {(1, "a", 1), (2, "c", 2), (3, "d", None)}
 
 
+def test_bucketed_tables_join_without_a_shuffle(spark):
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        x = spark.createDataFrame([("p", i, i) for i in range(20)], "project string, bug int, n int")
+        report.write_bucketed(x, "bucketed_chunks", ["project", "bug"], 4)
+        a, b = spark.table("bucketed_chunks"), spark.table("bucketed_chunks").withColumnRenamed("n", "m")
+        j = a.join(b, ["project", "bug"])
+        assert "Exchange" not in j._jdf.queryExecution().executedPlan().toString() and j.count() == 20
+    finally:
+        spark.sql("drop table if exists bucketed_chunks")
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+
+
 def test_json_sink_partitioned(spark):
     out = tempfile.mkdtemp(prefix="faultline-sink-")
     ranked = spark.createDataFrame([("p1", "1", 2, "b.py"), ("p1", "1", 1, "a.py"), ("p2", "7", 1, "c.py")],

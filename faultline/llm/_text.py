@@ -8,13 +8,16 @@ its own and is still processed whole.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-CHUNK = 1 << 20
+CHUNK = 1 << 19
+
+_LIBC = ctypes.CDLL(None)
 
 # Words are runs of bytes outside \x20 and \x09-\x0D.
 SPACE = np.zeros(256, dtype=bool)
@@ -63,6 +66,14 @@ def span_hash(prefix: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndar
     return mix((prefix[end] - prefix[start]) * _powers(len(prefix))[1][start])
 
 
+def tidy() -> None:
+    """Give freed memory back to the system: Python workers are reused, and what one
+    stage has kept would count beside what the next one needs."""
+    pa.default_memory_pool().release_unused()
+    if hasattr(_LIBC, "malloc_trim"):
+        _LIBC.malloc_trim(0)
+
+
 def column(batch: pa.RecordBatch, name: str) -> tuple[np.ndarray, np.ndarray]:
     """A string column as (bytes, offsets); a null is an empty text."""
     a = batch.column(batch.schema.get_field_index(name))
@@ -85,6 +96,7 @@ def chunks(batch: pa.RecordBatch, name: str, size: int = CHUNK, rows: int = 1 <<
         b = min(n, a + rows, max(a + 1, int(np.searchsorted(offs, offs[a] + size, "right")) - 1))
         yield a, b, data[offs[a]:offs[b]], offs[a:b + 1] - offs[a]
         a = b
+    tidy()
 
 
 def words(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

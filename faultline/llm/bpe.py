@@ -31,8 +31,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from faultline.llm._text import tidy
+
 NO_PAIR = 1 << 40
-MEMO = 100_000  # words, and as many runs between blanks, in each generation that a worker remembers
+MEMO = 80_000  # words, and as many runs between blanks, in each generation that a worker remembers
 # Fixed by the vocabulary's format: white space that it folds to one blank.
 BLANKS = regex.compile("[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+")
 NOT_BLANK = "\x1c\x1d\x1e\x1f"  # blanks to str.split, but not here
@@ -122,7 +124,7 @@ def merge_all(words: list[list[int]], keys: np.ndarray, rank: np.ndarray, made:
         return np.where((keys[at] == pair) & (a >= 0) & (b >= 0), rank[at], NO_PAIR)
 
     for size, chosen in by_size.items():
-        step = max(1, (1 << 20) // size)
+        step = max(1, (1 << 17) // size)
         for part in (chosen[k:k + step] for k in range(0, len(chosen), step)):
             n, width = len(part), size + 2
             length = np.array([len(words[w]) for w in part])
@@ -342,6 +344,7 @@ def _slices(batch: pa.RecordBatch, heavy: str, most: int) -> Iterator[pa.RecordB
         b = max(a + 1, int(np.searchsorted(total, (total[a - 1] if a else 0) + most, "right")))
         yield batch.slice(a, b - a)
         a = b
+    tidy()
 
 
 def encode(df: DataFrame, vocab_path: str, text: str = "text", out: str = "ids") -> DataFrame:
@@ -354,7 +357,7 @@ def encode(df: DataFrame, vocab_path: str, text: str = "text", out: str = "ids")
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(spec.value)
         for whole in batches:
-            for batch in _slices(whole, text, 2 << 20):
+            for batch in _slices(whole, text, 1 << 20):
                 ids = enc.encode(batch.column(text).to_pylist())
                 offs = np.cumsum([0, *map(len, ids)]).astype(np.int32)
                 flat = pa.array(np.fromiter(itertools.chain.from_iterable(ids), dtype=np.int32, count=int(offs[-1])))

@@ -50,7 +50,7 @@ WIDTH = 5
 NUM, DEN = 75, 100
 SMALL = 32
 SLACK = 1.2
-ELEMENTS = 2_000_000  # of a block
+ELEMENTS = 1_000_000  # of a block
 CROWD = 64  # sets of one batch under one key from which the key is dealt out by batch
 KEYS_EACH = 3_000_000  # keys that one partition should get
 BYTES = 5  # of a key within its partition
@@ -195,7 +195,7 @@ def _indexed(docs: DataFrame, text: str, parts: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             seen: set[int] = set()
-            for _, b, data, offs in _text.chunks(batch, text, 2 << 20):
+            for _, b, data, offs in _text.chunks(batch, text, 1 << 20):
                 h, row = shingles(data, offs)
                 size, node = _nodes(h, row, len(offs) - 1)
                 # one row of each set in the batch

@@ -41,7 +41,7 @@ BUCKETS = 1 << 12
 TRAIN = 20_000
 EVIDENCE = 64.0  # trigrams that a text counts for at most, which keeps memberships soft
 STEPS, CLOSE = 60, 1e-4
-ROWS = 512  # texts whose counts are held at once
+ROWS = 256  # texts whose counts are held at once
 
 
 def trigrams(data: np.ndarray, offs: np.ndarray) -> np.ndarray:
@@ -99,9 +99,9 @@ def fit(docs: DataFrame, labels: DataFrame, targets: dict[str, float], domain: s
 
 
 def members(docs: DataFrame, model: Classifier, text: str = "text") -> DataFrame:
-    """``docs`` without the text, with ``_tokens`` (words) and ``_p`` (posteriors, in the model's order)."""
-    keep = [f for f in docs.schema.fields if f.name not in (text, "_tokens", "_p")]
-    schema = T.StructType([*keep, T.StructField("_tokens", T.LongType()), T.StructField("_p", T.ArrayType(T.DoubleType()))])
+    """``docs`` without the text, with ``__tokens`` (words) and ``__p`` (posteriors, in the model's order)."""
+    keep = [f for f in docs.schema.fields if f.name not in (text, "__tokens", "__p")]
+    schema = T.StructType([*keep, T.StructField("__tokens", T.LongType()), T.StructField("__p", T.ArrayType(T.DoubleType()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         d = len(model.domains)
@@ -126,7 +126,7 @@ def rate(moves: list[np.ndarray]):
     """The rate after the steps whose moves are given: r <- max(0, r - p . move), from 1."""
     if not moves:
         return F.lit(1.0)
-    steps = F.array(*(_dot("_p", m) for m in moves))
+    steps = F.array(*(_dot("__p", m) for m in moves))
     return F.aggregate(steps, F.lit(1.0), lambda r, s: F.greatest(F.lit(0.0), r - s))
 
 
@@ -135,9 +135,9 @@ def solve(member: DataFrame, domains: list[str], targets: dict[str, float]) -> l
     d = len(domains)
     if not d:
         return []
-    t = F.col("_tokens").cast("double")
+    t = F.col("__tokens").cast("double")
     pairs = [(j, k) for j in range(d) for k in range(j, d)]
-    first = member.agg(F.sum(t).alias("n"), *(F.sum(t * F.col("_p")[j] * F.col("_p")[k]).alias(f"m{j}_{k}") for j, k in pairs), *(F.sum(t * F.col("_p")[j]).alias(f"s{j}") for j in range(d))).first()
+    first = member.agg(F.sum(t).alias("n"), *(F.sum(t * F.col("__p")[j] * F.col("__p")[k]).alias(f"m{j}_{k}") for j, k in pairs), *(F.sum(t * F.col("__p")[j]).alias(f"s{j}") for j in range(d))).first()
     total = first["n"] or 0.0
     if total <= 0:
         return []
@@ -154,7 +154,7 @@ def solve(member: DataFrame, domains: list[str], targets: dict[str, float]) -> l
     moves: list[np.ndarray] = []
     for _ in range(STEPS):
         r = rate(moves)
-        now = member.select((t * r).alias("w"), "_p").agg(*(F.sum(F.col("w") * F.col("_p")[j]).alias(f"s{j}") for j in range(d))).first()
+        now = member.select((t * r).alias("w"), "__p").agg(*(F.sum(F.col("w") * F.col("__p")[j]).alias(f"s{j}") for j in range(d))).first()
         rest = np.array([now[f"s{j}"] for j in range(d)]) / total - goal
         if np.abs(rest).max() <= CLOSE * goal.max():
             break
@@ -162,31 +162,32 @@ def solve(member: DataFrame, domains: list[str], targets: dict[str, float]) -> l
     return moves
 
 
-def _copies(id_col: str):
-    u = F.pmod(F.col("_u"), F.lit(1 << 40)) / float(1 << 40)
-    return F.greatest(F.lit(1), (F.floor("rate") + (u < F.col("rate") - F.floor("rate")).cast("int")).cast("int"))
+def _copies(rate: str):
+    """At least one copy; the fraction of a rate is the chance of one more, by a hash."""
+    u = F.pmod(F.col("__u"), F.lit(1 << 40)) / float(1 << 40)
+    return F.greatest(F.lit(1), (F.floor(rate) + (u < F.col(rate) - F.floor(rate)).cast("int")).cast("int"))
 
 
 def rates(docs: DataFrame, labels: DataFrame, targets: dict[str, float], domain: str = "lang", id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """(id, n_tokens, domain, posterior, rate, copies) of every row: the likeliest domain and its posterior, the fitted rate, and whole copies."""
     model = fit(docs, labels, targets, domain, id_col, text)
-    member = cut(members(docs.select(F.col(id_col), F.col(text), F.xxhash64(F.lit("copies"), F.col(id_col), F.col(text)).alias("_u")), model, text), "members")
+    member = cut(members(docs.select(F.col(id_col), F.col(text), F.xxhash64(F.lit("copies"), F.col(id_col), F.col(text)).alias("__u")), model, text), "members")
     moves = solve(member, model.domains, targets)
     if model.domains:
-        top = F.array_max("_p")
-        name = F.element_at(F.array(*map(F.lit, model.domains)), F.array_position("_p", top).cast("int"))
+        top = F.array_max("__p")
+        name = F.element_at(F.array(*map(F.lit, model.domains)), F.array_position("__p", top).cast("int"))
     else:
         top, name = F.lit(None).cast("double"), F.lit(None).cast("string")
-    out = member.select(id_col, "_u", F.col("_tokens").alias("n_tokens"), name.alias("domain"), top.alias("posterior"), rate(moves).alias("rate"))
-    return out.withColumn("copies", _copies(id_col)).drop("_u")
+    out = member.select(id_col, "__u", F.col("__tokens").alias("n_tokens"), name.alias("domain"), top.alias("posterior"), rate(moves).alias("rate"))
+    return out.withColumn("copies", _copies("rate")).drop("__u")
 
 
 def spread(docs: DataFrame, labels: DataFrame, targets: dict[str, float], domain: str = "lang", id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """``docs`` with every row as often as its copies say; the order of columns stays."""
     model = fit(docs, labels, targets, domain, id_col, text)
     # rates come from the posteriors, which are computed again beside the text: cheaper than joining texts
-    narrow = docs.select(F.col(text), F.lit(0).alias("_k"))
+    narrow = docs.select(F.col(text), F.lit(0).alias("__k"))
     moves = solve(cut(members(narrow, model, text), "members"), model.domains, targets)
-    whole = docs.withColumns({"_text": F.col(text), "_u": F.xxhash64(F.lit("copies"), F.col(id_col), F.col(text))})
-    rated = members(whole, model, "_text").withColumn("rate", rate(moves)).withColumn("copies", _copies(id_col))
-    return rated.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(*docs.columns)
+    whole = docs.withColumns({"__text": F.col(text), "__u": F.xxhash64(F.lit("copies"), F.col(id_col), F.col(text))})
+    rated = members(whole, model, "__text").withColumn("__rate", rate(moves))
+    return rated.withColumn("__copy", F.explode(F.sequence(F.lit(1), _copies("__rate")))).select(*docs.columns)

@@ -145,4 +145,4 @@ def judged(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """Only the documents whose score reaches the cut, columns as they were."""
-    return score(docs, learn(docs, labels), out="_score").where(F.col("_score") >= CUT).select(*docs.columns)
+    return score(docs, learn(docs, labels), out="__score").where(F.col("__score") >= CUT).select(*docs.columns)

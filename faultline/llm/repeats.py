@@ -126,7 +126,7 @@ def _round1(docs: DataFrame, parts: int) -> DataFrame:
         for batch in batches:
             doc_all = batch.column("doc").to_numpy()
             seen: set[int] = set()
-            for a, b, data, offs in _text.chunks(batch, "text"):
+            for a, b, data, offs in _text.chunks(batch, "text", 1 << 20):
                 doc = doc_all[a:b]
                 fresh = np.array([not (d in seen or seen.add(d)) for d in doc.tolist()], dtype=bool)
                 prefix = _text.prefix_hash(data)
@@ -264,7 +264,7 @@ def _round2(marked: DataFrame, parts: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             doc_all = batch.column("doc").to_numpy()
-            for a, b, data, offs in _text.chunks(batch, "text"):
+            for a, b, data, offs in _text.chunks(batch, "text", 1 << 20):
                 prefix = _text.prefix_hash(data)
                 p, first, last, row, flag = _staying(batch, a, b, data, offs, prefix)
                 doc = doc_all[a:b]
@@ -363,7 +363,7 @@ def _stripped(marked: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             doc_all = batch.column("doc").to_numpy()
-            for a, b, data, offs in _text.chunks(batch, "text"):
+            for a, b, data, offs in _text.chunks(batch, "text", 1 << 20):
                 prefix = _text.prefix_hash(data)
                 _, first, last, _, flag = _staying(batch, a, b, data, offs, prefix)
                 whole = (flag & WHOLE) > 0

@@ -279,11 +279,11 @@ def report(df: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFra
 def redact(df: DataFrame, rules: tuple[Rule, ...] = RULES, text: str = "text", mark: str = "[SECRET]") -> DataFrame:
     """``df`` with every found span, overlapping ones as one, replaced by ``mark``.
     Texts without spans and nulls stay as they are."""
-    found = scan(df, rules, text, "_spans")
+    found = scan(df, rules, text, "__spans")
 
     # spans come by start: cut the text at each one that begins past the last end
     piece = F.aggregate(
-        F.col("_spans"),
+        F.col("__spans"),
         F.struct(F.lit("").alias("done"), F.lit(0).cast("long").alias("at")),
         lambda acc, s: F.struct(
             F.when(s["start"] >= acc["at"], F.concat(acc["done"], F.substr(F.col(text), (acc["at"] + 1).cast("int"), (s["start"] - acc["at"]).cast("int")), F.lit(mark))).otherwise(acc["done"]).alias("done"),
@@ -291,4 +291,4 @@ def redact(df: DataFrame, rules: tuple[Rule, ...] = RULES, text: str = "text", m
         ),
         lambda acc: F.concat(acc["done"], F.substr(F.col(text), (acc["at"] + 1).cast("int"))),
     )
-    return found.withColumn(text, F.when(F.size("_spans") > 0, piece).otherwise(F.col(text))).select(*df.columns)
+    return found.withColumn(text, F.when(F.size("__spans") > 0, piece).otherwise(F.col(text))).select(*df.columns)

@@ -159,7 +159,7 @@ def brute_links(rows, threshold=0.93):
     for i, (_, v, a) in enumerate(rows):
         for j, (_, w, b) in enumerate(rows):
             if i != j and sound(v, a) and sound(w, b) and a == b and len(v) == len(w):
-                x, y = np.array(v, float), np.array(w, float)
+                x, y = (np.array(u, float) / np.abs(u).max() for u in (v, w))
                 if x @ y / np.sqrt((x @ x) * (y @ y)) >= threshold:
                     links[i] += 1
                     pairs.append((i, j))

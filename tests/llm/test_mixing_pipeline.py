@@ -32,15 +32,16 @@ def test_rates_meet_the_targets(spark):
     member = mixing.members(docs.select("doc_id", "text"), mixing.fit(docs, labels, TARGETS))
     model = mixing.fit(docs, labels, TARGETS)
     moves = mixing.solve(member, model.domains, TARGETS)
-    got = member.withColumn("r", mixing.rate(moves)).agg(*(F.sum(F.col("r") * F.col("_tokens") * F.col("_p")[j]) for j in range(3))).first()
+    got = member.withColumn("r", mixing.rate(moves)).agg(*(F.sum(F.col("r") * F.col("__tokens") * F.col("__p")[j]) for j in range(3))).first()
     share = np.array(got) / sum(got)
     assert np.abs(share - [TARGETS[d] for d in model.domains]).max() < 0.002
 
 
 def test_spread_keeps_columns_and_every_document(spark):
     docs, labels = corpus(spark)
-    out = mixing.spread(docs, labels, TARGETS)
-    assert out.columns == docs.columns
+    more = docs.withColumns({"rate": F.lit("x"), "copies": F.lit(7), "ids": F.lit("y")})
+    out = mixing.spread(more, labels, TARGETS)
+    assert out.columns == more.columns and out.where("rate <> 'x' or copies <> 7 or ids <> 'y'").count() == 0
     got, copies = out.groupBy("doc_id").count().collect(), mixing.rates(docs, labels, TARGETS).groupBy("doc_id").agg(F.sum("copies").alias("c")).collect()
     assert {r.doc_id: r["count"] for r in got} == {r.doc_id: r.c for r in copies}
 

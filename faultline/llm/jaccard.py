@@ -52,7 +52,7 @@ SMALL = 32
 SLACK = 1.2
 ELEMENTS = 1_000_000  # of a block
 CROWD = 64  # sets of one batch under one key from which the key is dealt out by batch
-KEYS_EACH = 3_000_000  # keys that one partition should get
+KEYS_EACH = 500_000  # keys that one partition should get
 BYTES = 5  # of a key within its partition
 NO_PROBE = -(1 << 30)
 
@@ -195,7 +195,7 @@ def _indexed(docs: DataFrame, text: str, parts: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             seen: set[int] = set()
-            for _, b, data, offs in _text.chunks(batch, text, 1 << 20):
+            for _, b, data, offs in _text.chunks(batch, text):
                 h, row = shingles(data, offs)
                 size, node = _nodes(h, row, len(offs) - 1)
                 # one row of each set in the batch
@@ -267,6 +267,8 @@ def _shared(packed: DataFrame, parts: int) -> DataFrame:
             if len(to):
                 lists = _lists(cuts, *(x[order] for x in (key.view(np.int64), node, need.astype(np.int32), unit.astype(np.int32), size.astype(np.int64))))
                 yield pa.RecordBatch.from_arrays([pa.array(to[order][cuts[:-1]].astype(np.int32)), *lists], names=["to", "key", "node", "need", "unit", "size"])
+            del key, node, need, unit, size, to, order, new, first, several
+        _text.tidy()
 
     return packed.mapInArrow(run, "to int, key array<long>, node array<long>, need array<int>, unit array<int>, size array<long>")
 
@@ -311,6 +313,8 @@ def _allocated(shared: DataFrame, parts: int) -> DataFrame:
         full[order] = degree
         chosen = take[at]
         yield pa.RecordBatch.from_arrays([pa.array(key[chosen]), pa.array(node[chosen]), pa.array(full[at][chosen].astype(np.int64)), pa.array(need[chosen] > 0)], names=["key", "node", "degree", "short"])
+        del key, node, need, unit, size, order, own, at, cost, owner, left, code
+        _text.tidy()
 
     return shared.repartitionById(parts, "to").mapInArrow(run, "key long, node long, degree long, short boolean")
 

@@ -88,20 +88,20 @@ def spans(file_lines: DataFrame, key: Sequence[str]) -> DataFrame:
     s = s.withColumn("_inner", F.lead("indent").over(order)).withColumn("_head", F.col("_kind") != "")
     body = F.when(F.col("_inner") > F.col("indent"), F.col("_inner"))
     heads = s.where("_head").withColumn("_body", body)
-    # every line under the levels that it ends; its predecessor there is the last statement of that level
+    # every line under the levels that it ends: the row after a header's is where it ends at its own level,
+    # and at the level of its body the rows up to the next line further out are its statements
     levels = heads.select(*key, F.explode(F.array_distinct(F.array_compact(F.array("indent", "_body")))).alias("_level")).distinct()
-    listed = s.join(levels, key).where("indent <= _level")
     at = Window.partitionBy(*key, "_level").orderBy("line_no")
-    ends = listed.select(*key, "_level", "line_no", F.lead("line_no").over(at).alias("_next"), F.lead("_before").over(at).alias("_held"))
-    plain = Window.partitionBy(*key, "_level").orderBy("line_no").rowsBetween(Window.unboundedPreceding, -1)
-    state = listed.select(*key, "_level", F.col("line_no").alias("_next"), F.last(F.when(~F.col("_deco"), F.col("line_no")), ignorenulls=True).over(plain).alias("_stmt"))
-    final = listed.where("not _deco").groupBy(*key, "_level").agg(F.max("line_no").alias("_stmt_end"))
-    h = heads.withColumn("_level", F.col("indent")).join(ends, [*key, "_level", "line_no"]).drop("_level").join(last, key)
-    h = h.withColumn("_level", F.col("_body")).join(state, [*key, "_level", "_next"], "left").join(final, [*key, "_level"], "left")
-    h = h.select(
+    listed = s.join(levels, key).where("indent <= _level").withColumn("_body", body)
+    listed = listed.withColumns({"_next": F.lead("_before").over(at), "_block": F.sum((F.col("indent") < F.col("_level")).cast("int")).over(at.rowsBetween(Window.unboundedPreceding, 0))})
+    stmt = F.max(F.when(~F.col("_deco"), F.col("line_no"))).over(Window.partitionBy(*key, "_level", "_block"))
+    own = listed.withColumn("_stmt", stmt).where("_head").groupBy(*key, "line_no").agg(
+        F.first("name").alias("name"), F.first("_kind").alias("_kind"), F.first("first_line").alias("first_line"),
+        F.max(F.when(F.col("_level") == F.col("indent"), F.col("_next"))).alias("_end"), F.max(F.when(F.col("_level") == F.col("_body"), F.col("_stmt"))).alias("_cover"),
+    )
+    h = own.join(last, key).select(
         *key, "name", F.when(F.col("_kind") == "class", "class").when(F.col("_kind") == "def", "function").otherwise("async_function").alias("kind"),
-        "first_line", F.col("line_no").alias("start_line"), F.coalesce("_held", "_last").alias("end_line"),
-        F.coalesce(F.when(F.col("_next").isNull(), F.col("_stmt_end")).otherwise(F.col("_stmt")), F.col("line_no")).alias("cover_end"),
+        "first_line", F.col("line_no").alias("start_line"), F.coalesce("_end", "_last").alias("end_line"), F.coalesce("_cover", "line_no").alias("cover_end"),
     )
     around = h.groupBy(*key).agg(F.collect_list(F.struct("start_line", "end_line", "kind")).alias("_all"))
     j = h.join(around, key)

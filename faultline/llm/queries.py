@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from faultline.llm import bpe, jaccard, lm, mixing, neardup, quality, repeats, rules, secrets, urls
+from faultline.llm._cut import small_batches
 from faultline.sources.tables import read_table
 
 # Target weights of the languages' tokens.
@@ -18,42 +19,52 @@ def word_bpe_path() -> str:
 
 
 def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    small_batches(spark)
     return bpe.digest(read_table(spark, sf_dir, "documents", "doc_id", "text"), word_bpe_path())
 
 
 def op2_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    small_batches(spark)
     return neardup.join(read_table(spark, sf_dir, "embeddings", "vec_id", "embedding", "label"))
 
 
 def op3_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    small_batches(spark)
     return secrets.report(read_table(spark, sf_dir, "documents", "doc_id", "text"))
 
 
 def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    small_batches(spark)
     return quality.judged(read_table(spark, sf_dir, "documents", "doc_id", "text"), read_table(spark, sf_dir, "labels", "doc_id", "quality"))
 
 
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    small_batches(spark)
     return mixing.rates(read_table(spark, sf_dir, "documents", "doc_id", "text", "lang"), read_table(spark, sf_dir, "labels", "doc_id"), TARGETS)
 
 
 def op6_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    small_batches(spark)
     return urls.judge(read_table(spark, sf_dir, "pages", "page_id", "url"))
 
 
 def op7_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    small_batches(spark)
     return lm.score(read_table(spark, sf_dir, "documents", "doc_id", "text"))
 
 
 def op8_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    small_batches(spark)
     return rules.judge(read_table(spark, sf_dir, "documents", "doc_id", "text"), read_table(spark, sf_dir, "labels", "doc_id", "quality"))
 
 
 def op9_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    small_batches(spark)
     return repeats.report(read_table(spark, sf_dir, "documents", "doc_id", "text"))
 
 
 def op10_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    small_batches(spark)
     return jaccard.join(read_table(spark, sf_dir, "documents", "doc_id", "text"))
 
 

@@ -167,16 +167,18 @@ def _lists(to: np.ndarray, *values: np.ndarray) -> list[pa.Array]:
 
 
 def sets(docs: DataFrame, id_col: str, text: str) -> DataFrame:
-    """(id, n, node) of every row."""
+    """(id, content, n, node) of every row; ``content`` is a hash of the text."""
     kind = docs.schema[id_col].dataType.simpleString()
+    read = docs.select(F.col(id_col).alias("id"), F.col(text).alias("text"), F.xxhash64(text).alias("content"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for a, b, data, offs in _text.chunks(batch, text):
+            for a, b, data, offs in _text.chunks(batch, "text"):
                 n, node = _nodes(*shingles(data, offs), b - a)
-                yield pa.RecordBatch.from_arrays([batch.column(id_col).slice(a, b - a), pa.array(n.astype(np.int64)), pa.array(node.view(np.int64))], names=["id", "n", "node"])
+                own = [batch.column(c).slice(a, b - a) for c in ("id", "content")]
+                yield pa.RecordBatch.from_arrays([*own, pa.array(n.astype(np.int64)), pa.array(node.view(np.int64))], names=["id", "content", "n", "node"])
 
-    return docs.select(id_col, text).mapInArrow(run, f"id {kind}, n long, node long")
+    return read.mapInArrow(run, f"id {kind}, content long, n long, node long")
 
 
 PACKED = "part int, keys binary, node array<long>, need array<int>, unit array<int>, crowded boolean"
@@ -486,12 +488,18 @@ def links(docs: DataFrame, text: str = "text", keys: int = 0) -> DataFrame:
     return components(edges.unionByName(_across(here, docs, text)))
 
 
-def join(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    """(id, n_shingles, component_id) of every row."""
+def _grouped(docs: DataFrame, id_col: str, text: str) -> tuple[DataFrame, DataFrame]:
+    """The rows of ``sets``, and (node, component) of every set that isn't empty."""
     rows = cut(sets(docs, id_col, text), "rows")
     total = rows.agg(F.sum("n")).first()[0] or 0
-    group = links(docs, text, total // 2)
-    own = rows.where("n > 0").groupBy("node").agg(F.min("id").alias("least")).join(group, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    group = rows.where("n > 0").select("node").distinct().join(links(docs, text, total // 2), "node", "left")
+    return rows, group.withColumn("component", F.coalesce("component", "node"))
+
+
+def join(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
+    """(id, n_shingles, component_id) of every row."""
+    rows, group = _grouped(docs, id_col, text)
+    own = rows.where("n > 0").groupBy("node").agg(F.min("id").alias("least")).join(group, "node")
     named = own.select("node", "component").join(own.groupBy("component").agg(F.min("least").alias("component_id")), "component").select("node", "component_id")
     return rows.join(named, "node", "left").select(
         F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("id")).alias("component_id")
@@ -499,8 +507,13 @@ def join(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFra
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    """One document of each component: the one with its smallest id (of several
-    rows with that id, the first by content); documents without words all stay."""
-    found = join(docs, id_col, text).where(F.col(id_col) == F.col("component_id")).select(id_col).distinct()
-    kept = docs.join(found, id_col, "left_semi")
-    return kept.unionByName(docs.where(F.col(id_col).isNull()))
+    """One document of each component: that with the smallest id, one without an id
+    only if there is no other (of several texts under one id the one with the smaller
+    hash).  Documents without words all stay; rows that repeat an id and text are one document."""
+    rows, group = _grouped(docs, id_col, text)
+    first = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "content")).alias("x")
+    least = rows.where("n > 0").groupBy("node").agg(first).join(group, "node").groupBy("component").agg(F.min("x").alias("x")).select("x.id", "x.content")
+    stay = least.unionByName(rows.where("n = 0").select("id", "content").distinct()).select(F.col("id").alias("__id"), F.col("content").alias("__c"))
+    here = docs.withColumns({"__row": F.col(id_col), "__content": F.xxhash64(text)})
+    kept = here.join(stay, F.col("__row").eqNullSafe(F.col("__id")) & (F.col("__content") == F.col("__c")), "left_semi")
+    return kept.dropDuplicates(["__row", "__content"]).select(*docs.columns)

@@ -106,9 +106,11 @@ def test_linked_sets_share_a_key_that_one_of_them_takes():
 def test_keep_one_of_each_group(spark):
     texts = near_copies(1) + near_copies(2) + ["", None]
     docs = frame(spark, texts)
-    kept = jaccard.keep_one(docs)
-    groups = {r.component_id for r in jaccard.join(docs).collect()}
-    assert kept.columns == docs.columns and sorted(r.doc_id for r in kept.collect()) == sorted(groups)
+    groups = sorted({r.component_id for r in jaccard.join(docs).collect()})
+    more = docs.unionByName(docs.where("doc_id < 3")).unionByName(frame(spark, [texts[0], "all alone here", "all alone here"], [None, None, None]))
+    kept = jaccard.keep_one(more)
+    assert kept.columns == docs.columns
+    assert sorted(((r.doc_id is None, r.doc_id or 0, r.text if r.doc_id is None else "") for r in kept.collect())) == [*((False, g, "") for g in groups), (True, 0, "all alone here")]
 
 
 def removed(texts):

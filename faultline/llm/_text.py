@@ -18,6 +18,8 @@ import pyarrow.compute as pc
 CHUNK = 1 << 19
 
 _LIBC = ctypes.CDLL(None)
+# What an operator keeps in its Python worker from task to task; the next one to use the worker drops it.
+KEPT: dict = {}
 
 # Words are runs of bytes outside \x20 and \x09-\x0D.
 SPACE = np.zeros(256, dtype=bool)
@@ -90,6 +92,7 @@ def column(batch: pa.RecordBatch, name: str) -> tuple[np.ndarray, np.ndarray]:
 
 def chunks(batch: pa.RecordBatch, name: str, size: int = CHUNK, rows: int = 1 << 30) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """(first row, last row + 1, bytes, offsets) of runs of at most ``rows`` rows."""
+    KEPT.clear()
     data, offs = column(batch, name)
     a, n = 0, len(offs) - 1
     while a < n:

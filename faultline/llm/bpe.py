@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from faultline.llm._text import tidy
+from faultline.llm._text import KEPT, tidy
 
 NO_PAIR = 1 << 40
 MEMO = 80_000  # words, and as many runs between blanks, in each generation that a worker remembers
@@ -320,15 +320,12 @@ class Encoder:
         return out
 
 
-_ENCODERS: dict[str, Encoder] = {}
-
-
 def encoder(spec: dict) -> Encoder:
     """The worker's encoder of a vocabulary, kept from task to task."""
-    if spec["name"] not in _ENCODERS:
-        _ENCODERS.clear()
-        _ENCODERS[spec["name"]] = Encoder(spec)
-    return _ENCODERS[spec["name"]]
+    if spec["name"] not in KEPT:
+        KEPT.clear()
+        KEPT[spec["name"]] = Encoder(spec)
+    return KEPT[spec["name"]]
 
 
 def _extend(df: DataFrame, name: str, kind: T.DataType) -> T.StructType:

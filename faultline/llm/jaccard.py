@@ -52,7 +52,7 @@ SMALL = 32
 SLACK = 1.2
 ELEMENTS = 1_000_000  # of a block
 CROWD = 64  # sets of one batch under one key from which the key is dealt out by batch
-KEYS_EACH = 500_000  # keys that one partition should get
+KEYS_EACH = 300_000  # keys that one partition should get
 BYTES = 5  # of a key within its partition
 NO_PROBE = -(1 << 30)
 

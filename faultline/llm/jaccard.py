@@ -24,7 +24,8 @@ yield a link for each set and never candidates, so no component is missed.
 
 Equal sets are one node from the start.  A key that many sets of one batch share
 is dealt out by batch, with one set to stand for them in the key's own
-partition, so no partition grows with a hot group.  A set too unevenly spread
+partition, so no partition grows with a hot group; whether its holders lie in
+several components is judged over all of them.  A set too unevenly spread
 over the segments to fill its H + 1 units is joined through all its elements.
 
 Defined results: without words or text a document has an empty set, links with
@@ -181,18 +182,21 @@ def sets(docs: DataFrame, id_col: str, text: str) -> DataFrame:
     return read.mapInArrow(run, f"id {kind}, content long, n long, node long")
 
 
-PACKED = "part int, keys binary, node array<long>, need array<int>, unit array<int>, crowded boolean"
+PACKED = "part int, keys binary, node array<long>, need array<int>, unit array<int>, home array<int>, crowded boolean"
 
 
 def _indexed(docs: DataFrame, text: str, parts: int) -> DataFrame:
-    def pack(key: np.ndarray, node: np.ndarray, need: np.ndarray, unit: np.ndarray, part: np.ndarray, crowded: bool) -> pa.RecordBatch:
+    def pack(key: np.ndarray, node: np.ndarray, need: np.ndarray, unit: np.ndarray, part: np.ndarray, home: np.ndarray | None) -> pa.RecordBatch:
+        """``home``: the keys' own partitions, where others than these are given."""
+        crowded = home is not None
         order = np.argsort(part, kind="stable")
         key, node, need, unit, part = (x[order] for x in (key, node, need, unit, part))
         cuts = np.append(np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]])), len(part))
         short = key.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :BYTES].tobytes()
         keys = pa.Array.from_buffers(pa.binary(), len(cuts) - 1, [None, pa.py_buffer((cuts * BYTES).astype(np.int32).tobytes()), pa.py_buffer(short)])
         lists = _lists(cuts, node.view(np.int64), need.astype(np.int32), unit.astype(np.int32))
-        return pa.RecordBatch.from_arrays([pa.array(part[cuts[:-1]].astype(np.int32)), keys, *lists, pa.array(np.full(len(cuts) - 1, crowded))], names=["part", "keys", "node", "need", "unit", "crowded"])
+        lists += _lists(cuts if crowded else np.zeros(len(cuts)), home[order].astype(np.int32) if crowded else np.zeros(0, np.int32))
+        return pa.RecordBatch.from_arrays([pa.array(part[cuts[:-1]].astype(np.int32)), keys, *lists, pa.array(np.full(len(cuts) - 1, crowded))], names=["part", "keys", "node", "need", "unit", "home", "crowded"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -220,17 +224,19 @@ def _indexed(docs: DataFrame, text: str, parts: int) -> DataFrame:
                 if crowd.any():
                     salt = _text.mix(np.array([int(node[once[0]])], dtype=np.uint64))[0]
                     dealt = (_text.mix(key[crowd] ^ salt) % np.uint64(parts)).astype(np.int64)
-                    yield pack(key[crowd], node[row[crowd]], need[crowd], unit[crowd], dealt, True)
+                    yield pack(key[crowd], node[row[crowd]], need[crowd], unit[crowd], dealt, part[crowd])
                     plain = ~crowd | stand
-                    yield pack(key[plain], node[row[plain]], need[plain], unit[plain], part[plain], False)
+                    yield pack(key[plain], node[row[plain]], need[plain], unit[plain], part[plain], None)
                 else:
-                    yield pack(key, node[row], need, unit, part, False)
+                    yield pack(key, node[row], need, unit, part, None)
 
     return docs.select(text).mapInArrow(run, PACKED).repartitionById(parts, "part")
 
 
 def _shared(packed: DataFrame, parts: int) -> DataFrame:
-    """(to, key, node, need, unit, size): packed rows of the keys that two sets or more have, dealt by set."""
+    """(to, key, node, need, unit, size, home): packed rows of the keys that two sets or more have, dealt by set.
+
+    ``home``: for a key that a batch dealt out, the key as the other batches know it; empty for others."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         got = {True: [], False: []}
@@ -246,7 +252,11 @@ def _shared(packed: DataFrame, parts: int) -> DataFrame:
                     raw = np.frombuffer(b"".join(rows.column("keys").to_pylist()), dtype=np.uint8).reshape(-1, BYTES)
                     key = np.zeros((len(raw), 8), dtype=np.uint8)
                     key[:, :BYTES] = raw
-                    got[flag].append((key.view("<u8").ravel(), *(rows.column(c).flatten().to_numpy(zero_copy_only=False) for c in ("node", "need", "unit"))))
+                    key = key.view("<u8").ravel()
+                    # keys are told apart across partitions by their own partition
+                    own = rows.column("home").flatten().to_numpy().astype(np.uint64) if flag else np.uint64(mine)
+                    key = _text.mix(key + (own + np.uint64(1) << np.uint64(40)))
+                    got[flag].append((key, *(rows.column(c).flatten().to_numpy(zero_copy_only=False) for c in ("node", "need", "unit"))))
         for flag, found in got.items():
             if not found:
                 continue
@@ -261,18 +271,20 @@ def _shared(packed: DataFrame, parts: int) -> DataFrame:
             size = np.repeat(size, size)
             several = size > 1
             key, node, need, unit, size = key[several], node[several], need[several], unit[several], size[several]
-            # keys are told apart across partitions by the partition, and the dealt-out ones as such
-            key = _text.mix(key + (np.uint64(2 * mine + flag + 1) << np.uint64(40)))
+            home = key
+            if flag:
+                key = _text.mix(key ^ _text.mix(np.array([mine + 1], dtype=np.uint64)))
             to = (_text.mix(node.view(np.uint64)) % np.uint64(parts)).astype(np.int64)
             order = np.argsort(to, kind="stable")
             cuts = np.append(np.flatnonzero(np.concatenate([[True], to[order][1:] != to[order][:-1]])), len(to)) if len(to) else np.zeros(1, np.int64)
             if len(to):
                 lists = _lists(cuts, *(x[order] for x in (key.view(np.int64), node, need.astype(np.int32), unit.astype(np.int32), size.astype(np.int64))))
-                yield pa.RecordBatch.from_arrays([pa.array(to[order][cuts[:-1]].astype(np.int32)), *lists], names=["to", "key", "node", "need", "unit", "size"])
-            del key, node, need, unit, size, to, order, new, first, several
+                lists += _lists(cuts if flag else np.zeros(len(cuts)), home[order].view(np.int64) if flag else np.zeros(0, np.int64))
+                yield pa.RecordBatch.from_arrays([pa.array(to[order][cuts[:-1]].astype(np.int32)), *lists], names=["to", "key", "node", "need", "unit", "size", "home"])
+            del key, home, node, need, unit, size, to, order, new, first, several
         _text.tidy()
 
-    return packed.mapInArrow(run, "to int, key array<long>, node array<long>, need array<int>, unit array<int>, size array<long>")
+    return packed.mapInArrow(run, "to int, key array<long>, node array<long>, need array<int>, unit array<int>, size array<long>, home array<long>")
 
 
 def _allocated(shared: DataFrame, parts: int) -> DataFrame:
@@ -465,10 +477,13 @@ def links(docs: DataFrame, text: str = "text", keys: int = 0) -> DataFrame:
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-keys // KEYS_EACH))
     shared = cut(_shared(_indexed(docs, text, parts), parts), "shared")
     taken = cut(_allocated(shared, parts), "taken")
-    # who stands under the keys that somebody takes
+    # who stands under the keys that somebody takes; a key that was dealt out is taken in all its parts
+    crowds = cut(shared.where(F.size("home") > 0).select(F.explode(F.arrays_zip("key", "home")).alias("x")).select("x.key", "x.home").distinct(), "crowds")
+    wanted = taken.select("key").distinct().join(crowds, "key", "left").select(F.coalesce("home", "key").alias("home")).distinct()
+    wanted = wanted.select(F.col("home").alias("key"), F.lit(None).cast("long").alias("home")).unionByName(crowds.join(wanted, "home"))
     members = shared.select(F.explode(F.arrays_zip("key", "node")).alias("x")).select("x.key", "x.node")
-    members = members.join(taken.select("key").distinct(), "key", "left_semi").join(taken.groupBy("node").agg(F.max("degree").alias("degree")), "node", "left")
-    members = cut(members.select("key", "node", F.coalesce("degree", F.lit(0)).alias("degree")), "members")
+    members = members.join(wanted, "key").join(taken.groupBy("node").agg(F.max("degree").alias("degree")), "node", "left")
+    members = cut(members.select("key", "home", "node", F.coalesce("degree", F.lit(0)).alias("degree")), "members")
 
     short = taken.where("short").select("node").distinct()
     edges = spark.createDataFrame([], "a long, b long")
@@ -479,7 +494,8 @@ def links(docs: DataFrame, text: str = "text", keys: int = 0) -> DataFrame:
     stars = members.join(centre, "key").where("node <> c").select(F.least("node", "c").alias("a"), F.greatest("node", "c").alias("b")).distinct()
     edges = cut(edges.unionByName(_verified(cut(stars, "pairs"), docs, text)), "links")
     group = cut(components(edges), "components")
-    here = members.select("key", "node").join(group, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    # whether a key is split shows over all its holders, those that were dealt out included
+    here = members.select(F.coalesce("home", "key").alias("key"), "node").join(group, "node", "left").withColumn("component", F.coalesce("component", "node"))
     here = cut(here.select("key", "node", "component"), "here")
     split = here.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("key")
     here = cut(here.join(split, "key", "left_semi"), "split")

@@ -84,6 +84,16 @@ def test_jaccard_with_a_crowd_under_one_key(spark):
     check_join(spark, texts)
 
 
+def test_jaccard_links_a_set_to_a_crowd_of_another_chunk(spark):
+    """Only one of the crowd, which is one component, is linked to the set, and not the one that stands for it."""
+    words = prose(304, 31, 100000).split()
+    crowd = [" ".join([*words, *(f"own{i}x{k}" for k in range(61))]) for i in range(130)]
+    texts = [*crowd[:65], " ".join(words), *crowd[65:], "a " * jaccard._text.CHUNK, " ".join(words[:268])]
+    assert (len(shingles(texts[65])), len(shingles(texts[0])), len(shingles(texts[-1]))) == (300, 361, 264)
+    got = {r.doc_id: r.component_id for r in jaccard.join(frame(spark, texts).coalesce(1)).collect()}
+    assert got == {i: 131 if i == 131 else 0 for i in range(133)}
+
+
 def test_linked_sets_share_a_key_that_one_of_them_takes():
     """The pigeonhole, without any frequencies: units suffice, and linked pairs share a unit's key."""
     rnd = np.random.default_rng(5)

@@ -185,8 +185,8 @@ def _judge(raw: np.ndarray, stand: np.ndarray, hot: bool) -> tuple[np.ndarray, n
         flag[dealt] |= HOT
         flag[~several] = 0
         whole &= several
-        # in a group where some anchor is still open, one of each surroundings shows its windows
-        open_group = (np.bincount(group, weights=(flag & (RIGHT | LEFT) > 0) & ~whole)[group] > 0)
+        # in a group where some anchor is still open, here or among those dealt out, one of each surroundings shows its windows
+        open_group = dealt | (np.bincount(group, weights=(flag & (RIGHT | LEFT) > 0) & ~whole)[group] > 0)
     flag[whole] = (flag[whole] & HOT) | WHOLE
     w = np.flatnonzero(whole & open_group)
     if len(w):

@@ -163,6 +163,23 @@ def test_repeats_with_a_crowd_and_odd_ids(spark):
     assert repeats.report(frame(spark, texts).limit(0)).collect() == []
 
 
+def test_repeats_of_one_that_stands_for_a_crowd(spark):
+    """Its surroundings occur again in another chunk only, where no anchor is open; a window of them stands in its own crowd."""
+    rnd = random.Random(61)
+    lines = ["".join(rnd.choices("abcdefghijklmnop", k=repeats.SEED)) for _ in range(20000)]
+    data = np.frombuffer("".join(lines).encode(), np.uint8)
+    at = np.arange(len(lines)) * repeats.SEED
+    line = lines[int(repeats._text.span_hash(repeats._text.prefix_hash(data), at, at + repeats.SEED).argmin())]
+    side = [prose(80, 620 + i, 3000) for i in range(160)]
+    whole = side[0] + line + side[1]
+    window = side[0][-80:] + line + side[1][:80]
+    texts = [whole, *(side[2 * i] + line + side[2 * i + 1] for i in range(1, 78)), side[156] + window + side[157]]
+    texts += ["a " * (1 << 20), f"{side[158]}{whole}{side[159]}"]
+    got = {r.doc_id: tuple(r)[1:] for r in repeats.report(frame(spark, texts).coalesce(1)).collect()}
+    assert got == dict(enumerate(removed(texts)))
+    assert got[78][1] >= 200
+
+
 def brute_links(rows, threshold=0.93):
     def sound(v, label):
         return label is not None and v is not None and len(v) and all(x is not None and np.isfinite(x) for x in v) and any(v)

@@ -49,6 +49,21 @@ def test_forest_ranks_junk_first_and_keeps_prose(spark):
     assert sum(r.anomaly for r in bad) / len(bad) > 1.1 * sum(r.anomaly for r in good) / len(good)
 
 
+def test_forest_sees_repeated_lines_below_the_base_limit(spark):
+    def lined(seed, again):
+        w = prose(120, seed, 4000).split()
+        lines = [" ".join(w[k:k + 6]) for k in range(0, 120, 6)]
+        return "\n".join(lines[:-again] + lines[:again] if again else lines)
+
+    docs = frame(spark, [lined(i, 0 if i % 12 else 4) for i in range(240)])
+    labels = spark.createDataFrame([(i, int(i % 12 != 0)) for i in range(240)], "doc_id long, quality int")
+    got = rules.judge(docs, labels).collect()
+    good, bad = ([r for r in got if (r.doc_id % 12 == 0) == again] for again in (False, True))
+    assert not any(r.base_failed for r in got) and {r.n_dup_lines for r in bad} == {4}
+    assert sum(r.anomaly for r in bad) / len(bad) > 1.1 * sum(r.anomaly for r in good) / len(good)
+    assert sum(r.kept for r in good) >= 0.98 * len(good) and sum(r.kept for r in bad) < len(bad)
+
+
 def test_a_row_that_splits_isolate_sooner_scores_higher():
     import numpy as np
 

@@ -52,8 +52,9 @@ def checkpoint_dir(spark: SparkSession) -> str:
     if configured is None:
         if sc is None or not re.match(r"local(\[|$)", sc.master):
             raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        configured = tempfile.mkdtemp(prefix="faultline-ckpt-")
-        spark.conf.set("spark.checkpoint.dir", configured)
+        # a core setting can't be changed in a running session; the context keeps the folder
+        sc.setCheckpointDir(tempfile.mkdtemp(prefix="faultline-ckpt-"))
+        return sc.getCheckpointDir()
     if sc is None:
         return configured
     if sc.getCheckpointDir() is None:

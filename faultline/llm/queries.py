@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from faultline.llm import bpe, jaccard, lm, mixing, neardup, quality, repeats, rules, secrets, urls
+from faultline.llm import align, audit, bpe, ctph, jaccard, lm, mixing, neardup, quality, repeats, rules, secrets, urls
 from faultline.llm._cut import small_batches
 from faultline.sources.tables import read_table
 
@@ -12,10 +12,14 @@ from faultline.sources.tables import read_table
 TARGETS = {"en": 0.4, "de": 0.2, "es": 0.2, "fr": 0.2}
 
 
-def word_bpe_path() -> str:
+def vocabulary(name: str) -> str:
     import public_tokenizers
 
-    return str(public_tokenizers.path("word_bpe_49k.json"))
+    return str(public_tokenizers.path(name))
+
+
+def word_bpe_path() -> str:
+    return vocabulary("word_bpe_49k.json")
 
 
 def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -68,7 +72,26 @@ def op10_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.join(read_table(spark, sf_dir, "documents", "doc_id", "text"))
 
 
-QUERIES = {"op1_bpe": op1_bpe, "op2_neardup": op2_neardup, "op3_secrets": op3_secrets, "op4_quality": op4_quality, "op5_mixing": op5_mixing, "op6_urls": op6_urls, "op7_lm": op7_lm, "op8_rules": op8_rules, "op9_repeats": op9_repeats, "op10_jaccard": op10_jaccard}
+def op11_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    small_batches(spark)
+    return audit.audit(read_table(spark, sf_dir, "documents", "text", "lang", "source"))
+
+
+def op12_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    small_batches(spark)
+    return ctph.edits(read_table(spark, sf_dir, "documents", "doc_id", "text"))
+
+
+def op13_align(spark: SparkSession, sf_dir: str) -> DataFrame:
+    small_batches(spark)
+    docs = read_table(spark, sf_dir, "documents", "doc_id", "text")
+    return align.report(docs, vocabulary("byte_bpe_50k.json"), vocabulary("piece_bpe_32k.model"))
+
+
+QUERIES = {q.__name__: q for q in (
+    op1_bpe, op2_neardup, op3_secrets, op4_quality, op5_mixing, op6_urls, op7_lm, op8_rules, op9_repeats, op10_jaccard,
+    op11_audit, op12_fingerprints, op13_align,
+)}
 ORACLE: dict[str, str] = {
     "op2_neardup": """
 WITH RECURSIVE v AS (
@@ -101,4 +124,30 @@ WITH RECURSIVE w AS (
 )
 SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, c.component_id
 FROM documents d LEFT JOIN n USING (doc_id) JOIN (SELECT a, min(b) AS component_id FROM reach GROUP BY a) c ON c.a = d.doc_id""",
+    "op11_audit": """
+WITH d AS (SELECT row_number() OVER () AS r, coalesce(text, '') AS text, coalesce(lang, '') AS lang, coalesce(source, '') AS source FROM documents
+), t AS (
+  SELECT r, lang, source, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x40\\x5B-\\x60\\x7B-\\x7F]+')) AS term FROM d
+), k AS (SELECT lang, term, count(*) AS total FROM t GROUP BY lang, term HAVING count(DISTINCT r) >= 30
+), c AS (SELECT lang, source, term, count(*) AS n FROM t GROUP BY lang, source, term
+), v AS (SELECT lang, count(*) AS v, sum(total) AS all_n FROM k GROUP BY lang
+), g AS (SELECT DISTINCT lang, source FROM d
+), s AS (
+  SELECT g.lang, g.source, k.term, coalesce(c.n, 0) AS n, k.total FROM g JOIN k ON k.lang = g.lang
+  LEFT JOIN c ON c.lang = g.lang AND c.source = g.source AND c.term = k.term
+), n AS (SELECT lang, source, sum(n) AS n FROM s GROUP BY lang, source
+), p AS (
+  SELECT s.lang, s.source, s.term, s.n, 1 + (1000000000::HUGEINT * (s.n + 5)) // (n.n + 5 * v.v) AS p, 1 + (1000000000::HUGEINT * (s.total + 5)) // (v.all_n + 5 * v.v) AS q
+  FROM s JOIN n ON n.lang = s.lang AND n.source = s.source JOIN v ON v.lang = s.lang
+), f AS (
+  SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(x.value, 0)::BIGINT AS value FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source
+  LEFT JOIN (
+    SELECT a.lang, a.source, b.source AS other, sum(abs(a.p - b.p)) AS value FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL
+  ) x ON x.lang = a.lang AND x.source = a.source AND x.other = b.source
+  UNION ALL
+  SELECT lang, source, 'term', term, (p - q)::BIGINT FROM p WHERE n > 0 AND p > q
+)
+SELECT lang, source, part, item, value, rank::INT AS rank FROM (
+  SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, encode(item)) AS rank FROM f
+) WHERE part = 'pair' OR rank <= 50""",
 }

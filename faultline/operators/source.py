@@ -1,19 +1,18 @@
 """Code facts of Python files, derived from their lines as a Spark job.
 
-``lines`` explodes each file once and marks, with windows over a file's lines,
-what is inside a triple-quoted string or an open bracket, how far a line is
-indented, and what code it holds without strings and comments.  Definitions are
-header lines; a definition ends before the next line that is indented no
-further, which is the next row of its level when every line is listed under the
-levels that it can close.  All else (chunks, calls, imports, names, removal of
-comments) are filters, joins and ordered aggregates on those tables: UDTF-01,
--05 to -09, -12, FLT-05, AGG-17, SRT-05.
-
-Groups are files, so a task holds the lines of one file at most.  Limits of a
-reading by lines, by choice: a triple quote inside another literal, several
-statements on one line, and definitions behind a semicolon are not seen;
-chunks at one depth of definitions come in line order.  Unparsable text gives
-whatever its lines show and fails nothing.
+``lexer.lines`` tells, for every line, what is code, string and comment, how far
+it is indented and whether a statement begins there.  A block (what is indented
+below a header, definitions among them) ends before the next line that is indented
+no further, which is the next row of its level when every line is listed under the
+levels that it can close.  Blocks nest, so one sweep over their starts and ends,
+with running sums of what is open, gives each definition its number, its depth and
+what it stands in.  All else (chunks, calls, imports, names, removal of comments)
+are filters, interval joins and ordered aggregates on those two tables: UDTF-01, -05
+to -09, -11, -12, FLT-05, AGG-17, SRT-05.  ``facts`` writes both once.
+
+Groups are files, so a task holds the lines of one file at most, one row each.
+A header that a backslash cuts in two is not seen as one, nor are calls inside
+f-strings.  Unparsable text gives whatever its lines show and fails nothing.
 """
 
 from __future__ import annotations
@@ -22,95 +21,85 @@ import builtins
 import keyword
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-TRIPLE = "\"\"\"|'''"
-LITERAL = r""""(?:\\.|[^"\\])*"|'(?:\\.|[^'\\])*'"""
+from faultline.operators.lexer import CLOSED, lines
+from faultline.operators.spans import interval_join
+from faultline.session import cut
+
 HEADER = r"^\s*(async\s+def|def|class)\s+(\w+)"
 NOT_CALLS = sorted({*dir(builtins), *keyword.kwlist})
+# Clauses that go on with the statement before them at their level.
+CLAUSES = ("elif", "else", "except", "finally")
 
 
-def _count(text: Column, token: str) -> Column:
-    return ((F.length(text) - F.length(F.replace(text, F.lit(token), F.lit("")))) / len(token)).cast("int")
-
-
-def lines(files: DataFrame, key: Sequence[str], content: str = "content") -> DataFrame:
-    """``key + [line_no, text, code, comment, indent, starts, holds]``.
-
-    ``code``: the line without comments and with empty literals; ``starts``: a
-    statement begins here; ``holds``: the line has code or a part of a string."""
-    key = list(key)
-    whole = F.regexp_replace(F.coalesce(F.col(content), F.lit("")), "\r\n?", "\n")
-    x = files.select(*key, F.posexplode(F.split(whole, "\n", -1)).alias("line_no", "text")).withColumn("line_no", F.col("line_no") + 1)
-    order = Window.partitionBy(*key).orderBy("line_no")
-    before = order.rowsBetween(Window.unboundedPreceding, -1)
-    t = F.col("text")
-    quotes = _count(t, '"""') + _count(t, "'''")
-    x = x.withColumn("_q", quotes).withColumn("_in", F.coalesce(F.sum("_q").over(before), F.lit(0)) % 2 == 1)
-    # what stands outside a string that began on an earlier line
-    own = F.when(F.col("_in") & (F.col("_q") == 0), "").when(F.col("_in"), F.regexp_replace(t, f"^.*?(?:{TRIPLE})", "")).otherwise(t)
-    x = x.withColumn("_own", own)
-    plain = F.regexp_replace(F.col("_own"), f"({TRIPLE}).*?\\1", '""')
-    plain = F.regexp_replace(F.regexp_replace(plain, f"(?:{TRIPLE}).*$", '""'), LITERAL, '""')
-    x = x.withColumns({
-        "code": F.rtrim(F.regexp_replace(plain, "#.*$", "")),
-        "comment": F.regexp_extract("_own", rf"""^(?:[^'"#]|{LITERAL})*(#.*)$""", 1),
-        "indent": F.length(F.replace(F.regexp_extract("text", r"^[ \t]*", 0), F.lit("\t"), F.lit(" " * 8))),
-    })
-    c = F.col("code")
-    depth = sum((_count(c, b) for b in "([{"), F.lit(0)) - sum((_count(c, b) for b in ")]}"), F.lit(0))
-    x = x.withColumn("_d", depth).withColumn("_open", F.coalesce(F.sum("_d").over(before), F.lit(0)) > 0)
-    goes_on = F.coalesce(F.endswith(F.lag("code").over(order), F.lit("\\")), F.lit(False))
-    return x.select(
-        *key, "line_no", "text", "code", "comment", "indent",
-        ((F.trim("code") != "") & ~F.col("_in") & ~F.col("_open") & ~goes_on).alias("starts"),
-        ((F.trim("text") != "") & (F.col("_in") | (F.trim("code") != ""))).alias("holds"),
-    )
+def facts(files: DataFrame, key: Sequence[str], content: str = "content") -> tuple[DataFrame, DataFrame]:
+    """The ``lines`` and ``spans`` of files, each derived once and written to the
+    session's shared folder."""
+    found = cut(lines(files, key, content), "lines")
+    return found, cut(spans(found, key), "spans")
 
 
 def spans(file_lines: DataFrame, key: Sequence[str]) -> DataFrame:
-    """UDTF-07: ``key + [seq, name, kind, first_line, start_line, end_line, cover_end, depth, nested]``.
+    """UDTF-07: ``key + [seq, name, kind, first_line, start_line, end_line, cover_end, depth, level, nested]``.
 
     ``first_line`` is the first decorator's; ``cover_end`` the line where the last
     statement of the body begins (Q22); ``depth`` counts the definitions around
-    it, ``nested`` tells whether one of them is a function."""
+    it, ``level`` the nodes around it in the syntax tree (blocks, with the nodes of
+    ``except`` and ``case`` and the chain of ``elif``); ``nested`` tells whether it
+    stands in a function."""
     key = list(key)
     order = Window.partitionBy(*key).orderBy("line_no")
-    held = file_lines.where("holds").withColumn("_before", F.lag("line_no").over(order)).where("starts")
-    last = file_lines.where("holds").groupBy(*key).agg(F.max("line_no").alias("_last"))
-    deco = F.startswith(F.trim("code"), F.lit("@"))
-    kind = F.regexp_replace(F.regexp_extract("code", HEADER, 1), r"\s+", " ")
-    s = held.select(*key, "line_no", "indent", "_before", deco.alias("_deco"), kind.alias("_kind"), F.regexp_extract("code", HEADER, 2).alias("name"))
+    held = file_lines.where("holds").withColumns({"_before": F.lag("line_no").over(order), "_last": F.max("line_no").over(Window.partitionBy(*key))})
+    code = F.trim("code")
+    s = held.where("starts").select(
+        *key, "line_no", "indent", "_before", "_last", F.startswith(code, F.lit("@")).alias("_deco"), F.regexp_extract("code", HEADER, 2).alias("name"),
+        F.regexp_replace(F.regexp_extract("code", HEADER, 1), r"\s+", " ").alias("_kind"), F.regexp_extract(code, r"^\w*", 0).alias("_word"),
+    )
     # decorators share the number of other lines before them with the header that follows
     s = s.withColumn("_run", F.coalesce(F.sum((~F.col("_deco")).cast("int")).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     s = s.withColumn("first_line", F.min("line_no").over(Window.partitionBy(*key, "_run")))
-    s = s.withColumn("_inner", F.lead("indent").over(order)).withColumn("_head", F.col("_kind") != "")
-    body = F.when(F.col("_inner") > F.col("indent"), F.col("_inner"))
-    heads = s.where("_head").withColumn("_body", body)
+    inner = F.lead("indent").over(order)
+    s = s.withColumn("_body", F.when(inner > F.col("indent"), inner)).withColumn("_def", F.col("_kind") != "")
+    s = s.withColumn("_head", F.col("_def") | F.col("_body").isNotNull())
     # every line under the levels that it ends: the row after a header's is where it ends at its own level,
     # and at the level of its body the rows up to the next line further out are its statements
-    levels = heads.select(*key, F.explode(F.array_distinct(F.array_compact(F.array("indent", "_body")))).alias("_level")).distinct()
+    levels = s.where("_head").select(*key, F.explode(F.array_compact(F.array("indent", "_body"))).alias("_level")).distinct()
     at = Window.partitionBy(*key, "_level").orderBy("line_no")
-    listed = s.join(levels, key).where("indent <= _level").withColumn("_body", body)
-    listed = listed.withColumns({"_next": F.lead("_before").over(at), "_block": F.sum((F.col("indent") < F.col("_level")).cast("int")).over(at.rowsBetween(Window.unboundedPreceding, 0))})
-    stmt = F.max(F.when(~F.col("_deco"), F.col("line_no"))).over(Window.partitionBy(*key, "_level", "_block"))
-    own = listed.withColumn("_stmt", stmt).where("_head").groupBy(*key, "line_no").agg(
-        F.first("name").alias("name"), F.first("_kind").alias("_kind"), F.first("first_line").alias("first_line"),
-        F.max(F.when(F.col("_level") == F.col("indent"), F.col("_next"))).alias("_end"), F.max(F.when(F.col("_level") == F.col("_body"), F.col("_stmt"))).alias("_cover"),
-    )
-    h = own.join(last, key).select(
-        *key, "name", F.when(F.col("_kind") == "class", "class").when(F.col("_kind") == "def", "function").otherwise("async_function").alias("kind"),
-        "first_line", F.col("line_no").alias("start_line"), F.coalesce("_end", "_last").alias("end_line"), F.coalesce("_cover", "line_no").alias("cover_end"),
-    )
-    around = h.groupBy(*key).agg(F.collect_list(F.struct("start_line", "end_line", "kind")).alias("_all"))
-    j = h.join(around, key)
-    outer = F.filter("_all", lambda o: (o["start_line"] < F.col("start_line")) & (o["end_line"] >= F.col("start_line")))
-    j = j.withColumn("_outer", outer)
-    seq = F.size(F.filter("_all", lambda o: o["start_line"] < F.col("start_line")))
-    return j.select(
-        *key, seq.cast("int").alias("seq"), "name", "kind", "first_line", "start_line", "end_line", "cover_end",
-        F.size("_outer").alias("depth"), F.exists("_outer", lambda o: o["kind"] != "class").alias("nested"),
+    so_far = at.rowsBetween(Window.unboundedPreceding, 0)
+    listed = s.join(levels, key).where("indent <= _level")
+    own = F.col("indent") == F.col("_level")
+    listed = listed.withColumns({
+        "_next": F.lead("_before").over(at),
+        "_block": F.sum((~own).cast("int")).over(so_far),
+        # a statement with its clauses, and how many elif it has had
+        "_with": F.sum((~(own & F.col("_word").isin(*CLAUSES))).cast("int")).over(so_far),
+    })
+    listed = listed.withColumns({
+        "_stmt": F.max(F.when(~F.col("_deco"), F.col("line_no"))).over(Window.partitionBy(*key, "_level", "_block")),
+        "_elifs": F.sum((own & (F.col("_word") == "elif")).cast("int")).over(
+            Window.partitionBy(*key, "_level", "_with").orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)),
+    })
+    weight = F.when(F.col("_word").isin("elif", "else"), F.col("_elifs") + 1).when(F.col("_word") == "except", 2).otherwise(1)
+    h = listed.where("_head").groupBy(*key, "line_no").agg(
+        *(F.first(c).alias(c) for c in ("name", "_kind", "_def", "first_line", "_last")), F.max(F.when(own, F.col("_next"))).alias("_end"),
+        F.max(F.when(F.col("_level") == F.col("_body"), F.col("_stmt"))).alias("_cover"), F.max(F.when(own, weight)).alias("_weight"),
+    ).withColumn("_end", F.coalesce("_end", "_last"))
+    # the sweep: a start comes before what begins in it, an end behind all of its line
+    turn = lambda pos, sign: F.struct(pos.alias("_pos"), F.lit(sign).alias("_sign"))
+    events = h.select("*", F.explode(F.array(turn(2 * F.col("line_no"), 1), turn(2 * F.col("_end") + 1, -1))).alias("_t")).select("*", "_t.*").drop("_t")
+    before = Window.partitionBy(*key).orderBy("_pos").rowsBetween(Window.unboundedPreceding, -1)
+    is_def, is_function = F.col("_def").cast("int"), (F.col("_def") & (F.col("_kind") != "class")).cast("int")
+    running = lambda c: F.coalesce(F.sum(c).over(before), F.lit(0)).cast("int")
+    swept = events.withColumns({
+        "seq": running(F.when(F.col("_sign") == 1, is_def)), "depth": running(F.col("_sign") * is_def),
+        "level": running(F.col("_sign") * F.col("_weight")), "_in_function": running(F.col("_sign") * is_function),
+    })
+    return swept.where("_def and _sign = 1").select(
+        *key, "seq", "name", F.when(F.col("_kind") == "class", "class").when(F.col("_kind") == "def", "function").otherwise("async_function").alias("kind"),
+        "first_line", F.col("line_no").alias("start_line"), F.col("_end").alias("end_line"), F.coalesce("_cover", "line_no").alias("cover_end"),
+        "depth", "level", (F.col("_in_function") > 0).alias("nested"),
     )
 
 
@@ -122,31 +111,29 @@ def _text(rows: DataFrame, key: Sequence[str], by: Sequence[str]) -> DataFrame:
 
 def chunks(file_lines: DataFrame, found: DataFrame, key: Sequence[str]) -> DataFrame:
     """UDTF-01: ``key + [seq, name, start_line, end_line, code]``: the root remainder
-    (if any line is left), then functions and classes, outer ones first; async
-    functions are not chunked."""
+    (if any line is left), then functions and classes, outer nodes of the syntax
+    tree first; async functions are not chunked."""
     key = list(key)
     own = found.where("kind <> 'async_function'")
-    cover = own.groupBy(*key).agg(F.collect_list(F.struct("start_line", "cover_end")).alias("_cover"))
-    hidden = F.coalesce(F.exists("_cover", lambda s: F.col("line_no").between(s["start_line"], s["cover_end"])), F.lit(False))
+    shown = file_lines.select(*key, "line_no", "text")
     # a file's final line feed ends its last line and doesn't begin another
-    n = file_lines.groupBy(*key).agg(F.max("line_no").alias("_n"))
-    shown = file_lines.join(n, key).where(~((F.col("line_no") == F.col("_n")) & (F.col("text") == "")))
-    root = _text(shown.join(cover, key, "left").where(~hidden), key, []).where("code <> ''")
-    root = root.select(*key, F.lit(-1).alias("depth"), F.lit("root").alias("name"), F.lit(None).cast("int").alias("start_line"), F.lit(None).cast("int").alias("end_line"), "code")
-    groups = own.groupBy(*key).agg(F.collect_list(F.struct("depth", "name", F.col("first_line").alias("start_line"), "end_line")).alias("_at"))
-    inside = F.explode(F.filter("_at", lambda s: F.col("line_no").between(s["start_line"], s["end_line"])))
-    parts = _text(file_lines.join(groups, key).withColumn("_x", inside).select(*key, "line_no", "text", "_x.*"), key, ["depth", "name", "start_line", "end_line"])
+    last = F.max("line_no").over(Window.partitionBy(*key))
+    left = interval_join(shown.withColumn("_n", last), own.select(*key, "start_line", "cover_end"), key, "line_no", end="cover_end", how="left_anti")
+    root = _text(left.where(~((F.col("line_no") == F.col("_n")) & (F.col("text") == ""))), key, []).where("code <> ''")
+    none = F.lit(None).cast("int")
+    root = root.select(*key, F.lit(-1).alias("level"), F.lit("root").alias("name"), none.alias("start_line"), none.alias("end_line"), "code")
+    spans_of = own.select(*key, "level", "name", F.col("first_line").alias("start_line"), "end_line")
+    parts = _text(interval_join(shown, spans_of, key, "line_no"), key, ["level", "name", "start_line", "end_line"])
     every = root.unionByName(parts.select(root.columns))
-    rank = F.row_number().over(Window.partitionBy(*key).orderBy("depth", "start_line"))
+    rank = F.row_number().over(Window.partitionBy(*key).orderBy("level", "start_line"))
     return every.select(*key, (rank - 1).cast("int").alias("seq"), "name", "start_line", "end_line", "code")
 
 
 def bodies(file_lines: DataFrame, found: DataFrame, key: Sequence[str]) -> DataFrame:
     """UDTF-09: ``key + [seq, code]``: source of every span, without its decorators."""
     key = list(key)
-    at = found.groupBy(*key).agg(F.collect_list(F.struct("seq", "start_line", "end_line")).alias("_at"))
-    inside = F.explode(F.filter("_at", lambda s: F.col("line_no").between(s["start_line"], s["end_line"])))
-    return _text(file_lines.join(at, key).withColumn("_x", inside).select(*key, "line_no", "text", F.col("_x.seq").alias("seq")), key, ["seq"])
+    inside = interval_join(file_lines.select(*key, "line_no", "text"), found.select(*key, "seq", "start_line", "end_line"), key, "line_no")
+    return _text(inside, key, ["seq"])
 
 
 def calls(file_lines: DataFrame, found: DataFrame, key: Sequence[str]) -> DataFrame:
@@ -154,10 +141,10 @@ def calls(file_lines: DataFrame, found: DataFrame, key: Sequence[str]) -> DataFr
     not async; a function's own decorators are not part of it."""
     key = list(key)
     code = F.regexp_replace("code", HEADER, "")
-    named = file_lines.select(*key, "line_no", F.explode(F.regexp_extract_all(code, F.lit(r"([A-Za-z_]\w*)\s*\("), 1)).alias("callee")).where(~F.col("callee").isin(NOT_CALLS))
-    callers = found.where("kind = 'function'").groupBy(*key).agg(F.collect_list(F.struct("name", "start_line", "end_line")).alias("_f"))
-    inside = F.explode(F.filter("_f", lambda f: F.col("line_no").between(f["start_line"], f["end_line"])))
-    return named.join(callers, key).select(*key, inside.alias("_x"), "callee").select(*key, F.col("_x.name").alias("caller"), "callee").distinct()
+    named = file_lines.where(F.contains("code", F.lit("("))).select(
+        *key, "line_no", F.explode(F.regexp_extract_all(code, F.lit(r"([A-Za-z_]\w*)\s*\("), 1)).alias("callee")).where(~F.col("callee").isin(NOT_CALLS))
+    callers = found.where("kind = 'function'").select(*key, F.col("name").alias("caller"), "start_line", "end_line")
+    return interval_join(named, callers, key, "line_no").select(*key, "caller", "callee").distinct()
 
 
 def defined(found: DataFrame, key: Sequence[str]) -> DataFrame:
@@ -166,21 +153,24 @@ def defined(found: DataFrame, key: Sequence[str]) -> DataFrame:
 
 
 def imports(file_lines: DataFrame, key: Sequence[str]) -> DataFrame:
-    """UDTF-08: ``key + [alias, target]`` of imports that aren't indented; the last
-    of several with one alias counts."""
+    """UDTF-08: ``key + [alias, target]`` of imports that aren't indented, of several
+    on a line each; the last of several with one alias counts."""
     key = list(key)
     order = Window.partitionBy(*key).orderBy("line_no")
-    x = file_lines.where(F.trim("code") != "").withColumn("_s", F.sum(F.col("starts").cast("int")).over(order))
+    x = file_lines.where(F.trim("code") != "").select(*key, "line_no", "code", "indent", F.sum(F.col("starts").cast("int")).over(order).alias("_s"))
+    # lines of one statement, kept where it can be an import: most statements go before lines are put together
+    x = x.withColumn("_any", F.max(F.contains("code", F.lit("import")).cast("int")).over(Window.partitionBy(*key, "_s"))).where("_any = 1")
     piece = F.regexp_replace("code", r"\\$", "")
     whole = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_no", piece.alias("t")))), lambda r: r["t"]), " ")
     s = x.groupBy(*key, "_s").agg(whole.alias("_t"), F.min_by("indent", "line_no").alias("_i")).where("_i = 0")
+    s = s.select(*key, "_s", F.posexplode(F.split("_t", ";")).alias("_k", "_t")).withColumn("_t", F.trim("_t"))
     source = F.regexp_extract("_t", r"^from\s+(\.*\s*[\w.]*)\s+import\s", 1)
     named = F.regexp_replace(F.regexp_extract("_t", r"^(?:from\s+\.*\s*[\w.]*\s+)?import\s+(.*)$", 1), r"[()]", "")
-    s = s.select(*key, "_s", F.regexp_replace(source, r"^\.+\s*", "").alias("_m"), F.startswith("_t", F.lit("from")).alias("_from"), F.posexplode(F.split(named, ",")).alias("_p", "_n"))
+    s = s.select(*key, "_s", "_k", F.regexp_replace(source, r"^\.+\s*", "").alias("_m"), F.startswith("_t", F.lit("from")).alias("_from"), F.posexplode(F.split(named, ",")).alias("_p", "_n"))
     name, alias = F.regexp_extract("_n", r"^\s*([\w.*]+)", 1), F.regexp_extract("_n", r"\sas\s+(\w+)\s*$", 1)
     target = F.when(F.col("_from"), F.concat_ws(".", F.when(F.col("_m") == "", "None").otherwise(F.col("_m")), name)).otherwise(name)
-    s = s.where(name != "").select(*key, "_s", "_p", F.when(alias != "", alias).otherwise(name).alias("alias"), target.alias("target"))
-    return s.groupBy(*key, "alias").agg(F.max_by("target", F.struct("_s", "_p")).alias("target"))
+    s = s.where(name != "").select(*key, "_s", "_k", "_p", F.when(alias != "", alias).otherwise(name).alias("alias"), target.alias("target"))
+    return s.groupBy(*key, "alias").agg(F.max_by("target", F.struct("_s", "_k", "_p")).alias("target"))
 
 
 def without_comments(files: DataFrame, file_lines: DataFrame, key: Sequence[str], content: str = "content") -> DataFrame:
@@ -196,15 +186,37 @@ def without_comments(files: DataFrame, file_lines: DataFrame, key: Sequence[str]
 
 
 def masked(file_lines: DataFrame, key: Sequence[str]) -> DataFrame:
-    """UDTF-11 by lines: ``key + [code]`` with comments as ``##`` and a line feed, and
-    strings that stand as statements as ``#--``."""
+    """UDTF-11: ``key + [code]`` as a reading of the tokens puts it together again: a
+    comment is ``##`` and a line feed; the string that begins an indented block, or
+    the file, is ``#--``; a backslash at the end of a line goes with its line feed
+    and the blanks before it.  Tabs between tokens stay as they are."""
     key = list(key)
     order = Window.partitionBy(*key).orderBy("line_no")
-    alone = F.regexp_like(F.trim("code"), F.lit('^""$')) & F.col("starts")
-    inner = ~F.col("starts") & (F.trim("code") == "") & F.col("holds")
     x = file_lines.withColumn("_run", F.sum(F.col("starts").cast("int")).over(order))
-    doc = F.max(alone.cast("int")).over(Window.partitionBy(*key, "_run")) == 1
-    cut = F.when(F.col("comment") != "", F.concat(F.expr("substring(text, 1, length(text) - length(comment))"), F.lit("##\n"))).otherwise(F.col("text"))
-    shown = F.when(alone, F.concat(F.regexp_extract("text", r"^[ \t]*", 0), F.lit("#--"))).otherwise(cut)
-    x = x.withColumn("_gone", doc & inner).withColumn("text", shown).where("not _gone")
-    return _text(x.select(*key, "line_no", "text"), key, [])
+    # the first statement of a block is indented further than the one before it
+    before = F.last(F.when(F.col("starts"), F.col("indent")), ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, -1))
+    string = F.regexp_like("text", F.lit(r"^[ \t]*(?i:[rub]|rb|br)?['\"]"))
+    x = x.withColumn("_doc", F.col("starts") & string & F.when(before.isNull(), F.col("line_no") == 1).otherwise(F.col("indent") > before))
+    # the string's own lines: up to the first one behind which it doesn't go on
+    run = Window.partitionBy(*key, "_run").orderBy("line_no")
+    ended = F.coalesce(F.sum((~F.col("opens")).cast("int")).over(run.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    x = x.withColumn("_of_doc", F.max("_doc").over(Window.partitionBy(*key, "_run")) & (ended == 0))
+    n = F.length("comment")
+    without = lambda c: F.when(n > 0, F.concat(F.expr(f"substring({c}, 1, length({c}) - length(comment))"), F.lit("##\n"))).otherwise(F.col(c))
+    indent = F.regexp_extract("text", r"^[ \t]*", 0)
+    # behind the string's opening and closing on one line
+    behind = F.regexp_replace(without("text"), rf"(?s)^[ \t]*(?i:[rub]|rb|br)?(?:{CLOSED})", "")
+    shown = (
+        F.when(F.col("_doc") & F.col("opens"), F.concat(indent, F.lit("#--")))
+        .when(F.col("_doc"), F.concat(indent, F.lit("#--"), behind))
+        .when(F.col("_of_doc") & F.col("opens"), "")
+        .when(F.col("_of_doc"), without("own"))
+        .when(F.endswith("code", F.lit("\\")) & ~F.col("opens"), F.regexp_replace("text", r"\s*\\$", ""))
+        .otherwise(without("text"))
+    )
+    joined = (F.col("_of_doc") & F.col("opens")) | (F.endswith("code", F.lit("\\")) & ~F.col("opens"))
+    last = F.col("line_no") == F.max("line_no").over(Window.partitionBy(*key))
+    feed = F.when(joined | last, "").otherwise("\n")
+    x = x.select(*key, "line_no", F.concat(shown, feed).alias("text"))
+    whole = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_no", "text"))), lambda r: r["text"]), "")
+    return x.groupBy(*key).agg(whole.alias("code"))

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from faultline.operators import graph, patches, source
 from faultline.plans.texts import part_patches
-from faultline.plans.truth import KEY, part_lines
+from faultline.plans.truth import KEY, part_facts
 from faultline.sources.tables import read_table
 
 MAX_DEPTH = 1
@@ -78,8 +78,7 @@ def resolve_import(spark, sf):
 def call_resolution(spark, sf):
     """JON-08/09: each call of the part modules, resolved locally, through an
     import alias, or as external."""
-    ln = part_lines(spark, sf)
-    found = source.spans(ln, KEY)
+    ln, found = part_facts(spark, sf)
     calls, defined, imports = source.calls(ln, found, KEY), source.defined(found, KEY), source.imports(ln, KEY)
     return graph.classify_calls(calls, defined, imports, ["p_partkey"])
 

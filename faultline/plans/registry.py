@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-_MODULES = ("faultline.plans.retrieval", "faultline.plans.texts", "faultline.plans.corpus", "faultline.plans.truth", "faultline.plans.calls", "faultline.plans.repair")
+_MODULES = tuple(f"faultline.plans.{m}" for m in ("retrieval", "texts", "corpus", "truth", "code", "calls", "repair"))
 
 
 def _load():

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from faultline.operators import context, report, segment, source
 from faultline.operators import evaluate as ev
 from faultline.plans import corpus, retrieval
-from faultline.plans.truth import _MOD, KEY, part_lines
+from faultline.plans.truth import _MOD, KEY, part_facts
 from faultline.sources.tables import read_table
 
 # Display order of groups in the printed report (a fixed dimension).
@@ -82,8 +82,7 @@ def run_stamps(spark, sf):
 
 def break_costs(spark, sf):
     """UDTF-04: break candidates of the part modules."""
-    ln = part_lines(spark, sf)
-    sp = source.spans(ln, KEY)
+    ln, sp = part_facts(spark, sf)
     body = source.bodies(ln, sp, KEY)
     return segment.break_costs(sp.join(body, [*KEY, "seq"]), KEY)
 
@@ -96,8 +95,7 @@ def record_merge(spark, sf):
 
 
 def name_lookup(spark, sf):
-    ln = part_lines(spark, sf)
-    chunks = source.chunks(ln, source.spans(ln, KEY), KEY).select("p_partkey", "name", "seq")
+    chunks = source.chunks(*part_facts(spark, sf), KEY).select("p_partkey", "name", "seq")
     p = read_table(spark, sf, "part", "p_partkey", "p_name")
     wanted = p.select("p_partkey", F.explode(F.array(
         F.lit("inner"), F.lit("price"), F.lit("fetch"), F.regexp_replace("p_name", " ", "_"))).alias("name"))

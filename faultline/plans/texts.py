@@ -229,7 +229,7 @@ def changed_functions(spark, sf):
     """SCA-04: the functions that a patch changes, from its added lines where the removed ones lead to none."""
     at = ["p_partkey", "file"]
     diff, old, new = part_changes(spark, sf)
-    found = patches.changed_functions(diff, old, source.spans(source.lines(old, at), at), new, source.spans(source.lines(new, at), at), ["p_partkey"])
+    found = patches.changed_functions(diff, old, source.facts(old, at)[1], new, source.facts(new, at)[1], ["p_partkey"])
     return found.withColumn("pos", F.col("pos").cast("int"))
 
 

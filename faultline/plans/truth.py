@@ -125,19 +125,21 @@ def part_lines(spark, sf) -> DataFrame:
     return source.lines(part_sources(spark, sf), KEY)
 
 
+def part_facts(spark, sf) -> tuple[DataFrame, DataFrame]:
+    return source.facts(part_sources(spark, sf), KEY)
+
+
 def code_chunks(spark, sf):
-    ln = part_lines(spark, sf)
-    c = source.chunks(ln, source.spans(ln, KEY), KEY)
+    c = source.chunks(*part_facts(spark, sf), KEY)
     return c.select("p_partkey", "seq", "name", "start_line", "end_line", T.n_parts(F.col("code")).alias("n_lines"), F.md5("code").alias("code_md5"))
 
 
 def code_spans(spark, sf):
-    return source.spans(part_lines(spark, sf), KEY).select("p_partkey", "seq", "name", "kind", "start_line", "end_line", "nested")
+    return part_facts(spark, sf)[1].select("p_partkey", "seq", "name", "kind", "start_line", "end_line", "nested")
 
 
 def called_names(spark, sf):
-    ln = part_lines(spark, sf)
-    return source.calls(ln, source.spans(ln, KEY), KEY)
+    return source.calls(*part_facts(spark, sf), KEY)
 
 
 def import_aliases(spark, sf):
@@ -146,7 +148,7 @@ def import_aliases(spark, sf):
 
 def defined_names(spark, sf):
     """AGG-17: distinct defined names per file, sorted and joined."""
-    d = source.defined(source.spans(part_lines(spark, sf), KEY), KEY)
+    d = source.defined(part_facts(spark, sf)[1], KEY)
     return d.groupBy("p_partkey").agg(F.array_join(F.array_sort(F.collect_set("name")), ",").alias("names"))
 
 

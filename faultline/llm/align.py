@@ -6,7 +6,9 @@ to one, and doubling probes at that shift jump over the stretch; its exact end
 is found by halving.  What doesn't match is walked token by token up to the
 next offset where both end, which gives the new shift.
 
-Batches of texts are encoded and aligned in Python workers.  What needs the
+Batches of texts are encoded and aligned in Python workers; what stands between two
+blanks is encoded once as long as a worker remembers it, since neither tokenizer
+joins it with what stands outside.  What needs the
 whole corpus, the number of documents that hold an id pair linked, goes
 through Spark: a block of documents sends each of its distinct pairs once, so a
 pair that stands in every document is one row a block, and the counts come
@@ -27,6 +29,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -34,62 +37,78 @@ from pyspark.sql import types as T
 
 from faultline.llm import _text
 from faultline.llm._cut import cut
-from faultline.llm.bpe import byte_alphabet
+from faultline.llm.bpe import Memo, byte_alphabet
 
 BLOCK = 1 << 22  # bytes of text that share one list of distinct pairs
+MEMO = 400_000  # parts of texts in each generation that a worker remembers
 SPACE_MARK = "▁"  # fixed by the piece file's format: a space
+# White space on both sides of a blank: A's rule for runs of it reads across the blank.
+BLANK = r"[\t-\r\x1c- \x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+TIED = f"{BLANK} {BLANK}"
+EDGE = f"^{BLANK}|{BLANK}$"
+RUN = 500  # parts that are read as one text
 
 
-def align_ends(a: list[int], b: list[int]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def align_ends(ends_a: np.ndarray, ends_b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Groups and links of two token sequences over the same bytes, given as end
     offsets: for each group the number of A and B tokens up to its end, and
     the token pairs (A index, B index) whose bytes overlap."""
-    n, m = len(a), len(b)
-    runs: list[tuple[int, int, int]] = []
-    ends_a, ends_b, links_a, links_b = [], [], [], []
+    n = len(ends_a)
+    ends_a, ends_b = ends_a.astype(np.int64), ends_b.astype(np.int64)
+    # ends as bytes, so a probe is one comparison of memory; both sides end at the same offset
+    a, b = ends_a.tobytes(), ends_b.tobytes()
+    at_a, at_b = memoryview(a).cast("q"), memoryview(b).cast("q")
+    irregular: list[int] = []  # of each such group: where it begins on both sides, and where the next one does
+    note = irregular.extend
     i = j = 0
     while i < n:
-        if a[i] == b[j]:
+        x, y = at_a[i], at_b[j]
+        if x == y:
             # known to match: ``low`` tokens; double the probe while it holds
-            low, most = 1, min(n - i, m - j)
-            while low < most:
-                high = min(2 * low, most)
-                if a[i + low:i + high] != b[j + low:j + high]:
+            low, p, q = 1, 8 * i, 8 * j
+            while i + low < n:
+                if a[p + 8 * low:p + 16 * low] != b[q + 8 * low:q + 16 * low]:
+                    high = 2 * low
                     while high - low > 1:
                         mid = (low + high) // 2
-                        if a[i + low:i + mid] == b[j + low:j + mid]:
+                        if a[p + 8 * low:p + 8 * mid] == b[q + 8 * low:q + 8 * mid]:
                             low = mid
                         else:
                             high = mid
                     break
-                low = high
-            runs.append((i, j, low))
+                low += low
             i += low
             j += low
         else:
-            x, y = a[i], b[j]
-            while True:
-                links_a.append(i)
-                links_b.append(j)
+            begin, other = i, j
+            while x != y:
                 if x < y:
                     i += 1
-                    x = a[i]
-                elif y < x:
-                    j += 1
-                    y = b[j]
+                    x = at_a[i]
                 else:
-                    break
+                    j += 1
+                    y = at_b[j]
             i += 1
             j += 1
-            ends_a.append(i)
-            ends_b.append(j)
-    start_a, start_b, length = np.array(runs, dtype=np.int64).reshape(-1, 3).T
-    step = np.arange(length.sum()) - np.repeat(np.cumsum(length) - length, length)
-    one_a, one_b = np.repeat(start_a, length) + step, np.repeat(start_b, length) + step
-    whole = lambda one, more: np.sort(np.concatenate([one + 1, np.array(more, dtype=np.int64)]))
+            note((begin, other, i, j))
+    from_a, from_b, to_a, to_b = np.array(irregular, dtype=np.int64).reshape(-1, 4).T
+
+    def inside(first: np.ndarray, last: np.ndarray, size: int) -> np.ndarray:
+        turn = np.zeros(size + 1, dtype=np.int64)
+        turn[first] += 1
+        np.subtract.at(turn, last, 1)
+        return np.cumsum(turn[:-1]) > 0
+
+    odd_a, odd_b = inside(from_a, to_a, n), inside(from_b, to_b, len(ends_b))
+    one_a, one_b = np.flatnonzero(~odd_a), np.flatnonzero(~odd_b)
+    odd_a, odd_b = np.flatnonzero(odd_a), np.flatnonzero(odd_b)
+    # in irregular groups every piece between two ends is a link
+    end_a, end_b = ends_a[odd_a], ends_b[odd_b]
+    ends = np.sort(np.concatenate([end_a, end_b]), kind="stable")
+    ends = ends[np.diff(ends, prepend=-1) > 0]
     return (
-        whole(one_a, ends_a), whole(one_b, ends_b),
-        np.concatenate([one_a, np.array(links_a, dtype=np.int64)]), np.concatenate([one_b, np.array(links_b, dtype=np.int64)]),
+        np.sort(np.concatenate([one_a + 1, to_a])), np.sort(np.concatenate([one_b + 1, to_b])),
+        np.concatenate([one_a, odd_a[np.searchsorted(end_a, ends)]]), np.concatenate([one_b, odd_b[np.searchsorted(end_b, ends)]]),
     )
 
 
@@ -123,7 +142,7 @@ class Tokenizers:
             bytes([int(self.b.id_to_piece(i)[3:-1], 16)]) if self.b.is_byte(i)
             else self.b.id_to_piece(i).replace(SPACE_MARK, " ").encode() for i in range(size_b)
         ]
-        self.raw = [pa.array(raw, pa.large_binary()) for raw in (raw_a, raw_b)]
+        self.raw = [raw_a, raw_b]
         self.size = [np.array([len(t) for t in raw], dtype=np.int64) for raw in (raw_a, raw_b)]
         # ids as text with what may follow: A tokens "," or "|" (last of its group), B tokens "," or ";"
         self.names = pa.array(
@@ -132,16 +151,50 @@ class Tokenizers:
         )
         self.first_b = 2 * len(raw_a)
 
-    def encode(self, texts: list[str]) -> tuple[list[list[int]], list[list[int]]]:
-        spaced = [" " + t for t in texts]
-        return (
-            [e.ids for e in self.a.encode_batch_fast(spaced, add_special_tokens=False)],
-            self.b.encode(texts, num_threads=1),
-        )
-
-    def bytes_of(self, which: int, ids: np.ndarray) -> memoryview:
-        taken = self.raw[which].take(pa.array(ids))
-        return memoryview(taken.buffers()[2] or b"").cast("B")
+        # no piece goes on behind a blank, so B reads what stands between blanks alone
+        self.by_part = not any(SPACE_MARK in t.lstrip(SPACE_MARK) for t in map(self.b.id_to_piece, range(size_b)))
+        self.memo = Memo(MEMO)
+
+    def encode(self, parts: list[str]) -> list[tuple[bytes, bytes] | None]:
+        """Both sides' ids (32 bits each) of a space and a part each; None for a part that a
+        side doesn't give back byte by byte.
+
+        Parts without white space at their ends are put together again, many a call,
+        and the ids are dealt out by the parts' bytes."""
+        out: list = [None] * len(parts)
+        edge = pc.match_substring_regex(pa.array(parts, pa.large_string()), EDGE).to_pylist()
+        joint = [k for k, t in enumerate(parts) if self.by_part and t and not edge[k]]
+        done = set()
+        for first in range(0, len(joint), RUN):
+            some = joint[first:first + RUN]
+            ids = self._run([parts[k] for k in some])
+            if ids is not None:
+                done.update(some)
+                for k, x in zip(some, ids):
+                    out[k] = x
+        rest = [k for k in range(len(parts)) if k not in done]
+        spaced = [" " + parts[k] for k in rest]
+        for k, t, a, b in zip(rest, spaced, self.a.encode_batch_fast(spaced, add_special_tokens=False), self.b.encode([parts[k] for k in rest], num_threads=1)):
+            a, want = a.ids, t.encode()
+            if all(b"".join(map(raw.__getitem__, ids)) == want for raw, ids in zip(self.raw, (a, b))):
+                out[k] = np.array(a, np.int32).tobytes(), np.array(b, np.int32).tobytes()
+        return out
+
+    def _run(self, parts: list[str]) -> list[tuple[bytes, bytes]] | None:
+        """Ids of parts that are read as one text; None if a side doesn't give it back."""
+        text = " ".join(parts)
+        want = (" " + text).encode()
+        stops = np.cumsum([len(t) + 1 for t in (parts if len(want) == len(text) + 1 else map(str.encode, parts))])
+        sides = []
+        for which, ids in ((0, self.a.encode_batch_fast([" " + text], add_special_tokens=False)[0].ids), (1, self.b.encode(text))):
+            got = np.array(ids, dtype=np.int32)
+            ends = np.cumsum(self.size[which][got])
+            cuts = np.searchsorted(ends, stops)
+            if len(ends) != cuts[-1] + 1 or (ends[cuts] != stops).any() or b"".join(map(self.raw[which].__getitem__, ids)) != want:
+                return None
+            cuts, raw = [0, *(4 * cuts + 4).tolist()], got.tobytes()
+            sides.append([raw[x:y] for x, y in zip(cuts, cuts[1:])])
+        return list(zip(*sides))
 
 
 def tokenizers_of(spec: dict) -> Tokenizers:
@@ -151,38 +204,48 @@ def tokenizers_of(spec: dict) -> Tokenizers:
     return _text.KEPT[spec["name"]]
 
 
-def _flat(lists: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
-    """(values, offsets) of lists."""
-    offs = np.zeros(len(lists) + 1, dtype=np.int64)
-    np.cumsum([len(x) for x in lists], out=offs[1:])
-    return np.fromiter((i for x in lists for i in x), dtype=np.int64, count=int(offs[-1])), offs
-
-
 class Aligned:
     """The alignment of a run of texts: ids and offsets of both sides, groups, links."""
 
     def __init__(self, tok: Tokenizers, texts: list[str | None]):
         n = len(texts)
-        full = [k for k, t in enumerate(texts) if t]
-        ids = tok.encode([texts[k] for k in full])
-        want = [(" " + texts[k]).encode() for k in full]
-        ok = np.ones(len(full), dtype=bool)
-        for which in (0, 1):
-            flat, offs = _flat(ids[which])
-            raw, at = tok.bytes_of(which, flat), np.concatenate([[0], np.cumsum(tok.size[which][flat])])[offs]
-            for k, text in enumerate(want):
-                ok[k] &= at[k + 1] - at[k] == len(text) and raw[at[k]:at[k + 1]] == text
-        rows = [k for k in range(len(full)) if ok[k]]
-        have = np.zeros(n, dtype=np.int64)
-        have[[full[k] for k in rows]] = 1
+        # a text between whose blanks stand parts that don't depend on each other is many parts, another is one
+        tied = pc.match_substring_regex(pa.array([t or "" for t in texts], pa.large_string()), TIED).to_pylist()
+        cut = [bool(t) and tok.by_part and not (x or t[0] == " " or t[-1] == " " or "  " in t) for t, x in zip(texts, tied)]
+        split = pc.split_pattern(pa.array([t if c else "" for t, c in zip(texts, cut)], pa.large_string()), " ")
+        size = np.where(cut, pc.list_value_length(split).to_numpy(zero_copy_only=False), [bool(t) for t in texts]).astype(np.int64)
+        whole = [k for k, t in enumerate(texts) if t and not cut[k]]
+        coded = split.filter(pa.array(cut, pa.bool_())).flatten().dictionary_encode()
+        names = coded.dictionary.to_pylist() + [texts[k] for k in whole]
+        part = np.empty(int(size.sum()), dtype=np.int64)
+        first = np.cumsum(size) - size
+        single = np.zeros(len(part), dtype=bool)
+        single[first[whole]] = True
+        part[~single] = coded.indices.to_numpy(zero_copy_only=False)
+        part[single] = np.arange(len(whole)) + len(coded.dictionary)
+
+        new = tok.memo.missing(set(names))
+        for piece in range(0, len(new), 5000):
+            tok.memo.young.update(zip(new[piece:piece + 5000], tok.encode(new[piece:piece + 5000])))
+        found = list(map(tok.memo.young.__getitem__, names))
+        lost = np.array([x is None for x in found], dtype=bool)
+        row = np.repeat(np.arange(n), size)
+        bad = np.zeros(n, dtype=bool)
+        bad[row[lost[part]]] = True
+        keep = ~bad[row]
+        row, part = row[keep], part[keep]
         #: for each text the position of its tokens among those of all texts
         self.ids, self.offs = [], []
         ends = []
         for which in (0, 1):
-            flat, offs = _flat([ids[which][k] for k in rows])
-            self.ids.append(flat)
-            self.offs.append(offs[np.concatenate([[0], np.cumsum(have)])])
-            ends.append(np.cumsum(tok.size[which][flat]).tolist())
+            lists = [x[which] if x else b"" for x in found]
+            flat = np.frombuffer(b"".join(lists), dtype=np.int32).astype(np.int64)
+            offs = np.concatenate([[0], np.cumsum(np.fromiter(map(len, lists), dtype=np.int64, count=len(lists))) // 4])
+            sizes = np.diff(offs)[part]
+            here = np.repeat(offs[part] - (np.cumsum(sizes) - sizes), sizes) + np.arange(sizes.sum())
+            self.ids.append(flat[here])
+            self.offs.append(np.concatenate([[0], np.cumsum(_text.per_row(sizes, row, n).astype(np.int64))]))
+            ends.append(np.cumsum(tok.size[which][self.ids[which]]))
         # texts end at the same offset on both sides, so no group crosses them
         self.group_a, self.group_b, self.link_a, self.link_b = align_ends(*ends)
         self.groups = np.searchsorted(self.group_a, self.offs[0], "right")
@@ -270,7 +333,7 @@ def _aligned_blocks(docs: DataFrame, spec) -> DataFrame:
         for whole in batches:
             for batch in _pieces(whole, "text", BLOCK):
                 counts, pair, row, first = [], [], [], 0
-                for piece in _pieces(batch, "text", _text.CHUNK):
+                for piece in _pieces(batch, "text", BLOCK):
                     x = Aligned(tok, piece.column("text").to_pylist())
                     owner = np.searchsorted(x.offs[0], x.link_a, "right") - 1
                     pair.append(x.ids[0][x.link_a] << 32 | x.ids[1][x.link_b])

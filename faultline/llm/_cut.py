@@ -23,8 +23,8 @@ def small_batches(spark: SparkSession) -> None:
         spark.conf.set(BATCH, str(ROWS))
 
 
-def cut(df: DataFrame, tag: str) -> DataFrame:
+def cut(df: DataFrame, tag: str, compression: str = "snappy") -> DataFrame:
     spark = df.sparkSession
     path = f"{checkpoint_dir(spark)}/llm-{uuid.uuid4().hex}/{tag}"
-    df.write.parquet(path)
+    df.write.option("compression", compression).parquet(path)
     return spark.read.schema(df.schema).parquet(path)

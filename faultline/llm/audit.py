@@ -5,8 +5,9 @@ that touches it whole, so terms need to be found once for each distinct chunk of
 the corpus.  A block of documents keeps, for each document, which chunks of the
 block's list it has and how often; lists are united over the corpus, each
 distinct chunk is tokenized once, and its terms come back to the blocks by a
-join on the chunk.  There they give, per (lang, source, term), the occurrences
-and the documents that hold the term, summed over blocks.
+join on the chunk (without terms too rare to be kept, which a filter of fixed size
+tells).  There they give, per (lang, term), the documents that hold the term and its
+occurrences by source, summed over blocks.
 
 Counts of a source in one language against each other source of it are compared
 in tiles of sources and terms, so a language with many terms or sources is many
@@ -29,8 +30,8 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from faultline.llm import _text
-from faultline.llm._cut import cut
+from faultline.llm import _filter, _text
+from faultline.llm._cut import ROWS, cut
 
 # Fixed values of the contract: a term's characters, the smoothing, the scale of shares.
 TERM = r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+"
@@ -38,12 +39,16 @@ PRIOR, SCALE = 5, 1_000_000_000
 MIN_DOCS = 30
 TOP = 50
 
-BLOCK = 1 << 22  # bytes of text that share one list of distinct chunks
+BLOCK = 1 << 24  # bytes of text that share one list of distinct chunks
+LIST = 5000  # chunks in one row of a block's list
 TILE_TERMS, TILE_SOURCES = 4096, 256
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
-BLOCKS = "block long, lang string, source string, at array<int>, times array<int>, chunks array<string>"
-COUNTS = "lang string, source string, term string, count long, docs long"
+BLOCKS = (
+    "block long, lang string, source string, steps array<int>, times array<int>, "  # a document
+    "first int, chunks array<string>, counts array<long>"  # a block's list, in rows of its own
+)
+SUMS = "lang string, term string, docs long, sources array<string>, counts array<long>"
 
 
 def terms(chunk: Column) -> Column:
@@ -51,56 +56,84 @@ def terms(chunk: Column) -> Column:
     return F.regexp_extract_all(F.translate(chunk, UPPER, LOWER), F.lit(TERM), 0)
 
 
+def _blocks_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """Runs of documents of about BLOCK bytes, across batches."""
+    held, size = [], 0
+    for batch in batches:
+        offs = _text.column(batch, "text")[1]
+        a = 0
+        while a < batch.num_rows:
+            b = min(batch.num_rows, max(a + 1, int(np.searchsorted(offs, offs[a] + BLOCK - size, "right")) - 1))
+            held.append(batch.slice(a, b - a))
+            size += int(offs[b] - offs[a])
+            a = b
+            if size >= BLOCK or a < batch.num_rows:
+                yield pa.Table.from_batches(held).combine_chunks()
+                held, size = [], 0
+    if held:
+        yield pa.Table.from_batches(held).combine_chunks()
+
+
 def _chunk_blocks(docs: DataFrame) -> DataFrame:
-    """One row per document (its chunks by place in the block's list, and their
-    number), and one per block with its list of distinct chunks."""
+    """One row per document: its chunks by place in the block's list (in order, as steps
+    from one to the next) and their number; and one per block: distinct chunks and
+    how often each occurs."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number = TaskContext.get().partitionId() << 32
-        names = ["block", "lang", "source", "at", "times", "chunks"]
-        ints, strings = pa.list_(pa.int32()), pa.list_(pa.string())
-        for batch in batches:
-            offs = _text.column(batch, "text")[1]
-            a = 0
-            while a < batch.num_rows:
-                b = min(batch.num_rows, max(a + 1, int(np.searchsorted(offs, offs[a] + BLOCK, "right")) - 1))
-                part = batch.slice(a, b - a)
-                split = pc.ascii_split_whitespace(part.column("text"))
-                coded = split.flatten().dictionary_encode()
-                row = np.repeat(np.arange(b - a), pc.list_value_length(split).to_numpy(zero_copy_only=False))
-                size = max(len(coded.dictionary), 1)
-                own, times = np.unique(row * size + coded.indices.to_numpy(zero_copy_only=False), return_counts=True)
-                ends = pa.array(np.searchsorted(own // size, np.arange(b - a + 1)).astype(np.int32))
-                lists = [pa.ListArray.from_arrays(ends, pa.array(x.astype(np.int32))) for x in (own % size, times)]
+        names = ["block", "lang", "source", "steps", "times", "first", "chunks", "counts"]
+        ints, longs, strings = pa.list_(pa.int32()), pa.list_(pa.int64()), pa.list_(pa.string())
+        for part in _blocks_of(batches):
+            n = part.num_rows
+            split = pc.ascii_split_whitespace(part.column("text").combine_chunks().cast(pa.large_string()))
+            coded = split.flatten().dictionary_encode()
+            row = np.repeat(np.arange(n), pc.list_value_length(split).to_numpy(zero_copy_only=False))
+            found = coded.indices.to_numpy(zero_copy_only=False)
+            size = max(len(coded.dictionary), 1)
+            own, times = np.unique(row * size + found, return_counts=True)
+            ends, at = np.searchsorted(own // size, np.arange(n + 1)), own % size
+            steps = np.diff(at, prepend=0)
+            first = ends[:-1][ends[1:] > ends[:-1]]
+            steps[first] = at[first]
+            lists = [pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(x.astype(np.int32))) for x in (steps, times)]
+            for k in range(0, n, ROWS):
+                m = min(ROWS, n - k)
                 yield pa.RecordBatch.from_arrays([
-                    pa.array(np.full(b - a, number)), part.column("lang"), part.column("source"), *lists, pa.nulls(b - a, strings),
+                    pa.array(np.full(m, number)), *(part.column(c).combine_chunks().slice(k, m) for c in ("lang", "source")), *(x.slice(k, m) for x in lists),
+                    pa.nulls(m, pa.int32()), pa.nulls(m, strings), pa.nulls(m, longs),
                 ], names=names)
-                listed = pa.ListArray.from_arrays(pa.array([0, len(coded.dictionary)], pa.int32()), coded.dictionary)
+            counts = np.bincount(found, minlength=len(coded.dictionary))
+            for k in range(0, len(coded.dictionary), LIST):
+                listed = coded.dictionary.slice(k, LIST)
+                whole = pa.array([0, len(listed)], pa.int32())
                 yield pa.RecordBatch.from_arrays([
-                    pa.array([number]), pa.nulls(1, pa.string()), pa.nulls(1, pa.string()), pa.nulls(1, ints), pa.nulls(1, ints), listed,
+                    pa.array([number]), *(pa.nulls(1, t) for t in (pa.string(), pa.string(), ints, ints)),
+                    pa.array([k], pa.int32()), pa.ListArray.from_arrays(whole, listed.cast(pa.string())), pa.ListArray.from_arrays(whole, pa.array(counts[k:k + LIST])),
                 ], names=names)
-                number += 1
-                a = b
+            number += 1
             _text.tidy()
 
     return docs.mapInArrow(run, BLOCKS)
 
 
-def _strings(a: pa.ChunkedArray) -> pa.DictionaryArray:
-    return a.combine_chunks().dictionary_encode()
+def _codes(a: pa.ChunkedArray) -> tuple[np.ndarray, pa.Array]:
+    coded = a.combine_chunks().dictionary_encode()
+    return coded.indices.to_numpy(zero_copy_only=False).astype(np.int64), coded.dictionary
 
 
 def _sum_block(left: pa.Table, right: pa.Table) -> pa.Table:
-    """Occurrences and documents of each (lang, source, term) of a block: ``left`` its
-    documents, ``right`` the terms of its chunks."""
+    """Each (lang, term) of a block: documents that hold it, and occurrences by source.
+    ``left`` are the documents, ``right`` the terms of their chunks."""
     found = right.column("terms").combine_chunks()
     per_chunk, coded = np.diff(found.offsets.to_numpy()), found.flatten().dictionary_encode()
     term, n_terms = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64), max(len(coded.dictionary), 1)
+    steps, times = (left.column(c).combine_chunks() for c in ("steps", "times"))
+    lengths = np.diff(steps.offsets.to_numpy())
+    doc, times = np.repeat(np.arange(left.num_rows), lengths), times.flatten().to_numpy()
+    at = np.cumsum(steps.flatten().to_numpy(), dtype=np.int64)
+    at -= np.repeat(np.concatenate([[0], at])[np.cumsum(lengths) - lengths], lengths)
     # where the terms of the chunk at each place of the block's list begin, and how many they are
     pos = right.column("pos").to_numpy()
-    at, times = (left.column(c).combine_chunks() for c in ("at", "times"))
-    doc = np.repeat(np.arange(left.num_rows), np.diff(at.offsets.to_numpy()))
-    at, times = at.flatten().to_numpy(), times.flatten().to_numpy()
     most = max(int(pos.max(initial=-1)), int(at.max(initial=-1))) + 1
     first, size = np.zeros(most, dtype=np.int64), np.zeros(most, dtype=np.int64)
     first[pos], size[pos] = np.cumsum(per_chunk) - per_chunk, per_chunk
@@ -108,36 +141,60 @@ def _sum_block(left: pa.Table, right: pa.Table) -> pa.Table:
     n = size[at]
     here = np.repeat(first[at] - (np.cumsum(n) - n), n) + np.arange(n.sum())
     term, doc, times = term[here], np.repeat(doc, n), np.repeat(times, n)
-    lang, source = _strings(left.column("lang")), _strings(left.column("source"))
-    n_source = max(len(source.dictionary), 1)
-    group = lang.indices.to_numpy(zero_copy_only=False).astype(np.int64) * n_source + source.indices.to_numpy(zero_copy_only=False)
-
-    key, back = np.unique(group[doc] * n_terms + term, return_inverse=True)
-    count = np.zeros(len(key), dtype=np.int64)
+    (lang, langs), (source, sources) = _codes(left.column("lang")), _codes(left.column("source"))
+    n_source = max(len(sources), 1)
+    entry, back = np.unique((lang[doc] * n_terms + term) * n_source + source[doc], return_inverse=True)
+    count = np.zeros(len(entry), dtype=np.int64)
     np.add.at(count, back, times)
+    key, start = np.unique(entry // n_source, return_index=True)
     held = np.unique(doc * n_terms + term)
-    holds = np.zeros(len(key), dtype=np.int64)
-    np.add.at(holds, np.searchsorted(key, group[held // n_terms] * n_terms + held % n_terms), 1)
-    group, term = key // n_terms, key % n_terms
+    docs = np.bincount(np.searchsorted(key, lang[held // n_terms] * n_terms + held % n_terms), minlength=len(key))
+    ends = pa.array(np.append(start, len(entry)).astype(np.int32))
     return pa.table({
-        "lang": lang.dictionary.take(pa.array(group // n_source)), "source": source.dictionary.take(pa.array(group % n_source)),
-        "term": coded.dictionary.take(pa.array(term)), "count": count, "docs": holds,
+        "lang": langs.take(pa.array(key // n_terms)), "term": coded.dictionary.take(pa.array(key % n_terms)), "docs": docs,
+        "sources": pa.ListArray.from_arrays(ends, sources.take(pa.array(entry % n_source))), "counts": pa.ListArray.from_arrays(ends, pa.array(count)),
     })
 
 
-def term_counts(df: DataFrame, text: str = "text", lang: str = "lang", source: str = "source") -> DataFrame:
-    """(lang, source, term, count, docs): occurrences of each term in each group's
-    documents, and how many of them hold it."""
+def _common_enough(known: DataFrame, min_docs: int) -> DataFrame:
+    """``known(chunk, terms, n)`` with the terms that occur ``min_docs`` times or more: no
+    other can stand in as many documents.  A filter of fixed size tells them, so some
+    rare terms pass; the count of documents drops them."""
+    if min_docs <= 1:
+        return known.select("chunk", "terms")
+    total = known.select(F.explode("terms").alias("term"), "n").groupBy(F.xxhash64("term").alias("key")).agg(F.sum("n").alias("n"))
+    bits = known.sparkSession.sparkContext.broadcast(_filter.bitmap(total.where(F.col("n") >= min_docs), "key"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys, own = batch.column("keys"), batch.column("terms")
+            held = _filter.holds(bits.value, keys.flatten().to_numpy())
+            row = np.repeat(np.arange(batch.num_rows), np.diff(keys.offsets.to_numpy()))[held]
+            ends = np.searchsorted(row, np.arange(batch.num_rows + 1)).astype(np.int32)
+            left = pa.ListArray.from_arrays(pa.array(ends), own.flatten().filter(pa.array(held)))
+            some = pa.array(np.diff(ends) > 0)
+            yield pa.RecordBatch.from_arrays([batch.column("chunk").filter(some), left.filter(some)], names=["chunk", "terms"])
+
+    keyed = known.select("chunk", "terms", F.transform("terms", lambda t: F.xxhash64(t)).alias("keys"))
+    return keyed.mapInArrow(run, "chunk string, terms array<string>")
+
+
+def term_counts(df: DataFrame, text: str = "text", lang: str = "lang", source: str = "source", min_docs: int = 1) -> DataFrame:
+    """(lang, source, term, count, total): occurrences in the group's documents and in the
+    language's, of the terms that ``min_docs`` documents of the language hold."""
     empty = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
     docs = df.select(empty(text).alias("text"), empty(lang).alias("lang"), empty(source).alias("source"))
-    made = cut(_chunk_blocks(docs), "chunks")
-    listed = made.where("chunks is not null").select(F.col("block").alias("held_by"), F.posexplode("chunks").alias("pos", "chunk"))
-    known = listed.select("chunk").distinct().select("chunk", terms(F.col("chunk")).alias("terms")).where(F.size("terms") > 0)
-    answer = listed.join(known, "chunk").select("held_by", "pos", "terms")
-    return (
-        made.where("chunks is null").drop("chunks").groupBy("block").cogroup(answer.groupBy("held_by")).applyInArrow(_sum_block, COUNTS)
-        .groupBy("lang", "source", "term").agg(F.sum("count").alias("count"), F.sum("docs").alias("docs"))
-    )
+    made = cut(_chunk_blocks(docs), "chunks", compression="zstd")
+    listed = made.where("chunks is not null").select(F.col("block").alias("held_by"), "first", F.posexplode(F.arrays_zip("chunks", "counts")).alias("pos", "x"))
+    listed = listed.select("held_by", (F.col("first") + F.col("pos")).alias("pos"), F.col("x.chunks").alias("chunk"), F.col("x.counts").alias("n")).where("chunk <> ''")
+    listed = listed.repartition("chunk")  # one exchange for the distinct chunks and for the way back
+    known = listed.groupBy("chunk").agg(F.sum("n").alias("n")).select("chunk", "n", terms(F.col("chunk")).alias("terms")).where(F.size("terms") > 0)
+    answer = listed.join(_common_enough(known, min_docs), "chunk").select("held_by", "pos", "terms")
+    sums = made.where("chunks is null").drop("first", "chunks", "counts").groupBy("block").cogroup(answer.groupBy("held_by")).applyInArrow(_sum_block, SUMS)
+    of_lang = Window.partitionBy("lang", "term")
+    kept = sums.repartition("lang", "term").withColumn("_held", F.sum("docs").over(of_lang)).where(F.col("_held") >= min_docs)
+    kept = kept.select("lang", "term", F.explode(F.arrays_zip("sources", "counts")).alias("x")).groupBy("lang", "term", F.col("x.sources").alias("source"))
+    return kept.agg(F.sum("x.counts").alias("count")).withColumn("total", F.sum("count").over(of_lang)).select("lang", "source", "term", "count", "total")
 
 
 def share(count: Column, total: Column) -> Column:
@@ -153,9 +210,9 @@ def _tile(key: tuple, rows: pa.Table) -> pa.Table:
     bases = rows.filter(given).sort_by("source")
     names, tile = bases.column("source").combine_chunks(), bases.column("tile").to_numpy()
     rows = rows.filter(pc.invert(given))
-    coded = _strings(rows.column("term"))
-    shares = np.repeat(bases.column("p").to_numpy()[:, None], len(coded.dictionary), axis=1)
-    shares[pc.index_in(rows.column("source").combine_chunks(), names).to_numpy(), coded.indices.to_numpy()] = rows.column("p").to_numpy()
+    term, distinct = _codes(rows.column("term"))
+    shares = np.repeat(bases.column("p").to_numpy()[:, None], len(distinct), axis=1)
+    shares[pc.index_in(rows.column("source").combine_chunks(), names).to_numpy(), term] = rows.column("p").to_numpy()
     left, right, value = [], [], []
     for i in np.flatnonzero(tile == low):
         others = np.flatnonzero(tile == high)
@@ -208,10 +265,8 @@ def audit(
     """How sources of one language differ in their terms: part ``pair`` ranks the other
     sources by divergence, part ``term`` the terms that a source has more of than
     its language, at most ``top`` of them."""
-    counts = cut(term_counts(df, text, lang, source), "counts")
-    of_lang = counts.groupBy("lang", "term").agg(F.sum("count").alias("total"), F.sum("docs").alias("docs")).where(F.col("docs") >= min_docs)
-    of_lang = cut(of_lang.drop("docs"), "terms")
-    kept = counts.drop("docs").join(of_lang, ["lang", "term"])
+    kept = cut(term_counts(df, text, lang, source, min_docs), "terms", compression="zstd")
+    of_lang = kept.select("lang", "term", "total").distinct()
     empty = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
     groups = df.select(empty(lang).alias("lang"), empty(source).alias("source")).distinct()
     number = of_lang.groupBy("lang").agg(F.count("*").alias("v"), F.sum("total").alias("all"))

@@ -50,9 +50,9 @@ def rows_of(n, seed):
     return [(" ".join(rnd.choice(words) for _ in range(rnd.randint(0, 30))), rnd.choice(langs), rnd.choice(sources)) for _ in range(n)]
 
 
-def test_rows_equal_brute_force(spark, monkeypatch):
-    monkeypatch.setattr(audit, "BLOCK", 2000)  # several blocks a batch
+def test_rows_equal_brute_force(spark):
     rows = rows_of(300, 1) + [(t, "fr", "s1") for t in ODD] + [(t, "fr", "s2") for t in ODD] + [("lonely", "it", "s9"), (None, None, None), ("", "pt", "a"), ("7 8", "pt", "b")]
+    rows += [(" ".join("".join(chr(97 + int(c)) for c in str(k)) for k in range(s, 12000, 2)), "es", "s1") for s in (0, 1)]  # a long list of chunks
     rows += rows[:40]
     rnd = random.Random(2)
     rnd.shuffle(rows)
@@ -79,3 +79,14 @@ def test_shares_are_exact_for_counts_beyond_64_bits(spark):
 def test_empty_table(spark):
     assert audit.audit(table(spark, []).limit(0)).collect() == []
     assert audit.term_counts(table(spark, [])).collect() == []
+
+
+def test_blocks_hold_whole_documents_across_batches(monkeypatch):
+    import pyarrow as pa
+
+    monkeypatch.setattr(audit, "BLOCK", 100)
+    texts = ["x" * (7 * k % 90) for k in range(50)] + ["y" * 1000, "", "z"]
+    batches = [pa.record_batch({"text": texts[k:k + 9]}) for k in range(0, len(texts), 9)]
+    blocks = [t.column("text").to_pylist() for t in audit._blocks_of(iter(batches))]
+    assert [t for b in blocks for t in b] == texts and all(len("".join(b[:-1])) < 100 for b in blocks)
+    assert len(blocks) < 35 and list(audit._blocks_of(iter([]))) == []

@@ -17,11 +17,11 @@ from __future__ import annotations
 import uuid
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from faultline.functions import text as T
-from faultline.session import checkpoint_dir
+from faultline.session import checkpoint_dir, cut
 
 # Fixed leaf labels of the call walk.
 LEAF_NOT_FOUND = "Function not found"
@@ -68,6 +68,7 @@ def reachability(
     cost: str = "cost",
     keys: Sequence[str] = (),
     max_rounds: int | None = None,
+    relevant: DataFrame | None = None,
 ) -> DataFrame:
     """JON-11/12: nodes reachable from each root with the minimum number of
     cost-1 hops (``depth``); walks stop at ``max_depth`` cost-1 hops
@@ -77,10 +78,17 @@ def reachability(
     ``edges(keys, src, dst, cost)`` with cost 0 or 1; ``roots(keys, root, node)``.
     Output ``keys + [root, node, depth]``.  ``max_rounds`` is a guard, not a
     limit: a walk that would need more rounds is an error, never a part.
+
+    FLT-09: with ``relevant(keys, node)`` (see ``most_relevant``) a walk steps on
+    these nodes alone.  Edges to others go before the first round, so what lies
+    behind a node that is left out is never expanded; a root stays in any case.
     """
     keys = list(keys)
     at = [*keys, "node"]
     e = edges.select(*keys, F.col(src).alias("node"), F.col(dst).alias("_d"), F.col(cost).cast("int").alias("_w")).distinct()
+    if relevant is not None:
+        e = e.join(relevant.select(*keys, F.col("node").alias("_d")).distinct(), [*keys, "_d"], "left_semi").select(*at, "_d", "_w")
+    e = cut(e, "edges")  # every round reads them
     start = roots.select(*keys, "root", "node").distinct().withColumn("depth", F.lit(0))
     done = _Rounds(start)
     frontier, depth = done.add(start), 0
@@ -106,6 +114,61 @@ def reachability(
     return done.all()
 
 
+def most_relevant(scores: DataFrame, k: int, keys: Sequence[str] = (), node: str = "node", score: str = "score") -> DataFrame:
+    """FLT-09: ``keys + [node]``: the ``k`` nodes of highest localisation score in each
+    snapshot, by node on a tie.  Catalyst cuts each partition to ``k`` before the
+    shuffle (``WindowGroupLimit``)."""
+    order = Window.partitionBy(*keys).orderBy(F.col(score).desc_nulls_last(), F.col(node))
+    ranked = scores.select(*keys, F.col(node).alias("node"), F.row_number().over(order).alias("_r"))
+    return ranked.where(F.col("_r") <= k).select(*keys, "node")
+
+
+def named_callees(call_graph: DataFrame, keys: Sequence[str], order: str = "ord", caller: str = "caller", callees: str = "callees") -> DataFrame:
+    """JON-12: ``keys + [name, callee]`` of a supplied call graph, as a lookup of
+    ``.name`` finds them: of the entries of a snapshot (or file) whose dotted caller
+    ends in ``.name``, the first one in input order counts and the others are not
+    looked at; a callee is its last component.
+
+    ``call_graph(keys, ord, caller, callees)`` with ``callees`` an array.  The first
+    entry is an aggregate over (order, entry), so no entry of a frequent name waits
+    for another.  A caller without a dot is found by no name."""
+    keys = list(keys)
+    entries = call_graph.where(F.contains(caller, F.lit("."))).select(
+        *keys, F.substring_index(caller, ".", -1).alias("name"), F.struct(F.col(order).alias("o"), F.col(callees).alias("c")).alias("_e"))
+    first = entries.groupBy(*keys, "name").agg(F.min_by("_e", "_e.o").alias("_e"))
+    return first.select(*keys, "name", F.explode("_e.c").alias("callee")).select(*keys, "name", F.substring_index("callee", ".", -1).alias("callee")).distinct()
+
+
+def call_edges(calls: DataFrame, defined: DataFrame, imports: DataFrame, files: DataFrame, key: Sequence[str], path: str = "path") -> DataFrame:
+    """JON-08..10/12: the calls of every file as edges of the walk:
+    ``key + [src, callee, dst, cost, status]`` with nodes ``(path, name)``.
+
+    ``calls(key, path, caller, callee)``, ``defined(key, path, name)``,
+    ``imports(key, path, alias, target)``, ``files(key, path)``.  A callee defined in
+    the file is a hop of cost 0; an imported one is a hop of cost 1 into its
+    module's file, ``no_module`` without such a file and ``no_function`` where the
+    file doesn't define it; all others are ``external``."""
+    key = list(key)
+    at = [*key, path]
+    c = classify_calls(calls, defined, imports, at)
+    module = T.module_path(F.col("import_target"))
+    place = lambda alias: files.select(*key, F.col(path).alias(alias), F.lit(True).alias(f"_has{alias}")).distinct()
+    c = c.withColumns({"_f": module["as_file"], "_p": module["as_pkg"]}).join(place("_f"), [*key, "_f"], "left").join(place("_p"), [*key, "_p"], "left")
+    local = F.col("resolution") == "local"
+    to = F.when(local, F.col(path)).when(F.col("_has_f"), F.col("_f")).when(F.col("_has_p"), F.col("_p"))
+    there = defined.select(*key, F.col(path).alias("_to"), F.col("name").alias("callee"), F.lit(True).alias("_there")).distinct()
+    c = c.withColumn("_to", to).join(there, [*key, "_to", "callee"], "left")
+    status = (
+        F.when(F.col("resolution") == LEAF_EXTERNAL, "external").when(F.col("_to").isNull(), "no_module")
+        .when(F.col("_there").isNull(), "no_function")
+    )
+    node = lambda p, n: F.struct(p.alias("path"), n.alias("name"))
+    return c.select(
+        *key, node(F.col(path), F.col("caller")).alias("src"), "callee",
+        F.when(status.isNull(), node(F.col("_to"), F.col("callee"))).alias("dst"), F.when(local, 0).otherwise(1).alias("cost"), status.alias("status"),
+    )
+
+
 def call_tree(
     visited: DataFrame, calls: DataFrame, max_depth: int | None = None, keys: Sequence[str] = (),
     src: str = "src", dst: str = "dst", cost: str = "cost", callee: str = "callee", status: str = "status",

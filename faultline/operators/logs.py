@@ -5,7 +5,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from faultline.functions import text as T
@@ -63,6 +63,47 @@ def tracebacks(traces: DataFrame, key: Sequence[str], raw: str = "raw") -> DataF
     return y.where(F.coalesce(F.col("trace"), F.lit("")) != "")
 
 
+# Frames that say nothing about the project: installed packages, the interpreter's own
+# modules, generated code, logging.
+UNINFORMATIVE_FRAME = r"(?:^|/)(?:site-packages|dist-packages|lib/python[0-9.]*|lib64/python[0-9.]*|logging)/|^<[^>]*>$|(?:^|/)logging\.py$"
+FRAME = r'^(\s*)File "([^"]*)", line \d+'
+
+
+def frames(traces: DataFrame, key: Sequence[str], trace: str = "trace") -> DataFrame:
+    """FLT-08: the lines of each traceback with the frame they belong to:
+    ``key + [pos, line, frame, path]``.
+
+    A frame is a line ``File "path", line n`` and the lines below it that are
+    indented further, its code; they get a number that a running sum gives and that
+    ends at the first line that isn't (``frame`` and ``path`` are null there)."""
+    key = list(key)
+    x = traces.select(*key, F.posexplode(F.split(F.coalesce(F.col(trace), F.lit("")), "\n", -1)).alias("pos", "line"))
+    indent = F.length(F.regexp_extract("line", r"^[ \t]*", 0))
+    so_far = Window.partitionBy(*key).orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
+    x = x.withColumns({"_head": F.regexp_like("line", F.lit(FRAME)), "_indent": indent})
+    x = x.withColumn("frame", F.sum(F.col("_head").cast("int")).over(so_far))
+    at = Window.partitionBy(*key, "frame").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
+    x = x.withColumns({
+        "_of": F.max(F.when(F.col("_head"), F.col("_indent"))).over(at),
+        "_path": F.max(F.when(F.col("_head"), F.regexp_extract("line", FRAME, 2))).over(at),
+    })
+    out = F.coalesce(F.sum((~F.col("_head") & (F.col("_indent") <= F.col("_of"))).cast("int")).over(at), F.lit(0))
+    inside = (F.col("frame") > 0) & (out == 0)
+    return x.withColumn("_inside", inside).select(
+        *key, "pos", "line", F.when(F.col("_inside"), F.col("frame")).cast("int").alias("frame"), F.when(F.col("_inside"), F.col("_path")).alias("path"))
+
+
+def informative(traces: DataFrame, key: Sequence[str], trace: str = "trace", pattern: str = UNINFORMATIVE_FRAME) -> DataFrame:
+    """FLT-08: ``key + [trace, n_frames, n_dropped]``: tracebacks without the frames
+    whose path matches ``pattern``; a frame goes with its code lines, and all other
+    lines stay.  A trace may lose every frame and keeps its message then."""
+    key = list(key)
+    x = frames(traces, key, trace).withColumn("_gone", F.coalesce(F.regexp_like("path", F.lit(pattern)), F.lit(False)))
+    left = F.array_join(F.transform(F.array_sort(F.collect_list(F.when(~F.col("_gone"), F.struct("pos", "line")))), lambda r: r["line"]), "\n")
+    count = lambda c: F.count_distinct(c).cast("bigint")
+    return x.groupBy(*key).agg(left.alias("trace"), count("frame").alias("n_frames"), count(F.when(F.col("_gone"), F.col("frame"))).alias("n_dropped"))
+
+
 def trace_lengths(traces: DataFrame, by: Sequence[str] = (), raw: str = "raw") -> DataFrame:
     """AGG-12: lines of the raw traces: shortest, longest, mean, and how many traces."""
     n = T.n_parts(F.col(raw))

@@ -72,6 +72,38 @@ def changed_lines(
     )
 
 
+HUNK_START = r"^@@ -(\d+)(?:,\d+)? \+(\d+)(?:,\d+)? @@"
+
+
+def numbered_lines(patches: DataFrame, key: Sequence[str], diff: str = "diff", fixed: bool = False) -> DataFrame:
+    """JON-05 by hunks (Q11): ``changed_lines`` with the line's number in the old file
+    (in the new one, ``fixed=True``).
+
+    A hunk header ``@@ -a,b +c,d @@`` sets the old file's line to ``a`` and the new
+    one's to ``c``; behind it a common line moves both, a removed one the old, an
+    added one the new: a running sum that starts anew at each header.  Output
+    ``key + [pos, file, code, line_no]``; without a readable header the number is
+    null."""
+    key = list(key)
+    x = patches.select(*key, F.posexplode(T.lines(F.col(diff))).alias("pos", "line"))
+    ln = F.col("line")
+    head = ln.startswith("@@")
+    section = ln.startswith("diff --git")
+    so_far = Window.partitionBy(*key).orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
+    x = x.withColumn("_hunk", F.sum((head | section).cast("int")).over(so_far))
+    at = Window.partitionBy(*key, "_hunk").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
+    # an empty line is a common one whose blank was lost
+    moves = (ln.startswith("+" if fixed else "-") | ln.startswith(" ") | (ln == "")) & ~head & ~section
+    start = F.regexp_extract("line", HUNK_START, 2 if fixed else 1)
+    x = x.withColumns({
+        "_start": F.max(F.when(head & (start != ""), start.cast("int"))).over(Window.partitionBy(*key, "_hunk")),
+        "_moved": F.coalesce(F.sum(moves.cast("int")).over(at), F.lit(0)),
+    })
+    number = (F.col("_start") + F.col("_moved")).cast("int")
+    return changed_lines(patches, key, diff, fixed).join(x.select(*key, "pos", number.alias("line_no")), [*key, "pos"], "left").select(
+        *key, "pos", "file", "code", "line_no")
+
+
 def changed_functions(
     patches: DataFrame, old_files: DataFrame, old_spans: DataFrame, new_files: DataFrame, new_spans: DataFrame, key: Sequence[str], diff: str = "diff",
 ) -> DataFrame:

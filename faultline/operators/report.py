@@ -72,6 +72,18 @@ def write_bucketed(df: DataFrame, table: str, by: Sequence[str], buckets: int, m
     df.write.mode(mode).bucketBy(buckets, *by).sortBy(*by).saveAsTable(table)
 
 
+def write_vectors(df: DataFrame, path: str, position: str, vec: str = "embedding", partition_by: Sequence[str] = (), mode: str = "overwrite") -> None:
+    """SNK-02: vectors as arrays of floats, one folder per partition value, in the
+    order of ``position`` inside each file, so a range of positions reads few row
+    groups.  Rows go to as many tasks as there are; a partition's rows aren't brought
+    together."""
+    rows = df.withColumn(vec, F.col(vec).cast("array<float>")).sortWithinPartitions(*partition_by, position)
+    w = rows.write.mode(mode)
+    if partition_by:
+        w = w.partitionBy(*partition_by)
+    w.parquet(path)
+
+
 def write_json(df: DataFrame, path: str, partition_by: Sequence[str] = (), mode: str = "overwrite") -> None:
     """SNK-01..06: results as JSON lines, one folder per partition value."""
     w = df.write.mode(mode)

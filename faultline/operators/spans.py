@@ -47,6 +47,23 @@ def locate(
     return j.select(*changed.columns, "line_no", status.alias("status"))
 
 
+def locate_at(changed: DataFrame, sources: DataFrame, key: Sequence[str], line: str = "code", content: str = "content", line_no: str = "line_no") -> DataFrame:
+    """JON-05 by hunks: lines that come with their number (``patches.numbered_lines``)
+    looked up there.  ``status`` is ``found`` where the file has that text on that
+    line, ``not_found`` where it has another or none, ``no_file``.
+
+    A file's distinct numbers go to its text, as in :func:`locate`."""
+    key = list(key)
+    wanted = changed.where(F.col(line_no).isNotNull()).groupBy(*key).agg(F.collect_set(line_no).alias("_numbers"))
+    texts = sources.where(F.col(content).isNotNull()).select(*key, F.split(content, "\n", -1).alias("_src"))
+    at = F.transform("_numbers", lambda n: F.struct(n.alias("n"), F.get("_src", n - 1).alias("text")))
+    shown = texts.join(wanted, key).select(*key, F.explode(at).alias("_x")).select(*key, F.col("_x.n").alias(line_no), F.col("_x.text").alias("_text"))
+    files = texts.select(*key, F.lit(True).alias("_file"))
+    j = changed.join(shown, [*key, line_no], "left").join(files, key, "left")
+    status = F.when(F.col("_file").isNull(), "no_file").when(F.col("_text") == F.col(line), "found").otherwise("not_found")
+    return j.select(*changed.columns, status.alias("status"))
+
+
 def _bucketed_spans(spans: DataFrame, start: str, end: str, bucket_lines: int) -> DataFrame:
     lo = F.floor((F.col(start) - 1) / bucket_lines).cast("int")
     hi = F.floor((F.col(end) - 1) / bucket_lines).cast("int")

@@ -157,6 +157,34 @@ def read_documents(spark: SparkSession, path: str, schema: str, multi_line: bool
     return spark.read.schema(schema).option("multiLine", multi_line).option("mode", "DROPMALFORMED").json(path)
 
 
+CORRUPT = "_corrupt_record"
+
+
+def read_checked(spark: SparkSession, path: str, schema: str, multi_line: bool = False) -> tuple[DataFrame, DataFrame]:
+    """SRC-12/14: JSON documents (one a line, or one a file) in two tables: those that fit
+    the schema, with the columns that the folders' names give, and ``(path, record)``
+    of those that don't.  Blank lines are no documents."""
+    raw = spark.read.option("wholetext", multi_line).text(path).where(F.trim("value") != "")
+    options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT}
+    parsed = F.from_json("value", f"{schema}, {CORRUPT} string", options)
+    folders = [c for c in raw.columns if c != "value"]
+    rows = raw.select(*folders, "value", F.col("_metadata.file_path").alias("path"), parsed.alias("_j"))
+    bad = F.coalesce(F.col(f"_j.{CORRUPT}").isNotNull(), F.lit(True))
+    good = rows.where(~bad).select(*folders, "_j.*").drop(CORRUPT)
+    return good, rows.where(bad).select("path", F.col("value").alias("record"))
+
+
+def read_vectors(spark: SparkSession, path: str, vec: str = "embedding", dim: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """SRC-13: vectors that ``report.write_vectors`` wrote, in two tables: those of
+    ``dim`` finite numbers (any length without ``dim``), and the others."""
+    rows = spark.read.parquet(path)
+    whole = F.col(vec).isNotNull() & ~F.exists(vec, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
+    if dim is not None:
+        whole = whole & (F.size(vec) == dim)
+    whole = F.coalesce(whole, F.lit(False))
+    return rows.where(whole), rows.where(~whole)
+
+
 def read_results(spark: SparkSession, folder: str, schema: str) -> DataFrame:
     """SRC-15: the ``.json`` files of a result folder, with ``project`` from the file's name."""
     rows = spark.read.schema(schema).option("multiLine", True).option("pathGlobFilter", "*.json").json(folder)

@@ -4,9 +4,10 @@ Texts are cut at white space; a chunk of text between blanks holds every term
 that touches it whole, so terms need to be found once for each distinct chunk of
 the corpus.  A block of documents keeps, for each document, which chunks of the
 block's list it has and how often; lists are united over the corpus, each
-distinct chunk is tokenized once, and its terms come back to the blocks by a
-join on the chunk (without terms too rare to be kept, which a filter of fixed size
-tells).  There they give, per (lang, term), the documents that hold the term and its
+distinct chunk is tokenized once, and its terms come back to the blocks and to
+their place (without terms too rare to be kept, which a filter of fixed size tells).
+Lists travel in parts, one for each bucket of chunks, so what moves is a string a chunk
+and not a row.  There they give, per (lang, term), the documents that hold the term and its
 occurrences by source, summed over blocks.
 
 Counts of a source in one language against each other source of it are compared
@@ -21,11 +22,14 @@ table gives an empty result.  Other columns, of any name, are not read.
 
 from __future__ import annotations
 
+import itertools
+import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pandas.util import hash_array
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -40,22 +44,20 @@ MIN_DOCS = 30
 TOP = 50
 
 BLOCK = 1 << 24  # bytes of text that share one list of distinct chunks
-LIST = 5000  # chunks in one row of a block's list
 TILE_TERMS, TILE_SOURCES = 4096, 256
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 BLOCKS = (
     "block long, lang string, source string, steps array<int>, times array<int>, "  # a document
-    "first int, chunks array<string>, counts array<long>"  # a block's list, in rows of its own
+    "bucket int, first int, chunks array<string>, counts array<long>"  # a part of a block's list
+)
+TOKENIZED = (
+    "block long, first int, sizes array<int>, terms array<string>, "  # a part of a block's list
+    "total_keys array<long>, totals array<long>"  # how often terms occur in a bucket
 )
 SUMS = "lang string, term string, docs long, sources array<string>, counts array<long>"
 
 
-def terms(chunk: Column) -> Column:
-    """A chunk's terms in order, with A-Z in lower case."""
-    return F.regexp_extract_all(F.translate(chunk, UPPER, LOWER), F.lit(TERM), 0)
-
-
 def _blocks_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
     """Runs of documents of about BLOCK bytes, across batches."""
     held, size = [], 0
@@ -74,22 +76,31 @@ def _blocks_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
         yield pa.Table.from_batches(held).combine_chunks()
 
 
-def _chunk_blocks(docs: DataFrame) -> DataFrame:
+def _keys(strings: pa.Array) -> np.ndarray:
+    """64-bit hashes of distinct strings; they deal out work and filter, nothing is decided by them."""
+    return hash_array(strings.to_numpy(zero_copy_only=False).astype(object), categorize=False).view(np.int64)
+
+
+def _chunk_blocks(docs: DataFrame, buckets: int) -> DataFrame:
     """One row per document: its chunks by place in the block's list (in order, as steps
-    from one to the next) and their number; and one per block: distinct chunks and
-    how often each occurs."""
+    from one to the next) and their number; and for each bucket of a block's list: its
+    distinct chunks, which take consecutive places, and how often each occurs."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number = TaskContext.get().partitionId() << 32
-        names = ["block", "lang", "source", "steps", "times", "first", "chunks", "counts"]
+        names = [c.split()[0] for c in BLOCKS.split(", ")]
         ints, longs, strings = pa.list_(pa.int32()), pa.list_(pa.int64()), pa.list_(pa.string())
         for part in _blocks_of(batches):
             n = part.num_rows
             split = pc.ascii_split_whitespace(part.column("text").combine_chunks().cast(pa.large_string()))
             coded = split.flatten().dictionary_encode()
             row = np.repeat(np.arange(n), pc.list_value_length(split).to_numpy(zero_copy_only=False))
-            found = coded.indices.to_numpy(zero_copy_only=False)
-            size = max(len(coded.dictionary), 1)
+            listed, size = coded.dictionary, max(len(coded.dictionary), 1)
+            bucket = (_keys(listed) & (1 << 40) - 1) % buckets
+            order = np.argsort(bucket, kind="stable")
+            place = np.empty(len(order), dtype=np.int64)
+            place[order] = np.arange(len(order))
+            found = place[coded.indices.to_numpy(zero_copy_only=False)]
             own, times = np.unique(row * size + found, return_counts=True)
             ends, at = np.searchsorted(own // size, np.arange(n + 1)), own % size
             steps = np.diff(at, prepend=0)
@@ -100,22 +111,95 @@ def _chunk_blocks(docs: DataFrame) -> DataFrame:
                 m = min(ROWS, n - k)
                 yield pa.RecordBatch.from_arrays([
                     pa.array(np.full(m, number)), *(part.column(c).combine_chunks().slice(k, m) for c in ("lang", "source")), *(x.slice(k, m) for x in lists),
-                    pa.nulls(m, pa.int32()), pa.nulls(m, strings), pa.nulls(m, longs),
-                ], names=names)
-            counts = np.bincount(found, minlength=len(coded.dictionary))
-            for k in range(0, len(coded.dictionary), LIST):
-                listed = coded.dictionary.slice(k, LIST)
-                whole = pa.array([0, len(listed)], pa.int32())
-                yield pa.RecordBatch.from_arrays([
-                    pa.array([number]), *(pa.nulls(1, t) for t in (pa.string(), pa.string(), ints, ints)),
-                    pa.array([k], pa.int32()), pa.ListArray.from_arrays(whole, listed.cast(pa.string())), pa.ListArray.from_arrays(whole, pa.array(counts[k:k + LIST])),
+                    *(pa.nulls(m, t) for t in (pa.int32(), pa.int32(), strings, longs)),
                 ], names=names)
+            kept, start = np.unique(bucket[order], return_index=True)
+            m, ends = len(kept), pa.array(np.append(start, len(order)).astype(np.int32))
+            chunks, counts = listed.take(pa.array(order)).cast(pa.string()), pa.array(np.bincount(found, minlength=len(order)))
+            yield pa.RecordBatch.from_arrays([
+                pa.array(np.full(m, number)), *(pa.nulls(m, t) for t in (pa.string(), pa.string(), ints, ints)), pa.array(kept.astype(np.int32)), pa.array(start.astype(np.int32)),
+                pa.ListArray.from_arrays(ends, chunks), pa.ListArray.from_arrays(ends, counts),
+            ], names=names)
             number += 1
             _text.tidy()
 
     return docs.mapInArrow(run, BLOCKS)
 
 
+def _tokenized(lists: DataFrame, buckets: int) -> DataFrame:
+    """The terms of all chunks of a bucket, each distinct chunk read once: for every part of
+    a block's list the terms of its chunks in order, and for the bucket how often its
+    terms occur.  A task remembers the distinct chunks of its bucket, whose share of the
+    corpus' vocabulary the number of buckets sets."""
+    find, change = re.compile(TERM).findall, str.maketrans(UPPER, LOWER)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = [c.split()[0] for c in TOKENIZED.split(", ")]
+        ints, longs, strings = pa.list_(pa.int32()), pa.list_(pa.int64()), pa.list_(pa.string())
+        known: dict[str, tuple[int, ...]] = {}  # a chunk's terms by number
+        number: dict[str, int] = {}
+        totals = np.zeros(1 << 10, dtype=np.int64)
+        for batch in batches:
+            chunks, counts = (batch.column(c) for c in ("chunks", "counts"))
+            lengths, flat = np.diff(chunks.offsets.to_numpy()), chunks.flatten().to_pylist()
+            for c in set(flat).difference(known):
+                known[c] = tuple(number.setdefault(t, len(number)) for t in find(c.translate(change)))
+            found = list(map(known.__getitem__, flat))
+            sizes = np.fromiter(map(len, found), dtype=np.int32, count=len(found))
+            at = np.fromiter(itertools.chain.from_iterable(found), dtype=np.int64, count=int(sizes.sum()))
+            if len(number) > len(totals):
+                totals = np.concatenate([totals, np.zeros(max(len(totals), len(number) - len(totals)), dtype=np.int64)])
+            np.add.at(totals, at, np.repeat(counts.flatten().to_numpy(), sizes))
+            listed = pa.array(list(number), pa.string())
+            own, back = np.unique(at, return_inverse=True)
+            own = listed.take(pa.array(own))
+            starts = np.concatenate([[0], np.cumsum(lengths)])
+            ends = np.concatenate([[0], np.cumsum(sizes)])[starts]
+            n = batch.num_rows
+            yield pa.RecordBatch.from_arrays([
+                batch.column("block"), batch.column("first"), pa.ListArray.from_arrays(pa.array(starts.astype(np.int32)), pa.array(sizes)),
+                pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), own.take(pa.array(back))), pa.nulls(n, longs), pa.nulls(n, longs),
+            ], names=names)
+        if number:
+            one = pa.array([0, len(number)], pa.int32())
+            yield pa.RecordBatch.from_arrays([
+                *(pa.nulls(1, t) for t in (pa.int64(), pa.int32(), ints, strings)),
+                pa.ListArray.from_arrays(one, pa.array(_keys(pa.array(list(number), pa.string())))), pa.ListArray.from_arrays(one, pa.array(totals[:len(number)])),
+            ], names=names)
+
+    return lists.repartitionById(buckets, "bucket").select("block", "first", "chunks", "counts").mapInArrow(run, TOKENIZED)
+
+
+def _common_enough(parts: DataFrame, bits, min_docs: int) -> DataFrame:
+    """``block, pos, sizes, terms`` of the chunks with terms that may be kept, the others
+    left out: ``bits`` hold the terms that occur ``min_docs`` times or more, since no other
+    can stand in as many documents.  Some rare terms pass a filter of fixed size; the
+    count of documents drops them."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sizes, own = (batch.column(c) for c in ("sizes", "terms"))
+            per_row, size = np.diff(sizes.offsets.to_numpy()), sizes.flatten().to_numpy()
+            coded = own.flatten().dictionary_encode()
+            common = np.ones(len(coded.dictionary), dtype=bool) if min_docs <= 1 else _filter.holds(bits.value, _keys(coded.dictionary))
+            held = common[coded.indices.to_numpy(zero_copy_only=False)]
+            chunk = np.repeat(np.arange(len(size)), size)
+            left = np.bincount(chunk[held], minlength=len(size))
+            row = np.repeat(np.arange(batch.num_rows), per_row)
+            pos = np.arange(len(size)) - np.repeat(np.cumsum(per_row) - per_row, per_row) + batch.column("first").to_numpy()[row]
+            some = left > 0
+            per = np.bincount(row[some], minlength=batch.num_rows)
+            cut_at = pa.array(np.concatenate([[0], np.cumsum(per)]).astype(np.int32))
+            terms_at = np.concatenate([[0], np.cumsum(left)])[np.concatenate([[0], np.cumsum(per_row)])].astype(np.int32)
+            out = pa.RecordBatch.from_arrays([
+                batch.column("block"), pa.ListArray.from_arrays(cut_at, pa.array(pos[some].astype(np.int32))),
+                pa.ListArray.from_arrays(cut_at, pa.array(left[some].astype(np.int32))), pa.ListArray.from_arrays(pa.array(terms_at), own.flatten().filter(pa.array(held))),
+            ], names=["held_by", "pos", "sizes", "terms"])
+            yield out.filter(pa.array(per > 0))
+
+    return parts.mapInArrow(run, "held_by long, pos array<int>, sizes array<int>, terms array<string>")
+
+
 def _codes(a: pa.ChunkedArray) -> tuple[np.ndarray, pa.Array]:
     coded = a.combine_chunks().dictionary_encode()
     return coded.indices.to_numpy(zero_copy_only=False).astype(np.int64), coded.dictionary
@@ -124,8 +208,8 @@ def _codes(a: pa.ChunkedArray) -> tuple[np.ndarray, pa.Array]:
 def _sum_block(left: pa.Table, right: pa.Table) -> pa.Table:
     """Each (lang, term) of a block: documents that hold it, and occurrences by source.
     ``left`` are the documents, ``right`` the terms of their chunks."""
-    found = right.column("terms").combine_chunks()
-    per_chunk, coded = np.diff(found.offsets.to_numpy()), found.flatten().dictionary_encode()
+    pos, per_chunk = (right.column(c).combine_chunks().flatten().to_numpy().astype(np.int64) for c in ("pos", "sizes"))
+    coded = right.column("terms").combine_chunks().flatten().dictionary_encode()
     term, n_terms = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64), max(len(coded.dictionary), 1)
     steps, times = (left.column(c).combine_chunks() for c in ("steps", "times"))
     lengths = np.diff(steps.offsets.to_numpy())
@@ -133,7 +217,6 @@ def _sum_block(left: pa.Table, right: pa.Table) -> pa.Table:
     at = np.cumsum(steps.flatten().to_numpy(), dtype=np.int64)
     at -= np.repeat(np.concatenate([[0], at])[np.cumsum(lengths) - lengths], lengths)
     # where the terms of the chunk at each place of the block's list begin, and how many they are
-    pos = right.column("pos").to_numpy()
     most = max(int(pos.max(initial=-1)), int(at.max(initial=-1))) + 1
     first, size = np.zeros(most, dtype=np.int64), np.zeros(most, dtype=np.int64)
     first[pos], size[pos] = np.cumsum(per_chunk) - per_chunk, per_chunk
@@ -156,41 +239,20 @@ def _sum_block(left: pa.Table, right: pa.Table) -> pa.Table:
     })
 
 
-def _common_enough(known: DataFrame, min_docs: int) -> DataFrame:
-    """``known(chunk, terms, n)`` with the terms that occur ``min_docs`` times or more: no
-    other can stand in as many documents.  A filter of fixed size tells them, so some
-    rare terms pass; the count of documents drops them."""
-    if min_docs <= 1:
-        return known.select("chunk", "terms")
-    total = known.select(F.explode("terms").alias("term"), "n").groupBy(F.xxhash64("term").alias("key")).agg(F.sum("n").alias("n"))
-    bits = known.sparkSession.sparkContext.broadcast(_filter.bitmap(total.where(F.col("n") >= min_docs), "key"))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keys, own = batch.column("keys"), batch.column("terms")
-            held = _filter.holds(bits.value, keys.flatten().to_numpy())
-            row = np.repeat(np.arange(batch.num_rows), np.diff(keys.offsets.to_numpy()))[held]
-            ends = np.searchsorted(row, np.arange(batch.num_rows + 1)).astype(np.int32)
-            left = pa.ListArray.from_arrays(pa.array(ends), own.flatten().filter(pa.array(held)))
-            some = pa.array(np.diff(ends) > 0)
-            yield pa.RecordBatch.from_arrays([batch.column("chunk").filter(some), left.filter(some)], names=["chunk", "terms"])
-
-    keyed = known.select("chunk", "terms", F.transform("terms", lambda t: F.xxhash64(t)).alias("keys"))
-    return keyed.mapInArrow(run, "chunk string, terms array<string>")
-
-
 def term_counts(df: DataFrame, text: str = "text", lang: str = "lang", source: str = "source", min_docs: int = 1) -> DataFrame:
     """(lang, source, term, count, total): occurrences in the group's documents and in the
     language's, of the terms that ``min_docs`` documents of the language hold."""
     empty = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
     docs = df.select(empty(text).alias("text"), empty(lang).alias("lang"), empty(source).alias("source"))
-    made = cut(_chunk_blocks(docs), "chunks", compression="zstd")
-    listed = made.where("chunks is not null").select(F.col("block").alias("held_by"), "first", F.posexplode(F.arrays_zip("chunks", "counts")).alias("pos", "x"))
-    listed = listed.select("held_by", (F.col("first") + F.col("pos")).alias("pos"), F.col("x.chunks").alias("chunk"), F.col("x.counts").alias("n")).where("chunk <> ''")
-    listed = listed.repartition("chunk")  # one exchange for the distinct chunks and for the way back
-    known = listed.groupBy("chunk").agg(F.sum("n").alias("n")).select("chunk", "n", terms(F.col("chunk")).alias("terms")).where(F.size("terms") > 0)
-    answer = listed.join(_common_enough(known, min_docs), "chunk").select("held_by", "pos", "terms")
-    sums = made.where("chunks is null").drop("first", "chunks", "counts").groupBy("block").cogroup(answer.groupBy("held_by")).applyInArrow(_sum_block, SUMS)
+    spark = df.sparkSession
+    buckets = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    made = cut(_chunk_blocks(docs, buckets), "chunks", compression="zstd")
+    tokenized = cut(_tokenized(made.where("bucket is not null"), buckets), "tokenized", compression="zstd")
+    totals = tokenized.where("totals is not null").select(F.explode(F.arrays_zip("total_keys", "totals")).alias("x"))
+    totals = totals.groupBy(F.col("x.total_keys").alias("key")).agg(F.sum("x.totals").alias("n")).where(F.col("n") >= min_docs)
+    bits = spark.sparkContext.broadcast(_filter.bitmap(totals, "key")) if min_docs > 1 else None
+    answer = _common_enough(tokenized.where("block is not null").select("block", "first", "sizes", "terms"), bits, min_docs)
+    sums = made.where("bucket is null").drop("bucket", "first", "chunks", "counts").groupBy("block").cogroup(answer.groupBy("held_by")).applyInArrow(_sum_block, SUMS)
     of_lang = Window.partitionBy("lang", "term")
     kept = sums.repartition("lang", "term").withColumn("_held", F.sum("docs").over(of_lang)).where(F.col("_held") >= min_docs)
     kept = kept.select("lang", "term", F.explode(F.arrays_zip("sources", "counts")).alias("x")).groupBy("lang", "term", F.col("x.sources").alias("source"))

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from faultline.operators import evaluate as ev
 from faultline.operators.knn import knn_join
+from faultline.operators.knn_pruned import knn_pruned
 from faultline.sources.tables import read_table
 
 K = 60
@@ -35,13 +36,13 @@ def knn_l2_within_key(spark: SparkSession, sf: str) -> DataFrame:
 
 def knn_l2_global(spark: SparkSession, sf: str) -> DataFrame:
     e = _emb(spark, sf)
-    return knn_join(e, e, k=K, query_id="vec_id", corpus_id="vec_id", exclude_self=True)
+    return knn_pruned(e, e, k=K, query_id="vec_id", corpus_id="vec_id", exclude_self=True)
 
 
 def knn_cosine_top2(spark: SparkSession, sf: str) -> DataFrame:
     """JON-02/SRT-02/SCA-11: global cosine, best two per query."""
     e = _emb(spark, sf)
-    return knn_join(e, e, k=2, query_id="vec_id", corpus_id="vec_id", metric="cosine", exclude_self=True)
+    return knn_pruned(e, e, k=2, query_id="vec_id", corpus_id="vec_id", metric="cosine", exclude_self=True)
 
 
 def ranked_with_relevance(spark: SparkSession, sf: str) -> DataFrame:

@@ -48,14 +48,14 @@ TILE_TERMS, TILE_SOURCES = 4096, 256
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 BLOCKS = (
-    "block long, lang string, source string, steps array<int>, times array<int>, "  # a document
+    "block long, lang string, source long, steps binary, times binary, wide_steps array<int>, wide_times array<int>, "  # a document
     "bucket int, first int, chunks array<string>, counts array<long>"  # a part of a block's list
 )
 TOKENIZED = (
     "block long, first int, sizes array<int>, terms array<string>, "  # a part of a block's list
     "total_keys array<long>, totals array<long>"  # how often terms occur in a bucket
 )
-SUMS = "lang string, term string, docs long, sources array<string>, counts array<long>"
+SUMS = "lang string, term string, docs long, sources array<long>, counts array<int>"
 
 
 def _blocks_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
@@ -81,6 +81,30 @@ def _keys(strings: pa.Array) -> np.ndarray:
     return hash_array(strings.to_numpy(zero_copy_only=False).astype(object), categorize=False).view(np.int64)
 
 
+def _narrow(x: np.ndarray, ends: np.ndarray, kind: type) -> tuple[pa.Array, pa.Array]:
+    """Lists of numbers as bytes of a small type, and the numbers that don't fit it."""
+    top = np.iinfo(kind).max
+    wide = x >= top
+    raw = np.where(wide, top, x).astype(kind)
+    offs = (ends * raw.itemsize).astype(np.int32)
+    own = np.concatenate([[0], np.cumsum(wide)])[ends].astype(np.int32)
+    return (
+        pa.Array.from_buffers(pa.binary(), len(ends) - 1, [None, pa.py_buffer(offs.tobytes()), pa.py_buffer(raw.tobytes())]),
+        pa.ListArray.from_arrays(pa.array(own), pa.array(x[wide].astype(np.int32))),
+    )
+
+
+def _widened(small: pa.Array, wide: pa.Array, kind: type) -> tuple[np.ndarray, np.ndarray]:
+    """(numbers, offsets) of what ``_narrow`` made."""
+    if not len(small):
+        return np.zeros(0, np.int64), np.zeros(1, np.int64)
+    offs = np.frombuffer(small.buffers()[1], dtype=np.int32)[small.offset:small.offset + len(small) + 1].astype(np.int64)
+    raw = small.buffers()[2]
+    out = np.frombuffer(raw, dtype=np.uint8)[offs[0]:offs[-1]].view(kind).astype(np.int64) if offs[-1] > offs[0] else np.zeros(0, np.int64)
+    out[out == np.iinfo(kind).max] = wide.flatten().to_numpy()
+    return out, (offs - offs[0]) // np.dtype(kind).itemsize
+
+
 def _chunk_blocks(docs: DataFrame, buckets: int) -> DataFrame:
     """One row per document: its chunks by place in the block's list (in order, as steps
     from one to the next) and their number; and for each bucket of a block's list: its
@@ -89,7 +113,7 @@ def _chunk_blocks(docs: DataFrame, buckets: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number = TaskContext.get().partitionId() << 32
         names = [c.split()[0] for c in BLOCKS.split(", ")]
-        ints, longs, strings = pa.list_(pa.int32()), pa.list_(pa.int64()), pa.list_(pa.string())
+        ints, longs, strings, raw = pa.list_(pa.int32()), pa.list_(pa.int64()), pa.list_(pa.string()), pa.binary()
         for part in _blocks_of(batches):
             n = part.num_rows
             split = pc.ascii_split_whitespace(part.column("text").combine_chunks().cast(pa.large_string()))
@@ -106,7 +130,8 @@ def _chunk_blocks(docs: DataFrame, buckets: int) -> DataFrame:
             steps = np.diff(at, prepend=0)
             first = ends[:-1][ends[1:] > ends[:-1]]
             steps[first] = at[first]
-            lists = [pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(x.astype(np.int32))) for x in (steps, times)]
+            (steps, wide_steps), (times, wide_times) = _narrow(steps, ends, np.uint16), _narrow(times, ends, np.uint8)
+            lists = (steps, times, wide_steps, wide_times)
             for k in range(0, n, ROWS):
                 m = min(ROWS, n - k)
                 yield pa.RecordBatch.from_arrays([
@@ -117,7 +142,7 @@ def _chunk_blocks(docs: DataFrame, buckets: int) -> DataFrame:
             m, ends = len(kept), pa.array(np.append(start, len(order)).astype(np.int32))
             chunks, counts = listed.take(pa.array(order)).cast(pa.string()), pa.array(np.bincount(found, minlength=len(order)))
             yield pa.RecordBatch.from_arrays([
-                pa.array(np.full(m, number)), *(pa.nulls(m, t) for t in (pa.string(), pa.string(), ints, ints)), pa.array(kept.astype(np.int32)), pa.array(start.astype(np.int32)),
+                pa.array(np.full(m, number)), *(pa.nulls(m, t) for t in (pa.string(), pa.int64(), raw, raw, ints, ints)), pa.array(kept.astype(np.int32)), pa.array(start.astype(np.int32)),
                 pa.ListArray.from_arrays(ends, chunks), pa.ListArray.from_arrays(ends, counts),
             ], names=names)
             number += 1
@@ -141,12 +166,17 @@ def _tokenized(lists: DataFrame, buckets: int) -> DataFrame:
         totals = np.zeros(1 << 10, dtype=np.int64)
         for batch in batches:
             chunks, counts = (batch.column(c) for c in ("chunks", "counts"))
-            lengths, flat = np.diff(chunks.offsets.to_numpy()), chunks.flatten().to_pylist()
+            lengths, coded = np.diff(chunks.offsets.to_numpy()), chunks.flatten().dictionary_encode()
+            flat = coded.dictionary.to_pylist()
             for c in set(flat).difference(known):
                 known[c] = tuple(number.setdefault(t, len(number)) for t in find(c.translate(change)))
             found = list(map(known.__getitem__, flat))
-            sizes = np.fromiter(map(len, found), dtype=np.int32, count=len(found))
+            sizes = np.fromiter(map(len, found), dtype=np.int64, count=len(found))
             at = np.fromiter(itertools.chain.from_iterable(found), dtype=np.int64, count=int(sizes.sum()))
+            # from the distinct chunks to all
+            chunk = coded.indices.to_numpy(zero_copy_only=False)
+            first, sizes = (np.cumsum(sizes) - sizes)[chunk], sizes[chunk]
+            at = at[np.repeat(first - (np.cumsum(sizes) - sizes), sizes) + np.arange(sizes.sum())]
             if len(number) > len(totals):
                 totals = np.concatenate([totals, np.zeros(max(len(totals), len(number) - len(totals)), dtype=np.int64)])
             np.add.at(totals, at, np.repeat(counts.flatten().to_numpy(), sizes))
@@ -157,7 +187,7 @@ def _tokenized(lists: DataFrame, buckets: int) -> DataFrame:
             ends = np.concatenate([[0], np.cumsum(sizes)])[starts]
             n = batch.num_rows
             yield pa.RecordBatch.from_arrays([
-                batch.column("block"), batch.column("first"), pa.ListArray.from_arrays(pa.array(starts.astype(np.int32)), pa.array(sizes)),
+                batch.column("block"), batch.column("first"), pa.ListArray.from_arrays(pa.array(starts.astype(np.int32)), pa.array(sizes.astype(np.int32))),
                 pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), own.take(pa.array(back))), pa.nulls(n, longs), pa.nulls(n, longs),
             ], names=names)
         if number:
@@ -211,10 +241,10 @@ def _sum_block(left: pa.Table, right: pa.Table) -> pa.Table:
     pos, per_chunk = (right.column(c).combine_chunks().flatten().to_numpy().astype(np.int64) for c in ("pos", "sizes"))
     coded = right.column("terms").combine_chunks().flatten().dictionary_encode()
     term, n_terms = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64), max(len(coded.dictionary), 1)
-    steps, times = (left.column(c).combine_chunks() for c in ("steps", "times"))
-    lengths = np.diff(steps.offsets.to_numpy())
-    doc, times = np.repeat(np.arange(left.num_rows), lengths), times.flatten().to_numpy()
-    at = np.cumsum(steps.flatten().to_numpy(), dtype=np.int64)
+    steps, times, wide_steps, wide_times = (left.column(c).combine_chunks() for c in ("steps", "times", "wide_steps", "wide_times"))
+    (steps, ends), (times, _) = _widened(steps, wide_steps, np.uint16), _widened(times, wide_times, np.uint8)
+    lengths = np.diff(ends)
+    doc, at = np.repeat(np.arange(left.num_rows), lengths), np.cumsum(steps)
     at -= np.repeat(np.concatenate([[0], at])[np.cumsum(lengths) - lengths], lengths)
     # where the terms of the chunk at each place of the block's list begin, and how many they are
     most = max(int(pos.max(initial=-1)), int(at.max(initial=-1))) + 1
@@ -235,16 +265,31 @@ def _sum_block(left: pa.Table, right: pa.Table) -> pa.Table:
     ends = pa.array(np.append(start, len(entry)).astype(np.int32))
     return pa.table({
         "lang": langs.take(pa.array(key // n_terms)), "term": coded.dictionary.take(pa.array(key % n_terms)), "docs": docs,
-        "sources": pa.ListArray.from_arrays(ends, sources.take(pa.array(entry % n_source))), "counts": pa.ListArray.from_arrays(ends, pa.array(count)),
+        "sources": pa.ListArray.from_arrays(ends, sources.take(pa.array(entry % n_source))), "counts": pa.ListArray.from_arrays(ends, pa.array(count.astype(np.int32))),
     })
 
 
+def _filled(c: str) -> Column:
+    return F.coalesce(F.col(c).cast("string"), F.lit(""))
+
+
+def _numbered_groups(df: DataFrame, lang: str, source: str) -> tuple[DataFrame, Column]:
+    """(lang, source, number) of all groups, and the expression of a row's number: a hash
+    with a seed for which no two groups of a language share one."""
+    groups = cut(df.select(_filled(lang).alias("lang"), _filled(source).alias("source")).distinct(), "groups")
+    for seed in itertools.count():
+        number = lambda c: F.xxhash64(F.lit(seed), c)  # noqa: E731, B023
+        found = groups.withColumn("number", number(F.col("source")))
+        if found.groupBy("lang", "number").agg(F.count("*").alias("n")).where("n > 1").isEmpty():
+            return found, number(_filled(source))
+
+
 def term_counts(df: DataFrame, text: str = "text", lang: str = "lang", source: str = "source", min_docs: int = 1) -> DataFrame:
     """(lang, source, term, count, total): occurrences in the group's documents and in the
     language's, of the terms that ``min_docs`` documents of the language hold."""
-    empty = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
-    docs = df.select(empty(text).alias("text"), empty(lang).alias("lang"), empty(source).alias("source"))
     spark = df.sparkSession
+    groups, number = _numbered_groups(df, lang, source)
+    docs = df.select(_filled(text).alias("text"), _filled(lang).alias("lang"), number.alias("source"))
     buckets = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     made = cut(_chunk_blocks(docs, buckets), "chunks", compression="zstd")
     tokenized = cut(_tokenized(made.where("bucket is not null"), buckets), "tokenized", compression="zstd")
@@ -256,7 +301,8 @@ def term_counts(df: DataFrame, text: str = "text", lang: str = "lang", source: s
     of_lang = Window.partitionBy("lang", "term")
     kept = sums.repartition("lang", "term").withColumn("_held", F.sum("docs").over(of_lang)).where(F.col("_held") >= min_docs)
     kept = kept.select("lang", "term", F.explode(F.arrays_zip("sources", "counts")).alias("x")).groupBy("lang", "term", F.col("x.sources").alias("source"))
-    return kept.agg(F.sum("x.counts").alias("count")).withColumn("total", F.sum("count").over(of_lang)).select("lang", "source", "term", "count", "total")
+    kept = kept.agg(F.sum("x.counts").alias("count")).withColumn("total", F.sum("count").over(of_lang)).withColumnRenamed("source", "number")
+    return kept.join(groups, ["lang", "number"]).select("lang", "source", "term", "count", "total")
 
 
 def share(count: Column, total: Column) -> Column:
@@ -329,8 +375,7 @@ def audit(
     its language, at most ``top`` of them."""
     kept = cut(term_counts(df, text, lang, source, min_docs), "terms", compression="zstd")
     of_lang = kept.select("lang", "term", "total").distinct()
-    empty = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
-    groups = df.select(empty(lang).alias("lang"), empty(source).alias("source")).distinct()
+    groups = df.select(_filled(lang).alias("lang"), _filled(source).alias("source")).distinct()
     number = of_lang.groupBy("lang").agg(F.count("*").alias("v"), F.sum("total").alias("all"))
     own = kept.groupBy("lang", "source").agg(F.sum("count").alias("n"))
     zero = lambda c: F.coalesce(F.col(c), F.lit(0).cast("long"))

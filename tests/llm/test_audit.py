@@ -90,3 +90,17 @@ def test_blocks_hold_whole_documents_across_batches(monkeypatch):
     blocks = [t.column("text").to_pylist() for t in audit._blocks_of(iter(batches))]
     assert [t for b in blocks for t in b] == texts and all(len("".join(b[:-1])) < 100 for b in blocks)
     assert len(blocks) < 35 and list(audit._blocks_of(iter([]))) == []
+
+
+def test_lists_of_numbers_come_back():
+    import numpy as np
+
+    rnd = random.Random(9)
+    rows = [[rnd.choice([0, 1, 254, 255, 256, 65534, 65535, 65536, 10**6]) for _ in range(rnd.randint(0, 6))] for _ in range(50)]
+    ends = np.cumsum([0, *map(len, rows)])
+    x = np.array([v for r in rows for v in r])
+    for kind in (np.uint8, np.uint16):
+        small, wide = audit._narrow(x, ends, kind)
+        for a, b in ((0, 50), (7, 31), (50, 50)):
+            got, offs = audit._widened(small.slice(a, b - a), wide.slice(a, b - a), kind)
+            assert [got[p:q].tolist() for p, q in zip(offs, offs[1:])] == rows[a:b]

@@ -13,6 +13,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from faultline.functions import text as T
+
 DEFAULT_KS = (1, 5, 10)
 
 
@@ -41,13 +43,28 @@ def relevance(
     )
 
 
+MATCHES = {"basename": T.basename, "path": lambda c: c}
+
+
+def path_relevance(ranked: DataFrame, truth: DataFrame, on: Sequence[str], path: str, truth_path: str | None = None, match: str = "basename") -> DataFrame:
+    """JON-13 for files (Q5): a ranked file is relevant when its name is that of a true one,
+    wherever it stands (``match="basename"``, as published), or when it is the true
+    one (``match="path"``)."""
+    key = MATCHES[match]
+    t = truth.select(*on, key(F.col(truth_path or path)).alias("_key"))
+    flagged = relevance(ranked.withColumn("_key", key(F.col(path))), t, on, "_key")
+    return flagged.drop("_key")
+
+
 def average_precision(
-    ranked: DataFrame, query: Sequence[str], rank: str = "rank", rel: str = "rel", queries: DataFrame | None = None
+    ranked: DataFrame, query: Sequence[str], rank: str = "rank", rel: str = "rel", queries: DataFrame | None = None, relevant: DataFrame | None = None,
 ) -> DataFrame:
     """AGG-01/02 per query: AP (divided by hits in the list, never 0) and RR.
 
     Output: ``query + [ap, rr, n_hits, first_hit]``.  With ``queries`` (one row
-    each) a query without any candidate is there as well, as a failure.
+    each) a query without any candidate is there as well, as a failure.  With
+    ``relevant(query, n_relevant)`` AP is divided by the number of all relevant items,
+    found or not (Q2).
     """
     w = (
         Window.partitionBy(*query)
@@ -55,11 +72,13 @@ def average_precision(
         .rowsBetween(Window.unboundedPreceding, Window.currentRow)
     )
     hits = ranked.withColumn("_hits", F.sum(F.col(rel)).over(w))
+    gained = F.sum(F.when(F.col(rel) == 1, F.col("_hits") / F.col(rank)).otherwise(F.lit(0.0)))
+    most = F.sum(F.col(rel))
+    if relevant is not None:
+        hits = hits.join(relevant.select(*query, F.col("n_relevant").alias("_all")), list(query), "left")
+        most = F.coalesce(F.max("_all"), F.lit(0))
     per = hits.groupBy(*query).agg(
-        _r6(
-            F.sum(F.when(F.col(rel) == 1, F.col("_hits") / F.col(rank)).otherwise(F.lit(0.0)))
-            / F.greatest(F.sum(F.col(rel)), F.lit(1))
-        ).alias("ap"),
+        _r6(gained / F.greatest(most, F.lit(1))).alias("ap"),
         _r6(F.coalesce(F.lit(1.0) / F.min(F.when(F.col(rel) == 1, F.col(rank))), F.lit(0.0))).alias("rr"),
         F.sum(F.col(rel)).cast("bigint").alias("n_hits"),
         F.min(F.when(F.col(rel) == 1, F.col(rank))).cast("bigint").alias("first_hit"),

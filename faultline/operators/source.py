@@ -109,16 +109,17 @@ def _text(rows: DataFrame, key: Sequence[str], by: Sequence[str]) -> DataFrame:
     return rows.groupBy(*key, *by).agg(joined.alias("code"))
 
 
-def chunks(file_lines: DataFrame, found: DataFrame, key: Sequence[str]) -> DataFrame:
+def chunks(file_lines: DataFrame, found: DataFrame, key: Sequence[str], cover: str = "cover_end") -> DataFrame:
     """UDTF-01: ``key + [seq, name, start_line, end_line, code]``: the root remainder
     (if any line is left), then functions and classes, outer nodes of the syntax
-    tree first; async functions are not chunked."""
+    tree first; async functions are not chunked.  A definition covers the lines up to
+    where its last statement begins; with ``cover="end_line"`` up to its end (Q22)."""
     key = list(key)
     own = found.where("kind <> 'async_function'")
     shown = file_lines.select(*key, "line_no", "text")
     # a file's final line feed ends its last line and doesn't begin another
     last = F.max("line_no").over(Window.partitionBy(*key))
-    left = interval_join(shown.withColumn("_n", last), own.select(*key, "start_line", "cover_end"), key, "line_no", end="cover_end", how="left_anti")
+    left = interval_join(shown.withColumn("_n", last), own.select(*key, "start_line", F.col(cover).alias("_cover")), key, "line_no", end="_cover", how="left_anti")
     root = _text(left.where(~((F.col("line_no") == F.col("_n")) & (F.col("text") == ""))), key, []).where("code <> ''")
     none = F.lit(None).cast("int")
     root = root.select(*key, F.lit(-1).alias("level"), F.lit("root").alias("name"), none.alias("start_line"), none.alias("end_line"), "code")

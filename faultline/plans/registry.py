@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-_MODULES = tuple(f"faultline.plans.{m}" for m in ("retrieval", "texts", "corpus", "truth", "code", "calls", "repair", "stages"))
+_MODULES = tuple(f"faultline.plans.{m}" for m in ("retrieval", "texts", "corpus", "truth", "code", "calls", "repair", "stages", "options"))
 
 
 def _load():

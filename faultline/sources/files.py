@@ -37,10 +37,9 @@ def read_tree(spark: SparkSession, root: str, glob: str = "*.py", binary: bool =
         txt = F.try_validate_utf8(F.col("content").cast("string"))
         return df.select(F.col("path"), txt.alias("content")).where(F.col("content").isNotNull())
     df = (
-        spark.read.option("wholetext", "true")
-        .option("recursiveFileLookup", "true")
+        spark.read.option("recursiveFileLookup", "true")
         .option("pathGlobFilter", glob)
-        .text(root)
+        .text(root, wholetext=True)
     )
     return df.select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("content"))
 
@@ -164,7 +163,7 @@ def read_checked(spark: SparkSession, path: str, schema: str, multi_line: bool =
     """SRC-12/14: JSON documents (one a line, or one a file) in two tables: those that fit
     the schema, with the columns that the folders' names give, and ``(path, record)``
     of those that don't.  Blank lines are no documents."""
-    raw = spark.read.option("wholetext", multi_line).text(path).where(F.trim("value") != "")
+    raw = spark.read.text(path, wholetext=multi_line).where(F.trim("value") != "")
     options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT}
     parsed = F.from_json("value", f"{schema}, {CORRUPT} string", options)
     folders = [c for c in raw.columns if c != "value"]

@@ -129,6 +129,19 @@ def test_records_that_do_not_fit_are_set_apart(spark, tmp_path):
     assert all(r.path.endswith("a.json") for r in bad.collect())
 
 
+def test_documents_of_several_lines_and_whole_files(spark, tmp_path):
+    (tmp_path / "a.json").write_text('{"a": 1,\n "b": "x"}\n')
+    (tmp_path / "b.json").write_text('{"a": 2,\n')
+    good, bad = files.read_checked(spark, str(tmp_path), "a int, b string", multi_line=True)
+    assert [tuple(r) for r in good.collect()] == [(1, "x")] and [r.record for r in bad.collect()] == ['{"a": 2,\n']
+    (tmp_path / "deep").mkdir()
+    (tmp_path / "deep" / "c.py").write_text("x = 1\ny = 2\n")
+    (tmp_path / "deep" / "d.py").write_bytes(b"\xff\xfe")
+    for binary in (False, True):
+        got = {r.path.rsplit("/", 1)[1]: r.content for r in files.read_tree(spark, str(tmp_path), binary=binary).collect()}
+        assert got["c.py"] == "x = 1\ny = 2\n" and ("d.py" in got) != binary
+
+
 def test_vectors_come_back_or_are_set_apart(spark, tmp_path):
     rows = [(1, [1.0, 2.0], 0), (2, None, 0), (3, [1.0], 1), (4, [float("nan"), 1.0], 1), (5, [1.0, None], 1), (6, [float("-inf"), 0.0], 0), (7, [0.5, 0.25], None)]
     df = spark.createDataFrame(rows, "i int, embedding array<double>, label int")

@@ -104,3 +104,16 @@ def test_lists_of_numbers_come_back():
         for a, b in ((0, 50), (7, 31), (50, 50)):
             got, offs = audit._widened(small.slice(a, b - a), wide.slice(a, b - a), kind)
             assert [got[p:q].tolist() for p, q in zip(offs, offs[1:])] == rows[a:b]
+
+
+def test_sums_by_table_and_by_sorting_agree(monkeypatch):
+    import numpy as np
+
+    rnd = np.random.default_rng(2)
+    key, n = rnd.integers(0, 90, 500), rnd.integers(1, 9, 500)
+    want = audit._summed(key, n, 90)
+    monkeypatch.setattr(audit, "DENSE", 0)
+    got = audit._summed(key, n, 90)
+    assert all((a == b).all() for a, b in zip(want, got)) and want[1].sum() == n.sum()
+    empty = np.zeros(0, np.int64)
+    assert [len(x) for x in audit._summed(empty, empty, 90)] == [0, 0]

@@ -94,6 +94,16 @@ def test_jaccard_links_a_set_to_a_crowd_of_another_chunk(spark):
     assert got == {i: 131 if i == 131 else 0 for i in range(133)}
 
 
+def test_jaccard_of_many_short_texts_of_one_template(spark, monkeypatch):
+    """More sets than a block holds, of a few elements each, all under shared keys and mostly apart."""
+    monkeypatch.setattr(jaccard, "ROWS", 256)
+    head = " ".join(f"t{k}" for k in range(10))
+    texts = [f"{head} a{k} b{k}" for k in range(1500)] + [f"{head} a{k} b{k} c" for k in range(0, 1500, 100)]
+    got = {r.doc_id: r.component_id for r in jaccard.join(frame(spark, texts)).collect()}
+    # eight shingles, six of them the template's: 6 of 10 for strangers, 8 of 9 for a text with one more word
+    assert got == {**{k: k for k in range(1500)}, **{1500 + k: 100 * k for k in range(15)}}
+
+
 def test_linked_sets_share_a_key_that_one_of_them_takes():
     """The pigeonhole, without any frequencies: units suffice, and linked pairs share a unit's key."""
     rnd = np.random.default_rng(5)

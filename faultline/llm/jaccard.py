@@ -52,6 +52,7 @@ NUM, DEN = 75, 100
 SMALL = 32
 SLACK = 1.2
 ELEMENTS = 1_000_000  # of a block
+ROWS = 4096  # sets of a block: short texts are many sets of few elements
 CROWD = 64  # sets of one batch under one key from which the key is dealt out by batch
 KEYS_EACH = 300_000  # keys that one partition should get
 BYTES = 5  # of a key within its partition
@@ -410,8 +411,8 @@ def _across(here: DataFrame, docs: DataFrame, text: str) -> DataFrame:
 
     ``here``: key, node, component.  Sets connected by such keys form a family.  All
     its sets but those of its largest component are compared with the whole family,
-    in bands of size that a link can span; a band is dealt into blocks by its number
-    of elements, and each pair of blocks yields one edge a linked set at most."""
+    in bands of size that a link can span; a band is dealt into blocks by its numbers
+    of elements and of sets, so a pair of blocks has a bounded product, and each pair of blocks yields one edge a linked set at most."""
     low = here.groupBy("key").agg(F.min("node").alias("b"))
     family = components(here.join(low, "key").select(F.col("node").alias("a"), "b"))
     each = here.select("node", "component").distinct().join(family.withColumnRenamed("component", "family"), "node")
@@ -424,7 +425,8 @@ def _across(here: DataFrame, docs: DataFrame, text: str) -> DataFrame:
     key = ["family", "at"]
 
     def blocks(df: DataFrame, name: str) -> DataFrame:
-        return df.groupBy(*key).agg(F.ceil(F.sum(F.size("elements")) / ELEMENTS).cast("int").alias(name))
+        by = F.greatest(F.ceil(F.sum(F.size("elements")) / ELEMENTS), F.ceil(F.count("*") / ROWS))
+        return df.groupBy(*key).agg(by.cast("int").alias(name))
 
     count = blocks(asks, "nq").join(blocks(offers, "nc"), key)
     block = lambda n: F.pmod(F.xxhash64("node"), F.col(n)).cast("int")

@@ -44,6 +44,7 @@ MIN_DOCS = 30
 TOP = 50
 
 BLOCK = 1 << 24  # bytes of text that share one list of distinct chunks
+DENSE = 1 << 24  # cells of a table of counts in a worker
 TILE_TERMS, TILE_SOURCES = 4096, 256
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -181,8 +182,9 @@ def _tokenized(lists: DataFrame, buckets: int) -> DataFrame:
                 totals = np.concatenate([totals, np.zeros(max(len(totals), len(number) - len(totals)), dtype=np.int64)])
             np.add.at(totals, at, np.repeat(counts.flatten().to_numpy(), sizes))
             listed = pa.array(list(number), pa.string())
-            own, back = np.unique(at, return_inverse=True)
-            own = listed.take(pa.array(own))
+            there = np.zeros(len(number), dtype=bool)
+            there[at] = True
+            back, own = (np.cumsum(there) - 1)[at], listed.filter(pa.array(there))
             starts = np.concatenate([[0], np.cumsum(lengths)])
             ends = np.concatenate([[0], np.cumsum(sizes)])[starts]
             n = batch.num_rows
@@ -235,6 +237,18 @@ def _codes(a: pa.ChunkedArray) -> tuple[np.ndarray, pa.Array]:
     return coded.indices.to_numpy(zero_copy_only=False).astype(np.int64), coded.dictionary
 
 
+def _summed(key: np.ndarray, n: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys below ``size`` and their sums, counted in a table where that is small."""
+    if size <= DENSE:
+        total = np.bincount(key, weights=n, minlength=0)
+        found = np.flatnonzero(total)
+        return found, total[found].astype(np.int64)
+    order = np.argsort(key, kind="stable")
+    key = key[order]
+    first = np.flatnonzero(np.diff(key, prepend=-1) > 0)
+    return key[first], np.add.reduceat(n[order], first) if len(first) else np.zeros(0, np.int64)
+
+
 def _sum_block(left: pa.Table, right: pa.Table) -> pa.Table:
     """Each (lang, term) of a block: documents that hold it, and occurrences by source.
     ``left`` are the documents, ``right`` the terms of their chunks."""
@@ -256,11 +270,10 @@ def _sum_block(left: pa.Table, right: pa.Table) -> pa.Table:
     term, doc, times = term[here], np.repeat(doc, n), np.repeat(times, n)
     (lang, langs), (source, sources) = _codes(left.column("lang")), _codes(left.column("source"))
     n_source = max(len(sources), 1)
-    entry, back = np.unique((lang[doc] * n_terms + term) * n_source + source[doc], return_inverse=True)
-    count = np.zeros(len(entry), dtype=np.int64)
-    np.add.at(count, back, times)
+    entry, count = _summed((lang[doc] * n_terms + term) * n_source + source[doc], times, max(len(langs), 1) * n_terms * n_source)
     key, start = np.unique(entry // n_source, return_index=True)
-    held = np.unique(doc * n_terms + term)
+    held = np.sort(doc * n_terms + term)
+    held = held[np.diff(held, prepend=-1) > 0]
     docs = np.bincount(np.searchsorted(key, lang[held // n_terms] * n_terms + held % n_terms), minlength=len(key))
     ends = pa.array(np.append(start, len(entry)).astype(np.int32))
     return pa.table({
@@ -299,9 +312,10 @@ def term_counts(df: DataFrame, text: str = "text", lang: str = "lang", source: s
     answer = _common_enough(tokenized.where("block is not null").select("block", "first", "sizes", "terms"), bits, min_docs)
     sums = made.where("bucket is null").drop("bucket", "first", "chunks", "counts").groupBy("block").cogroup(answer.groupBy("held_by")).applyInArrow(_sum_block, SUMS)
     of_lang = Window.partitionBy("lang", "term")
-    kept = sums.repartition("lang", "term").withColumn("_held", F.sum("docs").over(of_lang)).where(F.col("_held") >= min_docs)
-    kept = kept.select("lang", "term", F.explode(F.arrays_zip("sources", "counts")).alias("x")).groupBy("lang", "term", F.col("x.sources").alias("source"))
-    kept = kept.agg(F.sum("x.counts").alias("count")).withColumn("total", F.sum("count").over(of_lang)).withColumnRenamed("source", "number")
+    own = F.aggregate("counts", F.lit(0).cast("long"), lambda a, x: a + x)
+    kept = sums.repartition("lang", "term").withColumns({"_held": F.sum("docs").over(of_lang), "total": F.sum(own).over(of_lang)}).where(F.col("_held") >= min_docs)
+    kept = kept.select("lang", "term", "total", F.explode(F.arrays_zip("sources", "counts")).alias("x")).groupBy("lang", "term", F.col("x.sources").alias("number"))
+    kept = kept.agg(F.sum("x.counts").alias("count"), F.first("total").alias("total"))
     return kept.join(groups, ["lang", "number"]).select("lang", "source", "term", "count", "total")
 
 

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from faultline.operators import evaluate as ev
 from faultline.operators.knn import knn_join
 from faultline.operators.knn_pruned import knn_pruned
+from faultline.session import cut
 from faultline.sources.tables import read_table
 
 K = 60
@@ -49,7 +50,7 @@ def ranked_with_relevance(spark: SparkSession, sf: str) -> DataFrame:
     """Top-K inside the snapshot with JON-13 relevance: a neighbour is relevant
     when its label equals the query's (the truth set)."""
     e = _emb(spark, sf)
-    s = _snapshots(spark, sf)
+    s = cut(_snapshots(spark, sf), "snapshots")  # read by both sides and by their counts
     ranked = knn_join(
         s, s, k=K, query_id="vec_id", corpus_id="vec_id", keys=["source"], exclude_self=True, corpus_payload=["label"]
     ).withColumnRenamed("label", "n_label")

@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 
 from faultline.functions import text as T
 from faultline.operators import source, spans
+from faultline.session import cut
 from faultline.sources.tables import read_table
 
 NL = "\n"
@@ -63,13 +64,13 @@ def doc_spans(spark, sf) -> DataFrame:
 
 def locate_passage(spark, sf):
     docs = read_table(spark, sf, "documents", "doc_id", "text")
-    loc = spans.locate(changed_lines(spark, sf), docs, ["doc_id"], line="line", content="text")
+    loc = spans.locate(cut(changed_lines(spark, sf), "changed"), docs, ["doc_id"], line="line", content="text")
     return loc.select("doc_id", F.md5("line").alias("line_md5"), "line_no", "status")
 
 
 def enclosing_span(spark, sf):
     docs = read_table(spark, sf, "documents", "doc_id", "text")
-    loc = spans.locate(changed_lines(spark, sf), docs, ["doc_id"], line="line", content="text")
+    loc = cut(spans.locate(cut(changed_lines(spark, sf), "changed"), docs, ["doc_id"], line="line", content="text"), "located")
     enc = spans.enclosing(loc.select("doc_id", "line", "line_no"), doc_spans(spark, sf), ["doc_id"])
     return enc.select("doc_id", F.md5("line").alias("line_md5"), "line_no", "enclosing", "enclosing_kind")
 

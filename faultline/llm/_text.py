@@ -14,6 +14,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from xxhash import xxh3_64_intdigest
 
 CHUNK = 1 << 19
 
@@ -42,24 +43,12 @@ def mix(x: np.ndarray) -> np.ndarray:
 _VALUE = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 _BASE = 0xD1342543DE82EF95
 _BASE_INV = pow(_BASE, -1, 1 << 64)
-# A second hash modulo a prime: texts that are equal to the first one for every base
-# (such as a Thue-Morse word and its complement) are not to this one.
-_PRIME = (1 << 31) - 1
-_BASE2 = 0x5DEECE66D % _PRIME
-_BASE2_INV = pow(_BASE2, -1, _PRIME)
-_VALUE2 = (_VALUE >> np.uint64(34)).astype(np.int64) + 1
-_JOIN = np.uint64(0x9E3779B97F4A7C15)
-_tables = tuple(np.ones(1, dtype=t) for t in (np.uint64, np.uint64, np.int64, np.int64))
+LONG = 512  # bytes from which a span is hashed by itself
+_tables = tuple(np.ones(1, dtype=np.uint64) for _ in range(2))
 
 
-def _reduced(x: np.ndarray) -> np.ndarray:
-    """Values below 2^62 modulo the prime, up to one prime too much."""
-    x = (x & _PRIME) + (x >> 31)
-    return (x & _PRIME) + (x >> 31)
-
-
-def _powers(n: int) -> tuple[np.ndarray, ...]:
-    """Powers of both bases and of their inverses."""
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of the base and of its inverse."""
     global _tables
     if len(_tables[0]) < n:
         n = max(1 << (n - 1).bit_length(), 2 * CHUNK)
@@ -68,35 +57,30 @@ def _powers(n: int) -> tuple[np.ndarray, ...]:
             x = np.full(n, base, dtype=np.uint64)
             x[0] = 1
             out.append(np.cumprod(x, dtype=np.uint64))
-        for base in (_BASE2, _BASE2_INV):
-            x = np.ones(n, dtype=np.int64)
-            have = 1
-            while have < n:
-                more = min(have, n - have)
-                x[have:have + more] = _reduced(x[:more] * pow(base, have, _PRIME))
-                have += more
-            out.append(x)
         _tables = tuple(out)
     return _tables
 
 
 def prefix_hash(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Prefix sums of two polynomial hashes; see ``span_hash``."""
-    n = len(data)
-    power, _, power2, _ = _powers(n + 1)
-    out, out2 = np.zeros(n + 1, dtype=np.uint64), np.zeros(n + 1, dtype=np.int64)
-    np.cumsum(_VALUE[data] * power[:n], out=out[1:])
-    np.cumsum(_reduced(_VALUE2[data] * power2[:n]), out=out2[1:])
-    return out, out2
+    """Prefix sums of a polynomial hash modulo 2^64, and the bytes; see ``span_hash``."""
+    out = np.zeros(len(data) + 1, dtype=np.uint64)
+    np.cumsum(_VALUE[data] * _powers(len(data) + 1)[0][:len(data)], out=out[1:])
+    return out, data
 
 
 def span_hash(prefix: tuple[np.ndarray, np.ndarray], start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """64-bit hash of the bytes [start, end), the same wherever they stand."""
-    one, two = prefix
-    _, inverse, _, inverse2 = _powers(len(one))
-    low = _reduced(_reduced(two[end] - two[start]) * inverse2[start])
-    low[low >= _PRIME] -= _PRIME
-    return mix((one[end] - one[start]) * inverse[start] + low.view(np.uint64) * _JOIN)
+    """64-bit hash of the bytes [start, end), the same wherever they stand.
+
+    Modulo a power of two there are words, of some thousand letters, that are equal for every
+    base (a Thue-Morse word and its complement), so spans of LONG bytes or more are read
+    one by one with another hash; short ones, which are many, take one subtraction each."""
+    sums, data = prefix
+    out = mix((sums[end] - sums[start]) * _powers(len(sums))[1][start])
+    long = np.flatnonzero(end - start >= LONG)
+    if len(long):
+        view = memoryview(np.ascontiguousarray(data))
+        out[long] = np.array([xxh3_64_intdigest(view[a:b]) for a, b in zip(start[long].tolist(), end[long].tolist())], dtype=np.uint64)
+    return out
 
 
 def tidy() -> None:

@@ -84,7 +84,11 @@ def test_contents_of_every_stage(spark):
 
     tokenizers = pytest.importorskip("tokenizers")
     docs = spark.read.parquet(f"{SF}/documents.parquet")
-    near = frame(spark, [t := prose(80, 1), t.upper(), t + " more", prose(80, 2)], [90001, 90002, 90003, 90004]).select(docs.columns)
+    some = [row.text for row in docs.where("length(text) between 600 and 2000").orderBy("doc_id").limit(40).collect()]
+    some = [" ".join(reversed(t.split(" "))) for t in some]  # no copies of the originals
+    kept = [f"{t} api_key: 'abcd1234efgh{k}' and AKIA{'Q' * 16}" for k, t in enumerate(some)]
+    texts = [t := prose(80, 1), t.upper(), t + " more", prose(80, 2), *kept]
+    near = frame(spark, texts, [90001 + k for k in range(len(texts))]).select(docs.columns)
     now = docs.unionByName(near).cache()
     at = {}
     for name, stage in corpus_pipeline.STAGES:

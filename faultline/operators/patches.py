@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from faultline.functions import text as T
 from faultline.operators import spans as S
+from faultline.session import cut, spread
 
 
 def changed_paths(patches: DataFrame, key: Sequence[str], diff: str = "diff") -> DataFrame:
@@ -43,7 +44,12 @@ def changed_lines(
     with the file named by the last ``--- a/`` header of the current diff
     section.  A block whose file is unknown is dropped (Q12).
     Output ``key + [pos, file, code]``."""
-    x = patches.select(*key, F.posexplode(T.lines(F.col(diff))).alias("pos", "line"))
+    return _kept(_marked(patches, key, diff), key, fixed)
+
+
+def _marked(patches: DataFrame, key: Sequence[str], diff: str) -> DataFrame:
+    """``key + [pos, line]`` of every line, with what kind of header it is and the file and hunk it stands in."""
+    x = spread(patches, key).select(*key, F.posexplode(T.lines(F.col(diff))).alias("pos", "line"))
     ln = F.col("line")
     is_diff = ln.startswith("diff --git")
     is_file = ~is_diff & ln.startswith("--- a/")
@@ -52,7 +58,7 @@ def changed_lines(
     # '' marks "reset by a diff header"; a file header sets the name
     file_mark = F.when(is_diff, F.lit("")).when(is_file, T.py_strip(F.substring(ln, 7, 1 << 30)))
     hunk_mark = F.when(is_diff, F.lit(0)).when(is_hunk, F.lit(1))
-    y = x.select(
+    return x.select(
         *key,
         "pos",
         "line",
@@ -62,13 +68,16 @@ def changed_lines(
         F.last(file_mark, ignorenulls=True).over(w).alias("_file"),
         F.last(hunk_mark, ignorenulls=True).over(w).alias("_in"),
     )
+
+
+def _kept(marked: DataFrame, key: Sequence[str], fixed: bool, *more: str) -> DataFrame:
     if fixed:
         take = F.col("line").startswith("+")
     else:
         take = F.col("line").startswith("-") & ~F.col("line").startswith("---")
     keep = ~F.col("_d") & ~F.col("_f") & ~F.col("_h") & (F.col("_in") == 1) & take
-    return y.where(keep & (F.coalesce(F.col("_file"), F.lit("")) != "")).select(
-        *key, "pos", F.col("_file").alias("file"), F.substring(F.col("line"), 2, 1 << 30).alias("code")
+    return marked.where(keep & (F.coalesce(F.col("_file"), F.lit("")) != "")).select(
+        *key, "pos", F.col("_file").alias("file"), F.substring(F.col("line"), 2, 1 << 30).alias("code"), *more
     )
 
 
@@ -83,9 +92,10 @@ def numbered_lines(patches: DataFrame, key: Sequence[str], diff: str = "diff", f
     one's to ``c``; behind it a common line moves both, a removed one the old, an
     added one the new: a running sum that starts anew at each header.  Output
     ``key + [pos, file, code, line_no]``; without a readable header the number is
-    null."""
+    null.  Lines are read once, in one pass by key; a key that comes several times has at each
+    place the numbers of all its patches, and a null key none."""
     key = list(key)
-    x = patches.select(*key, F.posexplode(T.lines(F.col(diff))).alias("pos", "line"))
+    x = _marked(patches, key, diff)
     ln = F.col("line")
     head = ln.startswith("@@")
     section = ln.startswith("diff --git")
@@ -100,8 +110,13 @@ def numbered_lines(patches: DataFrame, key: Sequence[str], diff: str = "diff", f
         "_moved": F.coalesce(F.sum(moves.cast("int")).over(at), F.lit(0)),
     })
     number = (F.col("_start") + F.col("_moved")).cast("int")
-    return changed_lines(patches, key, diff, fixed).join(x.select(*key, "pos", number.alias("line_no")), [*key, "pos"], "left").select(
-        *key, "pos", "file", "code", "line_no")
+    # collect_list leaves nulls out, a struct isn't one
+    x = x.withColumn("_numbers", F.collect_list(F.struct(number.alias("n"))).over(Window.partitionBy(*key, "pos")))
+    known = F.lit(True)
+    for k in key:
+        known = known & F.col(k).isNotNull()
+    found = _kept(x, key, fixed, "_numbers")
+    return found.select(*key, "pos", "file", "code", F.explode(F.when(known, F.col("_numbers.n")).otherwise(F.array(F.lit(None).cast("int")))).alias("line_no"))
 
 
 def changed_functions(
@@ -114,14 +129,16 @@ def changed_functions(
     end_line)``.  Output: ``key + [pos, file, line_no, status, enclosing,
     enclosing_kind, mode]`` for every line looked up, with ``mode`` 'buggy' or 'fixed'."""
     at = [*key, "file"]
+    marked = _marked(patches, key, diff)
 
     def found(fixed: bool, files: DataFrame, spans: DataFrame) -> DataFrame:
-        x = S.locate(changed_lines(patches, key, diff, fixed=fixed), files, at)
+        # lines and places are read several times below
+        x = cut(S.locate(cut(_kept(marked, key, fixed), "changed"), files, at), "located")
         y = S.enclosing(x, spans, at)
         return y.select(*key, "pos", "file", "line_no", "status", "enclosing", "enclosing_kind", F.lit("fixed" if fixed else "buggy").alias("mode"))
 
-    old = found(False, old_files, old_spans)
-    has = old.where(F.col("enclosing_kind").isin("function", "async_function")).select(*key).distinct()
+    old = cut(found(False, old_files, old_spans), "old")
+    has = old.where(F.col("enclosing_kind").isin("function", "async_function")).select(*key).distinct().hint("merge")
     new = found(True, new_files, new_spans).join(has, list(key), "left_anti")
     return old.unionByName(new)
 

@@ -14,6 +14,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from faultline.session import spread
+
 DEFAULT_BUCKET = 256
 # Preference of span kinds when choosing the enclosing one
 # (any function first, then a class).
@@ -41,8 +43,8 @@ def locate(
     wanted = changed.where(F.col(line).isNotNull()).groupBy(*key).agg(F.collect_set(line).alias("_lines"))
     texts = sources.where(F.col(content).isNotNull()).select(*key, F.col(content).alias("_src"))
     numbered = F.transform("_lines", lambda n: F.struct(n.alias("n"), line_of_first_occurrence(F.col("_src"), n).alias("at")))
-    found = texts.join(wanted, key).select(*key, F.explode(numbered).alias("_x")).select(*key, F.col("_x.n").alias(line), F.col("_x.at").alias("line_no"), F.lit(True).alias("_file"))
-    j = changed.join(found, [*key, line], "left")
+    found = texts.join(wanted.hint("merge"), key).select(*key, F.explode(numbered).alias("_x")).select(*key, F.col("_x.n").alias(line), F.col("_x.at").alias("line_no"), F.lit(True).alias("_file"))
+    j = changed.join(found.hint("merge"), [*key, line], "left")
     status = F.when(F.col("_file").isNull(), "no_file").when(F.col("line_no").isNull(), "not_found").otherwise("found")
     return j.select(*changed.columns, "line_no", status.alias("status"))
 
@@ -57,9 +59,9 @@ def locate_at(changed: DataFrame, sources: DataFrame, key: Sequence[str], line:
     wanted = changed.where(F.col(line_no).isNotNull()).groupBy(*key).agg(F.collect_set(line_no).alias("_numbers"))
     texts = sources.where(F.col(content).isNotNull()).select(*key, F.split(content, "\n", -1).alias("_src"))
     at = F.transform("_numbers", lambda n: F.struct(n.alias("n"), F.get("_src", n - 1).alias("text")))
-    shown = texts.join(wanted, key).select(*key, F.explode(at).alias("_x")).select(*key, F.col("_x.n").alias(line_no), F.col("_x.text").alias("_text"))
+    shown = texts.join(wanted.hint("merge"), key).select(*key, F.explode(at).alias("_x")).select(*key, F.col("_x.n").alias(line_no), F.col("_x.text").alias("_text"))
     files = texts.select(*key, F.lit(True).alias("_file"))
-    j = changed.join(shown, [*key, line_no], "left").join(files, key, "left")
+    j = changed.join(shown.hint("merge"), [*key, line_no], "left").join(files.hint("merge"), key, "left")
     status = F.when(F.col("_file").isNull(), "no_file").when(F.col("_text") == F.col(line), "found").otherwise("not_found")
     return j.select(*changed.columns, status.alias("status"))
 
@@ -79,17 +81,23 @@ def interval_join(
     end: str = "end_line",
     how: str = "inner",
     bucket_lines: int = DEFAULT_BUCKET,
+    partitions: int | None = None,
 ) -> DataFrame:
     """Rows of ``points`` with every span of the same key where
-    ``start <= point <= end`` (``how`` = inner, left_semi or left_anti)."""
+    ``start <= point <= end`` (``how`` = inner, left_semi or left_anti).
+
+    Spans grow with the files, so they are never sent to the driver, however small
+    their tables are estimated.  ``partitions`` fixes how many the join has."""
     p = points.withColumn("_b", F.floor((F.col(point) - 1) / bucket_lines).cast("int"))
     s = _bucketed_spans(spans, start, end, bucket_lines)
     s_cols = [c for c in s.columns if c not in key and c != "_b"]
     s = s.select(*[F.col(k).alias(f"_s_{k}") for k in key], F.col("_b").alias("_s_b"),
                  *[F.col(c).alias(c) for c in s_cols])
+    if partitions:
+        p, s = spread(p, [*key, "_b"], n=partitions), spread(s, [*(f"_s_{k}" for k in key), "_s_b"], n=partitions)
     cond = [p[k] == s[f"_s_{k}"] for k in key] + [p["_b"] == s["_s_b"]]
     cond += [s[start] <= p[point], p[point] <= s[end]]
-    j = p.join(s, cond, how)
+    j = p.join(s.hint("merge"), cond, how)
     if how in ("left_semi", "left_anti"):
         return j.drop("_b")
     return j.drop("_b", "_s_b", *[f"_s_{k}" for k in key])
@@ -118,7 +126,7 @@ def enclosing(
         F.min_by(F.struct(F.col("_n"), F.col("_k")),
                  F.struct(F.col("_r"), F.col("start_line"), -F.col("end_line"), F.col("_n"))).alias("_best")
     )
-    out = points.join(best, [*key, point], "left")
+    out = points.join(best.hint("merge"), [*key, point], "left")
     return out.select(*points.columns, F.col("_best._n").alias("enclosing"), F.col("_best._k").alias("enclosing_kind"))
 
 

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from faultline.functions import text as T
+from faultline.session import spread
 
 
 def parse_outcome_lines(log: DataFrame, value: str = "value") -> DataFrame:
@@ -77,7 +78,7 @@ def frames(traces: DataFrame, key: Sequence[str], trace: str = "trace") -> DataF
     indented further, its code; they get a number that a running sum gives and that
     ends at the first line that isn't (``frame`` and ``path`` are null there)."""
     key = list(key)
-    x = traces.select(*key, F.posexplode(F.split(F.coalesce(F.col(trace), F.lit("")), "\n", -1)).alias("pos", "line"))
+    x = spread(traces, key).select(*key, F.posexplode(F.split(F.coalesce(F.col(trace), F.lit("")), "\n", -1)).alias("pos", "line"))
     indent = F.length(F.regexp_extract("line", r"^[ \t]*", 0))
     so_far = Window.partitionBy(*key).orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
     x = x.withColumns({"_head": F.regexp_like("line", F.lit(FRAME)), "_indent": indent})
@@ -100,7 +101,8 @@ def informative(traces: DataFrame, key: Sequence[str], trace: str = "trace", pat
     key = list(key)
     x = frames(traces, key, trace).withColumn("_gone", F.coalesce(F.regexp_like("path", F.lit(pattern)), F.lit(False)))
     left = F.array_join(F.transform(F.array_sort(F.collect_list(F.when(~F.col("_gone"), F.struct("pos", "line")))), lambda r: r["line"]), "\n")
-    count = lambda c: F.count_distinct(c).cast("bigint")
+    # sets of a trace's few frames; counts of distinct values would write every line three times
+    count = lambda c: F.size(F.collect_set(c)).cast("bigint")
     return x.groupBy(*key).agg(left.alias("trace"), count("frame").alias("n_frames"), count(F.when(F.col("_gone"), F.col("frame"))).alias("n_dropped"))
 
 

@@ -106,7 +106,7 @@ def first_by_name(chunks: DataFrame, wanted: DataFrame, key: Sequence[str], name
     """JON-15/WIN-03: the first chunk (in chunk order) with each wanted name;
     null when absent (Q25)."""
     first = chunks.groupBy(*key, name).agg(F.min(seq).alias("found_seq"))
-    return wanted.join(first, [*key, name], "left")
+    return wanted.join(first.hint("merge"), [*key, name], "left")
 
 
 def parse_patches(replies: DataFrame, key: Sequence[str], text: str = "reply") -> DataFrame:

@@ -153,11 +153,12 @@ def call_edges(calls: DataFrame, defined: DataFrame, imports: DataFrame, files:
     c = classify_calls(calls, defined, imports, at)
     module = T.module_path(F.col("import_target"))
     place = lambda alias: files.select(*key, F.col(path).alias(alias), F.lit(True).alias(f"_has{alias}")).distinct()
-    c = c.withColumns({"_f": module["as_file"], "_p": module["as_pkg"]}).join(place("_f"), [*key, "_f"], "left").join(place("_p"), [*key, "_p"], "left")
+    c = c.withColumns({"_f": module["as_file"], "_p": module["as_pkg"]})
+    c = c.join(place("_f").hint("merge"), [*key, "_f"], "left").join(place("_p").hint("merge"), [*key, "_p"], "left")
     local = F.col("resolution") == "local"
     to = F.when(local, F.col(path)).when(F.col("_has_f"), F.col("_f")).when(F.col("_has_p"), F.col("_p"))
     there = defined.select(*key, F.col(path).alias("_to"), F.col("name").alias("callee"), F.lit(True).alias("_there")).distinct()
-    c = c.withColumn("_to", to).join(there, [*key, "_to", "callee"], "left")
+    c = c.withColumn("_to", to).join(there.hint("merge"), [*key, "_to", "callee"], "left")
     status = (
         F.when(F.col("resolution") == LEAF_EXTERNAL, "external").when(F.col("_to").isNull(), "no_module")
         .when(F.col("_there").isNull(), "no_function")
@@ -198,7 +199,8 @@ def classify_calls(calls: DataFrame, defined: DataFrame, imports: DataFrame, key
     target) when imported, else the external/builtin leaf."""
     d = defined.select(*key, F.col("name").alias("callee")).distinct().withColumn("_local", F.lit(True))
     i = imports.select(*key, F.col("alias").alias("callee"), F.col("target").alias("import_target"))
-    j = calls.join(d, [*key, "callee"], "left").join(i, [*key, "callee"], "left")
+    # one row a definition or import: both grow with the files
+    j = calls.join(d.hint("merge"), [*key, "callee"], "left").join(i.hint("merge"), [*key, "callee"], "left")
     res = (
         F.when(F.col("_local"), F.lit("local"))
         .when(F.col("import_target").isNotNull(), F.lit("import"))

@@ -6,8 +6,8 @@ text of five digits (the end state for each start state), and two functions
 compose by ``translate``.  Functions of lines are computed independently, composed
 within blocks of lines, and the blocks' functions along the file; then each
 block gives its lines their states.  A file arrives as one row, and all of this
-happens in that row or in rows of one block: nothing is shuffled, and what is
-kept along a file is five digits a block.
+happens in that row or in rows of one block: files are dealt out before, lines are not
+shuffled, and what is kept along a file is five digits a block.
 
 Strings end where Python's do: at their own quotes, at the end of the line for
 one quote without a backslash before the line feed.  A quote inside another
@@ -22,6 +22,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from faultline.session import spread
+
 BLOCK = 64
 # States at the beginning of a line: code, in ''' or \"\"\", in ' or " behind a backslash.
 CODE, TRIPLE_ONE, TRIPLE_TWO, ONE, TWO = "01234"
@@ -74,7 +76,7 @@ def states(files: DataFrame, key: Sequence[str], content: str = "content") -> Da
     """``key + [line_no, text, state]``: each line with the state it begins in."""
     key = list(key)
     whole = F.regexp_replace(F.coalesce(F.col(content), F.lit("")), "\r\n?", "\n")
-    x = files.select(*key, F.split(whole, "\n", -1).alias("_lines"))
+    x = spread(files, key).select(*key, F.split(whole, "\n", -1).alias("_lines"))
     x = x.withColumn("_does", F.transform("_lines", transition))
     part = lambda c, b: F.slice(F.col(c), b * BLOCK + 1, F.lit(BLOCK))
     numbers = F.sequence(F.lit(0), F.floor((F.size("_lines") - 1) / BLOCK).cast("int"))

@@ -26,19 +26,25 @@ from pyspark.sql import functions as F
 
 from faultline.operators.lexer import CLOSED, lines
 from faultline.operators.spans import interval_join
-from faultline.session import cut
+from faultline.session import cut, parts, spread
 
 HEADER = r"^\s*(async\s+def|def|class)\s+(\w+)"
 NOT_CALLS = sorted({*dir(builtins), *keyword.kwlist})
 # Clauses that go on with the statement before them at their level.
 CLAUSES = ("elif", "else", "except", "finally")
+LINES = 1 << 17  # lines for each partition
 
 
 def facts(files: DataFrame, key: Sequence[str], content: str = "content") -> tuple[DataFrame, DataFrame]:
     """The ``lines`` and ``spans`` of files, each derived once and written to the
     session's shared folder."""
     found = cut(lines(files, key, content), "lines")
-    return found, cut(spans(found, key), "spans")
+    return found, cut(spans(by_file(found, key), key), "spans")
+
+
+def by_file(file_lines: DataFrame, key: Sequence[str]) -> DataFrame:
+    """Lines that were written, dealt out by file for what goes along it."""
+    return spread(file_lines, key, LINES)
 
 
 def spans(file_lines: DataFrame, key: Sequence[str]) -> DataFrame:
@@ -68,7 +74,7 @@ def spans(file_lines: DataFrame, key: Sequence[str]) -> DataFrame:
     levels = s.where("_head").select(*key, F.explode(F.array_compact(F.array("indent", "_body"))).alias("_level")).distinct()
     at = Window.partitionBy(*key, "_level").orderBy("line_no")
     so_far = at.rowsBetween(Window.unboundedPreceding, 0)
-    listed = s.join(levels, key).where("indent <= _level")
+    listed = s.join(levels.hint("merge"), key).where("indent <= _level")
     own = F.col("indent") == F.col("_level")
     listed = listed.withColumns({
         "_next": F.lead("_before").over(at),
@@ -103,10 +109,10 @@ def spans(file_lines: DataFrame, key: Sequence[str]) -> DataFrame:
     )
 
 
-def _text(rows: DataFrame, key: Sequence[str], by: Sequence[str]) -> DataFrame:
-    """Lines of each group as one text, in line order."""
+def _text(rows: DataFrame, key: Sequence[str], by: Sequence[str], n: int) -> DataFrame:
+    """Lines of each group as one text, in line order; ``n`` partitions."""
     joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_no", "text"))), lambda r: r["text"]), "\n")
-    return rows.groupBy(*key, *by).agg(joined.alias("code"))
+    return spread(rows, key, n=n).groupBy(*key, *by).agg(joined.alias("code"))
 
 
 def chunks(file_lines: DataFrame, found: DataFrame, key: Sequence[str], cover: str = "cover_end") -> DataFrame:
@@ -115,37 +121,39 @@ def chunks(file_lines: DataFrame, found: DataFrame, key: Sequence[str], cover: s
     tree first; async functions are not chunked.  A definition covers the lines up to
     where its last statement begins; with ``cover="end_line"`` up to its end (Q22)."""
     key = list(key)
+    n = parts(file_lines, LINES)
     own = found.where("kind <> 'async_function'")
     shown = file_lines.select(*key, "line_no", "text")
     # a file's final line feed ends its last line and doesn't begin another
     last = F.max("line_no").over(Window.partitionBy(*key))
-    left = interval_join(shown.withColumn("_n", last), own.select(*key, "start_line", F.col(cover).alias("_cover")), key, "line_no", end="_cover", how="left_anti")
-    root = _text(left.where(~((F.col("line_no") == F.col("_n")) & (F.col("text") == ""))), key, []).where("code <> ''")
+    covers = own.select(*key, "start_line", F.col(cover).alias("_cover"))
+    left = interval_join(spread(shown, key, n=n).withColumn("_n", last), covers, key, "line_no", end="_cover", how="left_anti", partitions=n)
+    root = _text(left.where(~((F.col("line_no") == F.col("_n")) & (F.col("text") == ""))), key, [], n).where("code <> ''")
     none = F.lit(None).cast("int")
     root = root.select(*key, F.lit(-1).alias("level"), F.lit("root").alias("name"), none.alias("start_line"), none.alias("end_line"), "code")
     spans_of = own.select(*key, "level", "name", F.col("first_line").alias("start_line"), "end_line")
-    parts = _text(interval_join(shown, spans_of, key, "line_no"), key, ["level", "name", "start_line", "end_line"])
-    every = root.unionByName(parts.select(root.columns))
+    rest = _text(interval_join(shown, spans_of, key, "line_no", partitions=n), key, ["level", "name", "start_line", "end_line"], n)
+    every = spread(root.unionByName(rest.select(root.columns)), key, n=n)
     rank = F.row_number().over(Window.partitionBy(*key).orderBy("level", "start_line"))
     return every.select(*key, (rank - 1).cast("int").alias("seq"), "name", "start_line", "end_line", "code")
 
 
 def bodies(file_lines: DataFrame, found: DataFrame, key: Sequence[str]) -> DataFrame:
     """UDTF-09: ``key + [seq, code]``: source of every span, without its decorators."""
-    key = list(key)
-    inside = interval_join(file_lines.select(*key, "line_no", "text"), found.select(*key, "seq", "start_line", "end_line"), key, "line_no")
-    return _text(inside, key, ["seq"])
+    key, n = list(key), parts(file_lines, LINES)
+    inside = interval_join(file_lines.select(*key, "line_no", "text"), found.select(*key, "seq", "start_line", "end_line"), key, "line_no", partitions=n)
+    return _text(inside, key, ["seq"], n)
 
 
 def calls(file_lines: DataFrame, found: DataFrame, key: Sequence[str]) -> DataFrame:
     """UDTF-05/FLT-05: distinct ``key + [caller, callee]`` of functions that are
     not async; a function's own decorators are not part of it."""
-    key = list(key)
+    key, n = list(key), parts(file_lines, LINES)
     code = F.regexp_replace("code", HEADER, "")
     named = file_lines.where(F.contains("code", F.lit("("))).select(
         *key, "line_no", F.explode(F.regexp_extract_all(code, F.lit(r"([A-Za-z_]\w*)\s*\("), 1)).alias("callee")).where(~F.col("callee").isin(NOT_CALLS))
     callers = found.where("kind = 'function'").select(*key, F.col("name").alias("caller"), "start_line", "end_line")
-    return interval_join(named, callers, key, "line_no").select(*key, "caller", "callee").distinct()
+    return spread(interval_join(named, callers, key, "line_no", partitions=n).select(*key, "caller", "callee"), key, n=n).distinct()
 
 
 def defined(found: DataFrame, key: Sequence[str]) -> DataFrame:
@@ -183,7 +191,7 @@ def without_comments(files: DataFrame, file_lines: DataFrame, key: Sequence[str]
     found = file_lines.where(F.length(text) > 2).groupBy(*key).agg(F.collect_set(text).alias("_c"))
     by_length = F.reverse(F.array_sort(F.transform("_c", lambda c: F.struct(F.length(c).alias("n"), c.alias("c")))))
     left = F.aggregate(F.coalesce(by_length, F.array().cast("array<struct<n:int,c:string>>")), F.coalesce(F.col(content), F.lit("")), lambda acc, c: F.replace(acc, c["c"], F.lit("")))
-    return files.join(found, key, "left").select(*key, F.regexp_replace(left, "\n+", "\n").alias("code"))
+    return files.join(found.hint("merge"), key, "left").select(*key, F.regexp_replace(left, "\n+", "\n").alias("code"))
 
 
 def masked(file_lines: DataFrame, key: Sequence[str]) -> DataFrame:

@@ -79,7 +79,7 @@ def call_resolution(spark, sf):
     """JON-08/09: each call of the part modules, resolved locally, through an
     import alias, or as external."""
     ln, found = part_facts(spark, sf)
-    calls, defined, imports = source.calls(ln, found, KEY), source.defined(found, KEY), source.imports(ln, KEY)
+    calls, defined, imports = source.calls(ln, found, KEY), source.defined(found, KEY), source.imports(source.by_file(ln, KEY), KEY)
     return graph.classify_calls(calls, defined, imports, ["p_partkey"])
 
 

@@ -59,7 +59,7 @@ def odd_facts(spark, sf):
     return (
         rows(found, "span", "name", F.concat_ws("-", "start_line", "end_line"))
         .unionByName(rows(source.calls(ln, found, KEY), "call", "caller", F.col("callee")))
-        .unionByName(rows(source.imports(ln, KEY), "import", "alias", F.col("target")))
+        .unionByName(rows(source.imports(source.by_file(ln, KEY), KEY), "import", "alias", F.col("target")))
     )
 
 

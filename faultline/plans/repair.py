@@ -84,7 +84,7 @@ def break_costs(spark, sf):
     """UDTF-04: break candidates of the part modules."""
     ln, sp = part_facts(spark, sf)
     body = source.bodies(ln, sp, KEY)
-    return segment.break_costs(sp.join(body, [*KEY, "seq"]), KEY)
+    return segment.break_costs(sp.join(body.hint("merge"), [*KEY, "seq"]), KEY)
 
 
 def record_merge(spark, sf):

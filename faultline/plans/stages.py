@@ -62,7 +62,7 @@ def resolved_edges(spark, sf):
     at = ["p_partkey", here]
     edges = graph.call_edges(
         source.calls(ln, found, KEY).select(*at, "caller", "callee"), source.defined(found, KEY).select(*at, "name").unionByName(helper),
-        source.imports(ln, KEY).select(*at, "alias", "target"), other.unionByName(p.select(*at)), KEY)
+        source.imports(source.by_file(ln, KEY), KEY).select(*at, "alias", "target"), other.unionByName(p.select(*at)), KEY)
     show = lambda c: F.concat_ws(":", f"{c}.path", f"{c}.name")
     return edges.select("p_partkey", show("src").alias("src"), "callee", F.when(F.col("dst").isNotNull(), show("dst")).alias("dst"), F.col("cost").cast("int"), "status")
 

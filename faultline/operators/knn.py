@@ -11,8 +11,8 @@ Plan (no index object, no broadcast of a side that grows with the data):
 3. Replicate each query row to every corpus block of its key and vice versa
    (``explode(sequence(...))``) and cogroup on ``(key, qblk, cblk)``: every
    group holds at most ~``block_rows`` rows per side.
-4. Inside a group numpy computes the exact distances in float64 and keeps a
-   local top-K per query (all ties at the K-th value kept) with the payload
+4. Inside a group a matrix product finds the candidates, numpy computes their exact
+   distances in float64 and keeps a local top-K per query (all ties at the K-th value kept) with the payload
    columns asked for, so the shuffle carries ``blocks x K`` rows per query, never
    the full pair set, and the corpus isn't joined again.
 5. A final ``row_number`` over ``(key, query)`` keeps K rows; Catalyst plans it
@@ -63,29 +63,70 @@ def _distance_tile(q: np.ndarray, c: np.ndarray, metric: str) -> np.ndarray:
     return score
 
 
-def _local_topk(qids, qvec, cids, cvec, k, metric, exclude_self):
-    """Per query, the best K corpus rows of this block (ties at the cut kept), as positions and values."""
-    out_q, out_c, out_d = [], [], []
-    n = len(cids)
-    tile = max(1, _CHUNK_ELEMS // max(1, n * max(1, qvec.shape[1] // 8)))
+def _squares(v: np.ndarray) -> np.ndarray:
+    out = np.zeros(len(v), dtype=np.float64)
+    for j in range(v.shape[1]):
+        out += v[:, j] * v[:, j]
+    return out
+
+
+def _pair_scores(q: np.ndarray, c: np.ndarray, at_q: np.ndarray, at_c: np.ndarray, qn: np.ndarray, cn: np.ndarray, metric: str) -> np.ndarray:
+    """``_distance_tile`` for pairs of positions, with the same arithmetic."""
+    acc = np.zeros(len(at_q), dtype=np.float64)
+    for j in range(q.shape[1]):
+        if metric == "l2":
+            diff = q[at_q, j] - c[at_c, j]
+            acc += diff * diff
+        else:
+            acc += q[at_q, j] * c[at_c, j]
+    return acc if metric == "l2" else acc / (np.sqrt(qn)[at_q] * np.sqrt(cn)[at_c])
+
+
+def _local_topk(qids, qvec, cids, cvec, k, metric, exclude_self, limit=None):
+    """Per query, the best K corpus rows of this block (ties at the cut kept), as positions and values.
+
+    A matrix product tells the candidates, up to its rounding error and the sixth digit; they
+    alone are compared exactly.  ``limit``: of each query, the value beyond which no row
+    matters.  A few rows more than K may come back."""
+    out_q, out_c, out_d = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0)]
+    n, d = len(cids), qvec.shape[1]
+    qn, cn = _squares(qvec), _squares(cvec)
+    sizes = np.concatenate([qn, cn])
+    # beyond these sizes the error of the product isn't bounded as below
+    plain = bool(np.isfinite(sizes).all() and sizes.max(initial=0) < 1e150 and (metric == "l2" or sizes[sizes > 0].min(initial=1) > 1e-150))
+    worst = None if limit is None else (limit if metric == "l2" else -limit)
+    tile = max(1, _CHUNK_ELEMS // max(1, n * (1 if plain else max(1, d // 8))))
     tile = min(tile, 4096)
     for s in range(0, len(qids), tile):
-        val = np.round(_distance_tile(qvec[s : s + tile], cvec, metric), 6)
-        # sort key: ascending distance, or descending similarity
-        key = val if metric == "l2" else -val
-        key = np.where(np.isnan(key), np.inf, key)
-        if exclude_self:
-            key = np.where(qids[s : s + tile, None] == cids[None, :], np.inf, key)
-        if n > k:
-            kth = np.partition(key, k - 1, axis=1)[:, k - 1]
-            mask = key <= kth[:, None]
+        part = slice(s, s + tile)
+        if plain:
+            key = qvec[part] @ cvec.T
+            error = (d + 8) * 2.0**-50
+            if metric == "l2":
+                key *= -2
+                key += qn[part, None]
+                key += cn[None, :]
+                slack = 1.01e-6 + error * (qn[part] + cn.max(initial=0))
+            else:
+                with np.errstate(divide="ignore", invalid="ignore"):
+                    key /= -(np.sqrt(qn[part])[:, None] * np.sqrt(cn)[None, :])
+                slack = np.full(len(key), 1.01e-6 + error)
         else:
-            mask = np.ones_like(key, dtype=bool)
-        mask &= np.isfinite(key)
-        rows, cols = np.nonzero(mask)
+            # sort key: ascending distance, or descending similarity
+            val = np.round(_distance_tile(qvec[part], cvec, metric), 6)
+            key = val if metric == "l2" else -val
+            slack = np.zeros(len(key))
+        if not plain or metric != "l2":
+            key = np.where(np.isnan(key), np.inf, key)
+        if exclude_self:
+            key[qids[part, None] == cids[None, :]] = np.inf
+        cut = np.partition(key, k - 1, axis=1)[:, k - 1] if n > k else np.full(len(key), np.inf)
+        if worst is not None:
+            cut = np.minimum(cut, worst[part])
+        rows, cols = np.nonzero((key <= (cut + slack)[:, None]) & np.isfinite(key))
         out_q.append(s + rows)
         out_c.append(cols)
-        out_d.append(val[rows, cols])
+        out_d.append(np.round(_pair_scores(qvec, cvec, s + rows, cols, qn, cn, metric), 6) if plain else val[rows, cols])
     return np.concatenate(out_q), np.concatenate(out_c), np.concatenate(out_d)
 
 

@@ -3,7 +3,7 @@
 Corpus vectors are dealt out to the cell of their nearest pivot; a cell is a ball of
 known radius.  A query first meets the cells nearest to it until they hold K rows,
 which gives it a K-th distance; of the other cells it then meets those alone whose
-ball reaches into that distance.  Both rounds compare exactly, so the bound decides only
+ball reaches into that distance, and there looks at no row beyond it.  Both rounds compare exactly, so the bound decides only
 what is skipped: results are those of ``knn.knn_join`` without keys.
 
 Pivots are rows of the corpus drawn by hash, a bounded number, and so are the cells and
@@ -68,18 +68,31 @@ def pivots(corpus: DataFrame, ident: str, vec: str, block_rows: int) -> np.ndarr
     n = corpus.count()
     k = min(MAX_PIVOTS, max(1, -(-n // block_rows)))
     rows = corpus.select(F.col(vec).cast("array<double>").alias("v"), F.xxhash64(F.col(ident)).alias("h"), F.col(ident).alias("i")).orderBy("h", "i").limit(k).collect()
-    return np.array([r.v for r in rows], dtype=np.float64)
+    return _in_line(np.array([r.v for r in rows], dtype=np.float64))
 
 
-def visits(queries: DataFrame, space: _Space, cells: pd.DataFrame, need: int, first: bool) -> DataFrame:
-    """``queries`` (with ``_qv``, in the second round ``_kth``) once for each cell to meet:
-    in the first round the nearest ones until they hold ``need`` rows, in the second
+def _in_line(points: np.ndarray) -> np.ndarray:
+    """Points each followed by the nearest of those that are left, so that neighbours in number are near."""
+    left, out = np.arange(len(points)), []
+    while len(left):
+        far = ((points[left] - points[out[-1]]) ** 2).sum(axis=1) if out else np.zeros(len(left))
+        nearest = int(np.argmin(np.nan_to_num(far, nan=np.inf)))
+        out.append(left[nearest])
+        left = np.delete(left, nearest)
+    return points[out]
+
+
+def visits(queries: DataFrame, space: _Space, cells: pd.DataFrame, need: int, first: bool, bundle: int = 1) -> DataFrame:
+    """``queries`` (with ``_qv`` and ``_kth``) once for each ``bundle`` of cells (``_cell``) in which
+    they meet any, with those cells as ``_bits``: in the first round the nearest ones until they hold ``need`` rows, in the second
     those of the others that reach into the K-th score (all, where there is none)."""
     shared = queries.sparkSession.sparkContext.broadcast((space, cells["cell"].to_numpy(), cells["n"].to_numpy(), cells["radius"].to_numpy()))
-    schema = queries.drop("_kth").select("*", F.lit(0).alias("_cell")).schema
+    schema = queries.select("*", F.lit(0).alias("_cell"), F.lit(0).cast("long").alias("_bits")).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         space, number, rows, radius = shared.value
+        bit = np.int64(1) << (number % bundle).astype(np.int64)
+        starts = np.flatnonzero(np.concatenate([[True], np.diff(number // bundle) > 0]))
         for whole in batches:
             for a in range(0, whole.num_rows, TILE):
                 batch = whole.slice(a, TILE)
@@ -92,10 +105,10 @@ def visits(queries: DataFrame, space: _Space, cells: pd.DataFrame, need: int, fi
                     kth = batch.column("_kth").to_numpy(zero_copy_only=False).astype(np.float64)
                     reach = np.where(np.isnan(kth), np.inf, space.reach(kth))
                     near = ~near & (far - radius[None, :] <= reach[:, None])
-                row, cell = np.nonzero(near)
-                row = pa.array(row)
-                kept = [batch.column(f.name).take(row) for f in schema.fields[:-1]]
-                yield pa.RecordBatch.from_arrays([*kept, pa.array(number[cell].astype(np.int32))], names=schema.names)
+                bits = np.add.reduceat(near * bit[None, :], starts, axis=1)
+                row, at = np.nonzero(bits)
+                kept = [batch.column(f.name).take(pa.array(row)) for f in schema.fields[:-2]]
+                yield pa.RecordBatch.from_arrays([*kept, pa.array((number[starts] // bundle)[at].astype(np.int32)), pa.array(bits[row, at])], names=schema.names)
 
     return queries.mapInArrow(run, schema)
 
@@ -134,36 +147,49 @@ def knn_pruned(
     cells = dealt.groupBy("_cell").agg(F.count("*").alias("n"), F.max("_far").alias("radius")).orderBy("_cell").toPandas().rename(columns={"_cell": "cell"})
     local_schema = q.select("_qid").join(c.select("_cid"), F.lit(False)).select("_qid", "_cid", F.lit(0.0).alias("_score")).schema
 
+    # cells travel in bundles of about a block: a query goes once to all of a bundle's cells that it meets
+    bundle = max(1, min(62, block_rows * len(cells) // max(1, int(cells["n"].sum()))))
+
     def local(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if not len(left) or not len(right):
             return pd.DataFrame({f.name: pd.Series(dtype="object") for f in local_schema.fields})
-        vectors = [np.stack(side.to_numpy()).astype(np.float64) for side in (left["_qv"], right["_cv"])]
-        at_q, at_c, value = _local_topk(left["_qid"].to_numpy(), vectors[0], right["_cid"].to_numpy(), vectors[1], k, metric, exclude_self)
-        return pd.DataFrame({"_qid": left["_qid"].to_numpy()[at_q], "_cid": right["_cid"].to_numpy()[at_c], "_score": value})
+        qv, cv = (np.stack(side.to_numpy()).astype(np.float64) for side in (left["_qv"], right["_cv"]))
+        qid, cid, cell, bits = left["_qid"].to_numpy(), right["_cid"].to_numpy(), right["_number"].to_numpy(), left["_bits"].to_numpy()
+        kth = left["_kth"].to_numpy().astype(np.float64)
+        limit = np.where(np.isnan(kth), np.inf if metric == "l2" else -np.inf, kth)
+        found = []
+        for number in np.unique(cell):
+            a, b = np.flatnonzero(bits >> np.int64(number % bundle) & 1), np.flatnonzero(cell == number)
+            if len(a):
+                at_q, at_c, value = _local_topk(qid[a], qv[a], cid[b], cv[b], k, metric, exclude_self, limit[a])
+                found.append((qid[a[at_q]], cid[b[at_c]], value))
+        if not found:
+            return pd.DataFrame({f.name: pd.Series(dtype="object") for f in local_schema.fields})
+        return pd.DataFrame({n: np.concatenate(x) for n, x in zip(("_qid", "_cid", "_score"), zip(*found))})
 
     def meet(visiting: DataFrame, name: str) -> DataFrame:
         visiting = cut(visiting, f"visits-{name}")
-        guests = visiting.groupBy("_cell").agg(F.count("*").alias("g")).toPandas()  # a row a cell
+        guests = visiting.groupBy("_cell").agg(F.count("*").alias("g"), F.sum(F.bit_count("_bits")).alias("met")).toPandas()  # a row a bundle
         if counted is not None:
-            counted["met"] = counted.get("met", 0) + int(guests["g"].sum())
-        sizes = cells.merge(guests, left_on="cell", right_on="_cell")
+            counted["met"] = counted.get("met", 0) + int(guests["met"].sum())
+        sizes = cells.assign(cell=cells["cell"] // bundle).groupby("cell", as_index=False)["n"].sum().merge(guests, left_on="cell", right_on="_cell")
         blocks = lambda n: [max(1, -(-int(x) // block_rows)) for x in n]
         table = spark.createDataFrame(list(zip(map(int, sizes["cell"]), blocks(sizes["n"]), blocks(sizes["g"]))), "_cell int, _nbc int, _nbq int")
         upto = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
         salt = lambda i, n: F.pmod(F.xxhash64(i), F.col(n)).cast("int")
         a = visiting.join(F.broadcast(table), "_cell").withColumn("_qblk", salt("_qid", "_nbq")).withColumn("_cblk", upto("_nbc"))
-        b = dealt.drop("_far").join(F.broadcast(table), "_cell").withColumn("_cblk", salt("_cid", "_nbc")).withColumn("_qblk", upto("_nbq"))
+        b = dealt.select("_cid", "_cv", F.col("_cell").alias("_number"), F.floor(F.col("_cell") / bundle).cast("int").alias("_cell")).join(F.broadcast(table), "_cell").withColumn("_cblk", salt("_cid", "_nbc")).withColumn("_qblk", upto("_nbq"))
         at = ["_cell", "_qblk", "_cblk"]
-        found = a.select(*at, "_qid", "_qv").groupBy(*at).cogroup(b.select(*at, "_cid", "_cv").groupBy(*at)).applyInPandas(local, local_schema)
+        found = a.select(*at, "_qid", "_qv", "_kth", "_bits").groupBy(*at).cogroup(b.select(*at, "_cid", "_cv", "_number").groupBy(*at)).applyInPandas(local, local_schema)
         return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).drop("rank")
 
     if counted is not None:
         counted["all"] = q.count() * len(cells)
     need = k + int(exclude_self)
-    near = cut(meet(visits(q, space, cells, need, True), "near"), "near")
+    near = cut(meet(visits(q.withColumn("_kth", F.lit(None).cast("double")), space, cells, need, True, bundle), "near"), "near")
     worst = F.max("_score") if metric == "l2" else F.min("_score")
     kth = near.groupBy("_qid").agg(F.when(F.count("*") >= k, worst).alias("_kth"))
     # repeated ids have one K-th score between them, that of the first k of all: a query without one visits all cells
-    rest = meet(visits(q.join(kth, "_qid", "left"), space, cells, need, False), "far")
+    rest = meet(visits(q.join(kth.hint("merge"), "_qid", "left"), space, cells, need, False, bundle), "far")
     ranked = near.unionByName(rest).withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
     return ranked.select(F.col("_qid").alias(query_id), "rank", F.col("_cid").alias(out_id), F.col("_score").alias(score))

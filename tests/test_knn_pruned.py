@@ -1,5 +1,7 @@
 import numpy as np
+import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 from faultline.operators.knn import knn_join
 from faultline.operators.knn_pruned import knn_pruned
@@ -48,3 +50,31 @@ def test_unusable_vectors_and_empty_sides(spark):
     assert sorted((r.id, r.neighbor_id) for r in out.collect()) == [(1, 4), (4, 1)]
     assert knn_pruned(v, v.limit(0), k=2, query_id="id", corpus_id="id").collect() == []
     assert knn_pruned(v.limit(0), v, k=2, query_id="id", corpus_id="id").collect() == []
+
+
+def test_candidates_of_the_product_hold_the_exact_best():
+    from faultline.operators.knn import _distance_tile, _local_topk
+
+    rnd = np.random.default_rng(5)
+    far = rnd.normal(size=(200, 16)) + 1e4  # the product loses digits here
+    for metric, v in (("l2", far), ("l2", np.repeat(far[:20], 10, axis=0)), ("cosine", far), ("l2", far * 1e200), ("cosine", np.where(far > 1e4 + 2, 0, far) * 1e-170)):
+        ids = np.arange(len(v))
+        with np.errstate(over="ignore", invalid="ignore"):
+            exact = np.round(_distance_tile(v, v, metric), 6)
+            at_q, at_c, value = _local_topk(ids, v, ids, v, 5, metric, True)
+        key = np.where(np.isnan(exact), np.inf, exact if metric == "l2" else -exact)
+        np.fill_diagonal(key, np.inf)
+        want = {(i, j) for i in ids for j in np.flatnonzero((key[i] <= np.sort(key[i])[4]) & np.isfinite(key[i]))}
+        assert want <= set(zip(at_q.tolist(), at_c.tolist())) and (value == exact[at_q, at_c]).all()
+        assert len(at_q) <= 2 * len(want)
+
+
+def test_a_query_goes_once_to_a_bundle_of_cells(spark):
+    from faultline.operators.knn_pruned import _Space, visits
+
+    rnd = np.random.default_rng(2)
+    v = rnd.normal(size=(64, 8))
+    cells = pd.DataFrame({"cell": range(64), "n": [10] * 64, "radius": [9.0] * 64})
+    q = spark.createDataFrame([(i, [float(x) for x in r]) for i, r in enumerate(v)], "_qid long, _qv array<double>").withColumn("_kth", F.lit(None).cast("double"))
+    out = visits(q, _Space(v, "l2"), cells, 10, False, bundle=16)
+    assert out.count() == 64 * 4 and out.agg(F.sum(F.bit_count("_bits"))).first()[0] == 64 * 63

@@ -76,7 +76,7 @@ def states(files: DataFrame, key: Sequence[str], content: str = "content") -> Da
     """``key + [line_no, text, state]``: each line with the state it begins in."""
     key = list(key)
     whole = F.regexp_replace(F.coalesce(F.col(content), F.lit("")), "\r\n?", "\n")
-    x = spread(files, key).select(*key, F.split(whole, "\n", -1).alias("_lines"))
+    x = spread(files, key, text=content).select(*key, F.split(whole, "\n", -1).alias("_lines"))
     x = x.withColumn("_does", F.transform("_lines", transition))
     part = lambda c, b: F.slice(F.col(c), b * BLOCK + 1, F.lit(BLOCK))
     numbers = F.sequence(F.lit(0), F.floor((F.size("_lines") - 1) / BLOCK).cast("int"))

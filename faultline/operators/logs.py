@@ -78,7 +78,7 @@ def frames(traces: DataFrame, key: Sequence[str], trace: str = "trace") -> DataF
     indented further, its code; they get a number that a running sum gives and that
     ends at the first line that isn't (``frame`` and ``path`` are null there)."""
     key = list(key)
-    x = spread(traces, key).select(*key, F.posexplode(F.split(F.coalesce(F.col(trace), F.lit("")), "\n", -1)).alias("pos", "line"))
+    x = spread(traces, key, text=trace).select(*key, F.posexplode(F.split(F.coalesce(F.col(trace), F.lit("")), "\n", -1)).alias("pos", "line"))
     indent = F.length(F.regexp_extract("line", r"^[ \t]*", 0))
     so_far = Window.partitionBy(*key).orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
     x = x.withColumns({"_head": F.regexp_like("line", F.lit(FRAME)), "_indent": indent})

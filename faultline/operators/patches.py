@@ -49,7 +49,7 @@ def changed_lines(
 
 def _marked(patches: DataFrame, key: Sequence[str], diff: str) -> DataFrame:
     """``key + [pos, line]`` of every line, with what kind of header it is and the file and hunk it stands in."""
-    x = spread(patches, key).select(*key, F.posexplode(T.lines(F.col(diff))).alias("pos", "line"))
+    x = spread(patches, key, text=diff).select(*key, F.posexplode(T.lines(F.col(diff))).alias("pos", "line"))
     ln = F.col("line")
     is_diff = ln.startswith("diff --git")
     is_file = ~is_diff & ln.startswith("--- a/")

@@ -22,6 +22,8 @@ def test_partitions_grow_with_rows(spark):
     assert parts(spark.range(1000), 10) == 100 and parts(spark.range(3), 10) <= 3
     out = spread(spark.range(1000), ["id"], 50)
     assert out.rdd.getNumPartitions() == 20 and out.count() == 1000
+    few = spark.range(3).select("id", F.repeat(F.lit("x"), 1 << 22).alias("t"), F.lit(None).cast("string").alias("none"))
+    assert spread(few, ["id"], text="t").rdd.getNumPartitions() == 8 and spread(few, ["id"], text="none").rdd.getNumPartitions() == 1
 
 
 def test_numbers_of_lines_need_no_join(spark, diffs):

@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from faultline.operators import logs, patches, source, spans
+from faultline.operators import lexer, logs, patches, source, spans
 from faultline.session import parts, spread
 
 DIFF = "diff --git a/m.py b/m.py\n--- a/m.py\n+++ b/m.py\n@@ -3,2 +3,2 @@\n a = 1\n-b = 2\n+b = 3"
@@ -55,3 +55,21 @@ def test_frames_are_counted_without_repeating_lines(spark):
     out = logs.informative(spark.createDataFrame([(1, trace), (2, None)], "k int, trace string"), ["k"])
     assert "Expand" not in plan(out)
     assert [(r.k, r.n_frames, r.n_dropped) for r in out.orderBy("k").collect()] == [(1, 2, 1), (2, 0, 0)]
+
+
+def test_tasks_of_code_facts_hold_a_bounded_number_of_lines(spark, monkeypatch):
+    """Files, lines and spans are dealt out so that a task's share doesn't grow with the table, in every step behind ``facts``."""
+    monkeypatch.setattr("faultline.operators.source.LINES", 400)
+    monkeypatch.setattr("faultline.session.PART_CHARS", 4000)
+    text, at = "import os\ndef f(x):\n    return g(x)\n", ["k"]
+    size = F.spark_partition_id()
+    for n in (500, 2000):
+        files = spark.range(n).select(F.col("id").alias("k"), F.lit(text).alias("content"))
+        by_task = lambda df: df.groupBy(size.alias("p")).count().agg(F.max("count")).first()[0]
+        # 36 characters and 4 lines a file
+        assert by_task(lexer.states(files, at)) <= 2 * 4 * 4000 // 36
+        ln, found = source.facts(files, at)
+        assert by_task(source.by_file(ln, at)) <= 2 * 400
+        assert parts(ln, source.LINES) >= 4 * n // 400 and ln.count() == 4 * n and found.count() == n
+        wide = [df.rdd.getNumPartitions() for df in (source.calls(ln, found, at), source.masked(lexer.lines(files, at), at))]
+        assert wide[0] >= 4 * n // 400 and wide[1] >= 36 * n // 4000

@@ -3,17 +3,19 @@
 Vectors link if their labels are equal and their cosine is at least
 ``THRESHOLD``.  Equal vectors of a label are one node with a multiplicity.
 Pivots, nodes drawn by a hash, cut the space into cells; a node's home is the
-cell of its nearest pivot.  Whatever links with a node of cell i is in cell i as
-well: at home there, or as a copy.  By the triangle inequality a vector is copied
-to cell i only if its angle to pivot i exceeds neither the cell's radius by more
+cell of its nearest pivot.  Whatever links with a node of cell i can reach cell i:
+by the triangle inequality a vector reaches
+cell i only if its angle to pivot i exceeds neither the cell's radius by more
 than the threshold's angle, nor its angle to its own pivot by more than twice
-that; the distance to the plane between both pivots bounds it further.  So each
-node's links are counted in its home cell alone, and cells join independently.
+that; the distance to the plane between both pivots bounds it further.  The cells
+that a node reaches are the bits of one number.
 
-Cells of more than ``BLOCK`` nodes are dealt into blocks, and every pair of
-blocks is one group: a matrix product that returns, for each node, its number of
-links in that pair and one edge towards the smallest node of its local
-component, never the pairs.
+The nodes of a label, ordered by home cell, are dealt into blocks of about ``BLOCK``.
+A node travels once to each pair of its own block and one that holds a cell that it
+reaches, so its copies follow the number of blocks, never that of cells.  A pair of blocks
+is one group: matrix products of tiles whose cells reach each other, which return, for
+each node, its number of links in that pair and one edge towards the smallest node of
+its local component, never the pairs.  Vectors travel as they are stored.
 
 Defined results: vectors that are null, empty or zero, or hold null or
 non-finite components, and vectors without a label link with nothing; vectors of
@@ -28,16 +30,18 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from faultline.llm._components import components, within_block
 from faultline.llm._cut import cut
 
 THRESHOLD = 0.93
-BLOCK = 4096
+BLOCK = 32768  # nodes of a block, if their vectors have at most DIMENSIONS numbers; fewer of longer ones
+DIMENSIONS = 64
+TILE = 2048
 CELL = 8192  # nodes for each pivot
-PIVOTS = (4, 64)  # least and most
+PIVOTS = (4, 64)  # least and most: a cell is a bit
 
 
 def unit(rows: np.ndarray) -> np.ndarray:
@@ -50,7 +54,7 @@ def by_length(vectors: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """(rows, matrix) for each length that occurs."""
     offs = vectors.offsets.to_numpy()
     size = np.diff(offs)
-    flat = vectors.flatten().to_numpy(zero_copy_only=False)
+    flat = vectors.flatten().to_numpy(zero_copy_only=False).astype(np.float64, copy=False)
     start = offs[:-1] - offs[0]
     for d in np.unique(size):
         rows = np.flatnonzero(size == d)
@@ -58,12 +62,14 @@ def by_length(vectors: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
 
 
 def _nodes(df: DataFrame, id_col: str, vector: str, label: str) -> tuple[DataFrame, DataFrame]:
-    """All rows as (id, node), and the nodes (node, label, v, m, least); node is null where nothing can link."""
+    """All rows as (id, node), and the nodes (node, label, v, m, least); node is null where nothing can link.
+    Vectors of floats stay such."""
     v = F.col("v")
+    short = df.schema[vector].dataType.simpleString() == "array<float>"
     read = df.select(F.col(id_col).alias("id"), F.col(label).alias("label"), F.col(vector).cast("array<double>").alias("v"))
     sound = v.isNotNull() & (F.size(v) > 0) & F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists(v, lambda x: x != 0)
     read = read.withColumn("node", F.when(F.coalesce(sound & F.col("label").isNotNull(), F.lit(False)), F.xxhash64("label", "v")))
-    nodes = read.where("node is not null").groupBy("node").agg(F.first("label").alias("label"), F.first("v").alias("v"), F.count("*").alias("m"), F.min("id").alias("least"))
+    nodes = read.where("node is not null").groupBy("node").agg(F.first("label").alias("label"), F.first(v.cast("array<float>") if short else v).alias("v"), F.count("*").alias("m"), F.min("id").alias("least"))
     return read.select("id", "node"), nodes
 
 
@@ -100,10 +106,9 @@ def _radii(nodes: DataFrame, pivots: dict[int, np.ndarray]) -> dict[tuple[int, i
 
 
 def _celled(nodes: DataFrame, pivots: dict[int, np.ndarray], threshold: float) -> DataFrame:
-    """Nodes with unit vectors, once for their home and once for each cell they are copied to."""
+    """Nodes with the length of their vectors, their home cell and the cells that they reach (``goes``)."""
     radii = _radii(nodes, pivots)
     theta, chord, slip = float(np.arccos(threshold)), float(np.sqrt(2 - 2 * threshold)), 1e-9
-    kind = nodes.schema["label"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -111,7 +116,7 @@ def _celled(nodes: DataFrame, pivots: dict[int, np.ndarray], threshold: float) -
                 x, d = unit(x), x.shape[1]
                 n = len(x)
                 if (p := pivots.get(d)) is None:
-                    at, cell, home = np.arange(n), np.zeros(n, np.int64), np.ones(n, bool)
+                    own, bits = np.zeros(n, np.int64), np.ones(n, np.int64)
                 else:
                     dots, angle = _angles(x, p)
                     own = angle.argmin(axis=1)
@@ -120,52 +125,93 @@ def _celled(nodes: DataFrame, pivots: dict[int, np.ndarray], threshold: float) -
                     between = np.sqrt(np.maximum(2 - 2 * p @ p.T, 0))[own]
                     goes = (angle <= r + theta + slip) & (angle <= nearest + 2 * theta + slip) & (top - dots <= chord * between + slip)
                     goes[np.arange(n), own] = True
-                    at, cell = np.nonzero(goes)
-                    home = cell == own[at]
-                take = pa.array(rows[at])
-                lists = pa.ListArray.from_arrays(pa.array(np.arange(0, (len(at) + 1) * d, d, dtype=np.int32)), pa.array(x[at].ravel()))
-                yield pa.RecordBatch.from_arrays([
-                    batch.column("label").take(take), pa.array(np.full(len(at), d)), pa.array(cell), batch.column("node").take(take), batch.column("m").take(take), lists, pa.array(home),
-                ], names=["label", "d", "cell", "node", "m", "v", "home"])
+                    bits = np.bitwise_or.reduce(np.where(goes, np.int64(1) << np.arange(len(p)), 0), axis=1)
+                kept = [batch.column(c).take(pa.array(rows)) for c in ("label", "node", "m", "v")]
+                yield pa.RecordBatch.from_arrays([*kept, pa.array(np.full(n, d)), pa.array(own), pa.array(bits)], names=["label", "node", "m", "v", "d", "cell", "goes"])
 
-    return nodes.select("label", "node", "m", "v").mapInArrow(run, f"label {kind}, d long, cell long, node long, m long, v array<double>, home boolean")
+    return nodes.select("label", "node", "m", "v").mapInArrow(run, nodes.select("label", "node", "m", "v", *(F.lit(0).cast("long").alias(c) for c in ("d", "cell", "goes"))).schema)
 
 
-def _matrix(table: pa.Table) -> np.ndarray:
-    flat = table.column("v").combine_chunks().flatten().to_numpy()
-    return flat.reshape(table.num_rows, -1)
+def _places(celled: DataFrame) -> DataFrame:
+    """Of each home cell of a label: where its nodes stand among the label's ``total``, in how many ``blocks``
+    these are dealt, and the cells that each block holds (``held``)."""
+    key = ["label", "d"]
+    count = celled.groupBy(*key, "cell").agg(F.count("*").alias("n"))
+    upto = Window.partitionBy(*key).orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)
+    at = count.select(*key, "cell", "n", F.coalesce(F.sum("n").over(upto), F.lit(0)).alias("start"), F.sum("n").over(Window.partitionBy(*key)).alias("total"))
+    at = at.withColumn("blocks", F.ceil(F.col("total") * F.greatest(F.lit(1), F.col("d") / DIMENSIONS) / BLOCK).cast("long"))
+    reaches = F.sequence(_block(F.col("start")), _block(F.col("start") + F.col("n") - 1))
+    held = at.select(*key, F.explode(reaches).alias("block"), F.expr("shiftleft(1L, int(cell))").alias("bit")).groupBy(*key, "block").agg(F.bit_or("bit").alias("bits"))
+    held = held.groupBy(*key).agg(F.array_sort(F.collect_list(F.struct("block", "bits"))).alias("held"))
+    return cut(at.join(held, key), "places")
+
+
+def _block(position: Column) -> Column:
+    return F.floor(position * F.col("blocks") / F.col("total")).cast("long")
+
+
+def _dealt(celled: DataFrame) -> DataFrame:
+    """Nodes, once for each pair (``low``, ``high``) of blocks in which they may link; ``block`` is their own."""
+    key = ["label", "d", "cell"]
+    at = celled.join(_places(celled), key).withColumn("block", _block(F.col("start") + F.pmod(F.xxhash64("node"), F.col("n"))))
+    meets = F.filter("held", lambda x: (x["block"] == F.col("block")) | (x["bits"].bitwiseAND(F.col("goes")) != 0))
+    at = at.withColumn("other", F.explode(F.transform(meets, lambda x: x["block"])))
+    return at.select("label", "d", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", "cell", "goes", "node", "m", "v")
+
+
+def _least(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Nodes that have an edge, and the smallest that each reaches."""
+    node, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+    at, to = at[:len(a)], at[len(a):]
+    low = np.arange(len(node))
+    while True:
+        before = low.copy()
+        np.minimum.at(low, at, before[to])
+        np.minimum.at(low, to, before[at])
+        low = low[low]
+        if (low == before).all():
+            return node, node[low]
 
 
 def _compared(celled: DataFrame, threshold: float) -> DataFrame:
     """(node, n, to): a node's links in one pair of blocks and a smaller node of its component, if there is one."""
-    key = ["label", "d", "cell"]
-    count = celled.groupBy(*key).agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-    dealt = celled.join(count, key).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    every = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    asks = dealt.where("home").select(*key, F.col("block").alias("q"), every.alias("c"), "node", "m", "v")
-    offers = dealt.select(*(F.col(c).alias(c) for c in key), every.alias("q"), F.col("block").alias("c"), *(F.col(c).alias(c) for c in ("node", "m", "v")))
-
-    def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        out = {"node": [], "n": [], "to": []}
-        if left.num_rows and right.num_rows:
-            x, y = _matrix(left), _matrix(right)
-            a, b, m = (t.column(c).to_numpy() for t, c in ((left, "node"), (right, "node"), (right, "m")))
-            linked = np.zeros((len(a), len(b)), dtype=bool)
-            for i in range(0, len(a), 512):
-                linked[i:i + 512] = (x[i:i + 512] @ y.T >= threshold) & (a[i:i + 512, None] != b)
-            rows, cols = linked.any(axis=1), linked.any(axis=0)
-            if rows.any():
-                linked, a, b, m = linked[np.ix_(rows, cols)], a[rows], b[cols], m[cols]
-                n = linked @ m
-                la, lb = within_block(linked, a, b)
-                out["node"] += [a, b[lb != b]]
-                out["n"] += [n, np.zeros((lb != b).sum(), np.int64)]
-                out["to"] += [la, lb[lb != b]]
-        flat = {k: np.concatenate(v) if v else np.zeros(0, np.int64) for k, v in out.items()}
-        return pa.table({k: pa.array(v.astype(np.int64)) for k, v in flat.items()})
-
-    keys = [*key, "q", "c"]
-    return asks.groupBy(*keys).cogroup(offers.groupBy(*keys)).applyInArrow(run, "node long, n long, to long")
+
+    def run(table: pa.Table) -> pa.Table:
+        block, cell, goes, node, m = (table.column(c).to_numpy() for c in ("block", "cell", "goes", "node", "m"))
+        alone = table.column("low")[0] == table.column("high")[0]
+        _, x = next(by_length(table.column("v").combine_chunks()))
+        x = unit(x)
+        order = np.lexsort((node, cell, block))
+        tiles = []  # of one block each
+        for b in np.unique(block):
+            own = order[block[order] == b]
+            tiles += [(b, own[i:i + TILE]) for i in range(0, len(own), TILE)]
+        reach = [(np.bitwise_or.reduce(goes[t]), np.bitwise_or.reduce(np.int64(1) << cell[t])) for _, t in tiles]
+        n, a, b = np.zeros(len(node), np.int64), [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for i, (p, s) in enumerate(tiles):
+            for j in range(i, len(tiles)):
+                q, t = tiles[j]
+                if (p == q) != alone or not (reach[i][0] & reach[j][1]):
+                    continue
+                linked = x[s] @ x[t].T >= threshold
+                if i == j:
+                    np.fill_diagonal(linked, False)
+                rows, cols = linked.any(axis=1), linked.any(axis=0)
+                if rows.any():
+                    linked, s2, t2 = linked[np.ix_(rows, cols)], s[rows], t[cols]
+                    u, v = np.nonzero(linked)
+                    n[s2] += np.bincount(u, weights=m[t2][v], minlength=len(s2)).astype(np.int64)
+                    if i != j:
+                        n[t2] += np.bincount(v, weights=m[s2][u], minlength=len(t2)).astype(np.int64)
+                    for nodes, low in zip((node[s2], node[t2]), within_block(linked, node[s2], node[t2])):
+                        a.append(nodes)
+                        b.append(low)
+        found, low = _least(np.concatenate(a), np.concatenate(b))
+        by_node = np.argsort(node)
+        hit = by_node[np.searchsorted(node, found, sorter=by_node)]
+        return pa.table({"node": pa.array(found), "n": pa.array(n[hit]), "to": pa.array(low)})
+
+    return _dealt(celled).groupBy("label", "d", "low", "high").applyInArrow(run, "node long, n long, to long")
 
 
 def join(df: DataFrame, id_col: str = "vec_id", vector: str = "embedding", label: str = "label", threshold: float = THRESHOLD) -> DataFrame:

@@ -226,3 +226,16 @@ def test_range_join_against_brute_force(spark, monkeypatch, block):
     got = neardup.join(df).collect()
     assert collections.Counter((r.vec_id, r.n_links, r.component_id, bool(r.kept)) for r in got) == brute_links(rows)
     assert neardup.join(df.limit(0)).collect() == []
+
+
+def test_copies_of_vectors_follow_blocks_not_cells(spark, monkeypatch):
+    """Vectors without structure reach every cell, and travel once to each pair of blocks."""
+    monkeypatch.setattr(neardup, "PIVOTS", (16, 16))
+    monkeypatch.setattr(neardup, "BLOCK", 150)
+    rnd = np.random.default_rng(4)
+    rows = [(i, [float(x) for x in v], i % 2) for i, v in enumerate(rnd.normal(size=(600, 64)))]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")
+    _, nodes = neardup._nodes(df, "vec_id", "embedding", "label")
+    celled = neardup._celled(nodes, neardup._pivots(nodes), neardup.THRESHOLD)
+    assert celled.count() == 600  # one row a cell before
+    assert neardup._dealt(celled).count() <= 2 * 600 and celled.schema["v"].dataType.simpleString() == "array<float>"

@@ -120,10 +120,15 @@ def _local_topk(qids, qvec, cids, cvec, k, metric, exclude_self, limit=None):
             key = np.where(np.isnan(key), np.inf, key)
         if exclude_self:
             key[qids[part, None] == cids[None, :]] = np.inf
-        cut = np.partition(key, k - 1, axis=1)[:, k - 1] if n > k else np.full(len(key), np.inf)
-        if worst is not None:
-            cut = np.minimum(cut, worst[part])
-        rows, cols = np.nonzero((key <= (cut + slack)[:, None]) & np.isfinite(key))
+        near = None if worst is None else key <= (worst[part] + slack)[:, None]
+        if near is None or np.count_nonzero(near) > 4 * k * len(key):
+            cut = np.partition(key, k - 1, axis=1)[:, k - 1] if n > k else np.full(len(key), np.inf)
+            if worst is not None:
+                cut = np.minimum(cut, worst[part])
+            near = key <= (cut + slack)[:, None]
+        rows, cols = np.nonzero(near)
+        some = np.isfinite(key[rows, cols])
+        rows, cols = rows[some], cols[some]
         out_q.append(s + rows)
         out_c.append(cols)
         out_d.append(np.round(_pair_scores(qvec, cvec, s + rows, cols, qn, cn, metric), 6) if plain else val[rows, cols])

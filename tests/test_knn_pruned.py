@@ -78,3 +78,31 @@ def test_a_query_goes_once_to_a_bundle_of_cells(spark):
     q = spark.createDataFrame([(i, [float(x) for x in r]) for i, r in enumerate(v)], "_qid long, _qv array<double>").withColumn("_kth", F.lit(None).cast("double"))
     out = visits(q, _Space(v, "l2"), cells, 10, False, bundle=16)
     assert out.count() == 64 * 4 and out.agg(F.sum(F.bit_count("_bits"))).first()[0] == 64 * 63
+
+
+def test_copies_follow_blocks_of_queries_not_cells(spark, monkeypatch):
+    """Without structure every query meets every cell; no table that is kept holds a row for each of these."""
+    from faultline.operators import knn_pruned as module
+
+    kept, plain = [], module.cut
+
+    def cut(df, tag):
+        out = plain(df, tag)
+        kept.append((tag, out.count()))
+        return out
+
+    monkeypatch.setattr(module, "cut", cut)
+    rnd = np.random.default_rng(6)
+    v = spark.createDataFrame([(i, [float(x) for x in rnd.normal(size=20)]) for i in range(400)], "id long, embedding array<float>")
+    for metric in ("l2", "cosine"):
+        assert both(v, v, k=3, metric=metric, exclude_self=True, block_rows=16)["all"] == 400 * 14
+    assert max(n for _, n in kept) <= 3 * 400, kept
+
+
+def test_rows_of_one_query_id_share_its_best(spark):
+    rnd = np.random.default_rng(7)
+    v = spark.createDataFrame([(i // 2 if i < 60 else (None if i < 64 else i), [float(x) for x in rnd.integers(-2, 3, size=3)]) for i in range(300)], "id long, embedding array<float>")
+    args = {"k": 4, "query_id": "id", "corpus_id": "id"}
+    got, want = knn_pruned(v, v, cell_rows=30, block_rows=16, **args), knn_join(v, v, **args)
+    rows = lambda df: sorted(map(repr, (tuple(r[x] for x in got.columns) for r in df.collect())))
+    assert rows(got) == rows(want)

@@ -119,3 +119,26 @@ def test_what_another_text_holds_raises_a_score(spark, monkeypatch):
     lifted = [got[k] for k in range(10) if k + 40 in train] + [got[k + 40] for k in range(10) if k in train]
     alone = [got[k] for k in range(10, 40)]
     assert len(lifted) >= 10 and min(lifted) > max(alone) + 0.5
+
+
+@pytest.mark.parametrize("hot", [1 << 20, 25, 3])
+def test_every_word_is_a_context(spark, monkeypatch, hot):
+    """Common words too, whether in one bucket or dealt out to several."""
+    monkeypatch.setattr(lm, "HOT", hot)
+    monkeypatch.setattr(lm, "SLICE", 40)
+    texts = [t for t in ODD if not t or len(t) < 100] + [prose(25, s % 9, 40) for s in range(30)] + ["x", "x y", " z  x y\n", "x y x y x y x x"]
+    rows = list(enumerate(texts))
+    rows += [rows[9], rows[9], rows[-1]]  # identical rows
+    train, want = plain_scores(rows, 10)
+    got = {r.doc_id: r.score for r in lm.score(frame(spark, [t for _, t in rows], [i for i, _ in rows]), every=True).collect()}
+    for (i, t), s in zip(rows, want):
+        assert got[i] == pytest.approx(s, rel=1e-4, abs=1e-3), (i, t)
+
+
+def test_the_query_leaves_no_word_out(monkeypatch):
+    from faultline.llm import queries
+
+    monkeypatch.setattr(queries, "read_table", lambda *a: None)
+    monkeypatch.setattr(queries, "small_batches", lambda s: None)
+    monkeypatch.setattr(lm, "score", lambda docs, **options: options)
+    assert queries.op7_lm(None, "") == {"every": True}

@@ -19,6 +19,7 @@ from faultline.sources import files
 from faultline.sources.tables import read_table
 
 LETTERS = "aeiou"
+MODULES = 2048  # of a file in the tree, at most
 
 
 def ap_over_all(spark: SparkSession, sf: str):
@@ -52,14 +53,14 @@ def code_roots(spark, sf):
 
 
 def tree_corpus(spark, sf):
-    """UDTF-15 (SRC-01/05/11, SNK-01): a tree of files, one a brand with its modules one behind
-    the other, read whole, cut into chunks, written by project and read again."""
+    """UDTF-15 (SRC-01/05/11, SNK-01): a tree of files, a folder a brand with its modules one behind
+    the other, in files of at most MODULES each, read whole, cut into chunks, written by project and read again."""
     root, out = (f"{checkpoint_dir(spark)}/{name}-{uuid.uuid4().hex}" for name in ("tree", "corpus"))
     modules = part_sources(spark, sf).join(read_table(spark, sf, "part", "p_partkey", "p_brand"), "p_partkey")
     modules = modules.withColumn("project", F.regexp_replace("p_brand", "#", "_"))
-    # a brand's modules are one file: one partition each
+    # a brand's modules are dealt out to one partition; a file, which is one row where it is read, ends with a module
     brands = modules.repartition("project").sortWithinPartitions("project", "p_partkey").select("project", F.col("content").alias("value"))
-    brands.write.partitionBy("project").text(root)
+    brands.write.option("maxRecordsPerFile", MODULES).partitionBy("project").text(root)
     tree = files.read_tree(spark, root, "*.txt").withColumn("path", files.relative_path(F.col("path"), root))
     tree = tree.withColumn("project", F.regexp_extract("path", "project=([^/]*)", 1))
     key = ["project", "path"]

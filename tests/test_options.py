@@ -27,3 +27,23 @@ def test_what_a_definition_covers(spark):
     ln, found = source.facts(src, ["f"])
     root = lambda **kw: source.chunks(ln, found, ["f"], **kw).where(F.col("name") == "root").first().code
     assert root() == "x = 1\n        a]\ny = 2" and root(cover="end_line") == "x = 1\ny = 2"
+
+
+def test_files_of_a_tree_hold_a_bounded_number_of_modules(spark, tmp_path, monkeypatch):
+    from faultline.plans import options
+
+    rows = [(i, f"blue part {i}", f"Brand#{i % 2}", "SMALL", i % 7 + 1) for i in range(40)]
+    spark.createDataFrame(rows, "p_partkey long, p_name string, p_brand string, p_type string, p_size int").write.parquet(str(tmp_path / "part.parquet"))
+    sizes, plain = [], options.files.read_tree
+
+    def read_tree(spark, root, glob):
+        tree = plain(spark, root, glob)
+        sizes.append(tree.select(F.regexp_count("content", F.lit("class Part")).alias("n")).toPandas()["n"].tolist())
+        return tree
+
+    monkeypatch.setattr(options.files, "read_tree", read_tree)
+    found = [sorted(map(tuple, options.tree_corpus(spark, str(tmp_path)).collect()))]
+    monkeypatch.setattr(options, "MODULES", 6, raising=False)
+    found.append(sorted(map(tuple, options.tree_corpus(spark, str(tmp_path)).collect())))
+    assert found[0] == found[1] and [r[0] for r in found[0]] == ["Brand_0", "Brand_1"]
+    assert sum(sizes[0]) == sum(sizes[1]) > 0 and max(sizes[1]) <= 6

@@ -56,6 +56,7 @@ ROWS = 4096  # sets of a block: short texts are many sets of few elements
 CROWD = 64  # sets of one batch under one key from which the key is dealt out by batch
 KEYS_EACH = 300_000  # keys that one partition should get
 BYTES = 5  # of a key within its partition
+SENT = 1 << 18  # keys that are packed at once, so that each partition gets a row of many whatever their number
 NO_PROBE = -(1 << 30)
 
 
@@ -190,7 +191,7 @@ def _indexed(docs: DataFrame, text: str, parts: int) -> DataFrame:
     def pack(key: np.ndarray, node: np.ndarray, need: np.ndarray, unit: np.ndarray, part: np.ndarray, home: np.ndarray | None) -> pa.RecordBatch:
         """``home``: the keys' own partitions, where others than these are given."""
         crowded = home is not None
-        order = np.argsort(part, kind="stable")
+        order = np.lexsort((need, node, part))  # what is alike stands together, which packs better
         key, node, need, unit, part = (x[order] for x in (key, node, need, unit, part))
         cuts = np.append(np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]])), len(part))
         short = key.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :BYTES].tobytes()
@@ -200,6 +201,7 @@ def _indexed(docs: DataFrame, text: str, parts: int) -> DataFrame:
         return pa.RecordBatch.from_arrays([pa.array(part[cuts[:-1]].astype(np.int32)), keys, *lists, pa.array(np.full(len(cuts) - 1, crowded))], names=["part", "keys", "node", "need", "unit", "home", "crowded"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        waiting, rows = [], 0
         for batch in batches:
             seen: set[int] = set()
             for _, b, data, offs in _text.chunks(batch, text):
@@ -226,10 +228,15 @@ def _indexed(docs: DataFrame, text: str, parts: int) -> DataFrame:
                     salt = _text.mix(np.array([int(node[once[0]])], dtype=np.uint64))[0]
                     dealt = (_text.mix(key[crowd] ^ salt) % np.uint64(parts)).astype(np.int64)
                     yield pack(key[crowd], node[row[crowd]], need[crowd], unit[crowd], dealt, part[crowd])
-                    plain = ~crowd | stand
-                    yield pack(key[plain], node[row[plain]], need[plain], unit[plain], part[plain], None)
-                else:
-                    yield pack(key, node[row], need, unit, part, None)
+                plain = ~crowd | stand
+                # chunks are packed together: a row of few keys costs more than they do
+                waiting.append((key[plain], node[row[plain]], need[plain].astype(np.int32), unit[plain].astype(np.int32), part[plain].astype(np.int32)))
+                rows += len(waiting[-1][0])
+                if rows >= SENT:
+                    yield pack(*(np.concatenate(x) for x in zip(*waiting)), None)
+                    waiting, rows = [], 0
+        if rows:
+            yield pack(*(np.concatenate(x) for x in zip(*waiting)), None)
 
     return docs.select(text).mapInArrow(run, PACKED).repartitionById(parts, "part")
 
